@@ -9,7 +9,7 @@ CLASSES = {"BP": 0, "EryP": 1, "MoP": 2, "NeuP": 3}
 META_COLUMNS = ["cell_id", "day", "donor", "technology", "cell_type"]
 META_KEYS = ["cell_id", "day", "donor", "technology"]
 
-MODELS = ("mmdynamics", "mmstatic")
+MODELS = ("dynamic", "static")
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Config:
     image_dir: str | None = None
     modalities: tuple[str, ...] = ("protein", "rna")
     hidden_dims: tuple[int, ...] = (35, 250)
-    model: str = "mmstatic"
+    model: str = "static"
     modality_weights: tuple[float, ...] = (1.0,)
     classification_loss_weight: float = 1.0
     feature_import_loss: float | None = 1.0
@@ -59,7 +59,7 @@ class Config:
         if not 0.0 <= self.dropout < 1.0:
             raise ValueError("dropout must be in [0, 1)")
         per_view(self.hidden_dims, len(self.modalities), "hidden_dims")
-        if self.model == "mmstatic":
+        if self.model == "static":
             per_view(self.modality_weights, len(self.modalities), "modality_weights")
 
     @property
@@ -72,17 +72,17 @@ class Config:
 
     @property
     def view_weights(self) -> tuple[float, ...]:
-        if self.model == "mmdynamics":
+        if self.model == "dynamic":
             return (1.0,) * len(self.modalities)
         return per_view(self.modality_weights, len(self.modalities), "modality_weights")
 
     @property
     def gated(self) -> bool:
-        return self.model == "mmdynamics" and self.feature_import_loss is not None
+        return self.model == "dynamic" and self.feature_import_loss is not None
 
     @property
     def confident(self) -> bool:
-        return self.model == "mmdynamics" and self.modality_import_loss is not None
+        return self.model == "dynamic" and self.modality_import_loss is not None
 
     @property
     def run_name(self) -> str:

@@ -22,6 +22,7 @@ from modalweave.operators.blocks import as_lists, as_matrix
 from modalweave.operators.fusion import score
 from modalweave.operators.neighbours import knn_predict
 from modalweave.operators.training import train
+from modalweave.sources.sinks import durable
 
 # A baseline takes cells (cell_id, donor, y, features) and gives (fold, cell_id, y_true, y_pred).
 Baseline = Callable[[DataFrame], DataFrame]
@@ -38,7 +39,7 @@ def per_fold(cells: DataFrame, fit_predict) -> DataFrame:
 
     The fits are independent series of Spark jobs, so a few of them run side by side.
     """
-    cells = cells.persist()
+    cells = durable(cells, "cells")
 
     def one(fold: int) -> DataFrame:
         mine = F.col("donor").eqNullSafe(F.lit(fold))
@@ -151,6 +152,7 @@ def rbf_svm(cells: DataFrame, c: float = 1.0, n_features: int = 256, max_iter: i
 
 def group_sides(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Test rows under their own fold, and the rows of all other donors under each fold."""
+    cells = durable(cells, "cells")
     ids = fold_ids(cells)
     test = cells.where(F.col("donor").isNotNull()).withColumn("fold", F.col("donor").cast("bigint"))
     every = F.array(*[F.lit(f).cast("bigint") for f in ids])
@@ -170,7 +172,7 @@ def dense_net(cells: DataFrame, cfg: Config | None = None, n_classes: int = 4) -
     cfg = cfg or Config(
         modalities=("features",),
         hidden_dims=(128,),
-        model="mmstatic",
+        model="static",
         dropout=0.0,
         epochs=10,
         batches_per_epoch=4,
@@ -180,8 +182,8 @@ def dense_net(cells: DataFrame, cfg: Config | None = None, n_classes: int = 4) -
         keep="last",
         classes={str(i): i for i in range(n_classes)},
     )
-    plan = FO.fold_plan(cells, fraction=cfg.val_fraction, seed=cfg.seed)
-    member = FO.membership(cells, FO.small_copy(plan), seed=cfg.seed)
+    cells = durable(cells, "cells")
+    member = FO.membership(cells, FO.fold_plan(cells, fraction=cfg.val_fraction, seed=cfg.seed))
     width = cells.agg(F.max(F.size("features"))).first()[0]
     fit = train(member, fold_ids(cells), {"features": width}, cfg)
     test = cells.where(F.col("donor").isNotNull()).withColumn("fold", F.col("donor").cast("bigint"))

@@ -4,12 +4,17 @@ The validation part of a fold is the first ``ceil(fraction * n)`` of its trainin
 ids in the order of a seeded hash. Ranking all ids of a fold would put the fold
 into one task, so the rank is replaced by a cut-off: hash prefixes are counted, the
 prefix in which the quota is reached is found per fold, and only the ids under that
-prefix (about n / 65536) are ranked. One row per fold describes the whole split,
-and the split of a cell in any fold is an expression on that row.
+prefix (about n / 65536) are ranked. Two passes over two narrow columns give one
+small row per fold, and the split of a cell in any fold is an expression on that row.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import asdict, dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,49 +30,89 @@ def order_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """Sizes of a fold and the last id of its validation part in hash order."""
+
+    fold: int | str
+    n_test: int
+    n_rest: int
+    n_val: int
+    cut_hash: str | None = None
+    cut_key: int | str | None = None
+
+
+@dataclass(frozen=True)
+class FoldPlan:
+    folds: list[Fold]
+    group_type: str
+    key_type: str
+    seed: int
+
+    def column(self) -> Column:
+        """All folds as one constant array of structs."""
+        kind = f"array<struct<fold: {self.group_type}, cut_hash: string, cut_key: {self.key_type}>>"
+        rows = [{"fold": f.fold, "cut_hash": f.cut_hash, "cut_key": f.cut_key} for f in self.folds]
+        return F.from_json(F.lit(json.dumps(rows)), kind)
+
+    def table(self, spark) -> DataFrame:
+        kind = (
+            f"fold {self.group_type}, n_test bigint, n_rest bigint, n_val bigint, "
+            f"cut_hash string, cut_key {self.key_type}"
+        )
+        return spark.createDataFrame([asdict(f) for f in self.folds], kind)
+
+
 def fold_plan(
     meta: DataFrame, key: str = "cell_id", group: str = "donor", fraction: float = 0.2, seed: int = 42
-) -> DataFrame:
-    """One row per fold: ``fold, n_test, n_rest, n_val, cut_hash, cut_key``.
+) -> FoldPlan:
+    """Test, train and validation sizes and the validation cut-off of every fold.
 
-    ``meta`` has one row per key. A cell outside the test group belongs to the
-    validation part when ``(hash, key) <= (cut_hash, cut_key)``.
+    ``meta`` has one row per key. What reaches the driver has one row per fold.
     """
     ids = meta.select(F.col(key).alias("k"), F.col(group).alias("g"), order_key(key, seed).alias("h"))
-    counts = ids.groupBy("g", F.substring("h", 1, PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    sizes = (
-        counts.where(F.col("g").isNotNull())
-        .groupBy(F.col("g").alias("fold"))
-        .agg(F.sum("n").alias("n_test"))
-        .withColumn("n_rest", total - F.col("n_test"))
-        .withColumn("n_val", F.ceil(F.lit(fraction) * F.col("n_rest")).cast("bigint"))
-    )
+    prefix = F.substring("h", 1, PREFIX)
+    # At most groups x 16^PREFIX rows.
+    counts = ids.groupBy("g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sizes.values())
+    folds = [
+        Fold(g, n, total - n, math.ceil(fraction * (total - n)))
+        for g, n in sorted((i for i in sizes.items() if i[0] is not None))
+    ]
+    plan = FoldPlan(folds, dict(ids.dtypes)["g"], dict(ids.dtypes)["k"], seed)
+
     # Rows of a prefix outside a fold's own group = all rows of it minus the group's.
-    folds = sizes.agg(F.collect_list(F.struct("fold", "n_val"))).scalar()
-    everywhere = counts.groupBy("p").agg(F.sum("n").alias("n_all"))
-    per_fold = everywhere.select("p", "n_all", F.inline(folds)).alias("a")
-    own = counts.select(F.col("g").alias("fold"), "p", F.col("n").alias("n_own"))
-    rest = per_fold.join(own, ["fold", "p"], "left").select(
-        "fold", "n_val", "p", (F.col("n_all") - F.coalesce("n_own", F.lit(0))).alias("n")
+    quota = F.from_json(
+        F.lit(json.dumps([{"fold": f.fold, "n_val": f.n_val} for f in folds])),
+        f"array<struct<fold: {plan.group_type}, n_val: bigint>>",
     )
+    everywhere = counts.groupBy("p").agg(F.sum("n").alias("n_all")).select("p", "n_all", F.inline(quota))
+    own = counts.select(F.col("g").alias("fold"), "p", F.col("n").alias("n_own"))
+    rest = everywhere.join(own, ["fold", "p"], "left").withColumn("n", F.col("n_all") - F.coalesce("n_own", F.lit(0)))
     upto = Window.partitionBy("fold").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     border = (
         rest.withColumn("cum", F.sum("n").over(upto))
         .where((F.col("cum") >= F.col("n_val")) & (F.col("cum") - F.col("n") < F.col("n_val")))
         .select("fold", "p", (F.col("n_val") - F.col("cum") + F.col("n")).alias("need"))
     )
-    borders = border.agg(F.collect_list(F.struct("fold", "p", "need"))).scalar()
+    borders = [r.asDict() for r in border.collect()]
+    counts.unpersist()
+    if not borders:
+        return plan
+
+    kind = f"array<struct<fold: {plan.group_type}, p: string, need: bigint>>"
     near = (
-        ids.select("*", F.inline(borders))
-        .where((F.substring("h", 1, PREFIX) == F.col("p")) & ~F.col("g").eqNullSafe(F.col("fold")))
-        .select("fold", "need", "h", "k")
+        ids.where(prefix.isin(sorted({b["p"] for b in borders})))
+        .select("*", F.inline(F.from_json(F.lit(json.dumps(borders)), kind)))
+        .where((prefix == F.col("p")) & ~F.col("g").eqNullSafe(F.col("fold")))
     )
     rank = F.row_number().over(Window.partitionBy("fold").orderBy("h", "k"))
-    cuts = near.withColumn("r", rank).where(F.col("r") == F.col("need"))
-    return sizes.join(
-        cuts.select("fold", F.col("h").alias("cut_hash"), F.col("k").alias("cut_key")), "fold", "left"
-    )
+    last = near.withColumn("r", rank).where(F.col("r") == F.col("need")).select("fold", "h", "k").collect()
+    cuts = {r["fold"]: (r["h"], r["k"]) for r in last}
+    done = [Fold(f.fold, f.n_test, f.n_rest, f.n_val, *cuts.get(f.fold, (None, None))) for f in folds]
+    return FoldPlan(done, plan.group_type, plan.key_type, seed)
 
 
 def split_of(fold: Column, group: Column, h: Column, key: Column, cut_hash: Column, cut_key: Column) -> Column:
@@ -75,47 +120,32 @@ def split_of(fold: Column, group: Column, h: Column, key: Column, cut_hash: Colu
     return F.when(group.eqNullSafe(fold), "test").when(inside, "val").otherwise("train")
 
 
-def expand_folds(
-    cells: DataFrame, plan: DataFrame, key: str = "cell_id", group: str = "donor", seed: int = 42
-) -> DataFrame:
-    """Every cell once per fold with its ``fold`` and ``split``.
-
-    The plan (one row per fold) is a scalar subquery, so the expansion is a narrow
-    ``inline`` without join or shuffle.
-    """
-    folds = plan.agg(F.collect_list(F.struct("fold", "cut_hash", "cut_key"))).scalar()
-    hashed = cells.withColumn("_h", order_key(key, seed))
-    wide = hashed.select("*", F.inline(folds))
+def expand_folds(cells: DataFrame, plan: FoldPlan, key: str = "cell_id", group: str = "donor") -> DataFrame:
+    """Every cell once per fold with its ``fold`` and ``split``: a narrow step, no join, no shuffle."""
+    hashed = cells.withColumn("_h", order_key(key, plan.seed))
+    wide = hashed.select("*", F.inline(plan.column()))
     split = split_of(
         F.col("fold"), F.col(group), F.col("_h"), F.col(key), F.col("cut_hash"), F.col("cut_key")
     )
     return wide.withColumn("split", split).drop("_h", "cut_hash", "cut_key")
 
 
-def small_copy(plan: DataFrame) -> DataFrame:
-    """The plan as a local table: one row per fold, computed once for all later jobs."""
-    return plan.sparkSession.createDataFrame(plan.collect(), plan.schema)
-
-
-def membership(
-    cells: DataFrame, plan: DataFrame, key: str = "cell_id", group: str = "donor", seed: int = 42
-) -> DataFrame:
+def membership(cells: DataFrame, plan: FoldPlan, key: str = "cell_id", group: str = "donor") -> DataFrame:
     """Each cell once, with ``train_folds`` and ``val_folds``, the folds it serves in.
 
     Its test fold is its own group. Use this instead of ``expand_folds`` where the
     vectors would be copied once per fold.
     """
-    folds = plan.agg(F.collect_list(F.struct("fold", "cut_hash", "cut_key"))).scalar()
-    hashed = cells.withColumn("_h", order_key(key, seed)).withColumn("_folds", folds)
+    hashed = cells.withColumn("_h", order_key(key, plan.seed))
 
     def serving(split: str) -> Column:
         def is_in(f):
             return split_of(f["fold"], F.col(group), F.col("_h"), F.col(key), f["cut_hash"], f["cut_key"]) == split
 
-        return F.transform(F.filter("_folds", is_in), lambda f: f["fold"].cast("bigint"))
+        return F.transform(F.filter(plan.column(), is_in), lambda f: f["fold"].cast("bigint"))
 
     out = hashed.withColumn("train_folds", serving("train")).withColumn("val_folds", serving("val"))
-    return out.drop("_h", "_folds")
+    return out.drop("_h")
 
 
 def hash_split(key: str = "cell_id", percent: int = 20, seed: int = 42) -> Column:

@@ -27,10 +27,10 @@ def shapes(cfg: Config, widths: Mapping[str, int]) -> dict[str, tuple[int, ...]]
     k = cfg.n_classes
     for view, h in zip(cfg.modalities, cfg.hidden, strict=True):
         d = widths[view]
-        if cfg.model == "mmdynamics":
+        if cfg.model == "dynamic":
             out |= {f"{view}.gate.w": (d, d), f"{view}.gate.b": (d,)}
         out |= {f"{view}.enc.w": (h, d), f"{view}.enc.b": (h,)}
-        if cfg.model == "mmdynamics":
+        if cfg.model == "dynamic":
             out |= {f"{view}.tcp.w": (k, h), f"{view}.tcp.b": (k,)}
             out |= {f"{view}.conf.w": (1, h), f"{view}.conf.b": (1,)}
     return out | {"out.w": (k, sum(cfg.hidden)), "out.b": (k,)}
@@ -96,14 +96,14 @@ def forward(p: Params, cfg: Config, xs: list[np.ndarray], present=None, drop=Non
     views = []
     for v, (name, x) in enumerate(zip(cfg.modalities, xs, strict=True)):
         r = {"x": x}
-        if cfg.model == "mmdynamics":
+        if cfg.model == "dynamic":
             r["gate"] = sigmoid(x @ p[f"{name}.gate.w"].T + p[f"{name}.gate.b"])
         r["u"] = x * r["gate"] if cfg.gated else x
         r["pre"] = r["u"] @ p[f"{name}.enc.w"].T + p[f"{name}.enc.b"]
         r["h"] = np.maximum(r["pre"], 0.0)
         if drop is not None:
             r["h"] = r["h"] * drop[v]
-        if cfg.model == "mmdynamics":
+        if cfg.model == "dynamic":
             r["t"] = r["h"] @ p[f"{name}.tcp.w"].T + p[f"{name}.tcp.b"]
             r["c"] = (r["h"] @ p[f"{name}.conf.w"].T + p[f"{name}.conf.b"])[:, 0]
         factor = r["c"][:, None] if cfg.confident else cfg.view_weights[v]
@@ -118,7 +118,7 @@ def forward(p: Params, cfg: Config, xs: list[np.ndarray], present=None, drop=Non
 def row_loss(state: dict, cfg: Config, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Loss of each row; its mean over a batch is the training loss."""
     n_views = len(cfg.modalities)
-    a = cfg.classification_loss_weight if cfg.model == "mmdynamics" else 1.0
+    a = cfg.classification_loss_weight if cfg.model == "dynamic" else 1.0
     loss = a**n_views * w * log_loss(state["logits"], y)
     for v, r in enumerate(state["views"]):
         k = a ** (n_views - 1 - v)
@@ -189,7 +189,7 @@ def out_fields(cfg: Config, outputs) -> list[T.StructField]:
     for o in outputs:
         if o not in OUTPUTS:
             raise ValueError(f"unknown output {o!r}, choose from {OUTPUTS}")
-        if o in ("gates", "tcp") and cfg.model != "mmdynamics":
+        if o in ("gates", "tcp") and cfg.model != "dynamic":
             raise ValueError(f"{o} needs the dynamic model")
         if o == "gates":
             names += [(f"gate_{m}", vector) for m in cfg.modalities]

@@ -41,7 +41,7 @@ def gradient(p: Params, cfg: Config, xs, y, w, drop=None) -> tuple[float, Params
     """Loss and gradient summed over the rows of a batch."""
     state = forward(p, cfg, xs, drop=drop)
     n_views, rows = len(cfg.modalities), np.arange(len(y))
-    a = cfg.classification_loss_weight if cfg.model == "mmdynamics" else 1.0
+    a = cfg.classification_loss_weight if cfg.model == "dynamic" else 1.0
     hot = np.zeros_like(state["logits"])
     hot[rows, y] = 1.0
     ds = a**n_views * w[:, None] * (softmax(state["logits"]) - hot)

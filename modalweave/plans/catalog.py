@@ -50,14 +50,14 @@ LATENTS = [[0.5, -0.25, 1.0], [-0.5, 0.75, 0.25], [1.0, 1.0, -1.0]]
 DYNAMIC = Config(
     modalities=("protein", "rna"),
     hidden_dims=(4, 8),
-    model="mmdynamics",
+    model="dynamic",
     classification_loss_weight=1.3,
     feature_import_loss=0.7,
     modality_import_loss=0.9,
     classes=LANGS,
 )
 STATIC = Config(
-    modalities=("protein", "rna"), hidden_dims=(4, 8), model="mmstatic", modality_weights=(3.0, 1.0), classes=LANGS
+    modalities=("protein", "rna"), hidden_dims=(4, 8), model="static", modality_weights=(3.0, 1.0), classes=LANGS
 )
 WIDTHS = {"protein": 6, "rna": 64}
 
@@ -513,7 +513,7 @@ def epoch_loss(spark, sf):
 
 def linear_weights(n_in: int, n_out: int) -> tuple[list[list[float]], list[float]]:
     p = FU.formula_params(
-        Config(modalities=("a",), hidden_dims=(n_in,), model="mmstatic", classes={str(k): k for k in range(n_out)}),
+        Config(modalities=("a",), hidden_dims=(n_in,), model="static", classes={str(k): k for k in range(n_out)}),
         {"a": 1},
     )
     return p["out.w"].tolist(), p["out.b"].tolist()
@@ -700,19 +700,19 @@ def experiment_config(model: str) -> Config:
 
 @query
 def cross_validate_static(spark, sf):
-    out = E.cross_validate(doc_meta(spark, sf), doc_modalities(spark, sf), experiment_config("mmstatic"))
-    return M.result_rows(out.metrics, "mmstatic")
+    out = E.cross_validate(doc_meta(spark, sf), doc_modalities(spark, sf), experiment_config("static"))
+    return M.result_rows(out.metrics, "static")
 
 
 @query
 def cross_validate_dynamic(spark, sf):
-    out = E.cross_validate(doc_meta(spark, sf), doc_modalities(spark, sf), experiment_config("mmdynamics"))
-    return M.result_rows(out.metrics, "mmdynamics")
+    out = E.cross_validate(doc_meta(spark, sf), doc_modalities(spark, sf), experiment_config("dynamic"))
+    return M.result_rows(out.metrics, "dynamic")
 
 
 @query
 def component_ablation(spark, sf):
-    cfg = experiment_config("mmdynamics").with_(epochs=10)
+    cfg = experiment_config("dynamic").with_(epochs=10)
     out = E.component_ablation(doc_meta(spark, sf), doc_modalities(spark, sf), cfg)
     return out.select("gate", "confidence", "fold", *M.METRICS)
 

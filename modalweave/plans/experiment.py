@@ -26,7 +26,7 @@ class Prepared:
     """Cells with one vector per modality and their folds, class weights and widths."""
 
     cells: DataFrame
-    plan: DataFrame
+    plan: FO.FoldPlan
     folds: list[int]
     widths: dict[str, int]
     class_weights: dict[int, list[float]]
@@ -35,24 +35,25 @@ class Prepared:
 def prepare(meta: DataFrame, modalities: Mapping[str, DataFrame], cfg: Config) -> Prepared:
     """Join once for all folds. The split is drawn on the metadata ids, before the join.
 
-    What is fetched here has one row per fold, per modality or per fold and class.
+    The joined cells are written to the shared folder, since every training step
+    reads them. What is fetched has one row per fold, modality or class.
     """
     chosen = K.select_modalities(modalities, cfg.modalities)
     labelled = K.reject_unlabelled(K.map_label(K.keep_first(meta, ["cell_id"]), cfg.classes))
-    plan = FO.small_copy(FO.fold_plan(labelled, fraction=cfg.val_fraction, seed=cfg.seed))
-    cells = FO.membership(K.align(labelled, chosen), plan, seed=cfg.seed)
-    widths = {r["modality"]: r["width"] for r in K.feature_widths(chosen, {}).collect()}
-    folds = sorted(r["fold"] for r in plan.select("fold").collect())
-    sizes = (
+    plan = FO.fold_plan(labelled, fraction=cfg.val_fraction, seed=cfg.seed)
+    cells = sinks.durable(FO.membership(K.align(labelled, chosen), plan), "cells")
+    sizes = cells.agg(*[F.max(F.size(m)).alias(m) for m in cfg.modalities]).first()
+    folds = [f.fold for f in plan.folds]
+    train_sizes = (
         cells.select(F.explode("train_folds").alias("fold"), F.lit("train").alias("split"), "y")
         .groupBy("fold", "split", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     weights: dict[int, list[float]] = {f: [float("nan")] * cfg.n_classes for f in folds}
-    for r in FO.class_weights(sizes, cfg.n_classes).collect():
+    for r in FO.class_weights(train_sizes, cfg.n_classes).collect():
         if r["weight"] is not None:
             weights[r["fold"]][r["y"]] = r["weight"]
-    return Prepared(cells, plan, folds, widths, weights)
+    return Prepared(cells, plan, folds, {m: sizes[m] for m in cfg.modalities}, weights)
 
 
 def target_rows(data: Prepared) -> DataFrame:
@@ -93,8 +94,11 @@ class Outcome:
 
 def cross_validate(meta: DataFrame, modalities: Mapping[str, DataFrame], cfg: Config) -> Outcome:
     """Train and test one model per fold; with ``test_only`` the parameters are read from ``weights_dir``."""
-    spark = meta.sparkSession
-    data = prepare(meta, modalities, cfg)
+    return run(prepare(meta, modalities, cfg), cfg)
+
+
+def run(data: Prepared, cfg: Config) -> Outcome:
+    spark = data.cells.sparkSession
     if cfg.test_only:
         if not cfg.weights_dir:
             raise ValueError("test_only needs weights_dir")
@@ -130,12 +134,13 @@ def write_outcome(out: Outcome, cfg: Config) -> str:
 
 
 def component_ablation(meta, modalities, cfg: Config) -> DataFrame:
-    """Gate on or off times confidence on or off."""
+    """Gate on or off times confidence on or off, all on the same prepared cells."""
+    data = prepare(meta, modalities, cfg)
     parts = []
     for gate in (cfg.feature_import_loss, None):
         for conf in (cfg.modality_import_loss, None):
-            run = cfg.with_(model="mmdynamics", feature_import_loss=gate, modality_import_loss=conf)
-            out = cross_validate(meta, modalities, run).metrics
+            switched = cfg.with_(model="dynamic", feature_import_loss=gate, modality_import_loss=conf)
+            out = run(data, switched).metrics
             parts.append(
                 out.withColumn("gate", F.lit(gate is not None)).withColumn("confidence", F.lit(conf is not None))
             )

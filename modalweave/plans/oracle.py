@@ -429,7 +429,7 @@ add(
     confusion("fold"),
     per_class("fold"),
     metrics("fold"),
-    f"SELECT 'run_protein+rna_hid4-8_ep250_mmstatic_mw3-1_cls1_feat1_mod1' AS model, fold, {SIX} FROM metrics",
+    f"SELECT 'run_protein+rna_hid4-8_ep250_static_mw3-1_cls1_feat1_mod1' AS model, fold, {SIX} FROM metrics",
 )
 add(
     "metrics_mean_std",

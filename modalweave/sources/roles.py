@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modalweave.sources.tables import spread
+
 # Class ids of the label columns and the character classes of the text features.
 LANGS = {"de": 0, "en": 1, "es": 2, "fr": 3}
 EVENT_TYPES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
@@ -32,17 +34,16 @@ def doc_meta(spark, sf_dir) -> DataFrame:
 
 
 def _rate(text: Column, chars: str) -> Column:
-    kept = F.length(F.regexp_replace(text, f"[{chars}]", ""))
-    return (F.length(text) - kept) / F.greatest(F.length(text), F.lit(1))
+    found = F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+    return found / F.greatest(F.length(text), F.lit(1))
 
 
 def doc_protein(spark, sf_dir) -> DataFrame:
     text = F.col("text")
     rates = [_rate(text, c) for c in CHAR_CLASSES]
     size = F.ln(1.0 + F.length(text)) / 10.0
-    return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("cell_id"), F.array(*rates, size).alias("features")
-    )
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").alias("cell_id"), F.array(*rates, size).alias("features"))
 
 
 def doc_rna(spark, sf_dir) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +46,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, so lost executors cost a re-read only."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage: what follows reads columns from storage, whatever executors are lost.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,3 +72,13 @@ def base_name(path: Column) -> Column:
 def attach_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
     """Manifest rows with their image, matched by file name."""
     return manifest.withColumn("file", base_name(F.col("file"))).join(images, "file")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input as many partitions as there are cores before heavy per-row work.
+
+    A table of many files already has more and is returned unchanged, so large
+    inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

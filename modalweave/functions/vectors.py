@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -156,3 +156,12 @@ def affine(vec: Column, rows: list[list[float]], bias: list[float]) -> Column:
         dot(vec, F.lit([float(v) for v in r])) + F.lit(float(b)) for r, b in zip(rows, bias, strict=True)
     ]
     return F.array(*outs)
+
+
+def unfold(df: DataFrame, keys: list, vector, name: str) -> DataFrame:
+    """One row per vector element: ``(keys.., idx, name)``.
+
+    The outer form is used on purpose: for the inner form Spark adds a filter on the
+    size of the vector and evaluates an expensive vector expression twice.
+    """
+    return df.select(*keys, F.posexplode_outer(vector).alias("idx", name)).where(F.col("idx").isNotNull())

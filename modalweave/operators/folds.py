@@ -4,7 +4,7 @@ The validation part of a fold is the first ``ceil(fraction * n)`` of its trainin
 ids in the order of a seeded hash. Ranking all ids of a fold would put the fold
 into one task, so the rank is replaced by a cut-off: hash prefixes are counted, the
 prefix in which the quota is reached is found per fold, and only the ids under that
-prefix (about n / 65536) are ranked. Two passes over two narrow columns give one
+prefix (one in 4096, or one in a million for a large table) are ranked. Two passes over two narrow columns give one
 small row per fold, and the split of a cell in any fold is an expression on that row.
 """
 
@@ -18,7 +18,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 4  # hex digits of the hash that are counted first
+# Hex digits of the hash that are counted first: few for a small table, enough for a
+# large one that the ids under one prefix stay a small part of it.
+SHORT_PREFIX, LONG_PREFIX, LARGE_INPUT = 3, 5, 64
 
 
 def fold_list(meta: DataFrame, group: str = "donor") -> DataFrame:
@@ -71,8 +73,9 @@ def fold_plan(
     ``meta`` has one row per key. What reaches the driver has one row per fold.
     """
     ids = meta.select(F.col(key).alias("k"), F.col(group).alias("g"), order_key(key, seed).alias("h"))
-    prefix = F.substring("h", 1, PREFIX)
-    # At most groups x 16^PREFIX rows.
+    digits = LONG_PREFIX if ids.rdd.getNumPartitions() > LARGE_INPUT else SHORT_PREFIX
+    prefix = F.substring("h", 1, digits)
+    # At most groups x 16^digits rows.
     counts = ids.groupBy("g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}

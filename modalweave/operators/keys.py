@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -112,12 +113,17 @@ def feature_widths(modalities: Mapping[str, DataFrame], kinds: Mapping[str, str]
     return reduce(DataFrame.unionByName, parts)
 
 
-def name_features(df: DataFrame, vector: str, names: DataFrame, modality: str) -> DataFrame:
-    """Vector to one named row per feature; ``names`` is ``(modality, idx, name)``.
+def feature_name(names: Mapping[str, list[str]], modality: Column, idx: Column) -> Column:
+    """Name of a feature by modality and position.
 
-    The dictionary has one row per feature column, so its size is the width of the
-    table, not its length; Spark chooses how to join it.
+    The names are a constant as long as the tables are wide, so no join is needed.
     """
+    table = F.from_json(F.lit(json.dumps(dict(names))), "map<string, array<string>>")
+    return F.get(F.try_element_at(table, modality), idx.cast("int"))
+
+
+def name_features(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
+    """Vector to one named row per feature."""
     keep = [c for c in df.columns if c != vector]
-    long = df.select(*keep, F.posexplode(vector).alias("idx", "value"))
-    return long.join(names.where(F.col("modality") == modality).select("idx", "name"), "idx")
+    long = V.unfold(df, keep, vector, "value")
+    return long.withColumn("name", feature_name({"": names}, F.lit(""), F.col("idx")))

@@ -21,8 +21,8 @@ def linear_join(df: DataFrame, weights: DataFrame, n_out: int, key: str = "cell_
     Row -1 holds the bias. The outputs are summed side by side, so a cell gives one
     row per input, and all of them are summed in the task that unfolded the vector.
     """
-    long = df.select(key, F.posexplode(F.concat(F.array(F.lit(1.0)), F.col(vector))).alias("i", "x"))
-    terms = long.withColumn("i", F.col("i") - 1).join(weights, "i")
+    long = V.unfold(df, [key], F.concat(F.array(F.lit(1.0)), F.col(vector)), "x")
+    terms = long.select(key, (F.col("idx") - 1).alias("i"), "x").join(weights, "i")
     return terms.groupBy(key).agg(
         *[F.sum(F.col("x") * F.col("w")[j]).alias(f"out{j}") for j in range(n_out)]
     )

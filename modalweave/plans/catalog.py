@@ -7,6 +7,7 @@ fractions are rounded to 6 digits, whole numbers are 64-bit.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from modalweave.sources.roles import (
     doc_rna,
     load,
 )
-from modalweave.sources.tables import feature_names
+from modalweave.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,8 +86,7 @@ def elements(vec: str | Column, n: int, prefix: str) -> list[Column]:
 
 def indexed(df: DataFrame, keys: list[str], vector: Column, name: str) -> DataFrame:
     """One row per vector element."""
-    long = df.select(*keys, F.posexplode(vector).alias("idx", name))
-    return long.select(*keys, i64("idx"), r6(name))
+    return V.unfold(df, keys, vector, name).select(*keys, i64("idx"), r6(name))
 
 
 def cells(spark, sf) -> DataFrame:
@@ -196,8 +196,11 @@ def missing_modality_rows(spark, sf):
 
 @query
 def dedup_keep_first(spark, sf):
-    lines = load(spark, sf, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    return K.keep_first(lines, ["l_orderkey", "l_linenumber"]).withColumn("l_linenumber", i64("l_linenumber"))
+    lines = spread(load(spark, sf, "lineitem"), "l_orderkey")
+    first = K.keep_first(lines, ["l_orderkey", "l_linenumber"])
+    return first.withColumn("l_linenumber", i64("l_linenumber")).withColumn(
+        "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")
+    )
 
 
 @query
@@ -247,16 +250,16 @@ def split_sizes(spark, sf):
 
 @query
 def split_by_modality(spark, sf):
-    folds = split_cells(spark, sf).select("fold", "split", "cell_id", "y")
-    parts = [
-        folds.join(table, "cell_id").select("fold", "split", F.lit(name).alias("modality"), "y", "features")
+    base = cells(spark, sf)
+    totals = [
+        table.select("cell_id", F.lit(name).alias("modality"), V.total(F.col("features")).alias("total"))
         for name, table in doc_modalities(spark, sf).items()
     ]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy("fold", "split", "modality").agg(
-        F.count(F.lit(1)).alias("n"),
-        i64(F.sum("y"), "y_sum"),
-        r6(F.sum(V.total(F.col("features"))), "total"),
+    rows = base.join(reduce(DataFrame.unionByName, totals), "cell_id")
+    return (
+        FO.expand_folds(rows, FO.fold_plan(base))
+        .groupBy("fold", "split", "modality")
+        .agg(F.count(F.lit(1)).alias("n"), i64(F.sum("y"), "y_sum"), r6(F.sum("total"), "total"))
     )
 
 
@@ -293,8 +296,7 @@ def modality_width(spark, sf):
 
 @query
 def named_features(spark, sf):
-    names = feature_names(spark, {"protein": PROTEIN_NAMES})
-    named = K.name_features(doc_protein(spark, sf), "features", names, "protein")
+    named = K.name_features(doc_protein(spark, sf), "features", PROTEIN_NAMES)
     return named.select("cell_id", i64("idx"), "name", r6("value"))
 
 
@@ -728,9 +730,9 @@ def feature_importance_mean(spark, sf):
 
 def importance_list(spark, sf, largest: bool) -> DataFrame:
     means = I.mean_importance(gates(spark, sf), ["fold", "modality"])
-    names = feature_names(spark, {"protein": PROTEIN_NAMES, "rna": [f"dim{i}" for i in range(64)]})
+    names = {"protein": PROTEIN_NAMES, "rna": [f"dim{i}" for i in range(64)]}
     top = I.ranked(means.withColumn("importance", F.round("importance", 9)), ["fold", "modality"], 10, largest)
-    named = top.join(names, ["modality", "idx"])
+    named = top.withColumn("name", K.feature_name(names, F.col("modality"), F.col("idx")))
     return named.select("fold", "modality", i64("rank"), "name", r6("importance"))
 
 

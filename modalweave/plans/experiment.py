@@ -188,14 +188,16 @@ def tcp_rows(data: Prepared, models, cfg: Config, weights_fold: int | None = Non
     return scored.select("fold", "cell_id", F.inline(views))
 
 
-def importance_report(data: Prepared, models, cfg: Config, names: DataFrame, k: int = 10) -> DataFrame:
+def importance_report(data: Prepared, models, cfg: Config, names: Mapping[str, list[str]], k: int = 10) -> DataFrame:
     """Named top and bottom features per fold and modality."""
     means = I.mean_importance(gate_rows(data, models, cfg), ["fold", "modality"])
     both = [
         I.ranked(means, ["fold", "modality"], k, largest).withColumn("side", F.lit(side))
         for side, largest in (("top", True), ("bottom", False))
     ]
-    return both[0].unionByName(both[1]).join(names, ["modality", "idx"])
+    return both[0].unionByName(both[1]).withColumn(
+        "name", K.feature_name(names, F.col("modality"), F.col("idx"))
+    )
 
 
 def calibration_report(data: Prepared, models, cfg: Config, cumulative: bool = False) -> dict[str, DataFrame]:

@@ -38,12 +38,6 @@ def to_vector(columns: list[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
 
 
-def feature_names(spark: SparkSession, names: dict[str, list[str]]) -> DataFrame:
-    """Feature dictionary ``(modality, idx, name)``."""
-    rows = [(m, i, n) for m, cols in names.items() for i, n in enumerate(cols)]
-    return spark.createDataFrame(rows, "modality string, idx int, name string")
-
-
 def read_manifest(spark: SparkSession, path: str, key: str = "cell_id") -> DataFrame:
     """Image manifest CSV: the key and one column that holds a file name."""
     raw = spark.read.csv(path, header=True)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from modalweave.config import Config
 from modalweave.operators.blocks import as_lists, as_matrix
-from modalweave.operators.fusion import Params, forward, init_params, pack, row_loss, softmax, unpack
+from modalweave.operators.fusion import BROADCAST_LIMIT, Params, forward, init_params, pack, row_loss, softmax, unpack
 
 CHUNK = 4096  # gradient numbers per shuffled row
 
@@ -192,11 +192,25 @@ def train(
     """Train one model per fold.
 
     ``cells`` has ``cell_id, y, train_folds`` and one vector column per modality;
-    ``validate(models)`` returns the macro F1 of each fold and is called every
+    ``validate(models)`` returns the macro F1 of each fold in ``models`` and is called every
     ``test_interval`` epochs. With ``keep="best"`` the parameters of the earliest epoch
     with the highest value are returned, with ``keep="last"`` those of the last epoch.
     """
     models = {f: init_params(cfg, widths) for f in folds}
+    # Parameters and gradients of all folds travel together; a run of many folds of a
+    # wide model is cut into runs that fit.
+    size = sum(v.nbytes for v in models[folds[0]].values()) if folds else 0
+    if size > BROADCAST_LIMIT:
+        raise ValueError(f"a model of {size} bytes is too large to broadcast; reduce the feature widths")
+    at_once = max(1, BROADCAST_LIMIT // max(1, size))
+    if len(folds) > at_once:
+        done = Fit({})
+        for i in range(0, len(folds), at_once):
+            part = train(cells, folds[i : i + at_once], widths, cfg, class_weights, validate)
+            done.models |= part.models
+            done.best_epoch |= part.best_epoch
+            done.log += part.log
+        return done
     used = cells.where(F.size("train_folds") > 0).select(
         F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", *cfg.modalities
     )

@@ -6,6 +6,7 @@ fractions are rounded to 6 digits, whole numbers are 64-bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,9 +26,11 @@ from modalweave.operators import matrix as X
 from modalweave.operators import metrics as M
 from modalweave.operators import neighbours as N
 from modalweave.operators import raster as R
+from modalweave.operators import training as TR
 from modalweave.operators.skew import salted_join
 from modalweave.plans import experiment as E
-from modalweave.sources import roles, sinks
+from modalweave.sources import roles, sinks, tables
+from modalweave.sources.images import image_vectors
 from modalweave.sources.roles import (
     EVENT_TYPES,
     LANGS,
@@ -719,6 +722,30 @@ def component_ablation(spark, sf):
     return out.select("gate", "confidence", "fold", *M.METRICS)
 
 
+@query
+def training_gradient(spark, sf):
+    """Data-parallel gradient of the static model and the weights after one Adam step."""
+    cfg = STATIC.with_(dropout=0.0, learning_rate=0.01, weight_decay=0.0)
+    base = cells(spark, sf)
+    rows = FO.membership(fused_cells(spark, sf), FO.fold_plan(base))
+    used = rows.select(F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", *cfg.modalities)
+    weights = document_weights(spark, sf)
+    params = FU.formula_params(cfg, WIDTHS)
+    out = []
+    for fold, (n, _, flat) in TR.gradient_sums(used, {f: params for f in weights}, cfg, weights, 1).items():
+        after = FU.unpack(TR.Adam(cfg).step(FU.pack(params), flat / n, 1), params)
+        for layer, g in FU.unpack(flat / n, params).items():
+            if layer.endswith(".w"):
+                out += [
+                    (fold, layer, i, j, round(float(g[j, i]), 6) + 0.0, round(float(after[layer][j, i]), 6) + 0.0)
+                    for j in range(g.shape[0])
+                    for i in range(g.shape[1])
+                ]
+    return spark.createDataFrame(
+        out, "fold bigint, layer string, i bigint, j bigint, gradient double, updated double"
+    )
+
+
 # --- explanation --------------------------------------------------------------------------
 
 
@@ -912,3 +939,86 @@ def survival_curve(spark, sf):
 def survival_risk(spark, sf):
     out = A.risk(A.survival(roles.tokens(spark, sf), ["conv_id"], "turn", F.col("score") - 1.0), ["conv_id"])
     return out.select("conv_id", r6("risk"))
+
+
+# --- sources and sinks --------------------------------------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{sinks.checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def metadata_csv(spark, sf):
+    path = scratch(spark, "metadata")
+    doc_meta(spark, sf).select(*META_COLUMNS).write.csv(path, header=True)
+    rows = tables.read_metadata(spark, path)
+    return rows.select(
+        F.col("cell_id").cast("bigint").alias("cell_id"), i64("day"), i64("donor"), "technology", "cell_type"
+    )
+
+
+@query
+def modality_csv(spark, sf):
+    path = scratch(spark, "modality")
+    wide = doc_rna(spark, sf).select("cell_id", *[F.get("features", F.lit(i)).alias(f"gene{i}") for i in range(64)])
+    wide.write.csv(path, header=True)
+    rows, names = tables.read_modality(spark, path)
+    named = K.name_features(rows, "features", names)
+    return named.select(F.col("cell_id").cast("bigint").alias("cell_id"), i64("idx"), "name", r6("value"))
+
+
+@query
+def metrics_csv(spark, sf):
+    by = ["modality", "fold"]
+    summary = M.over_folds(M.evaluate(roles.predictions(spark, sf), by), ["modality"])
+    means = summary.select("modality", *[r6(f"{m}_mean") for m in M.METRICS])
+    path = scratch(spark, "metrics")
+    sinks.write_metrics(means, path)
+    return spark.read.csv(path, header=True, schema=means.schema)
+
+
+@query
+def confusion_csv(spark, sf):
+    stats = M.confusion_over_folds(fold_grid(spark, sf), []).withColumn("n_mean", F.round("n_mean", 6))
+    path = scratch(spark, "confusion")
+    sinks.write_confusion(stats, "n_mean", len(EVENT_TYPES), path)
+    names = ", ".join(f"pred{k} double" for k in range(len(EVENT_TYPES)))
+    return spark.read.csv(path, header=False, schema=names)
+
+
+@query
+def metric_log(spark, sf):
+    rows = M.evaluate(roles.predictions(spark, sf), ["fold", "epoch"])
+    path = scratch(spark, "log")
+    for run in ("first", "second"):
+        sinks.append_log(rows.select("fold", i64("epoch"), r6("f1_macro")), path, run)
+    return spark.read.parquet(path).select("run_id", "fold", "epoch", "f1_macro")
+
+
+def decoded_images(spark, sf) -> DataFrame:
+    """Embeddings as 8x8 grey images in the form the image source decodes to."""
+    grey = F.transform("embedding", lambda v: F.abs(F.floor(v * 100)) % 256)
+    data = F.unhex(F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return load(spark, sf, "embeddings").select(
+        F.concat(F.lit("img"), F.col("vec_id").cast("string"), F.lit(".png")).alias("file"),
+        F.lit(8).alias("height"),
+        F.lit(8).alias("width"),
+        F.lit(1).alias("channels"),
+        data.alias("data"),
+    )
+
+
+@query
+def image_resize(spark, sf):
+    vectors = image_vectors(decoded_images(spark, sf), size=4, patch=None)
+    return indexed(vectors, ["file"], F.col("features"), "value")
+
+
+@query
+def image_manifest_join(spark, sf):
+    file = F.concat(F.lit("/data/img"), F.col("cell_id").cast("string"), F.lit(".png"))
+    manifest = cells(spark, sf).select("cell_id", "y", file.alias("file"))
+    joined = tables.attach_images(manifest, decoded_images(spark, sf))
+    return joined.select("cell_id", i64("y"), "file", i64(F.length("data"), "n_bytes"))

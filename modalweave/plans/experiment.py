@@ -74,7 +74,8 @@ def fit(data: Prepared, cfg: Config) -> Fit:
     held_out = val_rows(data).persist()
 
     def macro_f1(models) -> dict[int, float]:
-        rows = M.evaluate(predict(held_out, models, cfg), ["fold"]).select("fold", "f1_macro").collect()
+        own = held_out.where(F.col("fold").isin(list(models)))
+        rows = M.evaluate(predict(own, models, cfg), ["fold"]).select("fold", "f1_macro").collect()
         return {r["fold"]: r["f1_macro"] for r in rows}
 
     try:

@@ -653,6 +653,41 @@ add(
     ),
 )
 
+
+
+def layer_gradient(layer: str, inputs: str, outputs: str, n_in: int, n_out: int, number: int) -> str:
+    """Mean of delta_j * input_i over the train rows, and the weight after one Adam step."""
+    weight = f"sin(7 * i + 13 * j + {number}) / 8"
+    return (
+        f"SELECT fold, '{layer}' AS layer, i, j, round(g, 6) + 0.0 AS gradient, "
+        f"round({weight} - 0.01 * g / (abs(g) + 1e-8), 6) + 0.0 AS updated FROM "
+        f"(SELECT fold, i, j, avg({inputs}[i + 1] * {outputs}[j + 1]) AS g FROM (SELECT *, unnest(range({n_out})) AS j "
+        f"FROM (SELECT *, unnest(range({n_in})) AS i FROM hidden_delta)) GROUP BY fold, i, j)"
+    )
+
+
+BACK = "[list_inner_product(d, [sin(7 * h + 13 * k + 8) / 8 for k in range(4)]) for h in range({a}, {b})]"
+add(
+    "training_gradient",
+    *BASE,
+    SPLIT,
+    WEIGHTS.format(k=4),
+    fusion(dynamic=False),
+    f"soft AS (SELECT s.fold, s.y, weight, c.p, c.r, c.hp, c.hr, c.f, {SOFTMAX.format(z='z')} AS q FROM split s "
+    "JOIN scored c USING (cell_id) JOIN weights w ON w.fold = s.fold AND w.y = s.y WHERE s.split = 'train')",
+    "delta AS (SELECT *, [weight * (q[k + 1] - CASE WHEN y = k THEN 1 ELSE 0 END) for k in range(4)] AS d FROM soft)",
+    f"back AS (SELECT *, {BACK.format(a=0, b=4)} AS bp, {BACK.format(a=4, b=12)} AS br FROM delta)",
+    "hidden_delta AS (SELECT *, [CASE WHEN hp[k] > 0 THEN 3 * bp[k] ELSE 0 END for k in range(1, 5)] AS dp, "
+    "[CASE WHEN hr[k] > 0 THEN br[k] ELSE 0 END for k in range(1, 9)] AS dr FROM back)",
+    " UNION ALL ".join(
+        [
+            layer_gradient("out.w", "f", "d", 12, 4, 8),
+            layer_gradient("protein.enc.w", "p", "dp", 6, 4, 1),
+            layer_gradient("rna.enc.w", "r", "dr", 64, 8, 5),
+        ]
+    ),
+)
+
 # --- explanation --------------------------------------------------------------------------
 
 MEANS = (
@@ -883,3 +918,54 @@ CURVE = (
 )
 add("survival_curve", TOKENS, CURVE, f"SELECT conv_id, turn, {r6('hazard')}, {r6('survival')} FROM curve")
 add("survival_risk", TOKENS, CURVE, f"SELECT conv_id, {r6('-sum(survival)', 'risk')} FROM curve GROUP BY conv_id")
+
+# --- sources and sinks --------------------------------------------------------------------
+
+add("metadata_csv", META, "SELECT cell_id, day, donor, technology, cell_type FROM meta")
+add(
+    "modality_csv",
+    RNA,
+    "SELECT cell_id, CAST(k AS BIGINT) AS idx, 'gene' || k AS name, round(r[k + 1], 6) + 0.0 AS value "
+    "FROM (SELECT *, unnest(range(64)) AS k FROM rna)",
+)
+add(
+    "metrics_csv",
+    PREDS,
+    confusion("modality, fold"),
+    per_class("modality, fold"),
+    metrics("modality, fold"),
+    "SELECT modality, " + ", ".join(r6(f"avg({m})", f"{m}_mean") for m in METRICS) + " FROM metrics GROUP BY modality",
+)
+add(
+    "confusion_csv",
+    PREDS,
+    confusion("fold"),
+    FOLD_GRID,
+    "means AS (SELECT y_true, y_pred, round(avg(n), 6) AS m FROM grid GROUP BY y_true, y_pred)",
+    "SELECT "
+    + ", ".join(f"max(m) FILTER (WHERE y_pred = {k}) AS pred{k}" for k in range(5))
+    + " FROM means GROUP BY y_true",
+)
+add(
+    "metric_log",
+    PREDS,
+    confusion("fold, epoch"),
+    per_class("fold, epoch"),
+    metrics("fold, epoch"),
+    f"SELECT run_id, fold, epoch, {r6('f1_macro')} FROM metrics, (VALUES ('first'), ('second')) AS t(run_id)",
+)
+add(
+    "image_resize",
+    "grey AS (SELECT vec_id, [CAST(abs(floor(CAST(e * CAST(100 AS FLOAT) AS DOUBLE))) AS BIGINT) % 256 for e in embedding] "
+    "AS g FROM embeddings)",
+    "cells AS (SELECT vec_id, g, unnest(range(48)) AS k FROM grey)",
+    "pos AS (SELECT *, ((k % 16) // 4) * 16 + (k % 4) * 2 + 1 AS a FROM cells)",
+    "SELECT 'img' || vec_id || '.png' AS file, CAST(k AS BIGINT) AS idx, "
+    "round((g[a] + g[a + 1] + g[a + 8] + g[a + 9]) / CAST(1020 AS DOUBLE), 6) + 0.0 AS value FROM pos",
+)
+add(
+    "image_manifest_join",
+    META,
+    f"SELECT cell_id, {i64('y')}, 'img' || cell_id || '.png' AS file, CAST(64 AS BIGINT) AS n_bytes "
+    "FROM meta JOIN embeddings ON vec_id = cell_id",
+)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def area_resize(img: np.ndarray, size: int) -> np.ndarray:
@@ -33,7 +34,7 @@ def image_vectors(
     bits = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("file")))
     bits = (F.conv(F.substring(bits, 1, 8), 16, 10).cast("bigint") % 4).cast("int")
     rows = images.withColumn("_bits", bits if flip else F.lit(0))
-    schema = images.select(*keep).schema.add("features", "array<double>")
+    schema = images.select(*keep).schema.add("features", T.ArrayType(T.DoubleType()))
 
     def vector(h, w, c, data, bits):
         img = np.frombuffer(data, np.uint8).reshape(h, w, c)

@@ -26,7 +26,7 @@ SHARED_GROUPS = 256  # groups below one block that share a task
 
 def attention_pool(tokens: DataFrame, by: list[str], score: str, values: list[str]) -> DataFrame:
     """Sum of the token values weighted by the softmax of their scores in the bag."""
-    return softmax_sums(tokens, by, F.col(score), {v: F.col(v) for v in values}).drop("_max", "_norm").drop("_max", "_norm")
+    return softmax_sums(tokens, by, F.col(score), {v: F.col(v) for v in values}).drop("_max", "_norm")
 
 
 def attention_weights(tokens: DataFrame, by: list[str], score: str) -> DataFrame:
@@ -114,7 +114,7 @@ def co_attention(queries: DataFrame, keys: DataFrame, by: str, qid: str, width:
 
     parts = paired(left, right, ["_pack"], qid, "kid", F.col("_nq"), F.col("_nk")).applyInArrow(block, schema)
     banded = parts.groupBy(by, qid, "band").agg(*[F.sum(c).alias(c) for c in ["norm", *sums]])
-    return merge_bands(banded, [by, qid], "band", sums)
+    return merge_bands(banded, [by, qid], "band", "norm", sums)
 
 
 def _runs(values: np.ndarray) -> list[np.ndarray]:

@@ -66,27 +66,26 @@ def softmax_sums(df: DataFrame, key: list[str], score: Column, values: dict[str,
     sums = banded.groupBy(*key, "_band").agg(
         F.sum(weight).alias("_norm"), *[F.sum(weight * F.col(n)).alias(n) for n in values]
     )
-    return merge_bands(sums.withColumnRenamed("_norm", "norm"), key, "_band", list(values), keep_norm=True)
+    return merge_bands(sums, key, "_band", "_norm", list(values), keep_norm=True)
 
 
-def merge_bands(sums: DataFrame, key: list[str], band: str, values: list[str], keep_norm: bool = False):
+def merge_bands(sums: DataFrame, key: list[str], band: str, norm: str, values: list[str], keep_norm: bool = False):
     """Rescale the band sums of a key to its highest band and divide by the total weight.
 
     A key has one row per 32-wide score band, a handful of rows.
     """
-    names = ["norm", *values]
-    packed = sums.groupBy(*key).agg(
-        F.max(band).alias("_max"), F.collect_list(F.struct(F.col(band).alias("b"), *names)).alias("_bands")
-    )
+    names = {n: f"_v{i}" for i, n in enumerate([norm, *values])}
+    fields = [F.col(band).alias("_b"), *[F.col(n).alias(short) for n, short in names.items()]]
+    packed = sums.groupBy(*key).agg(F.max(band).alias("_max"), F.collect_list(F.struct(*fields)).alias("_bands"))
 
     def rescaled(name: str) -> Column:
         return F.aggregate(
             "_bands",
             F.lit(0.0),
-            lambda acc, b: acc + b[name] * F.exp(BAND * (b["b"] - F.col("_max")).cast("double")),
+            lambda acc, b: acc + b[names[name]] * F.exp(BAND * (b["_b"] - F.col("_max")).cast("double")),
         )
 
-    out = packed.select(*key, "_max", rescaled("norm").alias("_norm"), *[rescaled(n).alias(n) for n in values])
+    out = packed.select(*key, "_max", rescaled(norm).alias("_norm"), *[rescaled(n).alias(n) for n in values])
     normed = [(F.col(n) / F.col("_norm")).alias(n) for n in values]
     return out.select(*key, *(["_max", "_norm"] if keep_norm else []), *normed)
 

@@ -227,3 +227,17 @@ def test_folds_are_trained_in_groups_when_large(spark, monkeypatch):
     monkeypatch.setattr(TR, "BROADCAST_LIMIT", sum(v.nbytes for v in whole.models[0].values()))
     parts = TR.train(frame(spark), [0, 1, 2], WIDTHS, cfg)
     assert all(np.allclose(whole.models[f][n], parts.models[f][n]) for f in range(3) for n in whole.models[f])
+
+
+def test_scoring_works_on_a_stream(spark, tmp_path):
+    cfg = config(model="static")
+    p = FU.init_params(cfg, WIDTHS)
+    rows = frame(spark, 12).withColumn("fold", F.lit(0)).select("cell_id", "fold", "a", "b")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = FU.score(stream, {0: p}, cfg, ["cell_id"]).writeStream.format("memory").queryName("scored").start()
+    query.processAllAvailable()
+    query.stop()
+    got = {r["cell_id"]: r["prob"] for r in spark.table("scored").collect()}
+    want = {r["cell_id"]: r["prob"] for r in FU.score(rows, {0: p}, cfg, ["cell_id"]).collect()}
+    assert got == want

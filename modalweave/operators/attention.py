@@ -26,7 +26,7 @@ SHARED_GROUPS = 256  # groups below one block that share a task
 
 def attention_pool(tokens: DataFrame, by: list[str], score: str, values: list[str]) -> DataFrame:
     """Sum of the token values weighted by the softmax of their scores in the bag."""
-    return softmax_sums(tokens, by, F.col(score), {v: F.col(v) for v in values}).drop("_max", "_norm")
+    return softmax_sums(tokens, by, F.col(score), {v: F.col(v) for v in values}).drop("_max", "_norm", "_rows")
 
 
 def attention_weights(tokens: DataFrame, by: list[str], score: str) -> DataFrame:
@@ -80,15 +80,17 @@ def co_attention(queries: DataFrame, keys: DataFrame, by: str, qid: str, width:
     share a task. A pair of blocks returns one partial softmax sum per query, never
     the pairs; the partial sums are added per ``(by, qid, band)`` with map-side sums.
     """
-    n_q = queries.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("_nq"))
-    n_k = keys.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("_nk"))
-    sizes = n_q.join(n_k, by)
+    q_rows = queries.groupBy(by).agg(F.count(F.lit(1)).alias("_q_rows"))
+    k_rows = keys.groupBy(by).agg(F.count(F.lit(1)).alias("_k_rows"))
+    sizes = q_rows.join(k_rows, by)
+    for side, rows in (("_nq", "_q_rows"), ("_nk", "_k_rows")):
+        sizes = sizes.withColumn(side, F.ceil(F.col(rows) / PAIR_ROWS).cast("int"))
     packs = max(1, math.ceil(sizes.count() / SHARED_GROUPS))
     shared = F.concat(F.lit("p"), F.pmod(F.xxhash64(by), F.lit(packs)).cast("string"))
     own = F.concat(F.lit("g"), F.col(by).cast("string"))
     pack = F.when((F.col("_nq") == 1) & (F.col("_nk") == 1), shared).otherwise(own)
-    left = salted_join(queries, sizes, [by]).withColumn("_pack", pack)
-    right = salted_join(keys, sizes, [by]).withColumn("_pack", pack)
+    left = salted_join(queries, sizes, [by], size="_q_rows").withColumn("_pack", pack)
+    right = salted_join(keys, sizes, [by], size="_k_rows").withColumn("_pack", pack)
     types = dict(queries.dtypes)
     sums = [f"o{i}" for i in range(width)]
     schema = f"{by} {types[by]}, {qid} {types[qid]}, band double, norm double, " + ", ".join(

@@ -35,6 +35,16 @@ def ranked(importance: DataFrame, by: list[str], k: int = 10, largest: bool = Tr
     return importance.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def extremes(importance: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """The k most and the k least important features of a group (``side`` top or bottom), in one pass."""
+    sides = []
+    for side, order in (("top", F.col("importance").desc()), ("bottom", F.col("importance").asc())):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order, "idx"))
+        sides.append(F.struct(F.lit(side).alias("side"), place.alias("rank")))
+    placed = importance.withColumn("_sides", F.array(*sides))
+    return placed.select(*importance.columns, F.inline("_sides")).where(F.col("rank") <= k)
+
+
 def gate_penalty(gates: DataFrame, by: list[str], vector: str = "gate") -> DataFrame:
     """Mean gate over rows and features (the sparsity penalty)."""
     size = F.size(vector)

@@ -31,28 +31,36 @@ def hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return counts.where(share > 1).select(*key, F.ceil(share).cast("int").alias("_salts"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+def salted_join(
+    big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", size: str | None = None
+) -> DataFrame:
     """Equi-join where ``small`` has one row per key and ``big`` may be badly skewed.
 
-    Rows of a hot key are spread over salts and the one matching row is copied per
-    salt. All other keys keep salt 0, so nothing else is copied.
+    Rows of a hot key are spread over salts by a hash of their other columns and the
+    one matching row is copied per salt. All other keys keep salt 0, so nothing else
+    is copied. ``size`` names a column of ``small`` with the number of ``big`` rows of
+    the key; without it the keys of ``big`` are counted.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join does inner and left joins")
-    hot = F.broadcast(hot_keys(big, key))
+    if size is None:
+        hot = F.broadcast(hot_keys(big, key))
+        sized = small.join(hot, key, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    else:
+        rows = small.agg(F.sum(size)).scalar()
+        sized = small.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(size) * HOT_SHARE / rows).cast("int")))
+        hot = F.broadcast(sized.where(F.col("_salts") > 1).select(*key, "_salts"))
     others = [F.col(c) for c in big.columns if c not in key]
     row_hash = F.xxhash64(*others) if others else F.lit(0)
     left = big.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))
     )
-    right = small.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
+    right = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     return left.drop("_salts").join(right.drop("_salts"), [*key, "_salt"], how).drop("_salt")
 
 
 def softmax_sums(df: DataFrame, key: list[str], score: Column, values: dict[str, Column]) -> DataFrame:
-    """Per key: ``_max`` band, ``_norm`` and one softmax-weighted sum per value.
+    """Per key: ``_max`` band, ``_norm``, ``_rows`` and one softmax-weighted sum per value.
 
     A plain softmax needs the group maximum before it can add anything, i.e. a
     second pass joined back on a possibly hot key. Here every score is shifted by
@@ -64,19 +72,25 @@ def softmax_sums(df: DataFrame, key: list[str], score: Column, values: dict[str,
     banded = df.select(*key, band.alias("_band"), score.alias("_s"), *[v.alias(n) for n, v in values.items()])
     weight = F.exp(F.col("_s") - BAND * (F.col("_band") + 1))
     sums = banded.groupBy(*key, "_band").agg(
-        F.sum(weight).alias("_norm"), *[F.sum(weight * F.col(n)).alias(n) for n in values]
+        F.sum(weight).alias("_norm"),
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(weight * F.col(n)).alias(n) for n in values],
     )
-    return merge_bands(sums, key, "_band", "_norm", list(values), keep_norm=True)
+    return merge_bands(sums, key, "_band", "_norm", list(values), rows="_rows")
 
 
-def merge_bands(sums: DataFrame, key: list[str], band: str, norm: str, values: list[str], keep_norm: bool = False):
+def merge_bands(sums: DataFrame, key: list[str], band: str, norm: str, values: list[str], rows: str | None = None):
     """Rescale the band sums of a key to its highest band and divide by the total weight.
 
-    A key has one row per 32-wide score band, a handful of rows.
+    A key has one row per 32-wide score band, a handful of rows. With ``rows`` the top
+    band, the total weight and the number of rows are kept as ``_max, _norm, _rows``.
     """
     names = {n: f"_v{i}" for i, n in enumerate([norm, *values])}
     fields = [F.col(band).alias("_b"), *[F.col(n).alias(short) for n, short in names.items()]]
-    packed = sums.groupBy(*key).agg(F.max(band).alias("_max"), F.collect_list(F.struct(*fields)).alias("_bands"))
+    counted = [] if rows is None else [F.sum(rows).alias("_rows")]
+    packed = sums.groupBy(*key).agg(
+        F.max(band).alias("_max"), F.collect_list(F.struct(*fields)).alias("_bands"), *counted
+    )
 
     def rescaled(name: str) -> Column:
         return F.aggregate(
@@ -85,17 +99,17 @@ def merge_bands(sums: DataFrame, key: list[str], band: str, norm: str, values: l
             lambda acc, b: acc + b[names[name]] * F.exp(BAND * (b["_b"] - F.col("_max")).cast("double")),
         )
 
-    out = packed.select(*key, "_max", rescaled(norm).alias("_norm"), *[rescaled(n).alias(n) for n in values])
-    normed = [(F.col(n) / F.col("_norm")).alias(n) for n in values]
-    return out.select(*key, *(["_max", "_norm"] if keep_norm else []), *normed)
+    extra = [] if rows is None else ["_max", "_norm", "_rows"]
+    out = packed.withColumn("_norm", rescaled(norm)).withColumns({n: rescaled(n) / F.col("_norm") for n in values})
+    return out.select(*key, *extra, *values)
 
 
 def softmax_weights(df: DataFrame, key: list[str], score: Column, name: str = "weight") -> DataFrame:
     """Softmax of ``score`` within each key, one weight per row."""
     norms = softmax_sums(df, key, score, {})
-    joined = salted_join(df, norms, key)
+    joined = salted_join(df, norms, key, size="_rows")
     return joined.withColumn(name, F.exp(score - BAND * (F.col("_max") + 1)) / F.col("_norm")).drop(
-        "_max", "_norm"
+        "_max", "_norm", "_rows"
     )
 
 

@@ -109,8 +109,9 @@ def run(data: Prepared, cfg: Config) -> Outcome:
         models = done.models
     preds = predict(target_rows(data), models, cfg).withColumn("model", F.lit(cfg.model))
     by = ["model", "fold"]
-    metrics = M.evaluate(preds, by)
-    grid = M.confusion_grid(M.confusion(preds, by), by, cfg.n_classes)
+    counts = sinks.durable(M.confusion(preds, by), "confusion")  # scored once for all result tables
+    metrics = M.metrics_of(M.per_class(counts, by), by)
+    grid = M.confusion_grid(counts, by, cfg.n_classes)
     return Outcome(
         preds, metrics, M.over_folds(metrics, ["model"]), M.confusion_over_folds(grid, ["model"]), done
     )
@@ -192,19 +193,15 @@ def tcp_rows(data: Prepared, models, cfg: Config, weights_fold: int | None = Non
 def importance_report(data: Prepared, models, cfg: Config, names: Mapping[str, list[str]], k: int = 10) -> DataFrame:
     """Named top and bottom features per fold and modality."""
     means = I.mean_importance(gate_rows(data, models, cfg), ["fold", "modality"])
-    both = [
-        I.ranked(means, ["fold", "modality"], k, largest).withColumn("side", F.lit(side))
-        for side, largest in (("top", True), ("bottom", False))
-    ]
-    return both[0].unionByName(both[1]).withColumn(
-        "name", K.feature_name(names, F.col("modality"), F.col("idx"))
-    )
+    listed = I.extremes(means, ["fold", "modality"], k)
+    return listed.withColumn("name", K.feature_name(names, F.col("modality"), F.col("idx")))
 
 
 def calibration_report(data: Prepared, models, cfg: Config, cumulative: bool = False) -> dict[str, DataFrame]:
     pairs = tcp_rows(data, models, cfg)
     if cumulative:
         pairs = C.pool_modalities(pairs, list(cfg.modalities))
+    pairs = sinks.durable(pairs, "tcp")  # scored once for all tables of the report
     shares = C.threshold_shares(pairs, ["fold", "modality"], digits=None)
     return {
         "errors": C.error_summary(pairs, ["fold", "modality"]),

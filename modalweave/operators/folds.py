@@ -4,8 +4,9 @@ The validation part of a fold is the first ``ceil(fraction * n)`` of its trainin
 ids in the order of a seeded hash. Ranking all ids of a fold would put the fold
 into one task, so the rank is replaced by a cut-off: hash prefixes are counted, the
 prefix in which the quota is reached is found per fold, and only the ids under that
-prefix (one in 4096, or one in a million for a large table) are ranked. Two passes over two narrow columns give one
-small row per fold, and the split of a cell in any fold is an expression on that row.
+prefix are ranked. While too many ids share it, the prefix is made longer by another
+count. Each pass reads two narrow columns; the result has one small row per fold, and
+the split of a cell in any fold is an expression on that row.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hex digits of the hash that are counted first: few for a small table, enough for a
-# large one that the ids under one prefix stay a small part of it.
-SHORT_PREFIX, LONG_PREFIX, LARGE_INPUT = 3, 5, 64
+STEP = 3  # hex digits by which the counted prefix grows: 4096 prefixes per pass
+RANKED = 1_000_000  # ids per fold that may be ranked in one task
 
 
 def fold_list(meta: DataFrame, group: str = "donor") -> DataFrame:
@@ -53,9 +53,8 @@ class FoldPlan:
 
     def column(self) -> Column:
         """All folds as one constant array of structs."""
-        kind = f"array<struct<fold: {self.group_type}, cut_hash: string, cut_key: {self.key_type}>>"
         rows = [{"fold": f.fold, "cut_hash": f.cut_hash, "cut_key": f.cut_key} for f in self.folds]
-        return F.from_json(F.lit(json.dumps(rows)), kind)
+        return constant(rows, f"fold: {self.group_type}, cut_hash: string, cut_key: {self.key_type}")
 
     def table(self, spark) -> DataFrame:
         kind = (
@@ -73,49 +72,68 @@ def fold_plan(
     ``meta`` has one row per key. What reaches the driver has one row per fold.
     """
     ids = meta.select(F.col(key).alias("k"), F.col(group).alias("g"), order_key(key, seed).alias("h"))
-    digits = LONG_PREFIX if ids.rdd.getNumPartitions() > LARGE_INPUT else SHORT_PREFIX
-    prefix = F.substring("h", 1, digits)
-    # At most groups x 16^digits rows.
-    counts = ids.groupBy("g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    types = dict(ids.dtypes)
+    counts = count_prefixes(ids, STEP)
     sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     total = sum(sizes.values())
     folds = [
         Fold(g, n, total - n, math.ceil(fraction * (total - n)))
         for g, n in sorted((i for i in sizes.items() if i[0] is not None))
     ]
-    plan = FoldPlan(folds, dict(ids.dtypes)["g"], dict(ids.dtypes)["k"], seed)
-
-    # Rows of a prefix outside a fold's own group = all rows of it minus the group's.
-    quota = F.from_json(
-        F.lit(json.dumps([{"fold": f.fold, "n_val": f.n_val} for f in folds])),
-        f"array<struct<fold: {plan.group_type}, n_val: bigint>>",
-    )
-    everywhere = counts.groupBy("p").agg(F.sum("n").alias("n_all")).select("p", "n_all", F.inline(quota))
-    own = counts.select(F.col("g").alias("fold"), "p", F.col("n").alias("n_own"))
-    rest = everywhere.join(own, ["fold", "p"], "left").withColumn("n", F.col("n_all") - F.coalesce("n_own", F.lit(0)))
-    upto = Window.partitionBy("fold").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    border = (
-        rest.withColumn("cum", F.sum("n").over(upto))
-        .where((F.col("cum") >= F.col("n_val")) & (F.col("cum") - F.col("n") < F.col("n_val")))
-        .select("fold", "p", (F.col("n_val") - F.col("cum") + F.col("n")).alias("need"))
-    )
-    borders = [r.asDict() for r in border.collect()]
+    length = STEP
+    borders = [{"fold": f.fold, "p": "", "need": f.n_val} for f in folds if f.n_val > 0]
+    borders = find_borders(counts, borders, length, types["g"])
     counts.unpersist()
+    while any(b["size"] > RANKED for b in borders) and length + STEP <= 30:
+        length += STEP
+        near = ids.where(F.substring("h", 1, length - STEP).isin(sorted({b["p"] for b in borders})))
+        counts = count_prefixes(near, length)
+        borders = find_borders(counts, borders, length, types["g"])
+        counts.unpersist()
     if not borders:
-        return plan
+        return FoldPlan(folds, types["g"], types["k"], seed)
 
-    kind = f"array<struct<fold: {plan.group_type}, p: string, need: bigint>>"
+    prefix = F.substring("h", 1, length)
     near = (
         ids.where(prefix.isin(sorted({b["p"] for b in borders})))
-        .select("*", F.inline(F.from_json(F.lit(json.dumps(borders)), kind)))
+        .select("*", F.inline(constant(borders, f"fold: {types['g']}, p: string, need: bigint")))
         .where((prefix == F.col("p")) & ~F.col("g").eqNullSafe(F.col("fold")))
     )
     rank = F.row_number().over(Window.partitionBy("fold").orderBy("h", "k"))
     last = near.withColumn("r", rank).where(F.col("r") == F.col("need")).select("fold", "h", "k").collect()
     cuts = {r["fold"]: (r["h"], r["k"]) for r in last}
     done = [Fold(f.fold, f.n_test, f.n_rest, f.n_val, *cuts.get(f.fold, (None, None))) for f in folds]
-    return FoldPlan(done, plan.group_type, plan.key_type, seed)
+    return FoldPlan(done, types["g"], types["k"], seed)
+
+
+def constant(rows: list[dict], fields: str) -> Column:
+    """Rows of a small list as one constant array of structs."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+
+
+def count_prefixes(ids: DataFrame, length: int) -> DataFrame:
+    counts = ids.groupBy("g", F.substring("h", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def find_borders(counts: DataFrame, borders: list[dict], length: int, group_type: str) -> list[dict]:
+    """The longer prefix in which each fold reaches its quota, with what is still needed there.
+
+    Rows of a prefix outside a fold's own group = all rows of it minus the group's.
+    """
+    old = constant(borders, f"fold: {group_type}, p: string, need: bigint")
+    old = F.transform(old, lambda b: F.struct(b["fold"].alias("fold"), b["p"].alias("p0"), b["need"].alias("quota")))
+    everywhere = counts.groupBy("p").agg(F.sum("n").alias("n_all")).select("p", "n_all", F.inline(old))
+    everywhere = everywhere.where(F.substring("p", 1, length - STEP) == F.col("p0"))
+    own = counts.select(F.col("g").alias("fold"), "p", F.col("n").alias("n_own"))
+    rest = everywhere.join(own, ["fold", "p"], "left").withColumn("n", F.col("n_all") - F.coalesce("n_own", F.lit(0)))
+    upto = Window.partitionBy("fold").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    border = (
+        rest.withColumn("cum", F.sum("n").over(upto))
+        .where((F.col("cum") >= F.col("quota")) & (F.col("cum") - F.col("n") < F.col("quota")))
+        .select("fold", "p", (F.col("quota") - F.col("cum") + F.col("n")).alias("need"), F.col("n").alias("size"))
+    )
+    return [r.asDict() for r in border.collect()]
 
 
 def split_of(fold: Column, group: Column, h: Column, key: Column, cut_hash: Column, cut_key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalweave.functions import vectors as V
+from modalweave.operators.skew import broadcast_if_small
 
 
 def linear_rows(df: DataFrame, weights: list[list[float]], bias: list[float], vector: str = "features") -> DataFrame:
@@ -22,7 +23,7 @@ def linear_join(df: DataFrame, weights: DataFrame, n_out: int, key: str = "cell_
     row per input, and all of them are summed in the task that unfolded the vector.
     """
     long = V.unfold(df, [key], F.concat(F.array(F.lit(1.0)), F.col(vector)), "x")
-    terms = long.select(key, (F.col("idx") - 1).alias("i"), "x").join(weights, "i")
+    terms = long.select(key, (F.col("idx") - 1).alias("i"), "x").join(broadcast_if_small(weights), "i")
     return terms.groupBy(key).agg(
         *[F.sum(F.col("x") * F.col("w")[j]).alias(f"out{j}") for j in range(n_out)]
     )

@@ -131,5 +131,10 @@ def running_sum(df: DataFrame, key: list[str], order: str, value: Column, name:
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a table after counting that it is short; leave a longer one to a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def ceil_div(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modalweave.operators.skew import salted_join
+
 META_SCHEMA = T.StructType(
     [
         T.StructField("cell_id", T.StringType()),
@@ -64,8 +66,8 @@ def base_name(path: Column) -> Column:
 
 
 def attach_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """Manifest rows with their image, matched by file name."""
-    return manifest.withColumn("file", base_name(F.col("file"))).join(images, "file")
+    """Manifest rows with their image, matched by file name; one image may serve very many rows."""
+    return salted_join(manifest.withColumn("file", base_name(F.col("file"))), images, ["file"])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

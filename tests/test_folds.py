@@ -52,10 +52,12 @@ def test_validation_size_is_exact(spark, fraction):
         assert n.get((f.fold, "val"), 0) == math.ceil(fraction * f.n_rest) == f.n_val
 
 
-def test_long_prefix_gives_the_same_plan(spark, monkeypatch):
-    df = cells(spark, sample(300, 3))
+@pytest.mark.parametrize("ranked", [0, 1, 3])
+def test_longer_prefixes_give_the_same_plan(spark, monkeypatch, ranked):
+    df = cells(spark, sample(2000, 3))
+    monkeypatch.setattr(FO, "STEP", 1)
     short = FO.fold_plan(df)
-    monkeypatch.setattr(FO, "LARGE_INPUT", 0)
+    monkeypatch.setattr(FO, "RANKED", ranked)
     assert FO.fold_plan(df) == short
 
 

@@ -26,7 +26,7 @@ def hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
     group that is left alone.
     """
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    rows = counts.agg(F.sum("_n")).scalar()
     share = F.col("_n") * HOT_SHARE / rows
     return counts.where(share > 1).select(*key, F.ceil(share).cast("int").alias("_salts"))
 

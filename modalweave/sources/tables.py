@@ -71,10 +71,11 @@ def attach_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input as many partitions as there are cores before heavy per-row work.
+    """Spread a small input over the cores by its key before heavy per-row work.
 
-    A table of many files already has more and is returned unchanged, so large
-    inputs are never shuffled for this.
+    The partitioning is the one that joins and aggregates on the key need, so it
+    replaces a later shuffle. A table of many files already has enough partitions and
+    is returned unchanged. For plain scans only: ``rdd`` would run a shuffled plan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

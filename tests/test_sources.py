@@ -64,8 +64,11 @@ def test_durable_table_has_no_lineage(spark):
 
 
 def test_small_input_is_spread_and_large_is_not(spark):
-    assert tables.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 4
-    assert tables.spread(spark.range(0, 10, 1, 9), "id").rdd.getNumPartitions() == 9
+    def plan(partitions):
+        return tables.spread(spark.range(0, 10, 1, partitions), "id")._jdf.queryExecution().toString()
+
+    assert "REPARTITION_BY_COL" in plan(1)
+    assert "REPARTITION" not in plan(9)
 
 
 def pixel_frame(spark, h, w, f):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modalweave.llm import exact
+from modalweave.llm import exact, langid, simhash, simple8b
 from modalweave.llm.common import table
 
 
@@ -12,4 +13,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = simple8b.write_ids(table(spark, sf_dir, "documents"), "doc_id", "text", path, spaces=False, end_id=2)
+    return simple8b.read_ids(files)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=3)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op2_simple8b": op2_simple8b,
+    "op3_simhash": op3_simhash,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modalweave.llm import exact, langid, simhash, simple8b
+from modalweave.llm import exact, langid, mixing, simhash, simple8b
 from modalweave.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), fraction=0.7)
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files = simple8b.write_ids(table(spark, sf_dir, "documents"), "doc_id", "text", path, spaces=False, end_id=2)
@@ -28,6 +32,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simple8b": op2_simple8b,
     "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,

@@ -67,3 +67,120 @@ def ranked(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy(*keys).orderBy("salt")) - F.col("n")
     found = inner.join(sums.select(*keys, "salt", before.alias("before")), [*keys, "salt"])
     return found.withColumn("rank", F.col("own") + F.col("before")).drop("salt", "own", "before")
+
+
+def offers(gaps: dict[int, int], low: int, high: int, wanted: int) -> dict[int, int]:
+    """Slots a sequence offers, by its gap. gaps: sequences by gap; pieces of low < length <= high, `wanted` of them.
+
+    Small gaps come first, and no more slots than pieces, but for rounding up within the last gap size.
+    """
+    out = {}
+    for gap in sorted(g for g in gaps if g > low):
+        if wanted <= 0:
+            break
+        each = min(max(1, gap // high), -(-wanted // gaps[gap]))
+        out[gap] = each
+        wanted -= each * gaps[gap] if gap >= high else 0
+    return out
+
+
+def sweep_counts(lengths: dict[int, int], slots: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """From pieces per length and slots per size: the depth before each size, and the pieces left of each length.
+
+    The longest open piece is closed first, and of equal ones those of highest rank, so the pieces left of a length are
+    its first ranks.
+    """
+    depth, before, stack = 0, {}, []
+    for size in sorted({*lengths, *slots}):
+        before[size] = depth
+        depth += lengths.get(size, 0) - slots.get(size, 0)
+        if lengths.get(size):
+            stack.append([size, lengths[size]])
+        closing = slots.get(size, 0)
+        while closing and stack:
+            taken = min(closing, stack[-1][1])
+            stack[-1][1] -= taken
+            closing -= taken
+            if not stack[-1][1]:
+                stack.pop()
+    return before, dict(stack)
+
+
+def sweep(
+    items: DataFrame, gaps: DataFrame, lengths: dict[int, int], offered: dict[int, int], high: int, hist: dict[int, int]
+) -> tuple[DataFrame, dict[int, int]]:
+    """One matching of open pieces with slots: the placements, and the pieces left of each length.
+
+    items: pieces with `rank` among their length, open while rank < lengths[length]. gaps: seq, gap.
+    """
+    spark, slot_sizes = items.sparkSession, {}
+    for gap, each in offered.items():
+        last = gap - (each - 1) * high
+        slot_sizes[last] = slot_sizes.get(last, 0) + hist[gap]
+        if each > 1:
+            slot_sizes[high] = slot_sizes.get(high, 0) + (each - 1) * hist[gap]
+    before, left = sweep_counts(lengths, slot_sizes)
+    # Both tables have a row per size at most, so they are sent to every task.
+    sizes = [(s, d, lengths.get(s, 0)) for s, d in before.items()]
+    depths = F.broadcast(spark.createDataFrame(sizes, "size long, depth long, open long"))
+    each = F.broadcast(spark.createDataFrame(list(offered.items()), "gap long, each int"))
+    slots = gaps.join(each, "gap").select("seq", "gap", "each", F.explode(F.sequence(F.lit(1), "each")).alias("slot"))
+    size = F.when(F.col("slot") == F.col("each"), F.col("gap") - (F.col("each") - 1) * high).otherwise(F.lit(high))
+    slots = slots.select("seq", size.cast("long").alias("size"), F.xxhash64("seq", "slot").alias("tie"))
+    slots = ranked(slots, ["size"], "tie").join(depths, "size")
+    level = F.col("depth") + F.col("open") - F.col("rank")
+    slots = slots.select(level.alias("level"), "size", F.lit(1).alias("kind"), "seq", F.lit(None).alias("item"))
+    item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
+    open_items = items.join(depths, items["length"] == depths["size"]).where("rank < open")
+    level = F.col("depth") + F.col("rank") + 1
+    open_items = open_items.select(
+        level.alias("level"), "size", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), item.alias("item")
+    )
+    in_order = Window.partitionBy("level").orderBy("size", "kind")
+    closed = open_items.unionByName(slots).withColumn("closes", F.lag("item").over(in_order))
+    return closed.where("kind = 1 AND closes IS NOT NULL").select("closes.*", "seq"), left
+
+
+def counts(df: DataFrame, column: str) -> dict[int, int]:
+    """Rows by value of a column that has at most `size` values."""
+    return {int(r[0]): int(r[1]) for r in df.groupBy(column).agg(F.count(F.lit(1))).collect()}
+
+
+def best_fit(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 0, size: int = 2048) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in its sequence)."""
+    spark = df.sparkSession
+    cut = durable(pieces(df, id_col, text_col, path, end_id, size), "pieces")
+    whole = cut.where(F.col("length") == size).withColumn("seq", -1 - F.monotonically_increasing_id())
+    short = cut.where(F.col("length") < size).withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    items = durable(ranked(short, ["length"], "tie"), "items")
+    todo = counts(items, "length")
+    gaps = spark.range(0).select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
+    opened, placed, high = 0, [], size - 1
+    while todo:
+        low = (1 << (high - 1).bit_length()) // 2 if high > 1 else 0  # the next smaller power of two
+        lengths = {k: n for k, n in todo.items() if k > low}
+        while lengths:
+            hist = counts(gaps, "gap")
+            if max(hist, default=0) < min(lengths):
+                tokens, rows = sum(k * n for k, n in lengths.items()), sum(lengths.values())
+                more = max(-(-tokens // size), -(-rows // (size // (low + 1))))
+                fresh = spark.range(opened, opened + more).select(
+                    F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap")
+                )
+                gaps, opened = gaps.unionAll(fresh), opened + more
+                hist[size] = hist.get(size, 0) + more
+            offered = offers(hist, min(lengths) - 1, high, sum(lengths.values()))
+            found, lengths = sweep(items, gaps, lengths, offered, high, hist)
+            placed.append(durable(found, "placed"))
+            used = placed[-1].groupBy("seq").agg(F.sum("length").alias("used"))
+            gap = (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
+            gaps = durable(gaps.join(used, "seq", "left").select("seq", gap).where("gap > 0"), "gaps")
+        todo = {k: n for k, n in todo.items() if k <= low}
+        high = low
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "seq"]
+    result = whole.select(columns)
+    for part in placed:
+        result = result.unionAll(part.select(columns))
+    in_order = Window.partitionBy("seq").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    offset = F.sum("length").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    return result.withColumn("offset", offset).withColumnRenamed("seq", "sequence_id")

@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modalweave.llm import exact, langid, mixing, simhash, simple8b
+from modalweave.llm import exact, langid, mixing, packing, simhash, simple8b
 from modalweave.llm.common import table
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.best_fit(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=0, size=2048)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simple8b": op2_simple8b,
     "op3_simhash": op3_simhash,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
 }

@@ -1,16 +1,16 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Documents become pieces of at most `size` tokens (only longer ones are cut; the first piece takes the remainder), pieces
-of full size are sequences of their own. The others are placed from long to short, a size class a round. In a round the
-open pieces of the class and the gaps of all sequences are sorted by size, and a sweep over the sorted list matches every
-gap with the longest open piece that fits and no other gap took: a gap that follows a piece closes it, like brackets.
+of full size are sequences of their own. For the others as many sequences are opened as their tokens need. In a round the
+open pieces and the gaps of all sequences are sorted by size, and a sweep over the sorted list matches every gap with the
+longest open piece that fits and no other gap took: a gap that follows a piece closes it, like brackets. Gaps are updated
+and the round is repeated; new sequences are opened only for pieces that are longer than every gap.
 
 The sweep is distributed. Its depth at a size follows from the counts of pieces and gaps per size (at most 2 x `size`
 rows); a row's depth follows from that and its rank among equals, and ranks come from counts per salt, so a length that a
 third of all rows share is split over tasks. Rows of equal depth alternate between pieces and gaps and meet in one group;
 as equal sizes are ordered pieces first, a depth is met at most twice per size, which bounds a group by 2 x `size` rows.
-A sequence with room for several pieces of the class offers several gaps (slots); the rank resolves who gets which.
-Rounds repeat within a class until nothing open fits; then new sequences are opened for what is left.
+A sequence with room for several of the longest open pieces offers several gaps (slots); the rank resolves who gets which.
 
 Defined results: null text is empty and has the end id alone; a null id is kept as it is; repeated rows are packed each;
 an empty table gives no rows; ties between equal lengths are resolved by hash of id and piece, so results repeat.
@@ -30,6 +30,8 @@ from modalweave.llm.common import durable, narrow
 from modalweave.llm.tokens import ChunkEncoder
 
 SALTS = 64
+#: Tables of fewer rows stay in one partition, where the steps of a sweep need no exchange.
+ROWS_PER_TASK = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -153,30 +155,29 @@ def best_fit(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int =
     whole = cut.where(F.col("length") == size).withColumn("seq", -1 - F.monotonically_increasing_id())
     short = cut.where(F.col("length") < size).withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32"))
     items = durable(ranked(short, ["length"], "tie"), "items")
-    todo = counts(items, "length")
+    lengths = counts(items, "length")
     gaps = spark.range(0).select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
-    opened, placed, high = 0, [], size - 1
-    while todo:
-        low = (1 << (high - 1).bit_length()) // 2 if high > 1 else 0  # the next smaller power of two
-        lengths = {k: n for k, n in todo.items() if k > low}
-        while lengths:
-            hist = counts(gaps, "gap")
-            if max(hist, default=0) < min(lengths):
-                tokens, rows = sum(k * n for k, n in lengths.items()), sum(lengths.values())
-                more = max(-(-tokens // size), -(-rows // (size // (low + 1))))
-                fresh = spark.range(opened, opened + more).select(
-                    F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap")
-                )
-                gaps, opened = gaps.unionAll(fresh), opened + more
-                hist[size] = hist.get(size, 0) + more
-            offered = offers(hist, min(lengths) - 1, high, sum(lengths.values()))
-            found, lengths = sweep(items, gaps, lengths, offered, high, hist)
-            placed.append(durable(found, "placed"))
-            used = placed[-1].groupBy("seq").agg(F.sum("length").alias("used"))
-            gap = (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
-            gaps = durable(gaps.join(used, "seq", "left").select("seq", gap).where("gap > 0"), "gaps")
-        todo = {k: n for k, n in todo.items() if k <= low}
-        high = low
+    opened, placed = 0, []
+    while lengths:
+        hist = counts(gaps, "gap")
+        room = max(hist, default=0)
+        stuck = {k: n for k, n in lengths.items() if k > room}
+        if stuck:  # no gap takes the longest: as many new sequences as those pieces need at least
+            tokens, alone = sum(k * n for k, n in stuck.items()), sum(n for k, n in stuck.items() if 2 * k > size)
+            more = max(-(-tokens // size), alone)
+            fresh = spark.range(opened, opened + more)
+            fresh = fresh.select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
+            gaps, opened = gaps.unionAll(fresh), opened + more
+            hist[size] = hist.get(size, 0) + more
+        low, high = min(lengths), max(lengths)
+        near = items.where(F.col("length").between(low, high)).coalesce(sum(lengths.values()) // ROWS_PER_TASK + 1)
+        gaps = gaps.coalesce(sum(hist.values()) // ROWS_PER_TASK + 1)
+        offered = offers(hist, low - 1, high, sum(lengths.values()))
+        found, lengths = sweep(near, gaps, lengths, offered, high, hist)
+        placed.append(durable(found, "placed"))
+        used = placed[-1].groupBy("seq").agg(F.sum("length").alias("used"))
+        gap = (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
+        gaps = durable(gaps.join(used, "seq", "left").select("seq", gap).where("gap > 0"), "gaps")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "seq"]
     result = whole.select(columns)
     for part in placed:

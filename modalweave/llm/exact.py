@@ -3,8 +3,8 @@
 Every stage groups by the whole normalised text beside its digest, so a digest alone never decides that texts are equal.
 The first aggregate runs within each scan task; its winners meet per (digest, salt, text), then per (digest, text). A
 group that holds a third of all rows is thus at most one row per task before the first shuffle and `salts` rows before
-the second. Only groups of two or more are then looked up, by digest; digests that two different texts share (with
-SHA-256 there are none) are looked up by text as well.
+the second. Only groups of two or more are then looked up, by digest; where different texts share a digest (with SHA-256
+there are none) their rows are looked up by text.
 
 Defined results: null text counts as empty; a null id is larger than every id; repeated rows (same id, same text) all
 have the verdict of their id, and `drop_copies` keeps one of them; an empty table gives an empty table.
@@ -29,43 +29,36 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def copies(
-    df: DataFrame, id_col: str, text_col: str, salts: int = 64, digest: Callable[[Column], Column] = sha256
-) -> DataFrame:
-    """Groups of two rows or more: digest, keep_id, group_size; content only where texts share their digest."""
+def contents(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     rows = narrow(df, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content")))
+    return rows.withColumn("digest", digest(F.col("content")))
+
+
+def merged(rows: DataFrame, salts: int) -> DataFrame:
+    """One row per text: digest, content, low (smallest id), n. All texts of a digest are in one task then."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
     salted = rows.groupBy("digest", salt, "content").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    merged = (
-        salted.repartition("digest")
-        .groupBy("digest", "content")
-        .agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
-    )
-    # All contents of a digest are in one task now: those that share one keep their text, the others need only the digest.
-    shared = merged.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"))
-    return (
-        merged.where("group_size > 1")
-        .join(shared.where("contents > 1"), "digest", "left")
-        .select(
-            "digest",
-            "keep_id",
-            "group_size",
-            F.when(F.col("contents") > 1, F.col("content")).alias("content"),
-        )
-    )
+    by_text = salted.repartition("digest").groupBy("digest", "content")
+    return by_text.agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+
+
+def copies(rows: DataFrame, salts: int) -> DataFrame:
+    """Digests of two rows or more: digest, texts (different ones that share it), keep_id, group_size."""
+    by_digest = merged(rows, salts).groupBy("digest")
+    sums = by_digest.agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+    return durable(sums.where("group_size > 1"), "copies")
 
 
-def verdicts(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
     """Rows with digest and content beside keep_id and group_size of their group (null: nobody else has the text)."""
-    plain = groups.where("content IS NULL").drop("content")
-    found = rows.join(plain, "digest", "left")
-    clashing = groups.where("content IS NOT NULL")
+    found = rows.join(groups.where("texts = 1").drop("texts"), "digest", "left")
+    clashing = groups.where("texts > 1").select("digest")
     if clashing.isEmpty():
         return found
-    other = clashing.select(
-        "digest", "content", F.col("keep_id").alias("other_id"), F.col("group_size").alias("other_size")
-    )
+    # Different texts under one digest: their rows are grouped and looked up by the text itself.
+    own = ["doc_id", "digest", "content"]
+    by_text = merged(rows.select(own).join(clashing, "digest", "left_semi"), salts)
+    other = by_text.select("digest", "content", F.col("low").alias("other_id"), F.col("n").alias("other_size"))
     return found.join(other, ["digest", "content"], "left").select(
         *[c for c in found.columns if c not in ("keep_id", "group_size")],
         F.coalesce("keep_id", "other_id").alias("keep_id"),
@@ -77,10 +70,9 @@ def exact_duplicates(
     df: DataFrame, id_col: str, text_col: str, salts: int = 64, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = durable(copies(df, id_col, text_col, salts, digest), "copies")
-    rows = narrow(df, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content"))).withColumn("text_sha256", sha256(F.col("content")))
-    found = verdicts(rows, groups)
+    rows = contents(df, id_col, text_col, digest)
+    groups = copies(rows, salts)
+    found = verdicts(rows.withColumn("text_sha256", sha256(F.col("content"))), groups, salts)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
@@ -94,7 +86,7 @@ def exact_duplicates(
 
 def drop_copies(df: DataFrame, id_col: str, text_col: str, salts: int = 64) -> DataFrame:
     """The rows of df that stay, with all their columns; of repeated rows one."""
-    groups = durable(copies(df, id_col, text_col, salts), "copies")
+    groups = copies(contents(df, id_col, text_col, sha256), salts)
     content = normalised(F.col(text_col))
     rows = df.select(
         whole_row(df).alias("row"),
@@ -102,6 +94,6 @@ def drop_copies(df: DataFrame, id_col: str, text_col: str, salts: int = 64) -> D
         content.alias("content"),
         sha256(content).alias("digest"),
     )
-    found = verdicts(rows, groups)
+    found = verdicts(rows, groups, salts)
     kept = found.where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return unpack(kept.select("row", "doc_id", "digest").dropDuplicates(["digest", "doc_id"]), "row", df.columns)

@@ -34,16 +34,23 @@ LIMIT = np.uint64(1) << np.uint64(60)
 HEADER = struct.Struct("<4sIIII")
 
 
-def _choice(values: np.ndarray, block: int) -> np.ndarray:
+def _choice(values: np.ndarray) -> np.ndarray:
     """For every position the selector a word that starts there takes: the first whose ids all fit. One row per block."""
-    rows, size = values.shape
-    best = np.full(values.shape, 15, np.uint8)
+    size = values.shape[1]
+    best, here = np.full(values.shape, 15, np.uint8), np.arange(size, dtype=np.int16)[None, :]
+    far = np.int16(size + 240)  # after a block's end there are only zeros, which always fit
+    widest = int(values.max(initial=0)).bit_length()
     for s in range(14, -1, -1):
-        k, fits = int(COUNTS[s]), values >> np.uint64(WIDTHS[s]) == 0
-        # Position of the next value that does not fit; ids after the block's end are zeros and always fit.
-        at = np.where(fits, size + 240, np.arange(size)[None, :])
+        if widest <= WIDTHS[s]:
+            best[:] = s
+            continue
+        fits = values < np.uint64(1 << int(WIDTHS[s]))
+        if fits.sum(axis=1, dtype=np.int16).max() < COUNTS[s]:
+            continue  # no block holds enough of them
+        at = np.where(fits, far, here)  # the next value that doesn't fit
         following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-        best[following - np.arange(size)[None, :] >= k] = s
+        enough = following - here >= COUNTS[s]
+        best[enough] = s
     return best
 
 
@@ -57,7 +64,8 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     padded[:n] = ids
     padded[escaped] = 0
     values = padded.reshape(n_blocks, block)
-    best = _choice(values, block) if n else np.zeros((0, block), np.uint8)
+    small = values.astype(np.uint32) if n and values.max() < 1 << 32 else values
+    best = _choice(small)
     # All blocks step together: from each block's position by the count of the selector found there.
     position, live = np.zeros(n_blocks, np.int64), np.arange(n_blocks)
     owners, starts = [], []

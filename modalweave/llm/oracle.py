@@ -11,6 +11,22 @@ FROM d JOIN g USING (content)
 """
 
 
+NEIGHBOURS = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM p
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 
 def mixing(documents: str = "documents", fraction: float = 0.7, exponent: float = 0.7, rounds: int = 25) -> str:
     """Raking and calibration with the rounds written out; by then the weights have converged."""
@@ -70,4 +86,4 @@ FROM d JOIN r USING (source, lang, topic), c
     )
 
 
-ORACLE = {"op1_mixing": mixing(), "op7_exact_dedup": EXACT}
+ORACLE = {"op1_mixing": mixing(), "op5_block_neighbours": NEIGHBOURS, "op7_exact_dedup": EXACT}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modalweave.llm import exact, langid, mixing, packing, simhash, simple8b
+from modalweave.llm import exact, langid, mixing, neighbours, packing, simhash, simple8b
 from modalweave.llm.common import table
 
 
@@ -14,6 +15,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=0, size=2048)
 
 
+def op5_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -41,6 +47,7 @@ QUERIES = {
     "op2_simple8b": op2_simple8b,
     "op3_simhash": op3_simhash,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_block_neighbours": op5_block_neighbours,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
 }

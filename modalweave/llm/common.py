@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalweave.sources.sinks import durable as write_and_read
+from modalweave.sources.sinks import checkpoint_folder
 
 #: ASCII white space as Java's regular expressions write it.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -18,18 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, frees the shuffle files."""
     spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        return write_and_read(df, name)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

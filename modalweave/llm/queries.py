@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalweave.llm import exact, langid, mixing, neighbours, packing, simhash, simple8b, substring
+from modalweave.llm import exact, langid, mixing, neighbours, ngram, packing, simhash, simple8b, substring
 from modalweave.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.page_languages(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, held_out=2)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", window=13, period=7)
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op5_block_neighbours": op5_block_neighbours,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_ngram_scores": op9_ngram_scores,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalweave.llm import exact, langid, mixing, neighbours, ngram, packing, simhash, simple8b, substring
+from modalweave.llm import exact, langid, mixing, neighbours, ngram, packing, pii, simhash, simple8b, substring
 from modalweave.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), "doc_id", "text", key="pseudonyms-1")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_block_neighbours": op5_block_neighbours,
+    "op6_pii_feistel": op6_pii_feistel,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_ngram_scores": op9_ngram_scores,

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalweave.llm.common import durable, narrow
+from modalweave.llm.common import bucketed, narrow
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 32 << 20
@@ -25,8 +25,11 @@ BLOCK = pa.schema(
 BLOCK_SQL = "block long, size long, doc_ids array<long>, texts array<string>"
 
 
-def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in blocks, written to the shared folder: block, size, doc_ids, texts."""
+def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """The documents in blocks (block, size, doc_ids, texts), and the number of shards for their keys.
+
+    Blocks are written in buckets by their number, as many as shards, so answers are joined without moving the texts.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, made, part = [], [], 0, 0, 0
@@ -48,23 +51,21 @@ def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
         if ids:
             yield row()
 
-    rows = narrow(df, id_col, text_col).withColumn("part", F.spark_partition_id())
-    return durable(rows.mapInArrow(run, BLOCK_SQL), "blocks", "zstd")
-
-
-def shard_count(blocks: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_bytes + 1)
+    spark, rows = df.sparkSession, narrow(df, id_col, text_col)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES + 1)
+    blocks = rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, BLOCK_SQL)
+    return bucketed(blocks, "block", shards, "blocks"), shards
 
 
-def pack48(keys: np.ndarray) -> bytes:
-    """48-bit keys in 6 bytes each."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def packed(keys: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 

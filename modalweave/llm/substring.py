@@ -34,12 +34,11 @@ from modalweave.llm.exchange import (
     NO_ID,
     answer,
     batched,
-    pack48,
+    packed,
     planes,
-    shard_count,
     slices,
     text_blocks,
-    unpack48,
+    unpacked,
     unplanes,
     with_answers,
 )
@@ -168,8 +167,7 @@ def remove_repeats(
     texts: bool = False,
 ) -> DataFrame:
     """Per row of df: doc_id, n_words, n_removed, kept_sha256; with texts also kept (the kept words, space-joined)."""
-    blocks = text_blocks(df, id_col, text_col, block_bytes)
-    shards = shard_count(blocks)
+    blocks, shards = text_blocks(df, id_col, text_col, block_bytes)
 
     def ask_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +180,7 @@ def remove_repeats(
                 np.maximum.at(most, number, ids)
                 several = least < most
                 rows = [
-                    (s, row["block"], pack48(keys[lo:hi]), b"", np.packbits(several[lo:hi]).tobytes())
+                    (s, row["block"], packed(keys[lo:hi], 6), b"", np.packbits(several[lo:hi]).tobytes())
                     for s, lo, hi in slices(shard_of(keys, shards), shards)
                 ]
                 yield from batched(rows, REQUEST)
@@ -190,7 +188,7 @@ def remove_repeats(
     def tell_anchors(requests: pa.Table) -> pa.Table:
         """Which keys are held by several documents."""
         rows = requests.to_pylist()
-        keys = [unpack48(r["high"]) for r in rows]
+        keys = [unpacked(r["high"], 6) for r in rows]
         sizes = [len(k) for k in keys]
         flat = np.concatenate(keys)
         several = np.concatenate([bits(r["more"], n) for r, n in zip(rows, sizes, strict=True)])
@@ -210,7 +208,7 @@ def remove_repeats(
             for row in batch.to_pylist():
                 own = Windows(Words(row), answer(row["anchors"]), shards, window, period)
                 rows = [
-                    (s, row["block"], pack48(own.high[lo:hi]), pack48(own.low[lo:hi]), planes(own.least[lo:hi], "<i8"))
+                    (s, row["block"], packed(own.high[lo:hi], 6), packed(own.low[lo:hi], 6), planes(own.least[lo:hi], "<i8"))
                     for s, lo, hi in slices(shard_of(own.high, shards), shards)
                 ]
                 yield from batched(rows, REQUEST)
@@ -218,7 +216,7 @@ def remove_repeats(
     def tell_windows(requests: pa.Table) -> pa.Table:
         """Which windows a smaller id holds in another block."""
         rows = requests.to_pylist()
-        high, low = [unpack48(r["high"]) for r in rows], [unpack48(r["low"]) for r in rows]
+        high, low = [unpacked(r["high"], 6) for r in rows], [unpacked(r["low"], 6) for r in rows]
         least = np.concatenate([unplanes(r["more"], "<i8") for r in rows])
         sizes = [len(k) for k in high]
         high, low = np.concatenate(high), np.concatenate(low)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalweave.llm.common import whole_row
+from modalweave.llm.common import durable, whole_row
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
@@ -125,8 +125,13 @@ def identify(
     suffix: Column | None = None,
     markup: bool = False,
     per_language: int = 1000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """The rows of df as `row`, beside `found`: lang, confidence, text_lang, trigrams, accepted."""
+    """The rows of df as `row`, beside `found`: lang, confidence, text_lang, trigrams, accepted.
+
+    keep: the columns to carry in `row`, all by default. If they are few (without the text), they are written beside the
+    likelihoods and each text is read once; otherwise the likelihoods are computed anew rather than the texts moved.
+    """
     spark = df.sparkSession
     named = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     clean = {
@@ -141,8 +146,11 @@ def identify(
     def likelihoods(bodies: pd.Series) -> pd.Series:
         return pd.Series([sent.value.likelihoods(page_text(b) if markup else b) for b in bodies])
 
-    rows = df.select(whole_row(df).alias("row"), text.cast("string").alias("text"), *[c.alias(n) for n, c in clean.items()])
+    row = whole_row(df.select(keep)) if keep else whole_row(df)
+    rows = df.select(row.alias("row"), text.cast("string").alias("text"), *[c.alias(n) for n, c in clean.items()])
     rows = rows.withColumn("scores", likelihoods("text")).drop("text")
+    if keep:
+        rows = durable(rows, "likelihoods")
     if not k:
         nothing = F.struct(
             F.lit("und").alias("lang"),
@@ -154,11 +162,13 @@ def identify(
         return rows.select("row", nothing.alias("found"))
     rows = rows.withColumn("share", _softmax(F.slice("scores", 2, k)))
     seen = rows.where(F.col("scores")[0] > 0).select("share", *clean)
+    seen = seen if keep else durable(seen, "shares")
     sums = [F.sum(F.col("share")[i]).alias(f"s{i}") for i in range(k)]
 
-    def grouped(key: str, *more: str) -> DataFrame:
-        own = seen.where(F.col(key).isNotNull()).groupBy(key).agg(*sums, *[F.max(m).alias(m) for m in more])
-        return own.select(key, F.array(*[f"s{i}" for i in range(k)]).alias(f"{key}_sums"), *more)
+    def grouped(key: str) -> DataFrame:
+        own = seen.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
+        # Written, so that its size is known when the join is planned.
+        return durable(own.select(key, F.array(*[f"s{i}" for i in range(k)]).alias(f"{key}_sums")), "sums")
 
     total = seen.agg(*sums).first()
     overall = [float(x or 0.0) + 1.0 for x in total]  # one row of each language beside what was seen
@@ -211,13 +221,17 @@ def page_languages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     declared = F.regexp_extract(markup, DECLARED, 1)
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     domain, suffix = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.regexp_extract(host, r"([^.]+)$", 1)
-    found = identify(pages, markup, declared, host, domain, suffix, markup=True)
-    row = F.col("row")
-    return found.select(
-        row.getField(id_col).alias("page_id"),
-        F.lower(F.regexp_extract(row.getField(html_col), DECLARED, 1)).alias("declared"),
-        "found.*",
+    rows = pages.select(
+        F.col(id_col).alias("page_id"),
+        F.lower(declared).alias("declared"),
+        markup.alias("markup"),
+        host.alias("host"),
+        domain.alias("domain"),
+        suffix.alias("suffix"),
     )
+    keys = [F.col(c) for c in ("markup", "declared", "host", "domain", "suffix")]
+    found = identify(rows, *keys, markup=True, keep=["page_id", "declared"])
+    return found.select("row.page_id", "row.declared", "found.*")
 
 
 def keep_identified(df: DataFrame, text_col: str, lang_col: str, host_col: str) -> DataFrame:

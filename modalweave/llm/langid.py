@@ -9,7 +9,7 @@ The last three come from grouped sums of the text-only posteriors of all rows (o
 the shuffle, so a host with a third of all rows is no hot spot); a row's own share is taken out before they are used on it.
 
 The trigram model is fitted on at most `per_language` labelled rows of each declared language (those with the smallest
-hashes of their text), a bound on rows, not on text. It is sent to the tasks: languages x 65,536 numbers, and languages
+hashes of their text, copies once), a bound on rows, not on text. It is sent to the tasks: languages x 65,536 numbers, and languages
 are at most MAX_LANGUAGES.
 
 Defined results: a text without letters, null and empty texts included, has no language ("und") and is not accepted; so is
@@ -77,11 +77,14 @@ class Model:
 def fit(df: DataFrame, text: Column, declared: Column, markup: bool, per_language: int) -> Model:
     """Trigram counts of a bounded sample, summed by Spark; the driver gets languages x buckets sums at most."""
     rows = df.select(text.alias("text"), declared.alias("label")).where("label IS NOT NULL")
-    # A language's rows are first thinned within salts, so that no task gets all of a language.
-    rows = rows.withColumn("order", F.xxhash64("text")).withColumn("salt", F.pmod(F.hash("order"), F.lit(64)))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    # Only hashes are ranked; a language's are first thinned within salts, so that no task gets all of a language.
+    ranked = rows.groupBy("label", "order").agg(F.pmod(F.hash("order"), F.lit(64)).alias("salt"))
     for keys in (["label", "salt"], ["label"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    last = durable(ranked.groupBy("label").agg(F.max("order").alias("last")), "samples")
+    rows = rows.join(last, "label").where("order <= last").dropDuplicates(["label", "order"])
     schema = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

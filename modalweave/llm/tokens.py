@@ -20,7 +20,7 @@ TWO_SPACES = re.compile(rb"\s\s")
 #: A word that ends in ASCII punctuation: both parts are always encoded apart.
 TAIL = re.compile(rb"(.*[0-9A-Za-z])([!-/:-@\[-`{-~]+)", re.S)
 #: Chunks remembered by a worker, about 200 bytes each.
-MEMORY = 1_600_000
+MEMORY = 1_000_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
 MARK = "<|endoftext|>"
 

@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--modality-weights", nargs="+", type=float, default=[3.0, 1.0, 6.0])
     p.add_argument("--weights-dir", help="parameters of an earlier run")
     p.add_argument("--test-only", action="store_true")
-    p.add_argument("--batches-per-epoch", type=int, default=1)
+    p.add_argument("--batch-size", type=int, default=1024, help="train rows of a step; an epoch reads all of them")
     return p
 
 
@@ -59,7 +59,7 @@ def config(args: argparse.Namespace) -> Config:
         feature_import_loss=args.feature_import_loss,
         modality_import_loss=args.modality_import_loss,
         epochs=args.epochs,
-        batches_per_epoch=args.batches_per_epoch,
+        batch_size=args.batch_size,
         weights_dir=args.weights_dir,
         test_only=args.test_only,
     )
@@ -80,6 +80,7 @@ def load_tables(spark: SparkSession, cfg: Config) -> tuple[DataFrame, dict[str,
             found = tables.attach_images(
                 tables.read_manifest(spark, path(name)), tables.read_images(spark, cfg.image_dir)
             )
+            tables.require_images(found)
             mods[name] = images.image_vectors(found).select("cell_id", "features")
             names[name] = [f"patch_{c}_{y}_{x}" for c in "rgb" for y in range(8) for x in range(8)]
         else:

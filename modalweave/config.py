@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import hashlib
+from dataclasses import asdict, dataclass, field, replace
 
 # The class map and the columns of the metadata table.
 CLASSES = {"BP": 0, "EryP": 1, "MoP": 2, "NeuP": 3}
@@ -18,7 +19,8 @@ class Config:
 
     ``feature_import_loss`` / ``modality_import_loss`` set to ``None`` remove the
     feature gate / the confidence from the model; ``0`` keeps the part and drops
-    only its loss term.
+    only its loss term. An epoch of a fold takes ``ceil(train rows / batch_size)`` steps, each
+    of them a Spark job over its batch: raise ``batch_size`` with the table.
     """
 
     root: str = ""
@@ -33,7 +35,6 @@ class Config:
     modality_import_loss: float | None = 1.0
     epochs: int = 250
     batch_size: int = 1024
-    batches_per_epoch: int = 1
     test_interval: int = 10
     learning_rate: float = 1e-4
     weight_decay: float = 1e-4
@@ -56,6 +57,8 @@ class Config:
             raise ValueError("keep must be 'best' or 'last'")
         if not self.modalities:
             raise ValueError("at least one modality is needed")
+        if self.batch_size < 1:
+            raise ValueError("batch_size must be at least 1")
         if not 0.0 <= self.dropout < 1.0:
             raise ValueError("dropout must be in [0, 1)")
         per_view(self.hidden_dims, len(self.modalities), "hidden_dims")
@@ -109,7 +112,10 @@ def check_pairwise(modalities) -> None:
 
 
 def run_name(cfg: Config) -> str:
-    """Name of a run, made of everything that tells its results from others."""
+    """Name of a run: the main options, and a digest of all options but where results and parameters lie."""
+    places = ("results", "weights_dir", "test_only")
+    options = sorted((k, v) for k, v in asdict(cfg).items() if k not in places)
+    digest = hashlib.sha256(repr(options).encode()).hexdigest()[:12]
     parts = [
         "run",
         "+".join(cfg.modalities),
@@ -120,5 +126,9 @@ def run_name(cfg: Config) -> str:
         f"cls{cfg.classification_loss_weight:g}",
         "feat" + ("off" if cfg.feature_import_loss is None else f"{cfg.feature_import_loss:g}"),
         "mod" + ("off" if cfg.modality_import_loss is None else f"{cfg.modality_import_loss:g}"),
+        f"bs{cfg.batch_size}",
+        f"lr{cfg.learning_rate:g}",
+        f"seed{cfg.seed}",
+        digest,
     ]
     return "_".join(parts)

@@ -167,24 +167,30 @@ def k_neighbours(cells: DataFrame, k: int = 5) -> DataFrame:
     return truth.join(knn_predict(test, train_rows, k), ["fold", "cell_id"])
 
 
-def dense_net(cells: DataFrame, cfg: Config | None = None, n_classes: int = 4) -> DataFrame:
-    """One hidden layer of 128, Adam, 10 epochs; a fifth of the train cells is held out."""
+def dense_net(
+    cells: DataFrame, cfg: Config | None = None, n_classes: int | None = None, batch_size: int = 32
+) -> DataFrame:
+    """One hidden layer of 128, Adam, 10 epochs; a fifth of the train cells is held out.
+
+    ``n_classes`` is read off the labels when not given. A step is a Spark job over one batch,
+    so ``batch_size`` should grow with the table.
+    """
+    cells = durable(cells, "cells")
+    width, top = cells.agg(F.max(F.size("features")), F.max("y")).first()
     cfg = cfg or Config(
         modalities=("features",),
         hidden_dims=(128,),
         model="static",
         dropout=0.0,
         epochs=10,
-        batches_per_epoch=4,
+        batch_size=batch_size,
         learning_rate=1e-3,
         weight_decay=0.0,
         class_weighted=False,
         keep="last",
-        classes={str(i): i for i in range(n_classes)},
+        classes={str(i): i for i in range(n_classes or int(top) + 1)},
     )
-    cells = durable(cells, "cells")
     member = FO.membership(cells, FO.fold_plan(cells, fraction=cfg.val_fraction, seed=cfg.seed))
-    width = cells.agg(F.max(F.size("features"))).first()[0]
     fit = train(member, fold_ids(cells), {"features": width}, cfg)
     test = cells.where(F.col("donor").isNotNull()).withColumn("fold", F.col("donor").cast("bigint"))
     scored = M.with_prediction(score(test, fit.models, cfg, ["fold", "cell_id", "y"]))

@@ -31,16 +31,23 @@ def paired(left: DataFrame, right: DataFrame, by: list[str], left_key: str, righ
 
 
 def as_matrix(column, width: int | None = None) -> np.ndarray:
-    """Arrow list column of equally long vectors as a matrix; NULL vectors become zero rows."""
+    """Arrow list column of equally long vectors as a matrix; NULL vectors become zero rows.
+
+    Vectors of other lengths, or of another length than ``width``, are an error.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    n = len(column)
+    n, lengths = len(column), np.unique(column.value_lengths().drop_null().to_numpy(zero_copy_only=False))
+    if width is None:
+        width = int(lengths[0]) if len(lengths) else 0
+    if np.any(lengths != width):
+        raise ValueError(f"vectors of {width} numbers expected, found lengths {lengths[:5].tolist()}")
     if column.null_count == 0:
-        return flat.reshape(n, -1) if n else np.zeros((0, width or 0))
+        return flat.reshape(n, width)
     valid = np.asarray(column.is_valid())
-    out = np.zeros((n, width if width is not None else len(flat) // max(1, valid.sum())))
-    out[valid] = flat.reshape(int(valid.sum()), -1)
+    out = np.zeros((n, width))
+    out[valid] = flat.reshape(int(valid.sum()), width)
     return out
 
 

@@ -226,7 +226,7 @@ def score(
     """Forward pass over rows with a ``fold`` column and one vector column per modality.
 
     Each row is scored by the parameters of its fold. A NULL vector is a missing
-    modality and adds nothing. ``tcp`` and ``loss`` read the label column ``y``.
+    modality and adds nothing; a NULL fold is an error. ``tcp`` and ``loss`` read the label column ``y``.
     """
     fields = out_fields(cfg, outputs)
     labelled = {"tcp", "loss"} & set(outputs)
@@ -251,6 +251,8 @@ def score(
     def run(batches):
         by_fold, weights = sent.value
         for batch in batches:
+            if batch.column("fold").null_count:
+                raise ValueError("rows without a fold have no model; leave them out before scoring")
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             for f in np.unique(folds):
                 rows = batch.take(pa.array(np.flatnonzero(folds == f)))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalweave.functions import vectors as V
-from modalweave.operators.skew import salted_join
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
@@ -29,8 +28,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column] | None
 
 
 def semi_join(df: DataFrame, ids: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Rows whose key is in the id list; a key with very many rows is spread over tasks."""
-    return salted_join(df, ids.select(key).distinct(), [key]).select(*df.columns)
+    """Rows whose key is in the id list. Adaptive execution splits a key with very many rows."""
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

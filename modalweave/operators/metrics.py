@@ -16,15 +16,15 @@ def confusion(preds: DataFrame, by: list[str]) -> DataFrame:
 def confusion_grid(counts: DataFrame, by: list[str], n_classes: int) -> DataFrame:
     """The counts on the full class x class grid, 0 where a pair does not occur.
 
-    The groups are read off the counts with their totals, so both sides of the join
-    share one exchange and the rows are counted once.
+    Pairs outside the grid (a NULL label, a class of ``n_classes`` or more) stay, in the groups
+    that have them, so a matrix sums to its rows. The groups are read off the counts with their
+    totals, so both parts of the union share one exchange and the rows are counted once.
     """
-    for c in (*by, "y_true", "y_pred"):
-        counts = counts.where(F.col(c).isNotNull())
     ids = F.sequence(F.lit(0), F.lit(n_classes - 1))
     groups = counts.groupBy(*by).agg(F.sum("n").alias("_rows")).where(F.col("_rows") > 0).select(*by)
     grid = groups.withColumn("y_true", F.explode(ids)).withColumn("y_pred", F.explode(ids))
-    return grid.join(counts, [*by, "y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = grid.withColumn("n", F.lit(0).cast("bigint")).unionByName(counts.select(*by, "y_true", "y_pred", "n"))
+    return every.groupBy(*by, "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def per_class(counts: DataFrame, by: list[str]) -> DataFrame:

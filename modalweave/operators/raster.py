@@ -48,7 +48,8 @@ def focal_sum(
 
     ``kernel`` lists ``(dy, dx, c_in, c_out, weight)``: output (oy, ox) adds the pixel
     at ``(oy * stride + dy, ox * stride + dx)``. Each pixel sends its products to the
-    outputs it takes part in and the sums are formed map-side.
+    outputs it takes part in and the sums are formed map-side. Every output of an image
+    is returned; one that no pixel reaches is 0, or its bias.
     """
     taps = F.array(
         *[
@@ -67,16 +68,19 @@ def focal_sum(
     rows, cols = -(-size[0] // stride), -(-size[1] // stride)
     inside = (oy >= 0) & (ox >= 0) & (oy < rows * stride) & (ox < cols * stride)
     on_grid = (oy % stride == 0) & (ox % stride == 0)
-    out = (
-        sent.where(inside & on_grid)
-        .groupBy(
-            "img",
-            (oy / stride).cast("int").alias("y"),
-            (ox / stride).cast("int").alias("x"),
-            F.col("t.co").alias("c"),
-        )
-        .agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+    products = sent.where(inside & on_grid).select(
+        "img",
+        (oy / stride).cast("int").alias("y"),
+        (ox / stride).cast("int").alias("x"),
+        F.col("t.co").alias("c"),
+        (F.col("v") * F.col("t.w")).alias("v"),
     )
+    made = sorted({co for _, _, _, co, _ in kernel} | set(range(len(bias or []))))
+    empty = px.select("img").distinct()
+    for name, positions in (("y", range(rows)), ("x", range(cols)), ("c", made)):
+        empty = empty.withColumn(name, F.explode(F.array(*[F.lit(p) for p in positions])))
+    every = products.unionByName(empty.withColumn("v", F.lit(0.0)))
+    out = every.groupBy("img", "y", "x", "c").agg(F.sum("v").alias("v"))
     if bias is not None:
         offset = F.element_at(F.array(*[F.lit(float(b)) for b in bias]), F.col("c") + 1)
         out = out.withColumn("v", F.col("v") + offset)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalweave.config import Config
@@ -103,11 +104,19 @@ class Fit:
     models: dict[int, Params]
     log: list[dict] = field(default_factory=list)
     best_epoch: dict[int, int | None] = field(default_factory=dict)
+    steps: dict[int, int] = field(default_factory=dict)
+
+
+def place_in_epoch(seed: int, epoch: int) -> Column:
+    """A number in [0, 1) per row and epoch; batch b of n holds the rows from b / n to (b + 1) / n."""
+    return F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(epoch)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, weights, step: int, batch=None):
     """Per fold ``(n, loss sum, packed gradient sum)`` over the train rows of one batch.
 
+    ``batch`` is ``(batches, number, epoch)``, batches as one number or per fold. A row's place in
+    an epoch is a hash of its id, so only the rows of the batch leave the JVM.
     A task returns one packed vector per fold in rows of CHUNK numbers. Spark adds
     them up with a partial sum per task, and the driver receives one model-sized vector per fold.
     """
@@ -115,6 +124,13 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
     sent = spark.sparkContext.broadcast((dict(models), {f: np.asarray(w) for f, w in weights.items()}))
     training = cfg.dropout > 0
     seed = cfg.seed
+    n_batches = {}
+    if batch is not None:
+        per_fold, number, epoch = batch
+        n_batches = {f: per_fold if isinstance(per_fold, int) else per_fold[f] for f in models}
+        train = train.withColumn("_place", place_in_epoch(seed, epoch))
+        wanted = [F.floor(F.col("_place") * n) == number for n in sorted(set(n_batches.values()))]
+        train = train.where(reduce(lambda a, b: a | b, wanted))
 
     def run(batches):
         by_fold, class_w = sent.value
@@ -125,12 +141,13 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
             lists = rb.column("train_folds")
             owner = np.repeat(np.arange(rb.num_rows), np.asarray(lists.value_lengths()))
             folds = lists.flatten().to_numpy(zero_copy_only=False)
-            xs = [as_matrix(rb.column(m)) for m in cfg.modalities]
+            any_p = next(iter(by_fold.values()))
+            xs = [as_matrix(rb.column(m), any_p[f"{m}.enc.w"].shape[1]) for m in cfg.modalities]
+            place = rb.column("_place").to_numpy(zero_copy_only=False) if n_batches else None
             for f, p in by_fold.items():
                 rows = owner[folds == f]
-                if batch is not None:
-                    n_batches, b, epoch = batch
-                    rows = rows[(uniforms(ids[rows], 1, seed + 7919 * epoch)[:, 0] * n_batches).astype(int) == b]
+                if n_batches:
+                    rows = rows[np.floor(place[rows] * n_batches[f]) == number]
                 if len(rows) == 0:
                     continue
                 drop = None
@@ -191,7 +208,9 @@ def train(
 ) -> Fit:
     """Train one model per fold.
 
-    ``cells`` has ``cell_id, y, train_folds`` and one vector column per modality;
+    ``cells`` has ``cell_id, y, train_folds`` and one vector column per modality. An epoch of a
+    fold takes ``ceil(train rows / cfg.batch_size)`` steps (``Fit.steps`` counts them; a batch that
+    the hash leaves empty takes none).
     ``validate(models)`` returns the macro F1 of each fold in ``models`` and is called every
     ``test_interval`` epochs. With ``keep="best"`` the parameters of the earliest epoch
     with the highest value are returned, with ``keep="last"`` those of the last epoch.
@@ -209,12 +228,15 @@ def train(
             part = train(cells, folds[i : i + at_once], widths, cfg, class_weights, validate)
             done.models |= part.models
             done.best_epoch |= part.best_epoch
+            done.steps |= part.steps
             done.log += part.log
         return done
     used = cells.where(F.size("train_folds") > 0).select(
         F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", *cfg.modalities
     )
     used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = used.select(F.explode("train_folds").alias("fold")).groupBy("fold").count().collect()
+    n_batches = {r["fold"]: -(-r["count"] // cfg.batch_size) for r in sizes if r["fold"] in models}
     optimisers = {f: Adam(cfg) for f in folds}
     weights = class_weights if cfg.class_weighted and class_weights else {}
     fit = Fit(dict(models), best_epoch={f: None for f in folds})
@@ -222,10 +244,11 @@ def train(
     step = 0
     for epoch in range(1, cfg.epochs + 1):
         losses: dict[int, list[float]] = {f: [] for f in folds}
-        for b in range(cfg.batches_per_epoch):
+        for b in range(max(n_batches.values(), default=0)):
             step += 1
-            batch = (cfg.batches_per_epoch, b, epoch) if cfg.batches_per_epoch > 1 else None
-            for f, (n, loss, flat) in gradient_sums(used, models, cfg, weights, step, batch).items():
+            active = {f: models[f] for f, n in n_batches.items() if b < n}
+            batch = (n_batches, b, epoch) if any(n_batches[f] > 1 for f in active) else None
+            for f, (n, loss, flat) in gradient_sums(used, active, cfg, weights, step, batch).items():
                 losses[f].append(loss / n)
                 models[f] = unpack(optimisers[f].step(pack(models[f]), flat / n, epoch), models[f])
         fit.log += [
@@ -238,6 +261,7 @@ def train(
                     best[f], fit.best_epoch[f] = value, epoch
                     if cfg.keep == "best":
                         fit.models[f] = models[f]
+    fit.steps = {f: optimisers[f].t for f in folds}
     for f in folds:
         if cfg.keep == "last" or fit.best_epoch[f] is None:
             fit.models[f] = models[f]

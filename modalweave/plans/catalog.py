@@ -256,7 +256,7 @@ def split_by_modality(spark, sf):
     base = cells(spark, sf)
     totals = [
         table.select("cell_id", F.lit(name).alias("modality"), V.total(F.col("features")).alias("total"))
-        for name, table in doc_modalities(spark, sf).items()
+        for name, table in ((n, K.keep_first(t, ["cell_id"])) for n, t in doc_modalities(spark, sf).items())
     ]
     rows = base.join(reduce(DataFrame.unionByName, totals), "cell_id")
     return (
@@ -452,6 +452,14 @@ def confusion_matrix(spark, sf):
     return fold_grid(spark, sf).select("fold", i64("y_true"), i64("y_pred"), "n")
 
 
+@query
+def confusion_out_of_grid(spark, sf):
+    """Three classes declared, five found, one of them read as NULL."""
+    preds = roles.predictions(spark, sf).withColumn("y_true", F.nullif("y_true", F.lit(1)))
+    grid = M.confusion_grid(M.confusion(preds, ["fold"]), ["fold"], 3)
+    return grid.select("fold", i64("y_true"), i64("y_pred"), "n")
+
+
 @query
 def confusion_wide(spark, sf):
     total = fold_grid(spark, sf).groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
@@ -848,6 +856,11 @@ def focal_stride2(spark, sf):
     return pixel_rows(R.focal_sum(roles.pixels(spark, sf), KERNEL2, (8, 8), stride=2, bias=[0.5, -0.5]))
 
 
+@query
+def focal_off_centre(spark, sf):
+    return pixel_rows(R.focal_sum(roles.pixels(spark, sf), [(5, 5, 0, 0, 0.5)], (8, 8), bias=[0.25]))
+
+
 @query
 def patch_gate(spark, sf):
     gated = R.patch_gate(roles.pixels(spark, sf), 4)
@@ -969,6 +982,18 @@ def modality_csv(spark, sf):
     return named.select(F.col("cell_id").cast("bigint").alias("cell_id"), i64("idx"), "name", r6("value"))
 
 
+@query
+def modality_csv_reordered(spark, sf):
+    """Even and odd cells in files that order the columns differently."""
+    path = scratch(spark, "reordered")
+    wide = doc_rna(spark, sf).select("cell_id", *[F.get("features", F.lit(i)).alias(f"gene{i}") for i in range(64)])
+    wide.where("cell_id % 2 = 0").write.csv(path, header=True)
+    wide.where("cell_id % 2 = 1").select(*reversed(wide.columns)).write.mode("append").csv(path, header=True)
+    rows, names = tables.read_modality(spark, path)
+    named = K.name_features(rows, "features", names)
+    return named.select(F.col("cell_id").cast("bigint").alias("cell_id"), "name", r6("value"))
+
+
 @query
 def metrics_csv(spark, sf):
     by = ["modality", "fold"]
@@ -1020,5 +1045,14 @@ def image_resize(spark, sf):
 def image_manifest_join(spark, sf):
     file = F.concat(F.lit("/data/img"), F.col("cell_id").cast("string"), F.lit(".png"))
     manifest = cells(spark, sf).select("cell_id", "y", file.alias("file"))
-    joined = tables.attach_images(manifest, decoded_images(spark, sf))
+    joined = tables.attach_images(manifest, decoded_images(spark, sf)).where(F.col("data").isNotNull())
     return joined.select("cell_id", i64("y"), "file", i64(F.length("data"), "n_bytes"))
+
+
+@query
+def image_manifest_rejects(spark, sf):
+    """Cells whose manifest names a file that is not there."""
+    file = F.concat(F.lit("/data/img"), F.col("cell_id").cast("string"), F.lit(".png"))
+    manifest = cells(spark, sf).select("cell_id", "y", file.alias("file"))
+    joined = tables.attach_images(manifest, decoded_images(spark, sf))
+    return tables.rejected_images(joined).select("cell_id", i64("y"), "file")

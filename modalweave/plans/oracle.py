@@ -386,6 +386,14 @@ FOLD_GRID = (
     "LEFT JOIN cm ON cm.fold = f.fold AND cm.y_true = a AND cm.y_pred = b)"
 )
 add("confusion_matrix", PREDS, confusion("fold"), FOLD_GRID, "SELECT * FROM grid")
+add(
+    "confusion_out_of_grid",
+    PREDS,
+    "seen AS (SELECT fold, nullif(CAST(y_true AS BIGINT), 1) AS y_true, CAST(y_pred AS BIGINT) AS y_pred, 1 AS n "
+    "FROM preds UNION ALL SELECT fold, a, b, 0 FROM (SELECT DISTINCT fold FROM preds), range(3) AS ra(a), "
+    "range(3) AS rb(b))",
+    "SELECT fold, y_true, y_pred, CAST(sum(n) AS BIGINT) AS n FROM seen GROUP BY fold, y_true, y_pred",
+)
 add(
     "confusion_wide",
     PREDS,
@@ -429,7 +437,8 @@ add(
     confusion("fold"),
     per_class("fold"),
     metrics("fold"),
-    f"SELECT 'run_protein+rna_hid4-8_ep250_static_mw3-1_cls1_feat1_mod1' AS model, fold, {SIX} FROM metrics",
+    "SELECT 'run_protein+rna_hid4-8_ep250_static_mw3-1_cls1_feat1_mod1_bs1024_lr0.0001_seed42_73117659ee90' AS model, "
+    f"fold, {SIX} FROM metrics",
 )
 add(
     "metrics_mean_std",
@@ -824,6 +833,15 @@ add(
     "GROUP BY img, (y - dy) // 2, (x - dx) // 2, co)",
     f"SELECT {PIXEL_ROW} FROM sums",
 )
+add(
+    "focal_off_centre",
+    PIXELS,
+    "places AS (SELECT DISTINCT img, CAST(a AS BIGINT) AS y, CAST(b AS BIGINT) AS x "
+    "FROM pixels, range(8) AS ra(a), range(8) AS rb(b))",
+    "sums AS (SELECT o.img, o.y, o.x, 0 AS c, coalesce(p.v * 0.5, 0) + 0.25 AS v FROM places o LEFT JOIN pixels p "
+    "ON p.img = o.img AND p.y = o.y + 5 AND p.x = o.x + 5 AND p.c = 0)",
+    f"SELECT {PIXEL_ROW} FROM sums",
+)
 add(
     "patch_gate",
     PIXELS,
@@ -928,6 +946,12 @@ add(
     "SELECT cell_id, CAST(k AS BIGINT) AS idx, 'gene' || k AS name, round(r[k + 1], 6) + 0.0 AS value "
     "FROM (SELECT *, unnest(range(64)) AS k FROM rna)",
 )
+add(
+    "modality_csv_reordered",
+    RNA,
+    "SELECT cell_id, 'gene' || k AS name, round(r[k + 1], 6) + 0.0 AS value "
+    "FROM (SELECT *, unnest(range(64)) AS k FROM rna)",
+)
 add(
     "metrics_csv",
     PREDS,
@@ -969,3 +993,9 @@ add(
     f"SELECT cell_id, {i64('y')}, 'img' || cell_id || '.png' AS file, CAST(64 AS BIGINT) AS n_bytes "
     "FROM meta JOIN embeddings ON vec_id = cell_id",
 )
+add(
+    "image_manifest_rejects",
+    META,
+    f"SELECT cell_id, {i64('y')}, 'img' || cell_id || '.png' AS file FROM meta "
+    "WHERE cell_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)",
+)

@@ -27,7 +27,7 @@ def image_vectors(
 ) -> DataFrame:
     """Adds ``features``: RGB in [0, 1], resized, as pixels or as means of patch x patch blocks.
 
-    The vector is in (c, y, x) order. ``flip`` draws the two flips of each image from a
+    The vector is in (c, y, x) order, NULL for a row without a decoded image. ``flip`` draws the two flips of each image from a
     hash of seed, epoch and file name, so retries and other partitions give the same image.
     """
     keep = [c for c in images.columns if c not in ("height", "width", "channels", "data")]
@@ -37,6 +37,8 @@ def image_vectors(
     schema = images.select(*keep).schema.add("features", T.ArrayType(T.DoubleType()))
 
     def vector(h, w, c, data, bits):
+        if h is None or data is None:
+            return None
         img = np.frombuffer(data, np.uint8).reshape(h, w, c)
         img = img[:, :, :3][:, :, ::-1] if c >= 3 else np.repeat(img[:, :, :1], 3, axis=2)
         if bits & 1:

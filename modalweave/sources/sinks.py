@@ -21,6 +21,9 @@ def confusion_wide(matrix: DataFrame, value: str, n_classes: int) -> DataFrame:
 
 
 def write_confusion(matrix: DataFrame, value: str, n_classes: int, path: str) -> None:
+    outside = [F.col(c).isNull() | ~F.col(c).between(0, n_classes - 1) for c in ("y_true", "y_pred")]
+    if not matrix.where(outside[0] | outside[1]).isEmpty():
+        raise ValueError(f"the matrix has labels outside 0 to {n_classes - 1}, which the file has no place for")
     wide = confusion_wide(matrix, value, n_classes).coalesce(1).sortWithinPartitions("y_true")
     wide.drop("y_true").write.mode("overwrite").csv(path, header=False)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +27,38 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in META_SCHEMA])
 
 
-def read_modality(spark: SparkSession, path: str, key: str = "cell_id", max_columns: int = 100_000):
+def read_modality(spark: SparkSession, path: str, key: str = "cell_id"):
     """Wide CSV (key + one numeric column per feature) as ``(key, features)`` and its column names.
 
-    Only the header line is read on the driver; values are parsed by the executors.
-    Convert once to parquet, the wide text form is for exchange only.
+    Files may order their columns differently: a column is matched by its name, in the order of the
+    first file; files of other columns are an error. The driver receives one header line for each order
+    and the names of its files; values are parsed by the executors. Convert once to parquet, the wide
+    text form is for exchange only.
     """
-    raw = spark.read.csv(path, header=True, maxColumns=max_columns)
-    names = [c for c in raw.columns if c != key]
-    return raw.select(key, to_vector(names).alias("features")), names
+    lines = spark.read.text(path)
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    order = F.monotonically_increasing_id()
+    headers = (
+        lines.select(name.alias("file"), start.alias("start"), "value", order.alias("order"))
+        .where((F.col("start") == 0) & (F.trim("value") != ""))
+        .groupBy("file")
+        .agg(F.min_by("value", "order").alias("header"))
+        .groupBy("header")
+        .agg(F.sort_array(F.collect_list("file")).alias("files"))
+        .orderBy(F.col("files")[0])
+        .collect()
+    )
+    if not headers:
+        raise ValueError(f"no file with a header in {path}")
+    parts, names = [], []
+    for header, files in headers:
+        raw = spark.read.csv(files, header=True, maxColumns=header.count(",") + 2)
+        found = [c for c in raw.columns if c != key]
+        names = names or found
+        if sorted(found) != sorted(names) or key not in raw.columns:
+            raise ValueError(f"{files[0]} has other columns than the files before it")
+        parts.append(raw.select(key, to_vector(names).alias("features")))
+    return reduce(DataFrame.unionByName, parts), names
 
 
 def to_vector(columns: list[str]) -> Column:
@@ -50,14 +75,16 @@ def read_manifest(spark: SparkSession, path: str, key: str = "cell_id") -> DataF
 
 
 def read_images(spark: SparkSession, directory: str) -> DataFrame:
-    """Decoded images of a directory: ``file, height, width, channels, data`` (bytes in BGR order)."""
-    img = spark.read.format("image").option("dropInvalid", True).load(directory)
+    """Images of a directory: ``file, height, width, channels, data`` (bytes in BGR order).
+
+    A file that can't be decoded stays, with NULL in all but its name.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(directory)
+    decoded = F.col("image.height") > 0
+    fields = {"height": "height", "width": "width", "channels": "nChannels", "data": "data"}
     return img.select(
         base_name(F.col("image.origin")).alias("file"),
-        F.col("image.height").alias("height"),
-        F.col("image.width").alias("width"),
-        F.col("image.nChannels").alias("channels"),
-        F.col("image.data").alias("data"),
+        *[F.when(decoded, F.col(f"image.{f}")).alias(n) for n, f in fields.items()],
     )
 
 
@@ -66,8 +93,23 @@ def base_name(path: Column) -> Column:
 
 
 def attach_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """Manifest rows with their image, matched by file name; one image may serve very many rows."""
-    return salted_join(manifest.withColumn("file", base_name(F.col("file"))), images, ["file"])
+    """Manifest rows with their image, matched by file name; one image may serve very many rows.
+
+    A row whose file is missing or can't be decoded stays, with NULL image columns.
+    """
+    return salted_join(manifest.withColumn("file", base_name(F.col("file"))), images, ["file"], "left")
+
+
+def rejected_images(attached: DataFrame) -> DataFrame:
+    """The rows of ``attach_images`` that have no image."""
+    return attached.where(F.col("data").isNull()).drop("height", "width", "channels", "data")
+
+
+def require_images(attached: DataFrame) -> None:
+    """An error that counts the rows without an image and names one of their files."""
+    n, file = rejected_images(attached).agg(F.count(F.lit(1)), F.min("file")).first()
+    if n:
+        raise ValueError(f"{n} manifest rows have no readable image, among them {file}")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

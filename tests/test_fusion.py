@@ -1,10 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from modalweave.config import Config
 from modalweave.operators import fusion as FU
 from modalweave.operators import training as TR
+from modalweave.operators.baselines import dense_net
+from modalweave.operators.blocks import as_matrix
 from modalweave.plans import experiment as E
 
 WIDTHS = {"a": 3, "b": 4}
@@ -241,3 +244,34 @@ def test_scoring_works_on_a_stream(spark, tmp_path):
     got = {r["cell_id"]: r["prob"] for r in spark.table("scored").collect()}
     want = {r["cell_id"]: r["prob"] for r in FU.score(rows, {0: p}, cfg, ["cell_id"]).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("size,batches", [(40, 1), (16, 3), (7, 6)])
+def test_an_epoch_reads_every_batch(spark, size, batches):
+    cfg = config(dropout=0.0, batch_size=size, epochs=2)
+    fit = TR.train(frame(spark), [0], WIDTHS, cfg)
+    assert fit.steps == {0: 2 * batches}
+
+
+def test_dense_net_takes_its_classes_from_the_labels(spark):
+    rows = [(f"c{i}", i % 2, i % 5, [float(i % 5 == j) for j in range(5)]) for i in range(40)]
+    cells = spark.createDataFrame(rows, "cell_id string, donor int, y int, features array<double>")
+    assert dense_net(cells, batch_size=8).count() == 40
+
+
+def test_vectors_of_unequal_length_are_an_error():
+    ragged = pa.array([[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]])
+    with pytest.raises(ValueError, match="lengths"):
+        as_matrix(ragged)
+    with pytest.raises(ValueError, match="lengths"):
+        as_matrix(pa.array([[1.0, 2.0]]), 3)
+    assert as_matrix(pa.array([None, None], pa.list_(pa.float64()))).shape == (2, 0)
+    assert as_matrix(pa.array([None, [1.0, 2.0]])).tolist() == [[0.0, 0.0], [1.0, 2.0]]
+
+
+def test_rows_without_a_fold_are_not_scored(spark):
+    cfg = config()
+    rows = frame(spark).withColumn("fold", F.lit(None).cast("bigint"))
+    scored = FU.score(rows, {0: FU.init_params(cfg, WIDTHS)}, cfg, ["cell_id"], ("logits",))
+    with pytest.raises(Exception, match="without a fold"):
+        scored.collect()

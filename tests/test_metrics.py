@@ -51,6 +51,13 @@ def test_grid_and_fold_statistics(spark):
     assert one["f1_sd_samp"] is None and one["n_folds"] == 1
 
 
+def test_labels_outside_the_grid_are_counted(spark):
+    rows = [(0, 0, 0), (0, None, 1), (0, 5, 0)]
+    df = spark.createDataFrame(rows, "fold int, y_true int, y_pred int")
+    grid = M.confusion_grid(M.confusion(df, ["fold"]), ["fold"], 2)
+    assert grid.count() == 6 and grid.agg(F.sum("n")).first()[0] == 3
+
+
 def test_best_epoch_is_the_earliest_of_ties(spark):
     log = spark.createDataFrame(
         [(0, 10, 0.4), (0, 20, 0.6), (0, 30, 0.6), (0, 35, 0.9), (1, 10, 0.0)], "fold int, epoch int, f1_macro double"

@@ -32,16 +32,38 @@ def test_csv_tables(spark, tmp_path):
     assert {r["cell_id"]: r["features"] for r in rows.collect()} == {"a": [0.5, 1.0], "b": [2.25, -3.0]}
 
 
+def test_columns_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "rna"
+    folder.mkdir()
+    (folder / "1.csv").write_text("cell_id,g1,g2\na,1,2\n")
+    (folder / "2.csv").write_text("g2,cell_id,g1\n20,b,10\n")
+    (folder / "3.csv").write_text("cell_id,g1,g2\nc,5,\n")
+    rows, names = tables.read_modality(spark, str(folder))
+    assert names == ["g1", "g2"]
+    got = {r["cell_id"]: r["features"] for r in rows.collect()}
+    assert got == {"a": [1.0, 2.0], "b": [10.0, 20.0], "c": [5.0, None]}
+    (folder / "4.csv").write_text("cell_id,g1,g3\nd,1,2\n")
+    with pytest.raises(ValueError, match="other columns"):
+        tables.read_modality(spark, str(folder))
+
+
 def test_images_end_to_end(spark, tmp_path):
     folder = tmp_path / "img"
     folder.mkdir()
     png(folder / "one.png", 8, 4, lambda x, y: (255 if x < 4 else 0, 0, 51))
     png(folder / "two.png", 4, 4, lambda x, y: (0, 255, 0))
-    (tmp_path / "manifest.csv").write_text("cell_id,file\na,one.png\nb,sub/two.png\nc,gone.png\n")
+    (tmp_path / "manifest.csv").write_text("cell_id,file\na,one.png\nb,sub/two.png\nc,gone.png\nd,bad.png\n")
+    (folder / "bad.png").write_bytes(b"no image")
     manifest = tables.read_manifest(spark, str(tmp_path / "manifest.csv"))
     joined = tables.attach_images(manifest, tables.read_images(spark, str(folder)))
     vectors = {r["cell_id"]: r["features"] for r in images.image_vectors(joined, size=2, patch=None).collect()}
-    assert set(vectors) == {"a", "b"}
+    assert set(vectors) == {"a", "b", "c", "d"}
+    assert vectors["c"] is None and vectors["d"] is None
+    assert {r["cell_id"] for r in tables.rejected_images(joined).collect()} == {"c", "d"}
+    with pytest.raises(ValueError, match="2 manifest rows"):
+        tables.require_images(joined)
+    joined = joined.where("cell_id IN ('a', 'b')")
+    tables.require_images(joined)
     assert vectors["a"] == pytest.approx([1, 0, 1, 0, 0, 0, 0, 0, 0.2, 0.2, 0.2, 0.2])
     assert vectors["b"] == pytest.approx([0] * 4 + [1] * 4 + [0] * 4)
     whole = images.image_vectors(joined, size=64, patch=8).first()["features"]
@@ -50,6 +72,13 @@ def test_images_end_to_end(spark, tmp_path):
     assert [1, 0, 1, 0] in flipped and [0, 1, 0, 1] in flipped
 
 
+def test_focal_sum_returns_every_output(spark):
+    px = pixel_frame(spark, 3, 3, lambda y, x: 3 * y + x)
+    got = as_grid(R.focal_sum(px, [(1, 1, 0, 0, 1.0)], (3, 3), bias=[0.5]))
+    assert len(got) == 9 and sorted(got.values()) == sorted([4.5, 5.5, 7.5, 8.5] + [0.5] * 5)
+    assert len(as_grid(R.focal_sum(px, [(1, 1, 0, 0, 1.0)], (3, 3), stride=2, bias=[0.5]))) == 4
+
+
 def test_manifest_needs_one_file_column(spark, tmp_path):
     (tmp_path / "m.csv").write_text("cell_id,a,b\nx,1,2\n")
     with pytest.raises(ValueError):
@@ -114,4 +143,6 @@ def test_config_checks():
             Config(**bad)
     with pytest.raises(ValueError):
         check_pairwise(["a", "b", "c"])
-    assert Config().with_(epochs=3).run_name != Config().run_name
+    for change in (dict(epochs=3), dict(dropout=0.1), dict(seed=1), dict(keep="last"), dict(val_fraction=0.3)):
+        assert Config().with_(**change).run_name != Config().run_name
+    assert Config(results="elsewhere").run_name == Config().run_name

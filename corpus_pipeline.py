@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mix),
     ("packing", pack),
 ]
-#: SQL has neither the language model, nor XXH64, nor the tokenizer. tests/llm test the operators; run() has no test yet.
+#: SQL has neither the language model, nor XXH64, nor the tokenizer; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 

@@ -42,7 +42,6 @@ from modalweave.sources.roles import (
     doc_rna,
     load,
 )
-from modalweave.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,8 +198,7 @@ def missing_modality_rows(spark, sf):
 
 @query
 def dedup_keep_first(spark, sf):
-    lines = spread(load(spark, sf, "lineitem"), "l_orderkey")
-    first = K.keep_first(lines, ["l_orderkey", "l_linenumber"])
+    first = K.keep_first(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
     return first.withColumn("l_linenumber", i64("l_linenumber")).withColumn(
         "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")
     )

@@ -110,14 +110,3 @@ def require_images(attached: DataFrame) -> None:
     n, file = rejected_images(attached).agg(F.count(F.lit(1)), F.min("file")).first()
     if n:
         raise ValueError(f"{n} manifest rows have no readable image, among them {file}")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over the cores by its key before heavy per-row work.
-
-    The partitioning is the one that joins and aggregates on the key need, so it
-    replaces a later shuffle. A table of many files already has enough partitions and
-    is returned unchanged. For plain scans only: ``rdd`` would run a shuffled plan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

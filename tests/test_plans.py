@@ -59,3 +59,8 @@ def test_expanding_folds_adds_no_exchange(spark):
 def test_scan_reads_only_the_needed_columns(spark):
     plan = plan_of(queries()["confusion_matrix"](spark, SMALL))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["dedup_keep_first", "modality_width"])
+def test_raw_rows_are_not_shuffled(spark, name):
+    assert "REPARTITION" not in plan_of(queries()[name](spark, SMALL))

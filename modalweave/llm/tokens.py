@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own pre-tokenisation always cuts: before ASCII white space, and between an ASCII
 letter or digit and the punctuation that ends its word. The ids of a text are therefore those of its chunks, one after
 another, and a chunk met before in the same worker need not be encoded again. How many chunks a worker remembers is a
-parameter; beyond it all are forgotten and encoded anew when they come again, so memory is bounded and ids never change.
+parameter: they are held in two generations of that size, and a chunk met again moves to the younger. When the younger is
+full, the elder is forgotten, so frequent chunks stay, memory is bounded and ids never change.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ CHUNK = re.compile(rb"\s*\S+|\s+")
 TWO_SPACES = re.compile(rb"\s\s")
 #: A word that ends in ASCII punctuation: both parts are always encoded apart.
 TAIL = re.compile(rb"(.*[0-9A-Za-z])([!-/:-@\[-`{-~]+)", re.S)
-#: Chunks remembered by a worker, about 200 bytes each.
-MEMORY = 1_000_000
+#: Chunks in each of the two generations that a worker remembers, about 200 bytes each.
+MEMORY = 250_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
 MARK = "<|endoftext|>"
 
@@ -34,11 +35,12 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self.mark = self.marked.token_to_id(MARK)
+        self.mark = self.plain.token_to_id(MARK)
         self.spaces, self.memory = spaces, memory
         self.known: dict[bytes, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
         self.unsafe: set[bytes] = set()
 
     @classmethod
@@ -52,11 +54,19 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _marked(self, text: str) -> np.ndarray:
+        """The ids of a text in which marks count as marks."""
+        self.plain.encode_special_tokens = False
+        try:
+            return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        finally:
+            self.plain.encode_special_tokens = True
+
     def _together(self, chunks: list[bytes]) -> None:
         for lo in range(0, len(chunks), 2048):
             part = chunks[lo : lo + 2048]
             texts = [c.decode() for c in part]
-            ids = np.array(self.marked.encode_batch_fast([MARK.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._marked(MARK.join(texts))
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1 or any("<|" in t for t in texts):
                 self.known.update((c, self._whole(t)) for c, t in zip(part, texts, strict=True))
@@ -70,6 +80,10 @@ class ChunkEncoder:
     def _learn(self, missing: set[bytes]) -> None:
         cut, plain = [], set()
         for c in missing:
+            ids = self.elder.get(c)
+            if ids is not None:
+                self.known[c] = ids
+                continue
             found = TAIL.fullmatch(c)
             if found:
                 cut.append((c, *found.groups()))
@@ -79,6 +93,8 @@ class ChunkEncoder:
                 last = c[-3:].decode("utf-8", "ignore")[-1:]
                 if not c.isascii() and last.isspace() and not last.isascii():
                     self.unsafe.add(c)  # with white space after it, the run of white space would be cut
+        for c in plain & self.elder.keys():
+            self.known[c] = self.elder[c]
         self._together([c for c in plain if c not in self.known])
         for c, stem, tail in cut:
             self.known[c] = self.known[stem] + self.known[tail]
@@ -99,7 +115,8 @@ class ChunkEncoder:
             part = texts[lo : lo + 64]
             words = [self.split(t) for t in part]
             if len(self.known) > self.memory:
-                self.known, self.unsafe = {}, set()
+                self.unsafe.intersection_update(self.known)
+                self.known, self.elder = {}, self.known
             found = [list(map(self.known.get, w)) for w in words]
             missing = set()
             for w, ids in zip(words, found, strict=True):

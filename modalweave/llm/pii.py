@@ -48,22 +48,24 @@ DATES = {"iso": "yyyy{0}MM{0}dd", "dmy": "dd{0}MM{0}yyyy", "mdy": "MM{0}dd{0}yyy
 CANDIDATE = "|".join(PATTERNS.values())
 
 
-def hashed(key: str, *parts: Column) -> Column:
-    """48 keyed bits."""
+def hashed(key: str, *parts: Column, hexits: int | Column = 12) -> Column:
+    """48 keyed bits, or four times as many as `hexits`, at most 60."""
     text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
+    hexits = F.lit(hexits) if isinstance(hexits, int) else hexits
+    return F.conv(F.substring(F.sha2(text, 256), F.lit(1), hexits), 16, 10).cast("long")
 
 
 def feistel(key: str, tweak: Column, u: Column, v: Column, a: Column, b: Column, inverse: bool) -> Column:
     """A permutation of the pairs u < a, v < b, as a struct (u, v)."""
     rounds = F.sequence(F.lit(ROUNDS if inverse else 1), F.lit(1 if inverse else ROUNDS))
     sign = -1 if inverse else 1
+    hexits = F.when(b > 10**11, 15).otherwise(12)  # 48 bits don't reach all of a larger domain
 
     def step(state: Column, r: Column) -> Column:
         u, v = state["u"], state["v"]
         odd = r % 2 == 1
-        new_u = F.when(odd, F.pmod(u + sign * F.pmod(hashed(key, tweak, r, v), a), a)).otherwise(u)
-        new_v = F.when(odd, v).otherwise(F.pmod(v + sign * F.pmod(hashed(key, tweak, r, u), b), b))
+        new_u = F.when(odd, F.pmod(u + sign * F.pmod(hashed(key, tweak, r, v, hexits=hexits), a), a)).otherwise(u)
+        new_v = F.when(odd, v).otherwise(F.pmod(v + sign * F.pmod(hashed(key, tweak, r, u, hexits=hexits), b), b))
         return F.struct(new_u.alias("u"), new_v.alias("v"))
 
     start = F.struct(u.cast("long").alias("u"), v.cast("long").alias("v"))
@@ -71,7 +73,7 @@ def feistel(key: str, tweak: Column, u: Column, v: Column, a: Column, b: Column,
 
 
 def power(n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(12)]), (n + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(18)]), (n + 1).cast("int"))
 
 
 def digits(text: Column) -> Column:
@@ -79,7 +81,7 @@ def digits(text: Column) -> Column:
 
 
 def permuted_digits(key: str, tweak: Column, number: Column, inverse: bool) -> Column:
-    """A string of 2 to 20 digits to another of the same length."""
+    """A string of 2 to 34 digits to another of the same length."""
     n = F.length(number)
     half = (n / 2).cast("int")
     u, v = F.substring(number, F.lit(1), half).cast("long"), F.substring(number, half + 1, n - half).cast("long")
@@ -179,7 +181,7 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
     def account() -> tuple[Column, Column]:
         plain = F.regexp_replace(value, " ", "")
         country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-        valid = (remainder97(F.concat(body, F.substring(plain, 1, 4))) == 1) & (F.length(digits(body)).between(2, 20))
+        valid = (remainder97(F.concat(body, F.substring(plain, 1, 4))) == 1) & (F.length(digits(body)).between(2, 34))
         new = laid_out(body, permuted_digits(key, F.concat_ws("|", F.lit("iban"), country), digits(body), inverse))
         check = F.lpad((F.lit(98) - remainder97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
         return valid, laid_out(value, F.concat(check, digits(new)))

@@ -11,6 +11,11 @@ shifted in their alphabets by a Feistel network over its two halves.
 A month-first date is one that can't be read day first; its pseudonym keeps the layout but may read either way, so of all
 kinds it alone isn't always taken back by the key.
 
+A candidate that fails its check takes no text with it: the search goes on one character after its beginning. Values are taken
+from left to right, and a taken value hides those that begin within it. Where a value lies within a rejected candidate or
+overlaps one, the candidate may become valid by the pseudonym (1 in 97 for account numbers, 1 in 10 for cards); then the
+key doesn't take that value back.
+
 Everything is an expression on one row: no shuffle, and nothing depends on how often a value occurs.
 
 Defined results: a null text stays null, an empty one empty; texts without candidates come back unchanged; repeated rows
@@ -30,10 +35,44 @@ ROUNDS = 8
 # Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 YEAR, MONTH, DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD TG",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def account_pattern() -> str:
+    """By the country's length; other countries, or other lengths, as far as groups go on."""
+    own = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        own.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    other = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*own, other])})(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": account_pattern(),
     "iso": rf"(?<![0-9./-]){YEAR}(?:-{MONTH}-{DAY}|/{MONTH}/{DAY}|\.{MONTH}\.{DAY})(?![0-9/-]|\.[0-9])",
     "dmy": rf"(?<![0-9./-]){DAY}(?:-{MONTH}-|/{MONTH}/|\.{MONTH}\.){YEAR}(?![0-9/-]|\.[0-9])",
     "mdy": rf"(?<![0-9./-]){MONTH}(?:-{DAY}-|/{DAY}/){YEAR}(?![0-9/-]|\.[0-9])",
@@ -232,36 +271,71 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
     return {k: kinds[k]() if k in kinds else date(k) for k in PATTERNS}
 
 
-def pseudonymised(text: Column, key: str, inverse: bool = False) -> Column:
-    """An array of (kind, original, value) of all candidates in order; kind is null where nothing is replaced."""
+def checked(key: str, value: Column, inverse: bool) -> Column:
+    """The kind of a candidate, null if it is no valid value."""
+    options, kind = pseudonym(key, value, inverse), F.lit(None).cast("string")
+    for k in reversed(PATTERNS):
+        kind = F.when(value.rlike("^(?:" + PATTERNS[k] + ")$") & options[k][0], k).otherwise(kind)
+    return kind
 
-    def replaced(value: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), value
-        options = pseudonym(key, value, inverse)
-        for k in reversed(PATTERNS):
-            valid, own = options[k]
-            matches = value.rlike("^(?:" + PATTERNS[k] + ")$")
-            kind = F.when(matches & valid, k).otherwise(kind)
-            new = F.when(matches & valid, own).otherwise(new)
-        return F.struct(kind.alias("kind"), value.alias("original"), new.alias("value"))
 
-    matches = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    return F.transform(matches, replaced)
+def chosen(candidates: Column, pieces: Column) -> Column:
+    """For each piece of the text, which begins with a candidate: whether that is replaced, and how many of the piece's
+    first characters belong to a value replaced before. From left to right a valid candidate is taken, and what it covers
+    is not tried again; an invalid one takes nothing with it.
+    """
+    start = F.struct(F.lit(0).alias("covered"), F.lit("").alias("out"))
+
+    def step(state: Column, i: Column) -> Column:
+        candidate, length = F.get(candidates, i), F.length(F.get(pieces, i))
+        take = (state["covered"] == 0) & candidate["kind"].isNotNull()
+        reach = F.when(take, F.length(candidate["original"])).otherwise(state["covered"])
+        told = F.concat(F.when(take, "+").otherwise("-"), state["covered"].cast("string"), F.lit(" "))
+        return F.struct(F.greatest(reach - length, F.lit(0)).alias("covered"), F.concat(state["out"], told).alias("out"))
+
+    # One short text instead of an array, which every step would copy.
+    return F.split(F.aggregate(F.sequence(F.lit(0), F.size(candidates) - 1), start, step)["out"], " ")
 
 
 def replace_personal(df: DataFrame, text_col: str, key: str, inverse: bool = False) -> DataFrame:
     """The rows of df as `row`, beside text (with pseudonyms) and found: an array of (kind, original, value)."""
-    text = F.col(text_col).cast("string")
-    rows = df.select(whole_row(df).alias("row"), text.alias("text"))
+    rows = df.select(whole_row(df).alias("row"), F.col(text_col).cast("string").alias("text"))
+    # A candidate at every place where one begins, also within others; the text is cut at these places.
+    values = F.regexp_extract_all("text", F.lit(f"(?=({CANDIDATE}))"), F.lit(1))
+    values = F.when(F.col("text").rlike("[0-9@]"), values).otherwise(F.array().cast("array<string>"))
+    candidates = F.transform(values, lambda v: F.struct(checked(key, v, inverse).alias("kind"), v.alias("original")))
+    rows = rows.withColumn("candidates", candidates)
+    some = F.size("candidates") > 0
+    rows = rows.withColumn("pieces", F.when(some, F.split("text", f"(?={CANDIDATE})", -1)))
+    # What lies before the first candidate; there is no such piece if the text begins with one.
+    before = F.size("pieces") - F.size("candidates")
+    rows = rows.withColumn("head", F.when(before == 1, F.get("pieces", F.lit(0))).otherwise(""))
+    rows = rows.withColumn("pieces", F.slice("pieces", before + 1, F.size("candidates")))
+    rows = rows.withColumn("chosen", F.when(some, chosen(F.col("candidates"), F.col("pieces"))))
+
+    def new(i: Column) -> Column:
+        candidate, told = F.get("candidates", i), F.get("chosen", i)
+        piece, kind = F.get("pieces", i), F.when(told.startswith("+"), candidate["kind"])
+        covered = F.when(kind.isNotNull(), F.length(candidate["original"])).otherwise(F.substring(told, 2, 9).cast("int"))
+        rest = F.substring(piece, covered + 1, F.length(piece))
+        return F.struct(kind.alias("kind"), candidate["original"].alias("original"), rest.alias("rest"))
+
+    def replaced(found: Column) -> Column:
+        options, value = pseudonym(key, found["original"], inverse), F.lit("")
+        for k in reversed(PATTERNS):
+            value = F.when(found["kind"] == k, options[k][1]).otherwise(value)
+        return found.withField("value", value)
+
+    places = F.sequence(F.lit(0), F.size("candidates") - 1)
+    rows = rows.withColumn("found", F.when(some, F.transform(F.transform(places, new), replaced)))
+    joined = F.array_join(F.transform("found", lambda f: F.concat(f["value"], f["rest"])), "")
+    rows = rows.withColumn("new", F.when(some, F.concat("head", joined)).otherwise(F.col("text")))
+    taken = F.transform(
+        F.filter("found", lambda f: f["kind"].isNotNull()),
+        lambda f: F.struct(f["kind"].alias("kind"), f["original"].alias("original"), f["value"].alias("value")),
+    )
     nothing = F.array().cast("array<struct<kind:string,original:string,value:string>>")
-    candidates = pseudonymised(F.col("text"), key, inverse)
-    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), candidates).otherwise(nothing))
-    pieces = F.split("text", CANDIDATE, -1)
-    values = F.concat(F.transform("found", lambda f: f["value"]), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, values, lambda a, b: F.concat(a, b)), "")
-    rows = rows.withColumn("new", F.when(F.size("found") > 0, joined).otherwise(F.col("text")))
-    replaced = F.filter("found", lambda f: f["kind"].isNotNull())
-    return rows.select("row", F.col("new").alias("text"), replaced.alias("found"))
+    return rows.select("row", F.col("new").alias("text"), F.coalesce(taken, nothing).alias("found"))
 
 
 def pseudonyms(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:

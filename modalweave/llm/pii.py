@@ -8,6 +8,8 @@ Layout, length, country codes and mail domains stay; check digits are computed a
 1800 on, the span after which the calendar repeats (146,097 = 189 x 773 days). The letters and digits of a mail name are
 shifted in their alphabets by a Feistel network over its two halves.
 
+A date whose day or month is one digit moves among those with as many digits in either place.
+
 A month-first date is one that can't be read day first; its pseudonym keeps the layout but may read either way, so of all
 kinds it alone isn't always taken back by the key.
 
@@ -34,7 +36,7 @@ from modalweave.llm.common import whole_row
 ROUNDS = 8
 # Patterns of the kinds, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-YEAR, MONTH, DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+YEAR, MONTH, DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12][0-9]|3[01])"
 #: Lengths of account numbers by country.
 IBAN_LENGTHS = {
     15: "NO",
@@ -69,6 +71,17 @@ def account_pattern() -> str:
     return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*own, other])})(?![A-Za-z0-9])"
 
 
+# Groups of a card: 4-4-4-4-3, 4-4-4-4, 4-6-5 and 4-6-4 digits, with spaces or hyphens.
+CARD = "|".join(
+    m.join(f"[0-9]{{{n}}}" for n in groups)
+    for groups in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+    for m in (" ", "-")
+)
+#: A further group of a phone number, where no card begins; 7 to 15 digits before the end; no more digits behind it.
+GROUP = rf"(?:[ .-](?!(?:{CARD})(?![0-9]|[ -][0-9]{{4}}))[0-9]{{1,12}})"
+DIGIT = "[ .()-]{0,2}[0-9]"  # written out, as Java wants to see how far it looks behind
+PHONE_DIGITS = rf"(?<=\+{DIGIT * 7}{f'(?:{DIGIT}' * 8}{')?' * 8})"
+AFTER = r"(?![0-9]|[.-][0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
@@ -77,13 +90,15 @@ PATTERNS = {
     "dmy": rf"(?<![0-9./-]){DAY}(?:-{MONTH}-|/{MONTH}/|\.{MONTH}\.){YEAR}(?![0-9/-]|\.[0-9])",
     "mdy": rf"(?<![0-9./-]){MONTH}(?:-{DAY}-|/{DAY}/){YEAR}(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}"
-    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\+[0-9]{8,15}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
-    r"|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\)[ .-]?[0-9]{{3,4}}[ .-][0-9]{{3,4}}{AFTER}"
+    rf"|\+[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\)[ .-]?[0-9]{{1,12}}{GROUP}{{0,5}}{PHONE_DIGITS}"
+    rf"|\+[0-9]{{1,3}}{GROUP}{{1,6}}{PHONE_DIGITS}|\+[0-9]{{8,15}}"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+    rf"|[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}|[0-9]{{3}} [0-9]{{3}} [0-9]{{4}}){AFTER}",
+    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|{CARD})(?![0-9])",
 }
 DATES = {"iso": "yyyy{0}MM{0}dd", "dmy": "dd{0}MM{0}yyyy", "mdy": "MM{0}dd{0}yyyy"}
+ORDERS = {"iso": "ymd", "dmy": "dmy", "mdy": "mdy"}
 CANDIDATE = "|".join(PATTERNS.values())
 
 
@@ -111,6 +126,11 @@ def feistel(key: str, tweak: Column, u: Column, v: Column, a: Column, b: Column,
     return F.aggregate(rounds, start, step)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def power(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(18)]), (n + 1).cast("int"))
 
@@ -125,7 +145,7 @@ def permuted_digits(key: str, tweak: Column, number: Column, inverse: bool) -> C
     half = (n / 2).cast("int")
     u, v = F.substring(number, F.lit(1), half).cast("long"), F.substring(number, half + 1, n - half).cast("long")
     new = feistel(key, F.concat_ws("|", tweak, n), u, v, power(half), power(n - half), inverse)
-    return F.concat(F.lpad(new["u"].cast("string"), half, "0"), F.lpad(new["v"].cast("string"), n - half, "0"))
+    return let(new, lambda x: F.concat(F.lpad(x["u"].cast("string"), half, "0"), F.lpad(x["v"].cast("string"), n - half, "0")))
 
 
 def laid_out(layout: Column, number: Column) -> Column:
@@ -140,6 +160,37 @@ def laid_out(layout: Column, number: Column) -> Column:
     return F.array_join(F.transform(places, character), "")
 
 
+def moved_day(key: str, year: Column, month: Column, day: Column, inverse: bool) -> tuple[Column, Column]:
+    """Dates whose day or month is one digit: whether there is such a day, and another with as many digits in both places.
+
+    The result is a struct of strings (y, m, d). February 29 moves among the 97 leap years.
+    """
+    width = F.concat(F.length(month).cast("string"), F.length(day).cast("string"))
+    last = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    sizes = {"11": (9, 9), "21": (12, 9), "12": (9, 31)}
+    every = {
+        w: F.lit([f"{m}-{d}" for m in range(1, months + 1) for d in range(1, min(days, last[m - 1]) + 1)])
+        for w, (months, days) in sizes.items()
+    }
+    places = F.when(width == "11", every["11"]).when(width == "21", every["21"]).otherwise(every["12"])
+    leap = F.lit([str(y) for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)])
+    place = F.concat_ws("-", month.cast("int").cast("string"), day.cast("int").cast("string"))
+    extra = (place == "2-29") & (width == "12")
+    at = F.when(extra, F.array_position(leap, year)).otherwise(F.array_position(places, place))
+    own = F.when(extra, 0).otherwise(year.cast("long") - 1800)
+    size = F.when(extra, F.size(leap)).otherwise(F.size(places)).cast("long")
+    years = F.when(extra, 1).otherwise(400).cast("long")
+    tweak = F.concat_ws("|", F.lit("date"), width, extra.cast("string"))
+
+    def written(new: Column) -> Column:
+        y = F.when(extra, F.element_at(leap, (new["v"] + 1).cast("int"))).otherwise((new["u"] + 1800).cast("string"))
+        parts = F.split(F.when(extra, place).otherwise(F.get(places, new["v"].cast("int"))), "-")
+        m, d = F.lpad(parts[0], F.length(month), "0"), F.lpad(parts[1], F.length(day), "0")
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    return at > 0, let(feistel(key, tweak, own, at - 1, years, size, inverse), written)
+
+
 def luhn_sum(number: Column, doubled: int) -> Column:
     """Sum of the digits, from the right, every second one doubled, beginning with the digit `doubled` (0 or 1)."""
     n = F.length(number)
@@ -221,9 +272,13 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
         plain = F.regexp_replace(value, " ", "")
         country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         valid = (remainder97(F.concat(body, F.substring(plain, 1, 4))) == 1) & (F.length(digits(body)).between(2, 34))
-        new = laid_out(body, permuted_digits(key, F.concat_ws("|", F.lit("iban"), country), digits(body), inverse))
-        check = F.lpad((F.lit(98) - remainder97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-        return valid, laid_out(value, F.concat(check, digits(new)))
+
+        def numbered(number: Column) -> Column:
+            new = laid_out(body, number)
+            check = F.lpad((F.lit(98) - remainder97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+            return let(F.concat(check, number), lambda x: laid_out(value, x))
+
+        return valid, let(permuted_digits(key, F.concat_ws("|", F.lit("iban"), country), digits(body), inverse), numbered)
 
     def date(kind: str) -> tuple[Column, Column]:
         mark = F.regexp_extract(value, "[./-]", 0)
@@ -233,7 +288,13 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
         a, b = F.lit(189).cast("long"), F.lit(773).cast("long")
         new = feistel(key, F.lit("date"), (n / 773).cast("long"), F.pmod(n, F.lit(773)), a, b, inverse)
         moved = F.date_add(F.lit("1800-01-01").cast("date"), (new["u"] * 773 + new["v"]).cast("int"))
-        return day.isNotNull(), F.regexp_replace(F.date_format(moved, form), F.lit("-"), mark)
+        parts = {c: F.element_at(F.split(value, "[./-]"), i + 1) for i, c in enumerate(ORDERS[kind])}
+        short = (F.length(parts["m"]) == 1) | (F.length(parts["d"]) == 1)
+        known, other = moved_day(key, parts["y"], parts["m"], parts["d"], inverse)
+        told = let(other, lambda x: F.concat_ws("-", *[x[c] for c in ORDERS[kind]]))
+        valid = F.when(short, known).otherwise(day.isNotNull())
+        moved = F.when(short, told).otherwise(F.date_format(moved, form))
+        return valid, F.regexp_replace(moved, F.lit("-"), mark)
 
     def security() -> tuple[Column, Column]:
         area, group, serial = [F.element_at(F.split(value, "-"), i).cast("long") for i in (1, 2, 3)]
@@ -251,14 +312,18 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
         code = F.when(~value.startswith("+"), 0).when(separated > 0, separated).otherwise(2)
         fixed, rest = F.substring(all_digits, F.lit(1), code), F.substring(all_digits, code + 1, F.length(all_digits))
         new = permuted_digits(key, F.concat_ws("|", F.lit("phone"), fixed), rest, inverse)
-        return F.length(all_digits).between(7, 15), laid_out(value, F.concat(fixed, new))
+        return F.length(all_digits).between(7, 15), let(F.concat(fixed, new), lambda x: laid_out(value, x))
 
     def card() -> tuple[Column, Column]:
         all_digits = digits(value)
         body = F.substring(all_digits, F.lit(1), F.length(all_digits) - 1)
-        new = permuted_digits(key, F.lit("card"), body, inverse)
-        check = F.pmod(F.lit(10) - F.pmod(luhn_sum(new, 0), F.lit(10)), F.lit(10)).cast("string")
-        return F.pmod(luhn_sum(all_digits, 1), F.lit(10)) == 0, laid_out(value, F.concat(new, check))
+
+        def numbered(new: Column) -> Column:
+            check = F.pmod(F.lit(10) - F.pmod(luhn_sum(new, 0), F.lit(10)), F.lit(10)).cast("string")
+            return let(F.concat(new, check), lambda x: laid_out(value, x))
+
+        valid = F.pmod(let(all_digits, lambda x: luhn_sum(x, 1)), F.lit(10)) == 0
+        return valid, let(permuted_digits(key, F.lit("card"), body, inverse), numbered)
 
     kinds: dict[str, Callable[[], tuple[Column, Column]]] = {
         "email": mail,
@@ -272,11 +337,23 @@ def pseudonym(key: str, value: Column, inverse: bool) -> dict[str, tuple[Column,
 
 
 def checked(key: str, value: Column, inverse: bool) -> Column:
-    """The kind of a candidate, null if it is no valid value."""
+    """A candidate and its kind, null if it is no valid value."""
     options, kind = pseudonym(key, value, inverse), F.lit(None).cast("string")
     for k in reversed(PATTERNS):
         kind = F.when(value.rlike("^(?:" + PATTERNS[k] + ")$") & options[k][0], k).otherwise(kind)
-    return kind
+    return F.struct(kind.alias("kind"), value.alias("original"))
+
+
+def recognised(key: str, value: Column, inverse: bool) -> Column:
+    """A candidate and its kind. Of 19 digits in groups that are no card, the first 16 may be one."""
+
+    def shorter(found: Column) -> Column:
+        head = F.substring(found["original"], 1, 19)
+        grouped = found["kind"].isNull() & found["original"].rlike("^[0-9]{4}([ -])(?:[0-9]{4}\\1){3}[0-9]{3}$")
+        card = grouped & (F.pmod(let(digits(head), lambda x: luhn_sum(x, 1)), F.lit(10)) == 0)
+        return F.when(card, F.struct(F.lit("card").alias("kind"), head.alias("original"))).otherwise(found)
+
+    return let(checked(key, value, inverse), shorter)
 
 
 def chosen(candidates: Column, pieces: Column) -> Column:
@@ -303,7 +380,7 @@ def replace_personal(df: DataFrame, text_col: str, key: str, inverse: bool = Fal
     # A candidate at every place where one begins, also within others; the text is cut at these places.
     values = F.regexp_extract_all("text", F.lit(f"(?=({CANDIDATE}))"), F.lit(1))
     values = F.when(F.col("text").rlike("[0-9@]"), values).otherwise(F.array().cast("array<string>"))
-    candidates = F.transform(values, lambda v: F.struct(checked(key, v, inverse).alias("kind"), v.alias("original")))
+    candidates = F.transform(values, lambda v: recognised(key, v, inverse))
     rows = rows.withColumn("candidates", candidates)
     some = F.size("candidates") > 0
     rows = rows.withColumn("pieces", F.when(some, F.split("text", f"(?={CANDIDATE})", -1)))

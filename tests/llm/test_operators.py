@@ -283,6 +283,20 @@ def test_rejected_candidates_take_nothing_along(spark):
     assert [len(t) for t in new[:5]] == [len(t) for t in list(texts)[:5]]
 
 
+def test_layouts_of_personal_data(spark):
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "6304 0000 0000 0000 000", "4111 1111 1111 1111"]
+    phones = ["+49 1512 3456789", "+33 6 12 34 56 78", "+44 (0) 20 7946 0958", "555.123.4567", "555 123 4567", "(555) 123.4567"]
+    dates = ["1/5/2024", "3.4.1999", "15/5/2024", "1-12-1987", "2024-1-5", "29/2/2024"]
+    values = [("card", x) for x in cards] + [("phone", x) for x in phones] + [("dmy", x) for x in dates]
+    values[-2] = ("iso", dates[-2])
+    texts = [f"a {x}, b" for _, x in values] + ["c 4111 1111 1111 1111 123 d", "+1 456 555 2186 4111 1111 1111 1111", "30/2/2024 29/2/2023"]
+    found, new, back = round_trip(spark, texts)
+    assert found[:-3] == [[v] for v in values] and all(back)
+    assert found[-3:] == [[("card", "4111 1111 1111 1111")], [("phone", "+1 456 555 2186"), ("card", "4111 1111 1111 1111")], []]
+    for old, text in zip(texts[:-1], new, strict=False):
+        assert text != old and [c if not c.isdigit() else "0" for c in text] == [c if not c.isdigit() else "0" for c in old]
+
+
 @pytest.mark.parametrize("block_bytes", [20_000, 1 << 22])
 def test_substring(docs, rows, block_bytes):
     def place(i):

@@ -380,6 +380,17 @@ def test_mixing(docs):
         assert np.allclose(got, target / target.sum(), atol=1e-6)
 
 
+def test_mixing_of_monolingual_sources(spark):
+    rows = [(1, "x " * 100, "en", "a"), (2, "x " * 50, "en", "b"), (3, "x " * 80, "de", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(RuntimeWarning, match="off by a factor of 0.1"):
+        found = mixing.mixture(df, fraction=0.5).toPandas().set_index("doc_id")
+    mass = found.n_tokens * found.weight / 230
+    aim = {"en": 150**0.7, "de": 80**0.7}
+    assert abs(mass[3] - aim["de"] / sum(aim.values())) < 1e-8 and abs(mass[1] / mass[2] - 2**0.7) < 1e-6
+    assert abs((found.n_tokens * found.probability).sum() - 115) < 1e-6
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("doc_id < 0")
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -112,7 +112,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest rows of every query row.
 
-    is_query: a condition on vec_id.
+    is_query: a condition on vec_id. An id with several vectors counts once for each of them, on both sides, as in the SQL.
     """
     rows = durable(usable(df, id_col, vector_col), "vectors")
     all_blocks = durable(packed(rows, block), "blocks")
@@ -156,6 +156,5 @@ def nearest(
 
     tiles = tiles.join(pairs, ["dim", "group"]).mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = tiles.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranks = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranks = tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranks.select("query_id", "rank", "vec_id", "score")

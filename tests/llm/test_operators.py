@@ -245,6 +245,18 @@ def test_pseudonyms(spark):
     assert got[4].text == "nothing here" and got[5].text == "" and got[6].text is None
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    table = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    table += [(7, [x + 1e-3 * j for x in table[0][1]]) for j in range(1, 6)] + [(0, [9.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") == 0, 4, block=16)
+    pairs = sorted((math.dist(a, b), j) for i, a in table if i == 0 for j, b in table if j != 0)[:4]
+    got = collected(got, "rank", "vec_id", "score")
+    assert [g[:2] for g in got] == [(r + 1, j) for r, (_, j) in enumerate(pairs)]
+    assert np.allclose([g[2] for g in got], [s for s, _ in pairs])
+
+
 def round_trip(spark, texts):
     """Kinds and originals found in each text, the new texts, and whether the key takes them back."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -9,8 +9,9 @@ The last three come from grouped sums of the text-only posteriors of all rows (o
 the shuffle, so a host with a third of all rows is no hot spot); a row's own share is taken out before they are used on it.
 
 The trigram model is fitted on at most `per_language` labelled rows of each declared language (those with the smallest
-hashes of their text, copies once), a bound on rows, not on text. It is sent to the tasks: languages x 65,536 numbers, and languages
-are at most MAX_LANGUAGES.
+hashes of their text, copies once), a bound on rows, not on text. It is sent to the tasks in groups of languages, GROUP x
+65,536 numbers each. All declared languages are scored, however many; with more than one group a worker reads the groups
+one after another for every batch of rows, so its memory doesn't grow with them, while a row carries a number per language.
 
 Defined results: a text without letters, null and empty texts included, has no language ("und") and is not accepted; so is
 a text that a uniform choice of trigrams explains better than every language. A null or blank declaration, host or suffix
@@ -28,13 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalweave.llm.common import durable, whole_row
+from modalweave.llm.common import durable, let, whole_row
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+#: Languages whose tables are fetched, sent and held at a time.
+GROUP = 256
 #: Neighbouring trigrams share letters, so their evidence counts for a third.
 EVIDENCE = 1 / 3
 #: Strength of the smoothing of host towards domain, domain towards all, and of declarations and suffixes, in rows.
@@ -74,8 +77,13 @@ class Model:
         return out
 
 
-def fit(df: DataFrame, text: Column, declared: Column, markup: bool, per_language: int) -> Model:
-    """Trigram counts of a bounded sample, summed by Spark; the driver gets languages x buckets sums at most."""
+def fit(
+    df: DataFrame, text: Column, declared: Column, markup: bool, per_language: int, group: int = GROUP
+) -> Iterator[Model]:
+    """A model for each `group` languages, in order of their names, at least one.
+
+    Trigram counts of a bounded sample, summed by Spark; the driver gets group x buckets sums at a time.
+    """
     rows = df.select(text.alias("text"), declared.alias("label")).where("label IS NOT NULL")
     rows = rows.withColumn("order", F.xxhash64("text"))
     # Only hashes are ranked; a language's are first thinned within salts, so that no task gets all of a language.
@@ -100,23 +108,37 @@ def fit(df: DataFrame, text: Column, declared: Column, markup: bool, per_languag
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     counted = rows.select("label", "text").mapInArrow(count, "label string, bucket int, n long")
-    counted = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["label"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} declared languages; the model holds {MAX_LANGUAGES}")
-    table = np.full((len(languages) + 1, BUCKETS), 0.1)
-    for i, language in enumerate(languages):
-        own = counted[counted["label"] == language]
-        table[i, own["bucket"]] += own["n"]
-    table = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
-    return Model(languages, table)
+    counted = durable(counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    languages = sorted(r["label"] for r in counted.select("label").distinct().collect())
+    for lo in range(0, max(1, len(languages)), group):
+        part = languages[lo : lo + group]
+        place = F.array_position(F.lit(part), F.col("label")) if part else F.lit(0)
+        own = counted.select((place - 1).cast("int").alias("at"), "bucket", "n").where("at >= 0").toPandas()
+        table = np.full((len(part) + 1, BUCKETS), 0.1)
+        table[own["at"], own["bucket"]] += own["n"]
+        yield Model(part, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+
+
+def scores_of(texts: list[str], sent: list[Broadcast]) -> list[np.ndarray]:
+    """For each text the number of trigrams, the likelihood of each language of all models, and that of none."""
+    if len(sent) == 1:
+        return [sent[0].value.likelihoods(t) for t in texts]
+    parts = []
+    for one in sent:
+        # Read for this batch and not kept, so that a worker holds one model.
+        model = one.load_from_path(one._path) if getattr(one, "_path", None) else one.value
+        parts.append([model.likelihoods(t) for t in texts])
+    return [np.concatenate([own[0][:1], *[x[1:-1] for x in own], own[-1][-1:]]) for own in zip(*parts, strict=True)]
 
 
 def _softmax(logs: Column) -> Column:
     """Of an array of logs."""
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    raised = let(logs, lambda own: let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))))
+    return let(raised, lambda own: let(_sum(own), lambda total: F.transform(own, lambda x: x / total)))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def identify(
@@ -129,6 +151,7 @@ def identify(
     markup: bool = False,
     per_language: int = 1000,
     keep: list[str] | None = None,
+    group: int = GROUP,
 ) -> DataFrame:
     """The rows of df as `row`, beside `found`: lang, confidence, text_lang, trigrams, accepted.
 
@@ -141,13 +164,15 @@ def identify(
         k: F.lit(None).cast("string") if c is None else F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
         for k, c in named.items()
     }
-    model = fit(df, text.cast("string"), clean["declared"], markup, per_language)
-    languages, k = model.languages, len(model.languages)
-    sent = spark.sparkContext.broadcast(model)
+    languages, sent = [], []
+    for model in fit(df, text.cast("string"), clean["declared"], markup, per_language, group):
+        languages += model.languages
+        sent.append(spark.sparkContext.broadcast(model))
+    k = len(languages)
 
     @F.pandas_udf("array<double>")
     def likelihoods(bodies: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.likelihoods(page_text(b) if markup else b) for b in bodies])
+        return pd.Series(scores_of([page_text(b) if markup else b for b in bodies], sent))
 
     row = whole_row(df.select(keep)) if keep else whole_row(df)
     rows = df.select(row.alias("row"), text.cast("string").alias("text"), *[c.alias(n) for n, c in clean.items()])
@@ -182,28 +207,36 @@ def identify(
         else:
             rows = rows.withColumn(f"{key}_sums", F.lit(None).cast("array<double>"))
 
-    def others(key: str, i: int) -> Column:
-        """Rows of language i with this key, this row left out."""
-        own = F.when(F.col("scores")[0] > 0, F.col("share")[i]).otherwise(0.0)
-        return F.greatest(F.coalesce(F.col(f"{key}_sums")[i] - own, F.lit(0.0)), F.lit(0.0))
-
-    def all_others(key: str) -> Column:
-        return sum((others(key, i) for i in range(k)), F.lit(0.0))
-
-    logs = []
-    for i in range(k):
-        of_domain = (others("domain", i) + STRENGTH * prior[i]) / (all_others("domain") + STRENGTH)
-        of_host = (others("host", i) + STRENGTH * of_domain) / (all_others("host") + STRENGTH)
-        log = F.log(of_host) + F.col("scores")[i + 1]
-        for key in ("declared", "suffix"):
-            # P(key | language), smoothed towards the key's share of all rows.
-            share = (all_others(key) + 1.0) / (sum(overall) + 1.0)
-            fitted = (others(key, i) + STRENGTH * share) / (overall[i] + STRENGTH)
-            log = log + F.when(F.col(key).isNull(), 0.0).otherwise(F.log(fitted))
-        logs.append(log)
-    rows = rows.withColumn("logs", F.array(*logs))
-    rows = rows.withColumn("fused", _softmax(F.col("logs")))
-    names = F.array(*[F.lit(x) for x in languages])
+    def others(key: str) -> Column:
+        """Rows of each language with this key, this row left out."""
+        nothing = F.array_repeat(F.lit(0.0), k)
+        own = F.when(F.col("scores")[0] > 0, F.col("share")).otherwise(nothing)
+        sums = F.coalesce(F.col(f"{key}_sums"), nothing)
+        return F.zip_with(sums, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+
+    def smoothed(key: str, towards: Column) -> Column:
+        def of(seen: Column) -> Column:
+            return let(
+                _sum(seen), lambda n: F.zip_with(seen, towards, lambda x, p: (x + STRENGTH * p) / (n + STRENGTH))
+            )
+
+        return let(others(key), of)
+
+    def told(key: str) -> Column:
+        """P(key | language), smoothed towards the key's share of all rows; 1 without a key."""
+
+        def fitted(seen: Column, share: Column) -> Column:
+            return F.zip_with(seen, F.lit(overall), lambda x, n: (x + STRENGTH * share) / (n + STRENGTH))
+
+        own = let(others(key), lambda seen: let((_sum(seen) + 1.0) / (sum(overall) + 1.0), lambda s: fitted(seen, s)))
+        return F.when(F.col(key).isNull(), F.array_repeat(F.lit(1.0), k)).otherwise(own)
+
+    logs = smoothed("host", smoothed("domain", F.lit(prior)))
+    logs = F.zip_with(logs, F.slice("scores", 2, k), lambda p, score: F.log(p) + score)
+    for key in ("declared", "suffix"):
+        logs = F.zip_with(logs, told(key), lambda log, p: log + F.log(p))
+    rows = rows.withColumn("fused", _softmax(logs))
+    names = F.lit(languages)
     best = F.array_position("fused", F.array_max("fused")).cast("int")
     by_text = F.array_position("share", F.array_max("share")).cast("int")
     explained = F.array_max(F.slice("scores", 2, k)) > F.col("scores")[k + 1]

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modalweave.llm.common import whole_row
+from modalweave.llm.common import let, whole_row
 
 ROUNDS = 8
 # Patterns of the kinds, in the order in which they are tried at a place.
@@ -126,11 +126,6 @@ def feistel(key: str, tweak: Column, u: Column, v: Column, a: Column, b: Column,
     return F.aggregate(rounds, start, step)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def power(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(18)]), (n + 1).cast("int"))
 

@@ -178,6 +178,19 @@ def test_language(spark):
     assert sum(right) / len(right) >= 0.98
 
 
+def test_more_languages_than_one_model_holds(spark):
+    words = ["".join(chr(97 + (i * 7 + j * j * (i % 11 + 1)) % 26) for j in range(12)) for i in range(300)]
+    rows = [(i, f"{w} {w[::-1]} {w}", f"l{i}", "h") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "n long, text string, lang string, source string")
+    found = langid.identify(df, F.col("text"), F.col("lang"), F.col("source")).select("row.lang", "found.text_lang").collect()
+    same = sum(r.lang == r.text_lang for r in found)
+    assert len(found) == 300 and same > 250
+    held = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns = [F.col("text"), F.col("lang"), F.col("source")]
+    one, two = (langid.identify(held, *columns, per_language=10, group=g).select("row.doc_id", "found.*") for g in (256, 3))
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_language_stage(docs):
     kept = langid.keep_identified(docs, "text", "lang", "source")
     assert kept.columns == docs.columns

@@ -36,7 +36,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        # A text with such a name, in any case, is encoded whole: the tokenizer takes names out before it splits a text.
+        self.named = re.compile("|".join(map(re.escape, names)) or "(?!)", re.I)
         self.mark = self.plain.token_to_id(MARK)
         self.spaces, self.memory = spaces, memory
         self.known: dict[bytes, bytes] = {}
@@ -56,11 +58,7 @@ class ChunkEncoder:
 
     def _marked(self, text: str) -> np.ndarray:
         """The ids of a text in which marks count as marks."""
-        self.plain.encode_special_tokens = False
-        try:
-            return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        finally:
-            self.plain.encode_special_tokens = True
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _together(self, chunks: list[bytes]) -> None:
         for lo in range(0, len(chunks), 2048):
@@ -113,7 +111,8 @@ class ChunkEncoder:
         texts = [t or "" for t in texts]
         for lo in range(0, len(texts), 64):
             part = texts[lo : lo + 64]
-            words = [self.split(t) for t in part]
+            named = [self.named.search(t) is not None for t in part]
+            words = [[] if n else self.split(t) for t, n in zip(part, named, strict=True)]
             if len(self.known) > self.memory:
                 self.unsafe.intersection_update(self.known)
                 self.known, self.elder = {}, self.known
@@ -124,8 +123,10 @@ class ChunkEncoder:
                     missing.update(c for c, i in zip(w, ids, strict=True) if i is None)
             if missing:
                 self._learn(missing)
-            for w, ids, text in zip(words, found, part, strict=True):
-                if self.unsafe and not self.unsafe.isdisjoint(w):
+            for w, ids, text, whole in zip(words, found, part, named, strict=True):
+                if whole:
+                    yield self._whole(text)
+                elif self.unsafe and not self.unsafe.isdisjoint(w):
                     yield self._whole(text)
                 elif None in ids:
                     yield b"".join([self.known[c] if i is None else i for c, i in zip(w, ids, strict=True)])

@@ -90,6 +90,17 @@ def test_chunks_give_the_tokenizer_s_ids(rows, name, spaces):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_special_names_give_the_unchanged_tokenizer_s_ids(name, spaces):
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(public_tokenizers.path(name)), ChunkEncoder(public_tokenizers.path(name), spaces)
+    marks = ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<unk>", "<|")
+    texts = ["a b x", *[f.format(m) for m in marks for f in ("a {} b", "a{}b, c", "{}", "x {0}{0}  y")]]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(3)
     cases = [[], [0], [2**60, 2**64 - 1, 3], rng.integers(0, 50_000, 5000), np.zeros(3000, int), rng.integers(0, 2, 4000)]

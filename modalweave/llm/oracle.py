@@ -1,5 +1,7 @@
 """The registered queries as DuckDB SQL, where SQL can express them."""
 
+from modalweave.llm.merkle_sql import MERKLE
+
 EXACT = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
@@ -86,4 +88,9 @@ FROM d JOIN r USING (source, lang, topic), c
     )
 
 
-ORACLE = {"op1_mixing": mixing(), "op5_block_neighbours": NEIGHBOURS, "op7_exact_dedup": EXACT}
+ORACLE = {
+    "op1_mixing": mixing(),
+    "op5_block_neighbours": NEIGHBOURS,
+    "op7_exact_dedup": EXACT,
+    "op11_merkle_manifest": MERKLE,
+}

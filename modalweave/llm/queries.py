@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalweave.llm import exact, langid, mixing, neighbours, ngram, packing, pii, simhash, simple8b, substring
+from modalweave.llm import exact, langid, merkle, mixing, neighbours, ngram, packing, pii, simhash, simple8b, substring
 from modalweave.llm.common import table
 
 
@@ -54,6 +54,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", window=13, period=7)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the checksum of the id, the row to be proven has one character too many."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [F.col("n_chars") + 1 if i == 3 else c for i, c in enumerate(fields)]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.proofs(docs, "doc_id", "lang", fields, F.when(chosen, merkle.leaf_digest(tampered)))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simple8b": op2_simple8b,
@@ -65,4 +74,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ngram_scores": op9_ngram_scores,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }

@@ -1,6 +1,7 @@
 """The registered queries as DuckDB SQL, where SQL can express them."""
 
 from modalweave.llm.merkle_sql import MERKLE
+from modalweave.llm.secrets_sql import SECRETS
 
 EXACT = r"""
 WITH d AS (
@@ -30,6 +31,29 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), p AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda x: x[1] * x[2])), 0)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), best AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM best JOIN p USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def mixing(documents: str = "documents", fraction: float = 0.7, exponent: float = 0.7, rounds: int = 25) -> str:
     """Raking and calibration with the rounds written out; by then the weights have converged."""
     parts = [
@@ -93,4 +117,6 @@ ORACLE = {
     "op5_block_neighbours": NEIGHBOURS,
     "op7_exact_dedup": EXACT,
     "op11_merkle_manifest": MERKLE,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_secret_scan": SECRETS,
 }

@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modalweave.llm import exact, langid, merkle, mixing, neighbours, ngram, packing, pii, simhash, simple8b, substring
+from modalweave.llm import (
+    exact,
+    langid,
+    merkle,
+    mixing,
+    negatives,
+    neighbours,
+    ngram,
+    packing,
+    pii,
+    secrets,
+    simhash,
+    simple8b,
+    substring,
+)
 from modalweave.llm.common import table
 
 
@@ -63,6 +77,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(docs, "doc_id", "lang", fields, F.when(chosen, merkle.leaf_digest(tampered)))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id, the label is moved on by one."""
+    own = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(own + 1, F.lit(10))).otherwise(own)
+    vectors = table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(vectors, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simple8b": op2_simple8b,
@@ -75,4 +101,6 @@ QUERIES = {
     "op9_ngram_scores": op9_ngram_scores,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_secret_scan": op13_secret_scan,
 }

@@ -46,7 +46,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, si
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
                 ids += end
                 n = len(ids) // 4
                 at, piece = 0, 0
@@ -57,6 +57,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, si
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        encoder.forget()  # other stages need the memory of a worker that waits
 
     return narrow(df, id_col, text_col).mapInArrow(cut, PIECES)
 

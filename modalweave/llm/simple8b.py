@@ -36,21 +36,19 @@ HEADER = struct.Struct("<4sIIII")
 
 def _choice(values: np.ndarray) -> np.ndarray:
     """For every position the selector a word that starts there takes: the first whose ids all fit. One row per block."""
-    size = values.shape[1]
-    best, here = np.full(values.shape, 15, np.uint8), np.arange(size, dtype=np.int16)[None, :]
-    far = np.int16(size + 240)  # after a block's end there are only zeros, which always fit
+    n, size = values.shape
+    best, before = np.full(values.shape, 15, np.uint8), np.zeros((n, size + 241), np.int16)
     widest = int(values.max(initial=0)).bit_length()
     for s in range(14, -1, -1):
         if widest <= WIDTHS[s]:
             best[:] = s
             continue
-        fits = values < np.uint64(1 << int(WIDTHS[s]))
-        if fits.sum(axis=1, dtype=np.int16).max() < COUNTS[s]:
+        # The values before each place that don't fit; after a block's end there are only zeros, which always fit.
+        np.cumsum(values >= np.uint64(1 << int(WIDTHS[s])).astype(values.dtype), axis=1, out=before[:, 1 : size + 1])
+        before[:, size + 1 :] = before[:, size : size + 1]
+        if size - int(before[:, size].min(initial=size)) < COUNTS[s]:
             continue  # no block holds enough of them
-        at = np.where(fits, far, here)  # the next value that doesn't fit
-        following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-        enough = following - here >= COUNTS[s]
-        best[enough] = s
+        best[before[:, COUNTS[s] : COUNTS[s] + size] == before[:, :size]] = s
     return best
 
 
@@ -159,7 +157,7 @@ def write_ids(
 
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else part
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
                 doc_ids.append(doc_id)
                 parts.append(ids + end)
                 held += len(ids) // 4 + 1

@@ -14,12 +14,15 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-
-#: White space and the word after it.
-CHUNK = re.compile(rb"\s*\S+|\s+")
-TWO_SPACES = re.compile(rb"\s\s")
-#: A word that ends in ASCII punctuation: both parts are always encoded apart.
-TAIL = re.compile(rb"(.*[0-9A-Za-z])([!-/:-@\[-`{-~]+)", re.S)
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: ASCII white space.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTER = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+PUNCTUATION = (np.arange(256) > 32) & (np.arange(256) < 127) & ~LETTER
+#: Bytes of texts whose chunks are told apart together.
+TOGETHER = 4 << 20
 #: Chunks in each of the two generations that a worker remembers, about 200 bytes each.
 MEMORY = 250_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
@@ -38,7 +41,9 @@ class ChunkEncoder:
         self.plain = Tokenizer.from_file(path)
         names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         # A text with such a name, in any case, is encoded whole: the tokenizer takes names out before it splits a text.
-        self.named = re.compile("|".join(map(re.escape, names)) or "(?!)", re.I)
+        pattern = "|".join(map(re.escape, names)) or "(?!)"
+        self.named = re.compile(pattern, re.I)
+        self.names = re.compile(pattern.encode(), re.I)
         self.mark = self.plain.token_to_id(MARK)
         self.spaces, self.memory = spaces, memory
         self.known: dict[bytes, bytes] = {}
@@ -76,59 +81,88 @@ class ChunkEncoder:
                 at = end + 4
 
     def _learn(self, missing: set[bytes]) -> None:
-        cut, plain = [], set()
-        for c in missing:
-            ids = self.elder.get(c)
-            if ids is not None:
-                self.known[c] = ids
-                continue
-            found = TAIL.fullmatch(c)
-            if found:
-                cut.append((c, *found.groups()))
-                plain.update(found.groups())
-            else:
-                plain.add(c)
-                last = c[-3:].decode("utf-8", "ignore")[-1:]
-                if not c.isascii() and last.isspace() and not last.isascii():
-                    self.unsafe.add(c)  # with white space after it, the run of white space would be cut
-        for c in plain & self.elder.keys():
+        for c in missing & self.elder.keys():
             self.known[c] = self.elder[c]
-        self._together([c for c in plain if c not in self.known])
-        for c, stem, tail in cut:
-            self.known[c] = self.known[stem] + self.known[tail]
-
-    def split(self, text: str) -> list[bytes]:
-        raw = text.encode()
+        new = [c for c in missing if c not in self.known]
+        if self.spaces:
+            for c in new:
+                if not c.isascii():
+                    last = c[-3:].decode("utf-8", "ignore")[-1:]
+                    if last.isspace() and not last.isascii():
+                        self.unsafe.add(c)  # with white space after it, the run of white space would be cut
+        self._together(new)
+
+    def _parts(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where the chunks of the texts begin, each chunk with the white space before it. texts: where texts begin."""
+        blank = BLANK[raw]
+        first = np.empty(len(raw), bool)
+        first[:1], first[1:] = True, blank[1:] & ~blank[:-1]
+        first[texts[texts < len(raw)]] = True
+        # A word that ends in punctuation: the run of it has a letter or digit before it and ends with its chunk.
+        marks = PUNCTUATION[raw]
+        tails = np.flatnonzero(marks[1:] & LETTER[raw[:-1]] & ~first[1:]) + 1
+        ends = np.flatnonzero(~marks | first)
+        end = np.append(ends, len(raw))[np.searchsorted(ends, tails)]
+        closed = np.append(first, True)[end]
+        first[tails[closed]] = True
+        return np.flatnonzero(first)
+
+    def _ids(self, chunks: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The ids of distinct chunks, and the places of those that can't be encoded apart from what follows."""
         if not self.spaces:
-            return raw.lower().split()
-        if TWO_SPACES.search(raw):
-            return CHUNK.findall(raw)
-        # The byte ff is in no UTF-8 text.
-        return [c for c in raw.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n").split(b"\xff") if c]
+            chunks = [c.strip().lower() for c in chunks]
+        if len(self.known) > self.memory:
+            self.unsafe.intersection_update(self.known)
+            self.known, self.elder = {}, self.known
+        found = list(map(self.known.get, chunks))
+        missing = {c for c, i in zip(chunks, found, strict=True) if i is None and c}
+        if missing:
+            self._learn(missing)
+            found = [self.known.get(c, b"") if i is None else i for c, i in zip(chunks, found, strict=True)]
+        return found, [i for i, c in enumerate(chunks) if c in self.unsafe] if self.unsafe else []
+
+    def _encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each distinct chunk of some texts is looked up once; the ids are then gathered by number."""
+        size, offsets = len(texts), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        begins = offsets[:-1] - offsets[0]
+        starts = self._parts(raw, begins)
+        ends = np.append(starts[1:], len(raw)).astype(np.int64)
+        bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        number = chunks.indices.to_numpy()
+        ids, unsafe = self._ids(chunks.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place, own = np.cumsum(length) - length, length[number]
+        total = np.cumsum(own)
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.arange(total[-1] if len(total) else 0)
+        out = flat[at + np.repeat(place[number] - (total - own), own)].tobytes()
+        # Of each text the first chunk, and the ids before it; an empty text has none of its own.
+        to = np.concatenate([[0], total])[np.searchsorted(ends, np.append(begins, len(raw)), "right")] * 4
+        whole = set(np.searchsorted(begins, starts[np.isin(number, unsafe)], "right") - 1) if unsafe else set()
+        named = self.names.search(memoryview(raw)) is not None
+        for i in range(size):
+            if i in whole or named and self.named.search(texts[i].as_py()) is not None:
+                yield self._whole(texts[i].as_py())
+            else:
+                yield out[to[i] : to[i + 1]]
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none."""
-        texts = [t or "" for t in texts]
-        for lo in range(0, len(texts), 64):
-            part = texts[lo : lo + 64]
-            named = [self.named.search(t) is not None for t in part]
-            words = [[] if n else self.split(t) for t, n in zip(part, named, strict=True)]
-            if len(self.known) > self.memory:
-                self.unsafe.intersection_update(self.known)
-                self.known, self.elder = {}, self.known
-            found = [list(map(self.known.get, w)) for w in words]
-            missing = set()
-            for w, ids in zip(words, found, strict=True):
-                if None in ids:
-                    missing.update(c for c, i in zip(w, ids, strict=True) if i is None)
-            if missing:
-                self._learn(missing)
-            for w, ids, text, whole in zip(words, found, part, named, strict=True):
-                if whole:
-                    yield self._whole(text)
-                elif self.unsafe and not self.unsafe.isdisjoint(w):
-                    yield self._whole(text)
-                elif None in ids:
-                    yield b"".join([self.known[c] if i is None else i for c, i in zip(w, ids, strict=True)])
-                else:
-                    yield b"".join(ids)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        lengths = pc.binary_length(texts).to_numpy()
+        lo, held = 0, 0
+        for i, n in enumerate(lengths):
+            if held and held + n > TOGETHER:
+                yield from self._encoded(texts.slice(lo, i - lo))
+                lo, held = i, 0
+            held += n
+        if len(texts) > lo:
+            yield from self._encoded(texts.slice(lo))
+
+    def forget(self) -> None:
+        """Give the memory of the chunks back; a worker may live on, idle, for long."""
+        self.known, self.elder, self.unsafe = {}, {}, set()
+        pa.default_memory_pool().release_unused()

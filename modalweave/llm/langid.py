@@ -27,7 +27,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +41,8 @@ GROUP = 256
 EVIDENCE = 1 / 3
 #: Strength of the smoothing of host towards domain, domain towards all, and of declarations and suffixes, in rows.
 STRENGTH = 5.0
+#: Texts scored together.
+SLICE = 256
 # Letters keep their bytes, everything else becomes a space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
@@ -88,8 +89,8 @@ def fit(
     rows = rows.withColumn("order", F.xxhash64("text"))
     # Only hashes are ranked; a language's are first thinned within salts, so that no task gets all of a language.
     ranked = rows.groupBy("label", "order").agg(F.pmod(F.hash("order"), F.lit(64)).alias("salt"))
-    for keys in (["label", "salt"], ["label"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+    for salts in (64, 8, 1):
+        rank = F.row_number().over(Window.partitionBy("label", F.pmod("salt", F.lit(salts))).orderBy("order"))
         ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
     last = durable(ranked.groupBy("label").agg(F.max("order").alias("last")), "samples")
     rows = rows.join(last, "label").where("order <= last").dropDuplicates(["label", "order"])
@@ -98,9 +99,9 @@ def fit(
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for label, body in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                codes = trigrams(page_text(body) if markup else body)
-                own = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+            for label, body in zip(batch["label"], batch["text"], strict=True):
+                codes = trigrams(page_text(body.as_py()) if markup else body.as_py())
+                own = sums.setdefault(label.as_py(), np.zeros(BUCKETS, np.int64))
                 own += np.bincount(codes, minlength=BUCKETS)
         for label, own in sums.items():
             at = np.flatnonzero(own)
@@ -113,9 +114,9 @@ def fit(
     for lo in range(0, max(1, len(languages)), group):
         part = languages[lo : lo + group]
         place = F.array_position(F.lit(part), F.col("label")) if part else F.lit(0)
-        own = counted.select((place - 1).cast("int").alias("at"), "bucket", "n").where("at >= 0").toPandas()
+        own = counted.select((place - 1).cast("int").alias("at"), "bucket", "n").where("at >= 0").toArrow()
         table = np.full((len(part) + 1, BUCKETS), 0.1)
-        table[own["at"], own["bucket"]] += own["n"]
+        table[own["at"].to_numpy(), own["bucket"].to_numpy()] += own["n"].to_numpy()
         yield Model(part, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -170,9 +171,13 @@ def identify(
         sent.append(spark.sparkContext.broadcast(model))
     k = len(languages)
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(bodies: pd.Series) -> pd.Series:
-        return pd.Series(scores_of([page_text(b) if markup else b for b in bodies], sent))
+    @F.arrow_udf("array<double>")
+    def likelihoods(bodies: pa.Array) -> pa.Array:
+        found = []
+        for lo in range(0, len(bodies), SLICE):  # few texts at a time are held as Python strings
+            part = bodies.slice(lo, SLICE).to_pylist()
+            found += scores_of([page_text(b) if markup else b for b in part], sent)
+        return pa.array(found, pa.list_(pa.float64()))
 
     row = whole_row(df.select(keep)) if keep else whole_row(df)
     rows = df.select(row.alias("row"), text.cast("string").alias("text"), *[c.alias(n) for n, c in clean.items()])

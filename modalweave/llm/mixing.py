@@ -2,7 +2,8 @@
 
 Documents are reduced to one row per cell (source x language x topic) with its tokens, by an aggregate with map-side
 sums. On that table the weights are raked: for each dimension in turn, weight *= target share / present share, until no
-share is off by more than `tolerance`, or for slow tables `close`, or the error no longer falls (see `rake`). Every round is written, so lineage doesn't grow; no cell comes to the driver.
+share is off by more than `tolerance`, or the error no longer falls (see `rake`). Every few rounds are written, so lineage doesn't
+grow; no cell comes to the driver.
 A document's probability is min(1, c x weight of its cell) with c such that the expected tokens are `fraction` of all:
 a closed search over the capped weights, two sums a step. The document stays if the hash of its id, a number in [0, 1),
 is below its probability, so a rerun or a retried task chooses the same documents.
@@ -16,14 +17,16 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalweave.llm.common import WORD, durable, unpack, whole_row
 
 CELLS_PER_TASK = 200_000
-#: Rounds after which an error of `close` will do, and within which the error has to fall by a tenth.
-SLOW, WINDOW = 50, 25
+#: Rounds between two looks at the error, and looks within which it has to fall by a tenth.
+ROUNDS, WINDOW = 6, 4
+#: Decimals of weights and probabilities in the query: what the tolerance surely leaves right.
+DECIMALS = 6
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -45,17 +48,39 @@ def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     return sums.select(dimension, (F.col("t") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-11, close: float = 1e-6) -> DataFrame:
-    """cells (dimensions, tokens) with `weight`. targets: for each dimension its categories and their target shares.
-
-    Categories without a target keep their present share; targets are scaled to what the other categories leave.
-    Rounds end at a factor of 1 +- `tolerance`, after SLOW rounds at `close`, or when WINDOW rounds lower the error by less
-    than a tenth. So do targets that contradict each other or the table, as tempered shares of sources in one language each
-    may: the last round is the result, the shares of the last dimension are met, and a warning tells the remaining error.
+def _rounds(now: DataFrame, dimensions: list[str], total: float, together: bool) -> DataFrame:
+    """ROUNDS rounds; off_... tell what the last one changed. together: all cells are in one partition, so windows need no
+    exchange; otherwise shares are summed with partial sums in each task and joined back, and each dimension is written."""
+    now = now.drop(*[f"off_{d}" for d in dimensions])
+    for k in range(ROUNDS):
+        for d in dimensions:
+            mass = F.col("tokens") * F.col("weight")
+            if together:
+                share = F.sum(mass).over(Window.partitionBy(d))
+            else:
+                now = durable(now, "cells").join(now.groupBy(d).agg(F.sum(mass).alias("share")), d)
+                share = F.col("share")
+            factor = F.col(f"target_{d}") * F.lit(float(total)) / F.nullif(share, F.lit(0.0))
+            now = now.withColumn("factor", F.coalesce(factor, F.lit(1.0)))
+            now = now.withColumn("weight", F.col("weight") * F.col("factor"))
+            if k == ROUNDS - 1:
+                now = now.withColumn(f"off_{d}", F.abs(F.col("factor") - 1.0))
+            now = now.drop("factor", "share")
+    return now
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-11) -> DataFrame:
+    """cells (dimensions, tokens) with `weight` and `off`, the largest |target / present share - 1| of the last round.
+
+    targets: for each dimension its categories and their target shares. Categories without a target keep their present
+    share; targets are scaled to what the other categories leave. Rounds end at `tolerance`, or when WINDOW looks, of
+    ROUNDS rounds each, lower the error by less than a tenth. The latter is so with targets that contradict each other or
+    the table, as tempered shares of sources in one language each may: the last round is the result, the shares of the last
+    dimension are met, and `off` and a warning tell the remaining error.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return cells.withColumn("weight", F.lit(1.0))
+        return cells.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(0.0))
     # A table of few cells stays in one partition, where no step of a round needs an exchange.
     partitions = cells.count() // CELLS_PER_TASK + 1
     now, aims = cells.withColumn("weight", F.lit(1.0)), {}
@@ -64,26 +89,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         aim = present.join(target, d, "left").withColumn("target", F.coalesce("target", "present"))
         scale = aim.agg(F.sum("target")).first()[0]
         aims[d] = durable(aim.select(d, (F.col("target") / F.lit(scale)).alias("target")), f"aim-{d}")
-    errors: list[float] = []
+    for d, aim in aims.items():
+        now = now.join(aim.withColumnRenamed("target", f"target_{d}"), d, "left")
+    now, errors = durable(now.coalesce(partitions), "cells"), []
     while True:
-        now, off = now.coalesce(partitions), []
-        for d, aim in aims.items():
-            mass = now.groupBy(d).agg((F.sum(F.col("tokens") * F.col("weight")) / F.lit(total)).alias("mass"))
-            factor = mass.join(aim, d).select(d, (F.col("target") / F.col("mass")).alias(f"factor_{d}"))
-            now = now.join(factor, d, "left")
-            now = now.withColumn("weight", F.col("weight") * F.coalesce(f"factor_{d}", F.lit(1.0)))
-            off.append(F.max(F.abs(F.col(f"factor_{d}") - 1.0)))
-        now = durable(now, "cells")
-        worst = max(x or 0.0 for x in now.agg(*off).first())
-        now = now.drop(*[f"factor_{d}" for d in aims])
+        now = durable(_rounds(now.coalesce(partitions), list(aims), total, partitions == 1), "cells")
+        worst = max(x or 0.0 for x in now.agg(*[F.max(f"off_{d}") for d in aims]).first())
         errors.append(worst)
-        if worst <= (tolerance if len(errors) < SLOW else close):
-            return now
-        if len(errors) > WINDOW and worst > 0.9 * errors[-1 - WINDOW]:
-            if worst > close:
-                text = f"a share is still off by a factor of {worst:.3g} after {len(errors)} rounds: the targets contradict the table"
-                warnings.warn(text, RuntimeWarning, stacklevel=2)
-            return now
+        stuck = len(errors) > WINDOW and worst > 0.9 * errors[-1 - WINDOW]
+        if stuck and worst > tolerance:
+            text = f"a share is still off by a factor of {worst:.3g} after {ROUNDS * len(errors)} rounds: the targets contradict the table"
+            warnings.warn(text, RuntimeWarning, stacklevel=2)
+        if stuck or worst <= tolerance:
+            return now.select(*cells.columns, "weight", F.lit(worst).alias("off"))
 
 
 def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
@@ -136,7 +154,7 @@ def mix(
     aims = targets or {d: tempered(cells, d, exponents.get(d, 0.7)) for d in DIMENSIONS}
     cells = durable(calibrate(rake(cells, aims), fraction), "cells")
     rows = df.select(whole_row(df).alias("row"), F.col(id_col).alias("id"), *named, n_tokens.alias("n_tokens"))
-    found = rows.join(cells.drop("tokens"), list(DIMENSIONS))
+    found = rows.join(cells.drop("tokens", "off"), list(DIMENSIONS))
     return found.withColumn("sampled", unit_hash(F.col("id")) < F.col("probability"))
 
 
@@ -144,7 +162,7 @@ def mixture(df: DataFrame, fraction: float = 0.7, exponents: dict[str, float] |
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every document."""
     topic = topic_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = mix(df, "doc_id", "text", F.col("source"), F.col("lang"), topic, exponents, fraction=fraction)
-    numbers = [F.round(c, 9).alias(c) for c in ("weight", "probability")]
+    numbers = [F.round(c, DECIMALS).alias(c) for c in ("weight", "probability")]
     return found.select(F.col("row").getField("doc_id").alias("doc_id"), *DIMENSIONS, "n_tokens", *numbers, "sampled")
 
 

@@ -54,44 +54,45 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 """
 
 
-def mixing(documents: str = "documents", fraction: float = 0.7, exponent: float = 0.7, rounds: int = 25) -> str:
-    """Raking and calibration with the rounds written out; by then the weights have converged."""
+def mixing(documents: str = "documents", fraction: float = 0.7, exponent: float = 0.7, rounds: int = 120) -> str:
+    """Raking by recursion, one dimension a step, over as many rounds as converge; then calibration."""
+    dimensions = ("source", "lang", "topic")
     parts = [
         rf"""d AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
     CASE WHEN regexp_matches(coalesce(text, ''), '[%#*$&]{{3}}') THEN 'marked'
          WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
          WHEN regexp_matches(coalesce(text, ''), '[0-9]{{6}}') THEN 'numeric' ELSE 'prose' END AS topic,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS n_tokens
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
   FROM {documents}
 )""",
-        "s0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t, 1.0::DOUBLE AS w FROM d GROUP BY ALL)",
+        "s0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t FROM d GROUP BY ALL)",
         "total AS (SELECT sum(t) AS n FROM s0)",
     ]
-    for d in ("source", "lang", "topic"):
+    for d in dimensions:
         parts.append(
             f"""aim_{d} AS MATERIALIZED (
-  SELECT {d}, t / sum(t) OVER () AS target
+  SELECT {d}, t / sum(t) OVER () AS {d}_target
   FROM (SELECT {d}, pow(sum(t), {exponent}) AS t FROM s0 GROUP BY {d} HAVING sum(t) > 0)
 )"""
         )
-    step = 0
-    for _ in range(rounds):
-        for d in ("source", "lang", "topic"):
-            parts.append(
-                f"""s{step + 1} AS MATERIALIZED (
-  SELECT s.source, s.lang, s.topic, s.t, s.w * coalesce(a.target / m.mass, 1) AS w FROM s{step} s
-  LEFT JOIN (SELECT {d}, sum(t * w) / (SELECT n FROM total) AS mass FROM s{step} GROUP BY {d}) m USING ({d})
-  LEFT JOIN aim_{d} a USING ({d})
+    masses = " ".join(f"WHEN {i} THEN sum(t * w) OVER (PARTITION BY {d})" for i, d in enumerate(dimensions))
+    targets = " ".join(f"WHEN {i} THEN {d}_target" for i, d in enumerate(dimensions))
+    parts.append(
+        f"""raked AS (
+  SELECT 0 AS step, source, lang, topic, t, {", ".join(f"{d}_target" for d in dimensions)}, 1.0::DOUBLE AS w
+  FROM s0 {" ".join(f"LEFT JOIN aim_{d} USING ({d})" for d in dimensions)}
+  UNION ALL
+  SELECT step + 1, source, lang, topic, t, {", ".join(f"{d}_target" for d in dimensions)},
+    w * coalesce((CASE step % 3 {targets} END) * (SELECT n FROM total) / (CASE step % 3 {masses} END), 1)
+  FROM raked WHERE step < {3 * rounds}
 )"""
-            )
-            step += 1
+    )
     parts.append(
         f"""r AS MATERIALIZED (
   SELECT *, coalesce(sum(t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     sum(t * w) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
-  FROM s{step}
+  FROM raked WHERE step = {3 * rounds}
 )"""
     )
     # The cells of largest weight are taken whole as long as c x weight exceeds 1; c is set by the first that doesn't.
@@ -102,10 +103,10 @@ def mixing(documents: str = "documents", fraction: float = 0.7, exponent: float
 )"""
     )
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(parts)
         + """
-SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w, 9) AS weight, round(least(1, w * c), 9) AS probability,
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w, 6) AS weight, round(least(1, w * c), 6) AS probability,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / pow(16, 12) < least(1, w * c) AS sampled
 FROM d JOIN r USING (source, lang, topic), c
 """

@@ -404,8 +404,25 @@ def test_ngram_scores(docs, rows, block_bytes):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * w[2] and abs(g[6] - w[6]) < 2e-4 * w[2]
 
 
+def mixed(df, fraction):
+    """Weights and probabilities before the query rounds them."""
+    topic = mixing.topic_of(F.coalesce("text", F.lit("")))
+    found = mixing.mix(df, "doc_id", "text", F.col("source"), F.col("lang"), topic, fraction=fraction)
+    return found.select("row.doc_id", *mixing.DIMENSIONS, "n_tokens", "weight", "probability", "sampled").toPandas()
+
+
+def test_rake_tells_what_is_left(spark):
+    cells = spark.createDataFrame([("a", "en", "t", 100), ("b", "en", "t", 50), ("a", "de", "t", 80)], "source string, lang string, topic string, tokens long")
+    aims = {"source": [("a", 0.4), ("b", 0.6)], "lang": [("en", 0.7), ("de", 0.3)]}
+    aims = {d: spark.createDataFrame(rows, f"{d} string, target double") for d, rows in aims.items()}
+    assert mixing.rake(cells, aims).first().off <= 1e-11
+    loose = mixing.rake(cells, aims, tolerance=1e-2).collect()
+    assert all(0 < r.off <= 1e-2 for r in loose)
+
+
 def test_mixing(docs):
-    found = mixing.mixture(docs, fraction=0.5).toPandas()
+    rounded, found = mixing.mixture(docs, fraction=0.5).toPandas(), mixed(docs, 0.5)
+    assert np.allclose(rounded.sort_values(["doc_id", "weight"]).weight, found.sort_values(["doc_id", "weight"]).weight, atol=1e-6)
     assert len(found) == 90 and (found.probability <= 1).all()
     assert abs((found.n_tokens * found.probability).sum() / found.n_tokens.sum() - 0.5) < 1e-6
     total, weighted = found.n_tokens.sum(), found.n_tokens * found.weight
@@ -420,7 +437,7 @@ def test_mixing_of_monolingual_sources(spark):
     rows = [(1, "x " * 100, "en", "a"), (2, "x " * 50, "en", "b"), (3, "x " * 80, "de", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     with pytest.warns(RuntimeWarning, match="off by a factor of 0.1"):
-        found = mixing.mixture(df, fraction=0.5).toPandas().set_index("doc_id")
+        found = mixed(df, 0.5).set_index("doc_id")
     mass = found.n_tokens * found.weight / 230
     aim = {"en": 150**0.7, "de": 80**0.7}
     assert abs(mass[3] - aim["de"] / sum(aim.values())) < 1e-8 and abs(mass[1] / mass[2] - 2**0.7) < 1e-6

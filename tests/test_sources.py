@@ -92,14 +92,6 @@ def test_durable_table_has_no_lineage(spark):
     assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_small_input_is_spread_and_large_is_not(spark):
-    def plan(partitions):
-        return tables.spread(spark.range(0, 10, 1, partitions), "id")._jdf.queryExecution().toString()
-
-    assert "REPARTITION_BY_COL" in plan(1)
-    assert "REPARTITION" not in plan(9)
-
-
 def pixel_frame(spark, h, w, f):
     rows = [(0, y, x, 0, float(f(y, x))) for y in range(h) for x in range(w)]
     return spark.createDataFrame(rows, "img int, y int, x int, c int, v double")

@@ -20,7 +20,7 @@ from modalweave.operators import folds as FO
 from modalweave.operators import metrics as M
 from modalweave.operators.blocks import as_lists, as_matrix
 from modalweave.operators.fusion import score
-from modalweave.operators.neighbours import knn_predict
+from modalweave.operators.neighbours import k_nearest_of_others, majority
 from modalweave.operators.training import train
 from modalweave.sources.sinks import durable
 
@@ -161,10 +161,12 @@ def group_sides(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def k_neighbours(cells: DataFrame, k: int = 5) -> DataFrame:
-    """Every cell against the cells of all other donors; all folds in one job."""
-    test, train_rows = group_sides(cells)
-    truth = test.select("fold", "cell_id", F.col("y").cast("int").alias("y_true"))
-    return truth.join(knn_predict(test, train_rows, k), ["fold", "cell_id"])
+    """Every cell against the cells of all other donors; all folds in one search."""
+    cells = durable(cells, "cells")
+    test = cells.where(F.col("donor").isNotNull())
+    truth = test.select(F.col("donor").cast("bigint").alias("fold"), "cell_id", F.col("y").cast("int").alias("y_true"))
+    near = k_nearest_of_others(cells.withColumn("donor", F.col("donor").cast("bigint")), k)
+    return truth.join(majority(near), ["fold", "cell_id"])
 
 
 def dense_net(

@@ -1,16 +1,19 @@
-"""Exact k nearest neighbours between two tables, and the majority vote."""
+"""Exact k nearest neighbours between two tables, pruned by a metric index, and the majority vote."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalweave.operators.blocks import as_matrix, paired
-from modalweave.operators.skew import ceil_div
+from modalweave.operators import metric
+from modalweave.sources.sinks import durable
 
-BLOCK_ROWS = 16384  # rows of a block
+DIRECT = 64  # pairs of blocks up to which nothing is gained by leaving some out
 CHUNK_CELLS = 4_000_000  # distances held at once in a task
 DIGITS = 9  # distances that agree to this many decimals are a tie
 
@@ -46,47 +49,145 @@ def nearest_in_block(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
     return [np.concatenate(part) for part in zip(*found, strict=True)]
 
 
+@dataclass(frozen=True)
+class Search:
+    """``near``: tag, cell_id, train_id, y, distance of at least the k nearest; ``pairs``: block pairs that were met."""
+
+    near: DataFrame
+    pairs: DataFrame
+    possible: int
+
+
+def _meet(pairs: DataFrame, test: metric.Index, train: metric.Index, k: int) -> DataFrame:
+    """tag, block, cell_id, train_id, y, distance: for each test row the k nearest of every train block it meets."""
+    left = test.blocks.select("tag", "block", "ids", "width", "vectors")
+    right = train.blocks.select(
+        F.col("block").alias("other"),
+        F.col("ids").alias("other_ids"),
+        "ys",
+        F.col("width").alias("other_width"),
+        F.col("vectors").alias("other_vectors"),
+    )
+    met = pairs.join(left, "block").join(right, "other")
+    types = dict(met.dtypes)
+    cell, other = (types[c].removeprefix("array<").removesuffix(">") for c in ("ids", "other_ids"))
+    schema = f"tag {types['tag']}, block long, cell_id {cell}, train_id {other}, y int, distance double"
+    names = ["tag", "block", "cell_id", "train_id", "y", "distance"]
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                x, y = (
+                    metric.vectors_of(one.column(v)[0].as_py(), one.column(w)[0].as_py())
+                    for v, w in (("vectors", "width"), ("other_vectors", "other_width"))
+                )
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and {y.shape[1]} numbers can't be compared")
+                ids, train_ids, ys = (one.column(c).flatten() for c in ("ids", "other_ids", "ys"))
+                rows, cols, dist = nearest_in_block(x, y, ordering(train_ids), k)
+                n = pa.array(np.zeros(len(rows), np.int64))
+                fixed = [one.column(c).take(n) for c in ("tag", "block")]
+                found = [ids.take(pa.array(rows)), train_ids.take(pa.array(cols)), ys.take(pa.array(cols)), pa.array(dist)]
+                yield pa.RecordBatch.from_arrays([*fixed, *found], names)
+
+    return met.mapInArrow(run, schema)
+
+
+def ordering(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of the ids, for ids of any kind."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    return pc.rank(ids, "ascending", tiebreaker="dense").to_numpy()
+
+
+def _ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*keys, "cell_id").orderBy("distance", "train_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def search(test: metric.Index, train: metric.Index, k: int, same: bool) -> Search:
+    """Every test block with the train blocks of its tag (or of all other tags) that can matter.
+
+    First each test block meets the train blocks that surely hold k rows near it; the greatest k-th distance
+    found is the block's reach. Then it meets the others that may hold a row within that reach.
+    """
+    possible = test.n_blocks * train.n_blocks
+    if possible <= DIRECT or not train.n_pivots:
+        pairs = metric.pairs_within(test, train, same)
+        return Search(_meet(pairs, test, train, k).drop("block"), pairs, possible)
+    w = Window.partitionBy("block").orderBy("most", "other")
+    before = F.sum("n").over(w) - F.col("n")
+    seeds = metric.seed_pairs(test, train, same, k).withColumn("before", before).where(F.col("before") < k)
+    seeds = durable(seeds.select("block", "other"), "seeds")
+    first = durable(_ranked(_meet(seeds, test, train, k), ["tag", "block"], k).drop("rank"), "near")
+    # A block whose rows found fewer than k has to meet all.
+    per_row = first.groupBy("block", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
+    reach = per_row.groupBy("block").agg(F.max(F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf"))).alias("reach"))
+    pairs = metric.pairs_within(test, train, same, reach).join(seeds, ["block", "other"], "left_anti")
+    pairs = durable(pairs, "pairs")
+    near = first.unionByName(_meet(pairs, test, train, k)).drop("block")
+    return Search(near, seeds.unionByName(pairs), possible)
+
+
+def _prepared(df: DataFrame, tag: str, key: str, vector: str, label: bool) -> DataFrame:
+    y = F.col("y").cast("int") if label else F.lit(None).cast("int")
+    return df.select(F.col(tag).alias("tag"), F.col(key).alias("id"), y.alias("y"), F.col(vector).alias("v"))
+
+
+def _finished(found: Search, by: str, k: int) -> DataFrame:
+    ranked = _ranked(found.near, ["tag"], k)
+    return ranked.select(F.col("tag").alias(by), "cell_id", "train_id", "y", "distance", "rank")
+
+
+def _width(rows: DataFrame) -> tuple[int, int]:
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return n, max(width or 0, 0)
+
+
 def k_nearest(
-    test: DataFrame, train: DataFrame, k: int = 5, by: str = "fold", key: str = "cell_id", vector: str = "features"
+    test: DataFrame,
+    train: DataFrame,
+    k: int = 5,
+    by: str = "fold",
+    key: str = "cell_id",
+    vector: str = "features",
+    pivots: int | None = None,
 ) -> DataFrame:
     """``(by, cell_id, train_id, y, distance, rank)`` of the k nearest train rows in the same group.
 
-    Every pair of blocks returns at most k rows per test row; the best k of all
-    blocks are chosen afterwards. Equal distances go to the smaller train id.
+    Exact; equal distances go to the smaller train id. ``pivots`` sets their number (by the table's size if not given).
     """
+    a, b = _prepared(test, by, key, vector, False), _prepared(train, by, key, vector, True)
+    n, width = _width(b)
+    chosen = metric.choose_pivots(b, n, width, pivots)
+    found = search(metric.build(a, chosen, width, a.count()), metric.build(b, chosen, width, n), k, True)
+    return _finished(found, by, k)
+
+
+def k_nearest_of_others(
+    cells: DataFrame,
+    k: int = 5,
+    group: str = "donor",
+    by: str = "fold",
+    key: str = "cell_id",
+    vector: str = "features",
+    pivots: int | None = None,
+) -> DataFrame:
+    """As ``k_nearest``, of every row among the rows of all other groups; rows without a group only serve the others.
+
+    The table is indexed once; rows are not copied per fold.
+    """
+    return _finished(search_others(cells, k, group, key, vector, pivots), by, k)
+
 
-    def largest(df: DataFrame) -> int:
-        return df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-
-    n_test, n_train = ceil_div(largest(test), BLOCK_ROWS), ceil_div(largest(train), BLOCK_ROWS)
-    left = test.select(by, F.col(key).alias("cell_id"), F.col(vector).alias("v"))
-    right = train.select(by, F.col(key).alias("train_id"), F.col("y").cast("int").alias("y"), F.col(vector).alias("v"))
-    types = dict(left.dtypes) | dict(right.dtypes)
-    schema = f"{by} {types[by]}, cell_id {types['cell_id']}, train_id {types['train_id']}, y int, distance double"
-    names = [by, "cell_id", "train_id", "y", "distance"]
-
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, arrow_types(a, b), strict=True)})
-        ids = b["train_id"].to_numpy()
-        rows, cols, dist = nearest_in_block(as_matrix(a["v"]), as_matrix(b["v"]), ids, k)
-        return pa.table(
-            {
-                by: a[by].take(rows),
-                "cell_id": a["cell_id"].take(rows),
-                "train_id": b["train_id"].take(cols),
-                "y": b["y"].take(cols),
-                "distance": dist,
-            }
-        )
-
-    def arrow_types(a, b):
-        source = {f.name: f.type for f in a.schema} | {f.name: f.type for f in b.schema}
-        return [source[by], source["cell_id"], source["train_id"], pa.int32(), pa.float64()]
-
-    near = paired(left, right, [by], "cell_id", "train_id", n_test, n_train).applyInArrow(block, schema)
-    w = Window.partitionBy(by, "cell_id").orderBy("distance", "train_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def search_others(
+    cells: DataFrame, k: int, group: str, key: str = "cell_id", vector: str = "features", pivots: int | None = None
+) -> Search:
+    rows = _prepared(cells, group, key, vector, True)
+    n, width = _width(rows)
+    index = metric.build(rows, metric.choose_pivots(rows, n, width, pivots), width, n)
+    return search(replace(index, blocks=index.blocks.where("tag IS NOT NULL")), index, k, False)
 
 
 def majority(neighbours: DataFrame, by: str = "fold") -> DataFrame:

@@ -649,7 +649,14 @@ def baseline_cells(spark, sf, modality: str) -> DataFrame:
 
 @query
 def knn_neighbours(spark, sf):
-    near = N.k_nearest(*B.group_sides(baseline_cells(spark, sf, "rna")), 5)
+    near = N.k_nearest_of_others(sinks.durable(baseline_cells(spark, sf, "rna"), "cells"), 5)
+    return near.select("fold", "cell_id", i64("rank"), "train_id", i64("y"), r6("distance"))
+
+
+@query
+def knn_neighbours_indexed(spark, sf):
+    """With a metric index of sixteen pivots, whatever the table's size."""
+    near = N.k_nearest_of_others(sinks.durable(baseline_cells(spark, sf, "rna"), "cells"), 5, pivots=16)
     return near.select("fold", "cell_id", i64("rank"), "train_id", i64("y"), r6("distance"))
 
 

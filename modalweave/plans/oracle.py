@@ -619,14 +619,15 @@ PROTEIN_CELLS = "cells AS (SELECT m.*, p AS v FROM meta m JOIN protein USING (ce
 BOTH_CELLS = (
     "cells AS (SELECT m.*, list_concat(p, r) AS v FROM meta m JOIN protein USING (cell_id) JOIN rna USING (cell_id))"
 )
-add(
-    "knn_neighbours",
-    META,
-    RNA,
-    RNA_CELLS,
-    knn("cells", "v"),
-    f"SELECT fold, cell_id, rank, train_id, {i64('y')}, {r6('distance')} FROM near",
-)
+for name in ("knn_neighbours", "knn_neighbours_indexed"):
+    add(
+        name,
+        META,
+        RNA,
+        RNA_CELLS,
+        knn("cells", "v"),
+        f"SELECT fold, cell_id, rank, train_id, {i64('y')}, {r6('distance')} FROM near",
+    )
 add(
     "knn_predict",
     META,

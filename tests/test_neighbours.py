@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from modalweave.operators import baselines as B
+from modalweave.operators import metric
 from modalweave.operators import neighbours as N
 
 
@@ -14,12 +15,10 @@ def data(n, copies=0, seed=0):
 
 def brute(rows, k=5):
     near, votes = {}, {}
+    all_vectors = np.array([r[3] for r in rows])
     for i, d, _, x in rows:
-        cand = sorted(
-            (round(float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum())), 9), j, y)
-            for j, e, y, v in rows
-            if e != d
-        )[:k]
+        gaps = np.round(np.sqrt(((all_vectors - np.array(x)) ** 2).sum(axis=1)), 9)
+        cand = sorted((float(g), j, y) for g, (j, e, y, _) in zip(gaps, rows, strict=True) if e != d)[:k]
         near[i] = [j for _, j, _ in cand]
         count = {}
         for _, _, y in cand:
@@ -28,19 +27,83 @@ def brute(rows, k=5):
     return near, votes
 
 
+def table(spark, rows):
+    return spark.createDataFrame(rows, "cell_id long, donor int, y int, features array<double>").repartition(3)
+
+
+def by_cell(found):
+    got = {}
+    for r in found.orderBy("cell_id", "rank").collect():
+        got.setdefault(r["cell_id"], []).append(r["train_id"])
+    return got
+
+
 @pytest.mark.parametrize("copies", [0, 60])
-@pytest.mark.parametrize("block", [16384, 13])
-def test_equals_brute_force(spark, monkeypatch, copies, block):
-    monkeypatch.setattr(N, "BLOCK_ROWS", block)
+@pytest.mark.parametrize(("block", "pivots"), [(8192, None), (7, None), (7, 6)])
+def test_equals_brute_force(spark, monkeypatch, copies, block, pivots):
+    monkeypatch.setattr(metric, "block_rows", lambda width: block)
+    monkeypatch.setattr(metric, "SUMMARIES", 5)
+    monkeypatch.setattr(N, "DIRECT", 0)
     rows = data(150, copies)
-    df = spark.createDataFrame(rows, "cell_id long, donor int, y int, features array<double>")
+    df = table(spark, rows)
     near, votes = brute(rows)
-    test, train = B.group_sides(df)
-    got = {}
-    for r in N.k_nearest(test, train).orderBy("cell_id", "rank").collect():
-        got.setdefault(r["cell_id"], []).append(r["train_id"])
-    assert got == near
-    assert {r["cell_id"]: r["y_pred"] for r in B.k_neighbours(df).collect()} == votes
+    assert by_cell(N.k_nearest_of_others(df, pivots=pivots)) == near
+    assert by_cell(N.k_nearest(*B.group_sides(df), pivots=pivots)) == near
+    assert {r["cell_id"]: r["y_pred"] for r in N.majority(N.k_nearest_of_others(df, pivots=pivots)).collect()} == votes
+
+
+def clusters(n, seed=1):
+    """Eight tight groups far apart, with two-dimensional noise."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(scale=50, size=(8, 6))
+    x = centres[rng.integers(8, size=n)]
+    x[:, :2] += rng.normal(size=(n, 2))
+    return [(i, int(rng.integers(3)), i % 4, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def test_most_block_pairs_of_grouped_rows_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(metric, "block_rows", lambda width: 20)
+    rows = clusters(900)
+    found = N.search_others(table(spark, rows), 5, "donor", pivots=8)
+    met = found.pairs.count()
+    assert found.pairs.distinct().count() == met
+    assert met < 0.25 * found.possible, (met, found.possible)
+    assert by_cell(N.k_nearest_of_others(table(spark, rows), pivots=8)) == brute(rows)[0]
+
+
+def test_every_task_reads_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metric, "block_rows", lambda width: 20)
+    rows = metric.build(table(spark, clusters(300)).selectExpr("donor tag", "cell_id id", "y", "features v"), np.zeros((2, 6)), 6, 300)
+    blocks = rows.blocks.collect()
+    assert max(b.n for b in blocks) == 20 and sum(b.n for b in blocks) == 300 and len({b.block for b in blocks}) == len(blocks)
+    for b in blocks:
+        x = metric.vectors_of(b.vectors, b.width)
+        norms = np.sqrt((x * x).sum(axis=1))
+        assert np.allclose([b.low[0], b.high[0]], [norms.min(), norms.max()])
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    pivots = rng.normal(size=(4, 3))
+    sides = [[rng.normal(size=(5, 3)) + rng.normal(scale=3, size=3) for _ in range(6)] for _ in "ab"]
+    away = [[metric.distances(x, pivots) for x in side] for side in sides]
+    low, high = ([np.array([f(d, axis=0) for d in side]) for side in away] for f in (np.min, np.max))
+    least, most = metric.bounds(low[0], high[0], low[1], high[1])
+    for i, x in enumerate(sides[0]):
+        for j, y in enumerate(sides[1]):
+            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+            assert least[i, j] <= d.min() + 1e-9 and most[i, j] >= d.max() - 1e-9
+
+
+def test_odd_rows(spark):
+    rows = [("b", None, 1, [0.0, 1.0]), ("a", 1, 0, [0.0, 0.0]), ("c", 2, None, None), ("d", 2, 3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "cell_id string, donor int, y int, features array<double>")
+    got = N.k_nearest_of_others(df, 2)
+    assert by_cell(got) == {"a": ["c", "b"], "c": ["a", "b"], "d": ["b", "a"]}
+    assert by_cell(N.k_nearest_of_others(df.where("cell_id = 'x'"), 2)) == {}
+    other = spark.createDataFrame([("a", 1, 0, [0.0]), ("b", 2, 0, [0.0, 1.0])], "cell_id string, donor int, y int, features array<double>")
+    with pytest.raises(Exception, match="numbers expected"):
+        N.k_nearest_of_others(other, 2).collect()
 
 
 def test_chunks_do_not_change_the_result(monkeypatch):

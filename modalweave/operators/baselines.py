@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalweave.config import Config
 from modalweave.operators import folds as FO
+from modalweave.operators import kernel as K
 from modalweave.operators import metrics as M
-from modalweave.operators.blocks import as_lists, as_matrix
 from modalweave.operators.fusion import score
 from modalweave.operators.neighbours import k_nearest_of_others, majority
 from modalweave.operators.training import train
@@ -109,43 +106,29 @@ def kernel_scale(df: DataFrame) -> tuple[int, float]:
     return d, 1.0 / (d * variance) if variance > 0 else 1.0
 
 
-def random_fourier(df: DataFrame, width: int, gamma: float, n_features: int, seed: int) -> DataFrame:
-    """Random cosine features whose dot product approximates the RBF kernel."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), (width, n_features))
-    b = rng.uniform(0.0, 2.0 * math.pi, n_features)
-    sent = df.sparkSession.sparkContext.broadcast((w, b))
-    names = df.columns
-    at = names.index("features")
-
-    def run(batches):
-        w, b = sent.value
-        for batch in batches:
-            z = math.sqrt(2.0 / len(b)) * np.cos(as_matrix(batch.column("features"), len(w)) @ w + b)
-            cols = [as_lists(z) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return df.mapInArrow(run, df.schema)
-
+def rbf_svm(
+    cells: DataFrame,
+    c: float = 1.0,
+    error: float = 0.05,
+    max_landmarks: int = 1024,
+    max_iter: int = 200,
+    tol: float = 1e-3,
+    reports: dict[int, K.Report] | None = None,
+) -> DataFrame:
+    """Support vectors with a radial basis kernel, one machine for each pair of classes, the class of most votes.
 
-def rbf_svm(cells: DataFrame, c: float = 1.0, n_features: int = 256, max_iter: int = 30, seed: int = 42) -> DataFrame:
-    """RBF support-vector classifier, approximated by a linear one on random Fourier features."""
+    ``error`` bounds what the kernel's features may miss; where ``max_landmarks`` don't reach it, or a pair takes more
+    than ``max_iter`` steps, a warning says so. ``reports`` takes what was reached for each fold.
+    """
 
     def fit_predict(train_rows, test_rows):
-        used = train_rows.select("cell_id", "y", "features")
-        width, gamma = kernel_scale(used)
-        rows = _as_vectors(random_fourier(used, width, gamma, n_features, seed)).persist()
-        svc = LinearSVC(
-            featuresCol="features",
-            labelCol="y",
-            regParam=1.0 / (c * max(1, rows.count())),
-            maxIter=max_iter,
-            standardization=False,
-        )
-        model = OneVsRest(classifier=svc, featuresCol="features", labelCol="y", parallelism=PARALLEL_FITS).fit(rows)
+        width, gamma = kernel_scale(train_rows.select("features"))
+        rows = train_rows.select(F.col("y").cast("int").alias("y"), "features").persist()
+        machine = K.fit_pairs(rows, gamma, width, c, error, max_landmarks, max_iter, tol)
         rows.unpersist()
-        test = random_fourier(test_rows.select("cell_id", "y", "features"), width, gamma, n_features, seed)
-        return model.transform(_as_vectors(test))
+        if reports is not None:
+            reports[int(test_rows.select("donor").first()[0])] = machine.report
+        return K.predict(test_rows.select("cell_id", F.col("y").cast("int").alias("y"), "features"), machine)
 
     return per_fold(cells, fit_predict)
 

@@ -57,7 +57,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, si
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-        encoder.forget()  # other stages need the memory of a worker that waits
+        encoder.rest()
 
     return narrow(df, id_col, text_col).mapInArrow(cut, PIECES)
 

@@ -162,7 +162,7 @@ class ChunkEncoder:
         if len(texts) > lo:
             yield from self._encoded(texts.slice(lo))
 
-    def forget(self) -> None:
-        """Give the memory of the chunks back; a worker may live on, idle, for long."""
-        self.known, self.elder, self.unsafe = {}, {}, set()
+    def rest(self) -> None:
+        """Keep the younger generation only; a worker may live on, idle, for long, and other stages need the memory."""
+        self.elder = {}
         pa.default_memory_pool().release_unused()

@@ -78,11 +78,15 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     owner, start = owner[order], start[order]
     selector = best[owner, start]
     words = selector.astype(np.uint64) << np.uint64(60)
-    wide = np.concatenate([values, np.zeros((n_blocks, 240), np.uint64)], axis=1) if n else values
+    wide = np.concatenate([values, np.zeros((n_blocks, 240), np.uint64)], axis=1).ravel() if n else values.ravel()
+    place = owner * (values.shape[1] + 240) + start
     for s in range(2, 16):
         here = np.flatnonzero(selector == s)
-        for j in range(int(COUNTS[s])):
-            words[here] |= wide[owner[here], start[here] + j] << np.uint64(j * int(WIDTHS[s]))
+        if len(here):
+            first, word = place[here], words[here]
+            for j in range(int(COUNTS[s])):
+                word |= wide[first + j] << np.uint64(j * int(WIDTHS[s]))
+            words[here] = word
     offsets = np.searchsorted(owner, np.arange(n_blocks + 1)).astype("<u4")
     body = [HEADER.pack(MAGIC, n, block, len(words), len(escaped)), offsets.tobytes(), words.astype("<u8").tobytes()]
     return b"".join([*body, escaped.astype("<u4").tobytes(), ids[escaped].astype("<u8").tobytes()])

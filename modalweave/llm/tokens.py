@@ -24,7 +24,7 @@ PUNCTUATION = (np.arange(256) > 32) & (np.arange(256) < 127) & ~LETTER
 #: Bytes of texts whose chunks are told apart together.
 TOGETHER = 4 << 20
 #: Chunks in each of the two generations that a worker remembers, about 200 bytes each.
-MEMORY = 250_000
+MEMORY = 400_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
 MARK = "<|endoftext|>"
 

@@ -243,7 +243,11 @@ def score(
             out = out.unionByName(part)
         return out
     if size > BROADCAST_LIMIT:
-        raise ValueError(f"a model of {size} bytes is too large to broadcast; reduce the feature widths")
+        from modalweave.operators import wide  # it is built on this module
+
+        widths = {m: p[f"{m}.enc.w"].shape[1] for p in models.values() for m in cfg.modalities}
+        model = wide.WideModel(params_table(df.sparkSession, models), cfg, widths, wide.BLOCK)
+        return model.score(df, keep, outputs)
     sent = df.sparkSession.sparkContext.broadcast(
         ({f: p for f, p in models.items()}, {f: np.asarray(c) for f, c in (class_weights or {}).items()})
     )

@@ -28,6 +28,7 @@ from modalweave.operators import neighbours as N
 from modalweave.operators import raster as R
 from modalweave.operators import training as TR
 from modalweave.operators.skew import salted_join
+from modalweave.operators.wide import WideModel
 from modalweave.plans import experiment as E
 from modalweave.sources import roles, sinks, tables
 from modalweave.sources.images import image_vectors
@@ -196,6 +197,14 @@ def missing_modality_rows(spark, sf):
     return rows.select("cell_id", *flags, i64(sum((F.col(f).cast("int") for f in flags), F.lit(0)), "n_present"))
 
 
+@query
+def first_line_in_file(spark, sf):
+    """Of every supplier the order line that stands first in the file, which is not its smallest."""
+    lines = load(spark, sf, "lineitem")
+    lines = lines.select("l_suppkey", "l_orderkey", "l_linenumber", tables.position(indexed=True).alias(tables.POSITION))
+    return tables.first_in_file(lines, ["l_suppkey"]).select(i64("l_suppkey"), i64("l_orderkey"), i64("l_linenumber"))
+
+
 @query
 def dedup_keep_first(spark, sf):
     first = K.keep_first(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -558,6 +567,15 @@ def dynamic_fusion_logits(spark, sf):
     return rows.select("cell_id", i64("y"), *elements("logits", 4, "z"), i64("y_pred"))
 
 
+@query
+def wide_fusion_logits(spark, sf):
+    """The model of ``dynamic_fusion_logits`` in blocks of 16, as if its gates were too wide to be sent."""
+    folds = [r[0] for r in FO.fold_list(doc_meta(spark, sf)).collect()]
+    params = FU.params_table(spark, dict.fromkeys(folds, FU.formula_params(DYNAMIC, WIDTHS)))
+    model = WideModel(params, DYNAMIC, WIDTHS, block=16)
+    return model.score(fused_cells(spark, sf), ["cell_id"], ("logits",)).select("cell_id", *elements("logits", 4, "z"))
+
+
 @query
 def ungated_fusion_logits(spark, sf):
     cfg = DYNAMIC.with_(feature_import_loss=None, modality_import_loss=None)

@@ -142,6 +142,11 @@ add(
     "FROM meta LEFT JOIN protein USING (cell_id) LEFT JOIN rna USING (cell_id) LEFT JOIN tags USING (cell_id))",
     "SELECT *, CAST(has_protein AS BIGINT) + CAST(has_rna AS BIGINT) + CAST(has_tags AS BIGINT) AS n_present FROM j",
 )
+add(
+    "first_line_in_file",
+    f"SELECT {i64('l_suppkey')}, {i64('l_orderkey')}, {i64('l_linenumber')} FROM (SELECT *, row_number() OVER () AS rn FROM lineitem) "
+    "QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY rn) = 1",
+)
 add(
     "dedup_keep_first",
     "SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, "
@@ -521,6 +526,7 @@ LOGIT_ROWS = (
 )
 add("static_fusion_logits", *BASE, fusion(dynamic=False), LOGIT_ROWS)
 add("dynamic_fusion_logits", *BASE, fusion(), LOGIT_ROWS)
+add("wide_fusion_logits", *BASE, fusion(), f"SELECT cell_id, {elements('z', 4, 'z')} FROM scored")
 add("ungated_fusion_logits", *BASE, fusion(False, False), f"SELECT cell_id, {elements('z', 4, 'z')} FROM scored")
 add("fusion_embedding", *BASE, fusion(), indexed("cell_id", "scored", "f", "value", 12))
 add(

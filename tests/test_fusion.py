@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from modalweave.config import Config
 from modalweave.operators import fusion as FU
+from modalweave.operators import wide as W
 from modalweave.operators import training as TR
 from modalweave.operators.baselines import dense_net
 from modalweave.operators.blocks import as_matrix
@@ -135,8 +136,53 @@ def test_score_fold_by_fold_when_parameters_are_large(spark, monkeypatch):
     monkeypatch.setattr(FU, "BROADCAST_LIMIT", size)
     assert sorted(FU.score(df, models, cfg, ["cell_id"], ("prob",)).collect()) == whole
     monkeypatch.setattr(FU, "BROADCAST_LIMIT", 10)
-    with pytest.raises(ValueError):
-        FU.score(df, {0: models[0]}, cfg, ["cell_id"])
+    monkeypatch.setattr(W, "BLOCK", 2)
+    got = sorted(FU.score(df, models, cfg, ["cell_id"], ("prob",)).collect())
+    assert [r["cell_id"] for r in got] == [r["cell_id"] for r in whole]
+    assert np.allclose([r["prob"] for r in got], [r["prob"] for r in whole], atol=1e-12)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+@pytest.mark.parametrize("model", ["dynamic", "static"])
+def test_wide_model_equals_the_broadcast_one(spark, block, model):
+    cfg = config(model=model)
+    models = {f: FU.init_params(cfg, WIDTHS, seed=f) for f in range(3)}
+    df = frame(spark, 25).withColumn("fold", F.col("donor")).withColumn("b", F.when(F.col("cell_id") != "c1", F.col("b"))).repartition(3)
+    outputs = ("prob", "logits", "fused", *(["tcp"] if model == "dynamic" else []))
+    want = sorted(FU.score(df, models, cfg, ["cell_id", "y"], outputs).collect())
+    wide = W.WideModel(FU.params_table(spark, models), cfg, WIDTHS, block)
+    got = wide.score(df, ["cell_id", "y"], outputs)
+    assert got.columns == FU.score(df, models, cfg, ["cell_id", "y"], outputs).columns
+    for g, w in zip(sorted(got.collect()), want, strict=True):
+        assert g[:2] == w[:2]
+        for a, b in zip(g[2:], w[2:], strict=True):
+            assert np.allclose(a, b, atol=1e-12)
+
+
+def test_wide_mean_gates(spark):
+    cfg = config()
+    models = {f: FU.init_params(cfg, WIDTHS, seed=f) for f in range(3)}
+    df = frame(spark, 25).withColumn("fold", F.col("donor"))
+    gates = FU.score(df, models, cfg, ["fold"], ("gates",)).collect()
+    got = {(r["fold"], r["idx"]): (r["n"], r["gate"]) for r in W.WideModel(FU.params_table(spark, models), cfg, WIDTHS, 2).mean_gates(df, "a").collect()}
+    assert len(got) == 3 * WIDTHS["a"]
+    for f in range(3):
+        own = np.array([r["gate_a"] for r in gates if r["fold"] == f])
+        for i in range(WIDTHS["a"]):
+            assert got[f, i][0] == len(own) and abs(got[f, i][1] - own[:, i].mean()) < 1e-12
+
+
+def test_wide_model_refuses_what_it_cannot_score(spark):
+    cfg = config()
+    wide = W.WideModel(FU.params_table(spark, {0: FU.init_params(cfg, WIDTHS)}), cfg, WIDTHS, 2)
+    df = frame(spark, 4).withColumn("fold", F.lit(0))
+    with pytest.raises(ValueError, match="mean_gates"):
+        wide.score(df, ["cell_id"], ("gates",))
+    with pytest.raises(Exception, match="no model"):
+        wide.score(df.withColumn("fold", F.lit(None).cast("long")), ["cell_id"]).collect()
+    with pytest.raises(Exception, match="numbers expected"):
+        wide.score(df.withColumn("a", F.array(F.lit(1.0))), ["cell_id"]).collect()
+    assert wide.score(df.where("cell_id = 'x'"), ["cell_id"]).count() == 0
 
 
 def test_parameters_survive_the_table(spark, tmp_path):

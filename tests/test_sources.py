@@ -85,6 +85,45 @@ def test_manifest_needs_one_file_column(spark, tmp_path):
         tables.read_manifest(spark, str(tmp_path / "m.csv"))
 
 
+def test_keep_first_in_file_order(spark, tmp_path):
+    lines = ["cell_id,day,donor,technology,cell_type"]
+    lines += [f"c{i % 400},{9000 - i},{i % 3},t,{'zyx'[i % 3]}" for i in range(4000)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "m" / "b.csv").write_text(lines[0] + "\n" + "c0,1,7,u,aa\n" + "new,1,7,u,aa\n" + "new,0,0,u,a\n")
+    split = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        meta = tables.read_metadata(spark, str(tmp_path / "m"), positions=True)
+        assert meta.rdd.getNumPartitions() > 5
+        got = {r["cell_id"]: tuple(r)[1:] for r in tables.first_in_file(meta.repartition(7), ["cell_id"]).collect()}
+    finally:
+        for k in split:
+            spark.conf.unset(k)
+    assert len(got) == 401 and got["new"] == (1, 7, "u", "aa")
+    assert all(got[f"c{i}"] == (9000 - i, i % 3, "t", "zyx"[i % 3]) for i in range(400))
+
+
+def test_header_pass_reads_the_first_lines_only(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    row = ",".join(["1.5"] * 50)
+    for name, n in (("a", 5), ("b", 40_000)):
+        head = "" if name == "a" else "\n  \n"
+        (tmp_path / "w" / f"{name}.csv").write_text(head + "cell_id," + ",".join(f"f{i}" for i in range(50)) + "\n" + f"{name},{row}\n" * n)
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("heads", "")
+    found = tables.header_index(spark, str(tmp_path / "w"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(found) == 1 and [len(files) for files in found.values()] == [2]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    stages = [s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    read = sum(tracker.lastStageAttempt(s).inputRecords() for s in stages)
+    assert read < 1000, read
+    df, names = tables.read_modality(spark, str(tmp_path / "w"))
+    assert len(names) == 50 and df.count() == 40_005
+
+
 def test_durable_table_has_no_lineage(spark):
     df = spark.range(10).withColumn("v", F.col("id") * 2)
     kept = sinks.durable(df, "t")

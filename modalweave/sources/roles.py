@@ -18,6 +18,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose texts are searched by every core: a file of one row group is read by one task, so the rows of
+    an input with fewer splits than cores are dealt out first. Larger inputs stay where they are read."""
+    docs, cores = load(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 # --- cells from documents ---------------------------------------------------------------
 
 
@@ -47,7 +54,7 @@ def doc_protein(spark, sf_dir) -> DataFrame:
     found = [F.length(_only(text, CHAR_CLASSES[0])), *[F.length(_only(rare, c)) for c in CHAR_CLASSES[1:]]]
     size = F.length(text)
     rates = [n / F.greatest(size, F.lit(1)) for n in found]
-    return load(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").alias("cell_id"), F.array(*rates, F.ln(1.0 + size) / 10.0).alias("features")
     )
 

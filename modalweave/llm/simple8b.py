@@ -43,11 +43,12 @@ def _choice(values: np.ndarray) -> np.ndarray:
         if widest <= WIDTHS[s]:
             best[:] = s
             continue
+        large = values >= np.uint64(1 << int(WIDTHS[s])).astype(values.dtype)
+        if size - int(np.count_nonzero(large, axis=1).min(initial=size)) < COUNTS[s]:
+            continue  # no block holds enough that fit
         # The values before each place that don't fit; after a block's end there are only zeros, which always fit.
-        np.cumsum(values >= np.uint64(1 << int(WIDTHS[s])).astype(values.dtype), axis=1, out=before[:, 1 : size + 1])
+        np.cumsum(large, axis=1, out=before[:, 1 : size + 1])
         before[:, size + 1 :] = before[:, size : size + 1]
-        if size - int(before[:, size].min(initial=size)) < COUNTS[s]:
-            continue  # no block holds enough of them
         best[before[:, COUNTS[s] : COUNTS[s] + size] == before[:, :size]] = s
     return best
 

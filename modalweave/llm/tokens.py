@@ -22,7 +22,7 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 PUNCTUATION = (np.arange(256) > 32) & (np.arange(256) < 127) & ~LETTER
 #: Bytes of texts whose chunks are told apart together.
-TOGETHER = 4 << 20
+TOGETHER = 6 << 20
 #: Chunks in each of the two generations that a worker remembers, about 200 bytes each.
 MEMORY = 400_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
@@ -133,13 +133,14 @@ class ChunkEncoder:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
         number = chunks.indices.to_numpy()
         ids, unsafe = self._ids(chunks.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        place, own = np.cumsum(length) - length, length[number]
-        total = np.cumsum(own)
-        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.arange(total[-1] if len(total) else 0)
-        out = flat[at + np.repeat(place[number] - (total - own), own)].tobytes()
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        place, own = np.cumsum(length, dtype=np.int32) - length, length[number]
+        total = np.cumsum(own, dtype=np.int32)
+        at = np.repeat(place[number] - (total - own), own)
+        at += np.arange(len(at), dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
         # Of each text the first chunk, and the ids before it; an empty text has none of its own.
-        to = np.concatenate([[0], total])[np.searchsorted(ends, np.append(begins, len(raw)), "right")] * 4
+        to = np.concatenate([[0], total]).astype(np.int64)[np.searchsorted(ends, np.append(begins, len(raw)), "right")] * 4
         whole = set(np.searchsorted(begins, starts[np.isin(number, unsafe)], "right") - 1) if unsafe else set()
         named = self.names.search(memoryview(raw)) is not None
         for i in range(size):

@@ -38,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--modality-weights", nargs="+", type=float, default=[3.0, 1.0, 6.0])
     p.add_argument("--weights-dir", help="parameters of an earlier run")
     p.add_argument("--test-only", action="store_true")
+    p.add_argument("--mask", nargs="+", default=[], metavar="MODALITY", help="modalities made uniform in the test rows")
+    p.add_argument("--mask-value", type=float, default=0.5)
+    p.add_argument("--flip", action="store_true", help="mirror the images of train rows at random")
+    p.add_argument("--weights-fold", type=int, help="explain all folds by the model of this one")
     p.add_argument("--batch-size", type=int, default=1024, help="train rows of a step; an epoch reads all of them")
     return p
 
@@ -62,6 +66,9 @@ def config(args: argparse.Namespace) -> Config:
         batch_size=args.batch_size,
         weights_dir=args.weights_dir,
         test_only=args.test_only,
+        masked=tuple(args.mask),
+        mask_value=args.mask_value,
+        flipped=tuple(m for m in args.modalities if m == "image") if args.flip else (),
     )
 
 
@@ -102,15 +109,15 @@ def run_baselines(spark: SparkSession, cfg: Config) -> DataFrame:
     return summary
 
 
-def run_explain(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
-    """Feature importance and calibration of stored dynamic models, written as tables."""
+def run_explain(spark: SparkSession, cfg: Config, weights_fold: int | None = None) -> dict[str, DataFrame]:
+    """Feature importance and calibration of stored dynamic models, written as tables; with ``weights_fold``, of one model."""
     if not cfg.weights_dir:
         raise ValueError("explain needs --weights-dir")
     meta, mods, names = load_tables(spark, cfg)
     data = E.prepare(meta, mods, cfg)
     models = load_params(spark, cfg.weights_dir, cfg, data.widths)
-    out = {"importance": E.importance_report(data, models, cfg, names)}
-    out |= E.calibration_report(data, models, cfg)
+    out = {"importance": E.importance_report(data, models, cfg, names, weights_fold=weights_fold)}
+    out |= E.calibration_report(data, models, cfg, weights_fold=weights_fold)
     for name, table in out.items():
         sinks.write_metrics(table, sinks.run_path(cfg.results, cfg.run_name, name))
     return out
@@ -123,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "baselines":
         run_baselines(spark, cfg).show(truncate=False)
     elif args.command == "explain":
-        run_explain(spark, cfg)["importance"].show(truncate=False)
+        run_explain(spark, cfg, args.weights_fold)["importance"].show(truncate=False)
     else:
         meta, mods, _ = load_tables(spark, cfg)
         out = E.cross_validate(meta, mods, cfg)

@@ -19,7 +19,9 @@ class Config:
 
     ``feature_import_loss`` / ``modality_import_loss`` set to ``None`` remove the
     feature gate / the confidence from the model; ``0`` keeps the part and drops
-    only its loss term. An epoch of a fold takes ``ceil(train rows / batch_size)`` steps, each
+    only its loss term. The modalities in ``masked`` are replaced by ``mask_value`` when a model is tested,
+    and only then; those in ``flipped`` are images of ``image_shape`` (channels, rows, columns) that are mirrored at random,
+    each way with probability 1/2, when a model is trained, and only then. An epoch of a fold takes ``ceil(train rows / batch_size)`` steps, each
     of them a Spark job over its batch: raise ``batch_size`` with the table.
     """
 
@@ -49,6 +51,10 @@ class Config:
     keep: str = "best"
     weights_dir: str | None = None
     test_only: bool = False
+    masked: tuple[str, ...] = ()
+    mask_value: float = 0.5
+    flipped: tuple[str, ...] = ()
+    image_shape: tuple[int, int, int] = (3, 8, 8)
 
     def __post_init__(self):
         if self.model not in MODELS:
@@ -61,6 +67,9 @@ class Config:
             raise ValueError("batch_size must be at least 1")
         if not 0.0 <= self.dropout < 1.0:
             raise ValueError("dropout must be in [0, 1)")
+        for name in (*self.masked, *self.flipped):
+            if name not in self.modalities:
+                raise ValueError(f"{name!r} is none of the modalities {self.modalities}")
         per_view(self.hidden_dims, len(self.modalities), "hidden_dims")
         if self.model == "static":
             per_view(self.modality_weights, len(self.modalities), "modality_weights")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from modalweave.operators.blocks import as_lists, as_matrix
 from modalweave.operators.fusion import BROADCAST_LIMIT, Params, forward, init_params, pack, row_loss, softmax, unpack
 
 CHUNK = 4096  # gradient numbers per shuffled row
+BUCKETS = 16  # of each batch: how finely an epoch mixes the rows anew
 
 
 def uniforms(ids: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -107,16 +107,37 @@ class Fit:
     steps: dict[int, int] = field(default_factory=dict)
 
 
-def place_in_epoch(seed: int, epoch: int) -> Column:
-    """A number in [0, 1) per row and epoch; batch b of n holds the rows from b / n to (b + 1) / n."""
-    return F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(epoch)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def bucket_of(seed: int, n: int) -> Column:
+    """The bucket a row lies in for the whole run."""
+    return F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(n)).cast("int")
+
+
+def bucket_order(seed: int, epoch: int, n: int) -> np.ndarray:
+    """The order in which an epoch takes the buckets, by a hash of their numbers."""
+    return np.argsort(uniforms(np.arange(n), 1, seed + 7919 * epoch)[:, 0], kind="stable")
+
+
+def buckets_of_batch(seed: int, epoch: int, n: int, batches: int, number: int) -> np.ndarray:
+    """The buckets of batch ``number`` of an epoch of so many batches."""
+    lo, hi = (n * k // batches for k in (number, number + 1))
+    return bucket_order(seed, epoch, n)[lo:hi]
+
+
+def flipped(x: np.ndarray, shape: tuple[int, int, int], ids: np.ndarray, salt: int) -> np.ndarray:
+    """Images as vectors (channel, row, column), each mirrored either way with probability 1/2."""
+    across, down = (uniforms(ids, 2, salt) < 0.5).T
+    out = x.reshape(len(x), *shape).copy()
+    out[across] = out[across][:, :, :, ::-1]
+    out[down] = out[down][:, :, ::-1]
+    return out.reshape(len(x), -1)
 
 
 def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, weights, step: int, batch=None):
     """Per fold ``(n, loss sum, packed gradient sum)`` over the train rows of one batch.
 
-    ``batch`` is ``(batches, number, epoch)``, batches as one number or per fold. A row's place in
-    an epoch is a hash of its id, so only the rows of the batch leave the JVM.
+    ``batch`` is ``(buckets, batches, number, epoch)``, batches as one number or per fold: rows lie sorted by ``bucket``
+    for the whole run, an epoch takes the buckets in an order of its own, and a batch is a run of them. So a step reads the
+    cached batches that hold its buckets and skips the others by their least and greatest bucket.
     A task returns one packed vector per fold in rows of CHUNK numbers. Spark adds
     them up with a partial sum per task, and the driver receives one model-sized vector per fold.
     """
@@ -126,11 +147,11 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
     seed = cfg.seed
     n_batches = {}
     if batch is not None:
-        per_fold, number, epoch = batch
+        n_buckets, per_fold, number, epoch = batch
         n_batches = {f: per_fold if isinstance(per_fold, int) else per_fold[f] for f in models}
-        train = train.withColumn("_place", place_in_epoch(seed, epoch))
-        wanted = [F.floor(F.col("_place") * n) == number for n in sorted(set(n_batches.values()))]
-        train = train.where(reduce(lambda a, b: a | b, wanted))
+        chosen = {n: buckets_of_batch(seed, epoch, n_buckets, n, number) for n in set(n_batches.values())}
+        wanted = sorted(set(np.concatenate(list(chosen.values())).tolist()))
+        train = train.where(F.col("bucket").isin(wanted))
 
     def run(batches):
         by_fold, class_w = sent.value
@@ -143,11 +164,14 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
             folds = lists.flatten().to_numpy(zero_copy_only=False)
             any_p = next(iter(by_fold.values()))
             xs = [as_matrix(rb.column(m), any_p[f"{m}.enc.w"].shape[1]) for m in cfg.modalities]
-            place = rb.column("_place").to_numpy(zero_copy_only=False) if n_batches else None
+            bucket = rb.column("bucket").to_numpy(zero_copy_only=False) if n_batches else None
+            for v, m in enumerate(cfg.modalities):
+                if m in cfg.flipped:
+                    xs[v] = flipped(xs[v], cfg.image_shape, ids, seed + 15485863 * (step * 64 + v))
             for f, p in by_fold.items():
                 rows = owner[folds == f]
                 if n_batches:
-                    rows = rows[np.floor(place[rows] * n_batches[f]) == number]
+                    rows = rows[np.isin(bucket[rows], chosen[n_batches[f]])]
                 if len(rows) == 0:
                     continue
                 drop = None
@@ -198,6 +222,24 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
     return out
 
 
+def in_buckets(rows: DataFrame, cfg: Config, n: int) -> DataFrame:
+    """The rows beside ``bucket``, sorted by it and cached in pieces of a quarter of a bucket's batch or less.
+
+    A cached piece knows its least and greatest bucket, so a step only reads the pieces of its own.
+    """
+    spark, name = rows.sparkSession, "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(16, min(int(before), cfg.batch_size // 4))))
+    try:
+        placed = rows.withColumn("bucket", bucket_of(cfg.seed, n))
+        held = placed.repartitionByRange("bucket", "row_id").sortWithinPartitions("bucket")
+        held = held.persist(StorageLevel.MEMORY_AND_DISK)
+        held.count()
+        return held
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(
     cells: DataFrame,
     folds: list[int],
@@ -209,10 +251,10 @@ def train(
     """Train one model per fold.
 
     ``cells`` has ``cell_id, y, train_folds`` and one vector column per modality. An epoch of a
-    fold takes ``ceil(train rows / cfg.batch_size)`` steps (``Fit.steps`` counts them; a batch that
-    the hash leaves empty takes none).
-    ``validate(models)`` returns the macro F1 of each fold in ``models`` and is called every
-    ``test_interval`` epochs. With ``keep="best"`` the parameters of the earliest epoch
+    fold takes ``ceil(train rows / cfg.batch_size)`` steps (``Fit.steps`` counts them; a batch whose
+    buckets are empty takes none). Rows are sorted into buckets once, BUCKETS for each batch.
+    ``validate(models)`` returns the metrics of each fold in ``models``, among them ``f1_macro`` (a plain
+    number is that), and is called every ``test_interval`` epochs; all of them are logged. With ``keep="best"`` the parameters of the earliest epoch
     with the highest value are returned, with ``keep="last"`` those of the last epoch.
     """
     models = {f: init_params(cfg, widths) for f in folds}
@@ -234,9 +276,10 @@ def train(
     used = cells.where(F.size("train_folds") > 0).select(
         F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", *cfg.modalities
     )
-    used = used.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = used.select(F.explode("train_folds").alias("fold")).groupBy("fold").count().collect()
     n_batches = {r["fold"]: -(-r["count"] // cfg.batch_size) for r in sizes if r["fold"] in models}
+    n_buckets = BUCKETS * max(n_batches.values(), default=1)
+    used = in_buckets(used, cfg, n_buckets)
     optimisers = {f: Adam(cfg) for f in folds}
     weights = class_weights if cfg.class_weighted and class_weights else {}
     fit = Fit(dict(models), best_epoch={f: None for f in folds})
@@ -247,7 +290,7 @@ def train(
         for b in range(max(n_batches.values(), default=0)):
             step += 1
             active = {f: models[f] for f, n in n_batches.items() if b < n}
-            batch = (n_batches, b, epoch) if any(n_batches[f] > 1 for f in active) else None
+            batch = (n_buckets, n_batches, b, epoch) if any(n_batches[f] > 1 for f in active) else None
             for f, (n, loss, flat) in gradient_sums(used, active, cfg, weights, step, batch).items():
                 losses[f].append(loss / n)
                 models[f] = unpack(optimisers[f].step(pack(models[f]), flat / n, epoch), models[f])
@@ -255,8 +298,10 @@ def train(
             {"fold": f, "epoch": epoch, "metric": "loss", "value": float(np.mean(v))} for f, v in losses.items() if v
         ]
         if validate is not None and epoch % cfg.test_interval == 0:
-            for f, value in validate(models).items():
-                fit.log.append({"fold": f, "epoch": epoch, "metric": "val_f1_macro", "value": value})
+            for f, found in validate(models).items():
+                found = found if isinstance(found, Mapping) else {"f1_macro": found}
+                fit.log += [{"fold": f, "epoch": epoch, "metric": f"val_{m}", "value": v} for m, v in found.items()]
+                value = found["f1_macro"]
                 if best[f] < value:
                     best[f], fit.best_epoch[f] = value, epoch
                     if cfg.keep == "best":

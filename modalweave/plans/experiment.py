@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalweave.config import Config
+from modalweave.functions import vectors as V
 from modalweave.operators import baselines as B
 from modalweave.operators import calibration as C
 from modalweave.operators import folds as FO
@@ -61,6 +62,13 @@ def target_rows(data: Prepared) -> DataFrame:
     return rows.withColumn("fold", F.col("donor").cast("bigint")).drop("train_folds", "val_folds")
 
 
+def masked_rows(rows: DataFrame, cfg: Config) -> DataFrame:
+    """The masked modalities are uniform vectors; a missing one stays missing."""
+    for name in cfg.masked:
+        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), V.fill_like(F.col(name), cfg.mask_value)))
+    return rows
+
+
 def val_rows(data: Prepared) -> DataFrame:
     return data.cells.withColumn("fold", F.explode("val_folds")).drop("train_folds", "val_folds")
 
@@ -73,13 +81,13 @@ def predict(rows: DataFrame, models, cfg: Config) -> DataFrame:
 def fit(data: Prepared, cfg: Config) -> Fit:
     held_out = val_rows(data).persist()
 
-    def macro_f1(models) -> dict[int, float]:
+    def validated(models) -> dict[int, dict[str, float]]:
         own = held_out.where(F.col("fold").isin(list(models)))
-        rows = M.evaluate(predict(own, models, cfg), ["fold"]).select("fold", "f1_macro").collect()
-        return {r["fold"]: r["f1_macro"] for r in rows}
+        rows = M.evaluate(predict(own, models, cfg), ["fold"]).select("fold", *M.METRICS).collect()
+        return {r["fold"]: {m: r[m] for m in M.METRICS} for r in rows}
 
     try:
-        return train(data.cells, data.folds, data.widths, cfg, data.class_weights, macro_f1)
+        return train(data.cells, data.folds, data.widths, cfg, data.class_weights, validated)
     finally:
         held_out.unpersist()
 
@@ -107,7 +115,7 @@ def run(data: Prepared, cfg: Config) -> Outcome:
     else:
         done = fit(data, cfg)
         models = done.models
-    preds = predict(target_rows(data), models, cfg).withColumn("model", F.lit(cfg.model))
+    preds = predict(masked_rows(target_rows(data), cfg), models, cfg).withColumn("model", F.lit(cfg.model))
     by = ["model", "fold"]
     counts = sinks.durable(M.confusion(preds, by), "confusion")  # scored once for all result tables
     metrics = M.metrics_of(M.per_class(counts, by), by)
@@ -117,10 +125,15 @@ def run(data: Prepared, cfg: Config) -> Outcome:
     )
 
 
-def write_outcome(out: Outcome, cfg: Config) -> str:
-    """Metric tables, confusion matrices, parameters and the epoch log of a run."""
+def write_outcome(out: Outcome, cfg: Config, attempt: int = 0) -> str:
+    """Metric tables, confusion matrices, parameters, the options and the epoch log of a run.
+
+    Everything is written under the run's name, and the rows of the common tables ``runs`` and ``log`` under run and
+    attempt, so writing again replaces what an earlier try has left.
+    """
     spark = out.metrics.sparkSession
     here = sinks.run_path(cfg.results, cfg.run_name)
+    sinks.write_run(spark, asdict(cfg), f"{cfg.results.rstrip('/')}/runs", cfg.run_name, attempt)
     means = [c for c in out.summary.columns if c.endswith("_mean")]
     sds = [c for c in out.summary.columns if c.endswith("_sd_samp")]
     sinks.write_metrics(out.summary.select("model", *means), f"{here}/metrics_mean")
@@ -131,7 +144,7 @@ def write_outcome(out: Outcome, cfg: Config) -> str:
         save_params(spark, out.fit.models, f"{here}/weights")
         if out.fit.log:
             log = spark.createDataFrame(out.fit.log, "fold bigint, epoch int, metric string, value double")
-            sinks.append_log(log, f"{cfg.results.rstrip('/')}/log", cfg.run_name)
+            sinks.append_log(log, f"{cfg.results.rstrip('/')}/log", cfg.run_name, attempt)
     return here
 
 
@@ -190,15 +203,19 @@ def tcp_rows(data: Prepared, models, cfg: Config, weights_fold: int | None = Non
     return scored.select("fold", "cell_id", F.inline(views))
 
 
-def importance_report(data: Prepared, models, cfg: Config, names: Mapping[str, list[str]], k: int = 10) -> DataFrame:
+def importance_report(
+    data: Prepared, models, cfg: Config, names: Mapping[str, list[str]], k: int = 10, weights_fold: int | None = None
+) -> DataFrame:
     """Named top and bottom features per fold and modality."""
-    means = I.mean_importance(gate_rows(data, models, cfg), ["fold", "modality"])
+    means = I.mean_importance(gate_rows(data, models, cfg, weights_fold), ["fold", "modality"])
     listed = I.extremes(means, ["fold", "modality"], k)
     return listed.withColumn("name", K.feature_name(names, F.col("modality"), F.col("idx")))
 
 
-def calibration_report(data: Prepared, models, cfg: Config, cumulative: bool = False) -> dict[str, DataFrame]:
-    pairs = tcp_rows(data, models, cfg)
+def calibration_report(
+    data: Prepared, models, cfg: Config, cumulative: bool = False, weights_fold: int | None = None
+) -> dict[str, DataFrame]:
+    pairs = tcp_rows(data, models, cfg, weights_fold)
     if cumulative:
         pairs = C.pool_modalities(pairs, list(cfg.modalities))
     pairs = sinks.durable(pairs, "tcp")  # scored once for all tables of the report

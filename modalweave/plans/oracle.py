@@ -526,6 +526,16 @@ LOGIT_ROWS = (
 )
 add("static_fusion_logits", *BASE, fusion(dynamic=False), LOGIT_ROWS)
 add("dynamic_fusion_logits", *BASE, fusion(), LOGIT_ROWS)
+add(
+    "masked_modality_logits",
+    META,
+    PROTEIN,
+    RNA,
+    PAIR.replace("pair AS", "whole AS"),
+    "pair AS (SELECT * EXCLUDE (r), [CAST(0.5 AS DOUBLE) for i in range(64)] AS r FROM whole)",
+    fusion(dynamic=False),
+    LOGIT_ROWS,
+)
 add("wide_fusion_logits", *BASE, fusion(), f"SELECT cell_id, {elements('z', 4, 'z')} FROM scored")
 add("ungated_fusion_logits", *BASE, fusion(False, False), f"SELECT cell_id, {elements('z', 4, 'z')} FROM scored")
 add("fusion_embedding", *BASE, fusion(), indexed("cell_id", "scored", "f", "value", 12))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -32,9 +33,23 @@ def run_path(results: str, run_id: str, *parts: str) -> str:
     return "/".join([results.rstrip("/"), f"run_id={run_id}", *parts])
 
 
-def append_log(df: DataFrame, path: str, run_id: str) -> None:
-    """Append metric rows of a run to the log table."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def put_rows(df: DataFrame, path: str, run_id: str, attempt: int = 0) -> None:
+    """Rows of a run and attempt in a table of all runs. Written again, they replace themselves and nothing else."""
+    named = df.withColumn("run_id", F.lit(run_id)).withColumn("attempt", F.lit(attempt))
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id", "attempt").parquet(path)
+
+
+def append_log(df: DataFrame, path: str, run_id: str, attempt: int = 0) -> None:
+    """Metric rows of a run in the log table."""
+    put_rows(df, path, run_id, attempt)
+
+
+def write_run(spark: SparkSession, options: dict, path: str, run_id: str, attempt: int = 0) -> None:
+    """One row of options, each as JSON, in the table of runs."""
+    values = {k: json.dumps(v) for k, v in options.items()}
+    rows = spark.createDataFrame([(values,)], "options map<string, string>").coalesce(1)
+    put_rows(rows, path, run_id, attempt)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -28,6 +28,12 @@ def test_train_then_explain(spark, root, tmp_path):
     run = next(p for p in tmp_path.iterdir() if p.name.startswith("run_id="))
     assert {"metrics_mean", "metrics_std", "cfm_mean", "cfm_std", "weights"} <= {p.name for p in run.iterdir()}
     cli.main(["explain", *common, "--weights-dir", str(run / "weights")])
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert {r["run_id"] for r in log.collect()} == {run.name.removeprefix("run_id=")} and log.where("metric = 'loss'").count() == 6
+    (options,) = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert options["options"]["epochs"] == "2" and options["options"]["modalities"] == '["protein", "rna"]'
+    cli.main(["train", *common])  # a second try of the same run replaces its rows
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 6 and spark.read.parquet(str(tmp_path / "runs")).count() == 1
     rows = spark.read.csv(str(run / "importance"), header=True).collect()
     assert {r["name"] for r in rows} == {"p0", "p1", "r0", "r1", "r2"}
     assert spark.read.csv(str(run / "errors"), header=True).count() == 6
@@ -46,3 +52,30 @@ def test_parts_can_be_switched_off():
     args = cli.parser().parse_args(["train", "--root", "r", "--results", "o", "--model", "dynamic", "--feature-import-loss", "none", "--modality-import-loss", "0"])
     cfg = cli.config(args)
     assert not cfg.gated and cfg.confident and cfg.test_only is False
+
+
+def test_masked_test_rows(spark, root, tmp_path):
+    common = ["--root", str(root), "--results", str(tmp_path), "--modalities", "protein", "rna", "--hidden-dims", "4"]
+    common += ["--modality-weights", "1", "--epochs", "2"]
+    cfg = cli.config(cli.parser().parse_args(["train", *common]))
+    masked = cli.config(cli.parser().parse_args(["train", *common, "--mask", "protein", "--mask-value", "0.5"]))
+    assert masked.masked == ("protein",) and masked.run_name != cfg.run_name
+    meta, mods, _ = cli.load_tables(spark, cfg)
+    data = cli.E.prepare(meta, mods, cfg)
+    rows = cli.E.masked_rows(cli.E.target_rows(data), masked)
+    assert {tuple(r["protein"]) for r in rows.collect()} == {(0.5, 0.5)} and rows.count() == 120
+    out, hidden = cli.E.run(data, cfg), cli.E.run(data, masked)
+    assert out.fit.models.keys() == hidden.fit.models.keys()
+    a, b = ({r["cell_id"]: r["prob"] for r in o.predictions.collect()} for o in (out, hidden))
+    assert a != b
+    with pytest.raises(ValueError, match="none of the modalities"):
+        cfg.with_(masked=("image",))
+
+
+def test_all_validation_metrics_are_logged(spark, root, tmp_path):
+    args = ["train", "--root", str(root), "--results", str(tmp_path), "--modalities", "protein", "--hidden-dims", "4"]
+    cfg = cli.config(cli.parser().parse_args([*args, "--modality-weights", "1", "--epochs", "2"])).with_(test_interval=1)
+    meta, mods, _ = cli.load_tables(spark, cfg)
+    log = cli.E.cross_validate(meta, mods, cfg).fit.log
+    names = {"val_f1", "val_f1_macro", "val_recall", "val_precision", "val_accuracy", "val_balanced_accuracy", "loss"}
+    assert {r["metric"] for r in log} == names and len(log) == 7 * 2 * 3

@@ -85,14 +85,19 @@ def frame(spark, n=60, partitions=1):
     return df.repartition(partitions)
 
 
-@pytest.mark.parametrize("batches", [None, (3, 1, 2)])
+def bucketed(df, cfg, n):
+    used = df.select(F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", "a", "b")
+    return used.withColumn("bucket", TR.bucket_of(cfg.seed, n))
+
+
+@pytest.mark.parametrize("batches", [None, (48, 3, 1, 2)])
 def test_gradient_does_not_depend_on_partitions(spark, batches):
     cfg = config()
     models = {f: FU.init_params(cfg, WIDTHS, seed=f) for f in range(3)}
     weights = {f: [1.0, 2.0, 0.5, 1.5] for f in range(3)}
     out = []
     for parts in (1, 4):
-        used = frame(spark, partitions=parts).select(F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", "a", "b")
+        used = bucketed(frame(spark, partitions=parts), cfg, 48)
         out.append(TR.gradient_sums(used, models, cfg, weights, 3, batches))
     for f in range(3):
         assert out[0][f][0] == out[1][f][0] > 0
@@ -100,11 +105,99 @@ def test_gradient_does_not_depend_on_partitions(spark, batches):
         assert np.allclose(out[0][f][2], out[1][f][2], atol=1e-9)
 
 
+def replay(rows, cfg, fold, epochs):
+    """Epochs over rows in one process: batches, dropout, mirrored images, weight decay and rates as the run has them."""
+    params = FU.init_params(cfg, WIDTHS)
+    adam, step = TR.Adam(cfg), 0
+    used = [r for r in rows if fold in r["train_folds"]]
+    batches = -(-len(used) // cfg.batch_size)
+    n = TR.BUCKETS * batches
+    ids = np.array([r["row_id"] for r in used])
+    xs = [np.array([r[m] for r in used]) for m in cfg.modalities]
+    y, bucket = np.array([r["y"] for r in used]), np.array([r["bucket"] for r in used])
+    losses = []
+    for epoch in range(1, epochs + 1):
+        own = []
+        for b in range(batches):
+            step += 1
+            at = np.flatnonzero(np.isin(bucket, TR.buckets_of_batch(cfg.seed, epoch, n, batches, b))) if batches > 1 else np.arange(len(y))
+            if not len(at):
+                continue
+            x = [v[at] for v in xs]
+            for v, m in enumerate(cfg.modalities):
+                if m in cfg.flipped:
+                    for k, i in enumerate(at):
+                        across, down = TR.uniforms(ids[[i]], 2, cfg.seed + 15485863 * (step * 64 + v))[0] < 0.5
+                        image = x[v][k].reshape(cfg.image_shape)
+                        image = image[:, :, ::-1] if across else image
+                        x[v][k] = (image[:, ::-1] if down else image).ravel()
+            keep = 1 - cfg.dropout
+            drop = [(TR.uniforms(ids[at], h, cfg.seed + 104729 * (step * 64 + v)) < keep) / keep for v, h in enumerate(cfg.hidden)]
+            loss, g = TR.gradient(params, cfg, x, y[at], np.ones(len(at)), drop if cfg.dropout else None)
+            own.append(loss / len(at))
+            params = FU.unpack(adam.step(FU.pack(params), FU.pack(g) / len(at), epoch), params)
+        losses.append(float(np.mean(own)))
+    return params, losses
+
+
+@pytest.mark.parametrize("model", ["dynamic", "static"])
+def test_whole_epochs_can_be_replayed(spark, model):
+    cfg = config(
+        model=model, epochs=3, batch_size=16, dropout=0.4, weight_decay=0.01, learning_rate=0.02, lr_step=2, class_weighted=False,
+        keep="last", flipped=("b",), image_shape=(1, 2, 2), modality_weights=(1.0, 2.0),
+    )
+    df = frame(spark, 60, 3)
+    fit = TR.train(df, [0, 2], WIDTHS, cfg)
+    rows = bucketed(df, cfg, TR.BUCKETS * 3).collect()
+    assert set(fit.steps.values()) == {9}
+    for fold in (0, 2):
+        params, losses = replay(rows, cfg, fold, 3)
+        logged = [r["value"] for r in fit.log if r["fold"] == fold and r["metric"] == "loss"]
+        assert np.allclose(logged, losses, rtol=1e-9)
+        for name, value in params.items():
+            assert np.allclose(fit.models[fold][name], value, rtol=1e-8, atol=1e-11), name
+
+
+def test_a_step_reads_its_own_pieces(spark):
+    """Cached pieces of other buckets are skipped by their least and greatest bucket."""
+    cfg = config(batch_size=64, dropout=0.0)
+    rows = spark.range(6400).select(F.col("id").alias("row_id"), F.lit(1).alias("y"), F.array(F.lit(0).cast("long")).alias("train_folds"))
+    rows = rows.withColumn("a", F.array_repeat(F.lit(1.0), 3)).withColumn("b", F.array_repeat(F.lit(1.0), 4))
+    n = TR.BUCKETS * 100
+    held = TR.in_buckets(rows, cfg, n)
+    wanted = TR.buckets_of_batch(cfg.seed, 1, n, 100, 7)
+    part = held.where(F.col("bucket").isin(wanted.tolist()))
+    spark.sparkContext.setJobGroup("pieces", "")
+    got = part.agg(F.count(F.lit(1))).collect()[0][0]
+    spark.sparkContext.setJobGroup("rest", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = [s for j in tracker.getJobIdsForGroup("pieces") for s in tracker.getJobInfo(j).stageIds]
+    read = sum(store.lastStageAttempt(s).inputRecords() for s in stages)
+    held.unpersist()
+    assert len(wanted) == TR.BUCKETS and 32 <= got <= 128
+    assert read <= 1000, read  # 16 buckets of about 4 rows, in pieces of 16 rows
+
+
+def test_bucket_orders_differ_by_epoch_and_cover_all():
+    orders = [TR.bucket_order(42, e, 160).tolist() for e in (1, 2, 3)]
+    assert all(sorted(o) == list(range(160)) for o in orders) and len({tuple(o) for o in orders}) == 3
+    parts = [TR.buckets_of_batch(42, 2, 160, 7, b).tolist() for b in range(7)]
+    assert sum(parts, []) == orders[1]
+
+
+def test_flips_are_mirrors_of_half_the_images():
+    x = np.arange(400 * 12, dtype=float).reshape(400, 12)
+    out = TR.flipped(x, (3, 2, 2), np.arange(400), 5)
+    shapes = {tuple((o - v.min()).astype(int)) for o, v in zip(out, x, strict=True)}
+    assert len(shapes) == 4 and (np.sort(out, axis=1) == x).all()
+    assert (TR.flipped(x, (3, 2, 2), np.arange(400), 5) == out).all()
+
+
 def test_batches_split_the_epoch(spark):
     cfg = config(dropout=0.0)
     models = {0: FU.init_params(cfg, WIDTHS)}
-    used = frame(spark).select(F.xxhash64("cell_id").alias("row_id"), "y", "train_folds", "a", "b")
-    parts = [TR.gradient_sums(used, models, cfg, {}, 1, (3, b, 1)).get(0, (0, 0, 0)) for b in range(3)]
+    used = bucketed(frame(spark), cfg, 48)
+    parts = [TR.gradient_sums(used, models, cfg, {}, 1, (48, 3, b, 1)).get(0, (0, 0, 0)) for b in range(3)]
     whole = TR.gradient_sums(used, models, cfg, {}, 1)[0]
     assert sum(p[0] for p in parts) == whole[0] == 40
     assert np.allclose(sum(p[2] for p in parts), whole[2])

@@ -11,9 +11,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalweave.sources.sinks import durable
+
 # A key is hot when it owns more than 1 / HOT_SHARE of the rows; there are fewer
 # than HOT_SHARE such keys, which bounds the broadcast below.
 HOT_SHARE = 512
+TRACKED = 8192  # items of a task's summary of frequent keys
 # Width of a score band in softmax sums: exp() of a band spans e^32, far from overflow.
 BAND = 32.0
 
@@ -31,30 +34,50 @@ def hot_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return counts.where(share > 1).select(*key, F.ceil(share).cast("int").alias("_salts"))
 
 
+def key_hash(key: list[str]) -> Column:
+    return F.xxhash64(*key)
+
+
+def hot_hashes(df: DataFrame, key: list[str]) -> DataFrame:
+    """``(_hash, _salts)`` for the hashes of keys that own more than 1/HOT_SHARE of the rows, in one pass.
+
+    A summary of the most frequent items (TRACKED of them a task, merged) holds every such key and overrates none by more
+    than 4/3 of 1/TRACKED of the rows, so only one small row a task is exchanged. At most HOT_SHARE rows by construction.
+    Keys that share a hash share their salts, on both sides of a join.
+    """
+    items = ", ".join(f"`{c}`" for c in key)
+    top = F.expr(f"approx_top_k(xxhash64({items}), {HOT_SHARE}, {TRACKED})")
+    found = df.agg(top.alias("_top"), F.count(F.lit(1)).alias("_rows")).select("_rows", F.explode("_top").alias("_t"))
+    share = F.col("_t.count") * HOT_SHARE / F.col("_rows")
+    return found.where(share > 1).select(F.col("_t.item").alias("_hash"), F.ceil(share).cast("int").alias("_salts"))
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", size: str | None = None
 ) -> DataFrame:
     """Equi-join where ``small`` has one row per key and ``big`` may be badly skewed.
 
-    Rows of a hot key are spread over salts by a hash of their other columns and the
-    one matching row is copied per salt. All other keys keep salt 0, so nothing else
-    is copied. ``size`` names a column of ``small`` with the number of ``big`` rows of
-    the key; without it the keys of ``big`` are counted.
+    Rows of a hot key are spread over salts by a hash of their other columns and their
+    task, and the one matching row is copied per salt. All other keys keep salt 0, so nothing
+    else is copied. ``size`` names a column of ``small`` with the number of ``big`` rows of
+    the key; without it a summary of ``big`` tells the hot ones.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join does inner and left joins")
+    # Equal rows of different tasks part; a task that is repeated gives its rows the same salts.
+    others = [F.col(c) for c in big.columns if c not in key]
+    spread = F.xxhash64(*others, F.spark_partition_id())
     if size is None:
-        hot = F.broadcast(hot_keys(big, key))
-        sized = small.join(hot, key, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+        # Written: both sides must see the same salts, and a summary may differ from run to run.
+        hot, on = F.broadcast(durable(hot_hashes(big, key), "hot")), ["_hash"]
+        left = big.withColumn("_hash", key_hash(key)).join(hot, on, "left").drop("_hash")
+        sized = small.withColumn("_hash", key_hash(key)).join(hot, on, "left").drop("_hash")
+        sized = sized.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     else:
         rows = small.agg(F.sum(size)).scalar()
         sized = small.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(size) * HOT_SHARE / rows).cast("int")))
-        hot = F.broadcast(sized.where(F.col("_salts") > 1).select(*key, "_salts"))
-    others = [F.col(c) for c in big.columns if c not in key]
-    row_hash = F.xxhash64(*others) if others else F.lit(0)
-    left = big.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))
-    )
+        left = big.join(F.broadcast(sized.where(F.col("_salts") > 1).select(*key, "_salts")), key, "left")
+    left = left.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(spread, F.col("_salts")).cast("int")))
     right = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     return left.drop("_salts").join(right.drop("_salts"), [*key, "_salt"], how).drop("_salt")
 
@@ -107,7 +130,7 @@ def merge_bands(sums: DataFrame, key: list[str], band: str, norm: str, values: l
 def softmax_weights(df: DataFrame, key: list[str], score: Column, name: str = "weight") -> DataFrame:
     """Softmax of ``score`` within each key, one weight per row."""
     norms = softmax_sums(df, key, score, {})
-    joined = salted_join(df, norms, key, size="_rows")
+    joined = salted_join(df, norms, key)
     return joined.withColumn(name, F.exp(score - BAND * (F.col("_max") + 1)) / F.col("_norm")).drop(
         "_max", "_norm", "_rows"
     )

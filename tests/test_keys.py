@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from modalweave.operators import keys as K
-from modalweave.operators.skew import hot_keys, running_sum, salted_join, softmax_sums, softmax_weights
+from modalweave.operators import skew
+from modalweave.operators.skew import hot_hashes, hot_keys, running_sum, salted_join, softmax_sums, softmax_weights
 
 
 def test_keep_first_takes_the_first_by_order(spark):
@@ -70,6 +71,35 @@ def test_salted_join_equals_plain_join(spark, skewed, how):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_a_summary_finds_the_hot_keys(spark, skewed, monkeypatch):
+    assert [150 < r["_salts"] < 200 for r in hot_hashes(skewed, ["k"]).collect()] == [True]
+    # More keys than a summary tracks: the frequent ones are still there.
+    monkeypatch.setattr(skew, "TRACKED", 1024)
+    many = spark.range(60_000, numPartitions=5).select((F.when(F.col("id") % 10 < 3, -1).otherwise(F.col("id"))).alias("k"))
+    hot = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first()["h"]
+    found = {r["_hash"]: r["_salts"] for r in hot_hashes(many, ["k"]).collect()}
+    assert hot in found and found[hot] >= 153 and len(found) <= skew.HOT_SHARE
+    assert hot_hashes(many.where("k = 1"), ["k"]).count() <= 1 and hot_hashes(many.where("k = -2"), ["k"]).count() == 0
+
+
+def test_equal_rows_of_a_hot_key_are_split(spark):
+    big = spark.range(8000, numPartitions=8).select(F.lit("a").alias("k"), F.lit(None).cast("int").alias("g"), F.lit(1).alias("v"))
+    small = spark.createDataFrame([("a", None, 5), ("b", 1, 6)], "k string, g int, w int")
+    joined = salted_join(big.drop("g"), small.drop("g"), ["k"])
+    assert joined.count() == 8000 and joined.distinct().collect()[0]["w"] == 5
+    spread = big.withColumn("s", F.pmod(F.xxhash64("v", F.spark_partition_id()), F.lit(64))).select("s").distinct().count()
+    assert spread > 4
+    none = salted_join(big, small, ["k", "g"], "left")
+    assert none.count() == 8000 and none.where("w IS NOT NULL").count() == 0
+
+
+def test_weights_of_tokens_take_few_passes(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.sin("id").alias("s"))
+    df.write.parquet(str(tmp_path / "t"))
+    plan = softmax_weights(spark.read.parquet(str(tmp_path / "t")), ["g"], F.col("s"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 5 and plan.count("Exchange hashpartitioning") <= 5
+
+
 @pytest.mark.parametrize("width", [1, 7, 65536])
 def test_running_sum(spark, width):
     df = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"), F.sin(F.col("id").cast("double")).alias("v"))

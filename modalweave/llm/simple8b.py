@@ -30,6 +30,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC = b"S8B1"
 BLOCK = 1024
+#: Chunks in each generation that a worker of the writer remembers.
+MEMORY = 400_000
 LIMIT = np.uint64(1) << np.uint64(60)
 HEADER = struct.Struct("<4sIIII")
 
@@ -149,7 +151,7 @@ def write_ids(
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.shared(path, spaces)
+        encoder = ChunkEncoder.shared(path, spaces, MEMORY)
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, parts, held, first, part = [], [], 0, 0, 0
 

@@ -9,9 +9,11 @@ full, the elder is forgotten, so frequent chunks stay, memory is bounded and ids
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,22 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 PUNCTUATION = (np.arange(256) > 32) & (np.arange(256) < 127) & ~LETTER
 #: Bytes of texts whose chunks are told apart together.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 #: Chunks in each of the two generations that a worker remembers, about 200 bytes each.
-MEMORY = 400_000
+MEMORY = 250_000
+#: Chunks that a worker keeps between tasks that share it with other stages.
+KEPT = 50_000
 #: A text marker that the vocabularies hold as one special id; it parts chunks that are encoded together.
 MARK = "<|endoftext|>"
 
 
+def give_back() -> None:
+    """Hand free memory back to the system, where the C library offers it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
@@ -51,11 +62,11 @@ class ChunkEncoder:
         self.unsafe: set[bytes] = set()
 
     @classmethod
-    def shared(cls, path: str, spaces: bool) -> ChunkEncoder:
+    def shared(cls, path: str, spaces: bool, memory: int = MEMORY) -> ChunkEncoder:
         """One encoder for each tokenizer and worker process. spaces: white space has ids of its own."""
-        key = (path, spaces)
+        key = (path, spaces, memory)
         if key not in cls._shared:
-            cls._shared[key] = cls(path, spaces)
+            cls._shared[key] = cls(path, spaces, memory)
         return cls._shared[key]
 
     def _whole(self, text: str) -> bytes:
@@ -163,7 +174,11 @@ class ChunkEncoder:
         if len(texts) > lo:
             yield from self._encoded(texts.slice(lo))
 
-    def rest(self) -> None:
-        """Keep the younger generation only; a worker may live on, idle, for long, and other stages need the memory."""
+    def rest(self, keep: int = KEPT) -> None:
+        """Keep the chunks learnt first, which are the frequent ones; a worker may live on, idle, for long, and other
+        stages need the memory."""
         self.elder = {}
+        self.known = dict(islice(self.known.items(), keep))
+        self.unsafe.intersection_update(self.known)
         pa.default_memory_pool().release_unused()
+        give_back()

@@ -88,16 +88,22 @@ def focal_sum(
 
 
 def patch_gate(px: DataFrame, k: int = 8, weight: float = 1.0, bias: float = 0.0) -> DataFrame:
-    """One gate in (0, 1) per k x k patch, painted back on its pixels and applied.
+    """One gate in (0, 1) per channel of a k x k patch, painted back on its pixels and applied.
 
-    A patch is at most k * k * channels pixels, so it is gathered once and unfolded
+    A channel of a patch is at most k * k pixels, so it is gathered once and unfolded
     again instead of joining the gates back.
     """
-    patch = px.groupBy("img", _block("y", k).alias("py"), _block("x", k).alias("px")).agg(
-        F.avg("v").alias("m"), F.collect_list(F.struct("y", "x", "c", "v")).alias("p")
+    patch = px.groupBy("img", "c", _block("y", k).alias("py"), _block("x", k).alias("px")).agg(
+        F.avg("v").alias("m"), F.collect_list(F.struct("y", "x", "v")).alias("p")
     )
     gate = 1.0 / (1.0 + F.exp(-(F.col("m") * weight + bias)))
-    return patch.select("img", gate.alias("gate"), F.inline("p")).withColumn("gated", F.col("v") * F.col("gate"))
+    return patch.select("img", "c", gate.alias("gate"), F.inline("p")).withColumn("gated", F.col("v") * F.col("gate"))
+
+
+def flip_bits(img: Column, epoch: int = 1, seed: int = 42) -> Column:
+    """0 to 3, by a hash of the image and the epoch: 1 mirrors left to right, 2 top to bottom."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), img.cast("string")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % 4
 
 
 def flip(px: DataFrame, size: tuple[int, int], epoch: int = 1, seed: int = 42, only: Column | None = None):
@@ -105,8 +111,7 @@ def flip(px: DataFrame, size: tuple[int, int], epoch: int = 1, seed: int = 42, o
 
     ``only`` restricts the flips, e.g. to the train split.
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("img").cast("string")))
-    bits = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % 4
+    bits = flip_bits(F.col("img"), epoch, seed)
     allowed = F.lit(True) if only is None else only
     horizontal = allowed & (bits % 2 == 1)
     vertical = allowed & (bits >= 2)

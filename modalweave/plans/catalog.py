@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from modalweave.operators import matrix as X
 from modalweave.operators import metrics as M
 from modalweave.operators import neighbours as N
 from modalweave.operators import raster as R
+from modalweave.operators import tiles as TL
 from modalweave.operators import training as TR
 from modalweave.operators.skew import salted_join
 from modalweave.operators.wide import WideModel
@@ -867,53 +869,81 @@ def pixel_rows(px: DataFrame) -> DataFrame:
     return px.select("img", i64("y"), i64("x"), i64("c"), r6("v"))
 
 
+def image_pixels(spark, sf, operator: TL.Operator) -> DataFrame:
+    return pixel_rows(TL.pixels(TL.apply(roles.image_arrays(spark, sf), operator)))
+
+
 @query
 def block_max_pool(spark, sf):
-    return pixel_rows(R.block_max_pool(roles.pixels(spark, sf), 4))
+    return image_pixels(spark, sf, lambda a: TL.max_pool(a, 4))
 
 
 @query
 def nearest_upsample(spark, sf):
-    return pixel_rows(R.nearest_upsample(R.block_max_pool(roles.pixels(spark, sf), 2), (4, 4), (6, 6)))
+    return image_pixels(spark, sf, lambda a: TL.resize_nearest(TL.max_pool(a, 2), (6, 6)))
 
 
 @query
 def focal_sum(spark, sf):
-    return pixel_rows(R.focal_sum(roles.pixels(spark, sf), KERNEL3, (8, 8)))
+    return image_pixels(spark, sf, lambda a: TL.focal(a, KERNEL3))
+
+
+@query
+def focal_sum_in_tiles(spark, sf):
+    """From pixel rows, in tiles of 3 x 3 with a halo of one."""
+    return pixel_rows(TL.focal_in_tiles(roles.pixels(spark, sf), KERNEL3, (8, 8), 1, 3))
 
 
 @query
 def focal_stride2(spark, sf):
-    return pixel_rows(R.focal_sum(roles.pixels(spark, sf), KERNEL2, (8, 8), stride=2, bias=[0.5, -0.5]))
+    return image_pixels(spark, sf, lambda a: TL.focal(a, KERNEL2, 2, [0.5, -0.5]))
 
 
 @query
 def focal_off_centre(spark, sf):
-    return pixel_rows(R.focal_sum(roles.pixels(spark, sf), [(5, 5, 0, 0, 0.5)], (8, 8), bias=[0.25]))
+    return image_pixels(spark, sf, lambda a: TL.focal(a, [(5, 5, 0, 0, 0.5)], bias=[0.25]))
+
+
+@query
+def focal_sum_rows(spark, sf):
+    """The same as an aggregate over pixel rows."""
+    return pixel_rows(R.focal_sum(roles.pixels(spark, sf), KERNEL3, (8, 8)))
 
 
 @query
 def patch_gate(spark, sf):
-    gated = R.patch_gate(roles.pixels(spark, sf), 4)
-    return gated.select("img", i64("y"), i64("x"), i64("c"), r6("gate"), r6("gated"))
+    gated = TL.apply(roles.image_arrays(spark, sf), lambda a: TL.gates(a, 4), "gate")
+    rows = TL.pixels(gated, ("v", "gate")).withColumn("gated", F.col("v") * F.col("gate"))
+    return rows.select("img", i64("y"), i64("x"), i64("c"), r6("gate"), r6("gated"))
+
+
+@query
+def patch_gate_channels(spark, sf):
+    """Two channels, of which each patch has a gate of its own: the image and its negative half."""
+    two = TL.apply(roles.image_arrays(spark, sf), lambda a: np.concatenate([a, np.minimum(a, 0.0)], axis=1))
+    rows = TL.pixels(TL.apply(two, lambda a: TL.gates(a, 4), "gate"), ("v", "gate"))
+    rows = rows.withColumn("gated", F.col("v") * F.col("gate"))
+    return rows.select("img", i64("y"), i64("x"), i64("c"), r6("gate"), r6("gated"))
 
 
 @query
 def flip_pixels(spark, sf):
-    return pixel_rows(R.flip(roles.pixels(spark, sf), (8, 8)))
+    return pixel_rows(TL.pixels(TL.flip(roles.image_arrays(spark, sf), R.flip_bits(F.col("img")))))
 
 
 @query
 def channel_stack(spark, sf):
-    pooled = R.block_max_pool(roles.pixels(spark, sf), 2)
-    coarse = R.nearest_upsample(R.block_max_pool(pooled, 2), (2, 2), (4, 4))
-    return pixel_rows(R.stack_channels(pooled, coarse, 1))
+    def both(a):
+        pooled = TL.max_pool(a, 2)
+        return np.concatenate([pooled, TL.resize_nearest(TL.max_pool(pooled, 2), (4, 4))], axis=1)
+
+    return image_pixels(spark, sf, both)
 
 
 @query
 def image_vector(spark, sf):
-    vectors = R.to_vectors(R.block_mean(roles.pixels(spark, sf), 2))
-    return indexed(vectors, ["img"], F.col("features"), "value")
+    means = TL.apply(roles.image_arrays(spark, sf), lambda a: TL.mean_pool(a, 2))
+    return indexed(means, ["img"], F.col("v"), "value")
 
 
 # --- attention ----------------------------------------------------------------------------

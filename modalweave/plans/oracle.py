@@ -831,15 +831,16 @@ add(
     "WHERE (b * 4) // 6 = y AND (a * 4) // 6 = x)",
     f"SELECT {PIXEL_ROW} FROM up",
 )
-add(
-    "focal_sum",
-    PIXELS,
-    "kernel AS (SELECT a - 1 AS dy, b - 1 AS dx, (a + 1) * CAST(0.25 AS DOUBLE) + (b - 1) * 0.125 AS w "
-    "FROM range(3) AS ra(a), range(3) AS rb(b))",
-    "sums AS (SELECT o.img, o.y, o.x, o.c, sum(i.v * w) AS v FROM pixels o, kernel JOIN pixels i "
-    "ON i.img = o.img AND i.y = o.y + dy AND i.x = o.x + dx GROUP BY o.img, o.y, o.x, o.c)",
-    f"SELECT {PIXEL_ROW} FROM sums",
-)
+for name in ("focal_sum", "focal_sum_in_tiles", "focal_sum_rows"):
+    add(
+        name,
+        PIXELS,
+        "kernel AS (SELECT a - 1 AS dy, b - 1 AS dx, (a + 1) * CAST(0.25 AS DOUBLE) + (b - 1) * 0.125 AS w "
+        "FROM range(3) AS ra(a), range(3) AS rb(b))",
+        "sums AS (SELECT o.img, o.y, o.x, o.c, sum(i.v * w) AS v FROM pixels o, kernel JOIN pixels i "
+        "ON i.img = o.img AND i.y = o.y + dy AND i.x = o.x + dx GROUP BY o.img, o.y, o.x, o.c)",
+        f"SELECT {PIXEL_ROW} FROM sums",
+    )
 add(
     "focal_stride2",
     PIXELS,
@@ -865,6 +866,13 @@ add(
     "g AS (SELECT *, 1 / (1 + exp(-avg(v) OVER (PARTITION BY img, y // 4, x // 4))) AS gate FROM pixels)",
     f"SELECT img, y, x, c, {r6('gate')}, {r6('v * gate', 'gated')} FROM g",
 )
+add(
+    "patch_gate_channels",
+    PIXELS,
+    "two AS (SELECT img, y, x, 0 AS c, v FROM pixels UNION ALL SELECT img, y, x, 1, least(v, 0) FROM pixels)",
+    "g AS (SELECT *, 1 / (1 + exp(-avg(v) OVER (PARTITION BY img, c, y // 4, x // 4))) AS gate FROM two)",
+    f"SELECT img, y, x, {i64('c')}, {r6('gate')}, {r6('v * gate', 'gated')} FROM g",
+)
 add(
     "flip_pixels",
     PIXELS,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modalweave.operators.tiles import images
+
 
 # Class ids of the label columns and the character classes of the text features.
 LANGS = {"de": 0, "en": 1, "es": 2, "fr": 3}
@@ -92,6 +94,11 @@ def pixels(spark, sf_dir) -> DataFrame:
     )
 
 
+def image_arrays(spark, sf_dir) -> DataFrame:
+    """Embeddings as one-channel 8x8 images, one array each."""
+    return images(load(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), (1, 8, 8))
+
+
 # --- cells from orders ------------------------------------------------------------------
 
 

@@ -56,7 +56,9 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
         table = f"{name}_{path.rpartition('/')[2]}"
         writer = df.repartition(buckets, key).write.option("path", f"{path}-{name}").option("compression", "zstd")
         writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files lie outside the warehouse and stay; what was resolved knows its buckets
+    return found
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

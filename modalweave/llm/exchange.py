@@ -18,6 +18,7 @@ from modalweave.llm.common import bucketed, narrow
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 32 << 20
+BUCKETS = 8192
 NO_ID = np.iinfo(np.int64).max
 BLOCK = pa.schema(
     [("block", pa.int64()), ("size", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))]
@@ -25,10 +26,18 @@ BLOCK = pa.schema(
 BLOCK_SQL = "block long, size long, doc_ids array<long>, texts array<string>"
 
 
-def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def text_blocks(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    block_bytes: int = BLOCK_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+    buckets: int = BUCKETS,
+) -> tuple[DataFrame, int]:
     """The documents in blocks (block, size, doc_ids, texts), and the number of shards for their keys.
 
-    Blocks are written in buckets by their number, as many as shards, so answers are joined without moving the texts.
+    Blocks are written in buckets by their number, as many as shards but at most `buckets` (Spark allows 100,000), so
+    answers are joined without moving the texts. Shards grow with the text whatever the buckets.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,9 +62,9 @@ def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
 
     spark, rows = df.sparkSession, narrow(df, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES + 1)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard_bytes + 1)
     blocks = rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, BLOCK_SQL)
-    return bucketed(blocks, "block", shards, "blocks"), shards
+    return bucketed(blocks, "block", min(shards, buckets), "blocks"), shards
 
 
 def packed(keys: np.ndarray, width: int) -> bytes:

@@ -235,7 +235,8 @@ def test_neighbours(spark):
     vectors[7] = vectors[100] = vectors[200]
     table = [(i, v) for i, v in enumerate(vectors)] + [(5, vectors[5]), (None, vectors[1])]
     table += [(400, None), (500, [0.0] * 8), (600, [1.0, float("nan")] + [0.0] * 6), (700, [1.0, None] + [0.0] * 6), (800, [1.0])]
-    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, rank int, ids string".replace(", rank int, ids string", ""))
+    columns = "vec_id long, embedding array<double>, rank int, ids string, query_id long, dim int, score double"
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3, 4.0) for r in table], columns)
     got = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10, block=32)
     want = []
     for q in (0, 100, 200):
@@ -356,6 +357,20 @@ def test_substring(docs, rows, block_bytes):
     assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_more_shards_than_buckets(spark, docs):
+    """Shards follow the text; buckets have a limit of their own, and no table is left in the catalog."""
+    from modalweave.llm import exchange
+
+    before = {t.name for t in spark.catalog.listTables()}
+    blocks, shards = exchange.text_blocks(docs, "doc_id", "text", block_bytes=20_000, shard_bytes=2, buckets=3)
+    assert shards > 100_000
+    assert sorted(i for r in blocks.collect() for i in r.doc_ids if i is not None) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
+    joined = exchange.with_answers(blocks, answers=blocks.selectExpr("block", "0 AS shard", "cast('' AS binary) AS payload"))
+    assert "Bucketed: true" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == blocks.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 @pytest.mark.parametrize("period", range(1, 12))
 def test_difference_cover(period):
     cover = substring.difference_cover(period)

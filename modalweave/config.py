@@ -122,8 +122,10 @@ def check_pairwise(modalities) -> None:
 
 def run_name(cfg: Config) -> str:
     """Name of a run: the main options, and a digest of all options but where results and parameters lie."""
-    places = ("results", "weights_dir", "test_only")
-    options = sorted((k, v) for k, v in asdict(cfg).items() if k not in places)
+    left_out = ["results", "weights_dir", "test_only"]
+    # Options that do nothing leave the names of earlier runs as they are.
+    left_out += ["masked", "mask_value"] * (not cfg.masked) + ["flipped", "image_shape"] * (not cfg.flipped)
+    options = sorted((k, v) for k, v in asdict(cfg).items() if k not in left_out)
     digest = hashlib.sha256(repr(options).encode()).hexdigest()[:12]
     parts = [
         "run",

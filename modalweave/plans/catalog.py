@@ -301,7 +301,7 @@ def drop_columns(spark, sf):
 
 @query
 def modality_width(spark, sf):
-    tables = doc_modalities(spark, sf) | {"image": doc_rna(spark, sf)}
+    tables = doc_modalities(spark, sf, dealt=False) | {"image": doc_rna(spark, sf)}
     widths = K.feature_widths(tables, {"image": "image"})
     return widths.select("modality", "kind", i64("width"), "n_rows")
 

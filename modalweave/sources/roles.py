@@ -20,11 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """Documents whose texts are searched by every core: a file of one row group is read by one task, so the rows of
     an input with fewer splits than cores are dealt out first. Larger inputs stay where they are read."""
     docs, cores = load(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(cores) if dealt and docs.rdd.getNumPartitions() < cores else docs
 
 
 # --- cells from documents ---------------------------------------------------------------
@@ -45,7 +45,7 @@ def _only(text: Column, chars: str) -> Column:
     return F.regexp_replace(text, f"[^{chars}]+", "")
 
 
-def doc_protein(spark, sf_dir) -> DataFrame:
+def doc_protein(spark, sf_dir, dealt: bool = True) -> DataFrame:
     """Rates of the character classes, and the log length.
 
     The rare classes are counted in the few characters that belong to any of them,
@@ -56,7 +56,7 @@ def doc_protein(spark, sf_dir) -> DataFrame:
     found = [F.length(_only(text, CHAR_CLASSES[0])), *[F.length(_only(rare, c)) for c in CHAR_CLASSES[1:]]]
     size = F.length(text)
     rates = [n / F.greatest(size, F.lit(1)) for n in found]
-    return texts(spark, sf_dir).select(
+    return texts(spark, sf_dir, dealt).select(
         F.col("doc_id").alias("cell_id"), F.array(*rates, F.ln(1.0 + size) / 10.0).alias("features")
     )
 
@@ -73,9 +73,9 @@ def doc_tags(spark, sf_dir) -> DataFrame:
     )
 
 
-def doc_modalities(spark, sf_dir) -> dict[str, DataFrame]:
+def doc_modalities(spark, sf_dir, dealt: bool = True) -> dict[str, DataFrame]:
     return {
-        "protein": doc_protein(spark, sf_dir),
+        "protein": doc_protein(spark, sf_dir, dealt),
         "rna": doc_rna(spark, sf_dir),
         "tags": doc_tags(spark, sf_dir),
     }

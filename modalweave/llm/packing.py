@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalweave.llm.common import durable, narrow
-from modalweave.llm.tokens import ChunkEncoder
+from modalweave.llm.tokens import KEPT, MEMORY, ChunkEncoder
 
 SALTS = 64
 #: Tables of fewer rows stay in one partition, where the steps of a sweep need no exchange.
@@ -35,14 +35,19 @@ ROWS_PER_TASK = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, size: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(
+    df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, size: int, memory: int = MEMORY, kept: int = KEPT
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document.
+
+    memory: chunks that a worker remembers in each generation; kept: those it keeps from one task to the next.
+    """
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.shared(path, True)
+        encoder = ChunkEncoder.shared(path, True, memory)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -57,7 +62,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, si
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-        encoder.rest()
+        encoder.rest(kept)
 
     return narrow(df, id_col, text_col).mapInArrow(cut, PIECES)
 
@@ -149,10 +154,22 @@ def counts(df: DataFrame, column: str) -> dict[int, int]:
     return {int(r[0]): int(r[1]) for r in df.groupBy(column).agg(F.count(F.lit(1))).collect()}
 
 
-def best_fit(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 0, size: int = 2048) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in its sequence)."""
+def best_fit(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    path: str,
+    end_id: int = 0,
+    size: int = 2048,
+    memory: int = MEMORY,
+    kept: int = KEPT,
+) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in its sequence).
+
+    memory, kept: chunks that a worker remembers within and between tasks; they never change a result.
+    """
     spark = df.sparkSession
-    cut = durable(pieces(df, id_col, text_col, path, end_id, size), "pieces")
+    cut = durable(pieces(df, id_col, text_col, path, end_id, size, memory, kept), "pieces")
     whole = cut.where(F.col("length") == size).withColumn("seq", -1 - F.monotonically_increasing_id())
     short = cut.where(F.col("length") < size).withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32"))
     items = durable(ranked(short, ["length"], "tie"), "items")

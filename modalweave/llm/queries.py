@@ -26,7 +26,9 @@ from modalweave.llm.common import table
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.best_fit(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=0, size=2048)
+    docs = table(spark, sf_dir, "documents")
+    # No other stage needs the workers' memory.
+    return packing.best_fit(docs, "doc_id", "text", path, end_id=0, size=2048, memory=400_000, kept=400_000)
 
 
 def op5_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

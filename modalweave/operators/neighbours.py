@@ -68,7 +68,9 @@ def _meet(pairs: DataFrame, test: metric.Index, train: metric.Index, k: int) ->
         F.col("width").alias("other_width"),
         F.col("vectors").alias("other_vectors"),
     )
-    met = pairs.join(left, "block").join(right, "other")
+    # Pairs are short rows, often in one task; where blocks are few enough to be sent, the pairs' tasks do the work.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pairs.repartition(tasks, "block", "other").join(left, "block").join(right, "other")
     types = dict(met.dtypes)
     cell, other = (types[c].removeprefix("array<").removesuffix(">") for c in ("ids", "other_ids"))
     schema = f"tag {types['tag']}, block long, cell_id {cell}, train_id {other}, y int, distance double"

@@ -21,8 +21,7 @@ class Config:
     feature gate / the confidence from the model; ``0`` keeps the part and drops
     only its loss term. The modalities in ``masked`` are replaced by ``mask_value`` when a model is tested,
     and only then; those in ``flipped`` are images of ``image_shape`` (channels, rows, columns) that are mirrored at random,
-    each way with probability 1/2, when a model is trained, and only then. An epoch of a fold takes ``ceil(train rows / batch_size)`` steps, each
-    of them a Spark job over its batch: raise ``batch_size`` with the table.
+    each way with probability 1/2, when a model is trained, and only then. An epoch of a fold takes ``ceil(train rows / batch_size)`` steps.
     """
 
     root: str = ""

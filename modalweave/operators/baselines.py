@@ -157,8 +157,7 @@ def dense_net(
 ) -> DataFrame:
     """One hidden layer of 128, Adam, 10 epochs; a fifth of the train cells is held out.
 
-    ``n_classes`` is read off the labels when not given. A step is a Spark job over one batch,
-    so ``batch_size`` should grow with the table.
+    ``n_classes`` is read off the labels when not given.
     """
     cells = durable(cells, "cells")
     width, top = cells.agg(F.max(F.size("features")), F.max("y")).first()

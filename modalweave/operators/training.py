@@ -1,15 +1,19 @@
 """Data-parallel training of the fusion models.
 
-The rows stay cached on the executors. A step sends the parameters out, every task
-sums the gradient of its rows, Spark adds the task sums, and the driver makes one
-Adam step on a vector as long as the model. All folds train in the same jobs: a row
-is stored once with the list of folds it is a train row of.
+The rows stay cached on the executors: a row is stored once with the list of folds it is a train row of,
+and all folds train in the same jobs. Two ways lead to the same steps:
+
+- Batches small enough for a task are taken in runs. An epoch is one exchange that lays the rows of every fold out by run and
+  batch, a run of bounded size being a partition. Steps follow each other, so a task makes all steps of a run, and the
+  parameters and moments it ends with start the fold's next run.
+- Of a larger batch, or a larger model, each step is a job: the parameters are sent out, every task sums the gradient of its
+  rows, Spark adds the task sums, and the driver makes one Adam step on a vector as long as the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ from modalweave.operators.fusion import BROADCAST_LIMIT, Params, forward, init_p
 
 CHUNK = 4096  # gradient numbers per shuffled row
 BUCKETS = 16  # of each batch: how finely an epoch mixes the rows anew
+RUN_BYTES = 32 << 20  # of the rows of a run of steps, which one task holds
+STATE_BYTES = 16 << 20  # of a fold's parameters and moments, which travel with a run
 
 
 def uniforms(ids: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -132,6 +138,25 @@ def flipped(x: np.ndarray, shape: tuple[int, int, int], ids: np.ndarray, salt: i
     return out.reshape(len(x), -1)
 
 
+def mirrored(xs: list[np.ndarray], cfg: Config, ids: np.ndarray, step: int) -> list[np.ndarray]:
+    """The rows of a step, images mirrored."""
+    salt = cfg.seed + 15485863 * step * 64
+    return [
+        flipped(x, cfg.image_shape, ids, salt + 15485863 * v) if m in cfg.flipped else x
+        for v, (m, x) in enumerate(zip(cfg.modalities, xs, strict=True))
+    ]
+
+
+def dropped(cfg: Config, ids: np.ndarray, step: int) -> list[np.ndarray] | None:
+    """Scaled dropout masks of the rows of a step."""
+    if cfg.dropout <= 0:
+        return None
+    keep = 1.0 - cfg.dropout
+    return [
+        (uniforms(ids, h, cfg.seed + 104729 * (step * 64 + v)) < keep) / keep for v, h in enumerate(cfg.hidden)
+    ]
+
+
 def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, weights, step: int, batch=None):
     """Per fold ``(n, loss sum, packed gradient sum)`` over the train rows of one batch.
 
@@ -143,7 +168,6 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
     """
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast((dict(models), {f: np.asarray(w) for f, w in weights.items()}))
-    training = cfg.dropout > 0
     seed = cfg.seed
     n_batches = {}
     if batch is not None:
@@ -164,25 +188,16 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
             folds = lists.flatten().to_numpy(zero_copy_only=False)
             any_p = next(iter(by_fold.values()))
             xs = [as_matrix(rb.column(m), any_p[f"{m}.enc.w"].shape[1]) for m in cfg.modalities]
+            xs = mirrored(xs, cfg, ids, step)
             bucket = rb.column("bucket").to_numpy(zero_copy_only=False) if n_batches else None
-            for v, m in enumerate(cfg.modalities):
-                if m in cfg.flipped:
-                    xs[v] = flipped(xs[v], cfg.image_shape, ids, seed + 15485863 * (step * 64 + v))
             for f, p in by_fold.items():
                 rows = owner[folds == f]
                 if n_batches:
                     rows = rows[np.isin(bucket[rows], chosen[n_batches[f]])]
                 if len(rows) == 0:
                     continue
-                drop = None
-                if training:
-                    keep = 1.0 - cfg.dropout
-                    drop = [
-                        (uniforms(ids[rows], h, seed + 104729 * (step * 64 + v)) < keep) / keep
-                        for v, h in enumerate(cfg.hidden)
-                    ]
                 w = class_w[f][y[rows]] if class_w else np.ones(len(rows))
-                loss, g = gradient(p, cfg, [x[rows] for x in xs], y[rows], w, drop)
+                loss, g = gradient(p, cfg, [x[rows] for x in xs], y[rows], w, dropped(cfg, ids[rows], step))
                 flat = pack(g)
                 t = total[f]
                 t[0], t[1], t[2] = t[0] + len(rows), t[1] + loss, flat if t[2] is None else t[2] + flat
@@ -222,6 +237,113 @@ def gradient_sums(train: DataFrame, models: Mapping[int, Params], cfg: Config, w
     return out
 
 
+@dataclass(frozen=True)
+class Runs:
+    """An epoch of every fold cut into runs of ``steps`` batches; a run is a partition of its own."""
+
+    n_buckets: int
+    n_batches: Mapping[int, int]
+    steps: int
+
+    @property
+    def n_runs(self) -> dict[int, int]:
+        return {f: -(-n // self.steps) for f, n in self.n_batches.items()}
+
+    @property
+    def first(self) -> dict[int, int]:
+        """The partition of a fold's first run."""
+        return dict(zip(self.n_runs, np.cumsum([0, *self.n_runs.values()]).tolist(), strict=False))
+
+    def batch_of_bucket(self, seed: int, epoch: int, fold: int) -> np.ndarray:
+        """The batch that takes each bucket; the inverse of ``buckets_of_batch``."""
+        n, batches = self.n_buckets, self.n_batches[fold]
+        place = np.argsort(bucket_order(seed, epoch, n), kind="stable")
+        return np.searchsorted(n * np.arange(batches + 1) // batches, place, "right") - 1
+
+
+def row_bytes(widths: Mapping[str, int], cfg: Config) -> int:
+    """Of a row of a run: vectors, id, label, batch."""
+    return 8 * (sum(widths[m] for m in cfg.modalities) + 3)
+
+
+def lay_out(used: DataFrame, cfg: Config, widths: Mapping[str, int], runs: Runs, epoch: int):
+    """The rows of an epoch, a partition for each fold and run, as an RDD of packed pieces."""
+    first = runs.first
+
+    def deal(batches):
+        batch_of = {f: runs.batch_of_bucket(cfg.seed, epoch, f) for f in first}
+        for rb in batches:
+            lists = rb.column("train_folds")
+            owner = np.repeat(np.arange(rb.num_rows), np.asarray(lists.value_lengths()))
+            folds = lists.flatten().to_numpy(zero_copy_only=False)
+            ids, y, bucket = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "y", "bucket"))
+            x = np.concatenate([as_matrix(rb.column(m), widths[m]) for m in cfg.modalities], axis=1)
+            out = []
+            for f in first:
+                rows = owner[folds == f]
+                batch = batch_of[f][bucket[rows]]
+                for run in np.unique(batch // runs.steps).tolist():
+                    mine = batch // runs.steps == run
+                    own = rows[mine]
+                    arrays = (batch[mine].astype(np.int64), ids[own].astype(np.int64), y[own].astype(np.int64), x[own])
+                    out.append((first[f] + run, *[a.tobytes() for a in arrays]))
+            if out:
+                kinds = (pa.int32(), *[pa.binary()] * 4)
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "ids", "y", "x"])
+
+    pieces = used.mapInArrow(deal, "part int, batch binary, ids binary, y binary, x binary")
+    return pieces.repartitionById(sum(runs.n_runs.values()), F.col("part")).rdd
+
+
+def epoch_in_runs(
+    used: DataFrame, models: dict[int, Params], optimisers: dict[int, Adam], cfg: Config, weights, widths, runs: Runs, epoch: int
+) -> dict[int, list[float]]:
+    """All steps of an epoch of every fold: ``models`` and ``optimisers`` are replaced, the losses of the steps returned.
+
+    The folds' runs of one number are a job. What travels has the size of the model, three times.
+    """
+    context = used.sparkSession.sparkContext
+    rows, first = lay_out(used, cfg, widths, runs, epoch), runs.first
+    borders = np.cumsum([widths[m] for m in cfg.modalities])
+    per_epoch = max(runs.n_batches.values(), default=0)
+    losses: dict[int, list[float]] = {f: [] for f in models}
+    for run in range(max(runs.n_runs.values(), default=0)):
+        active = [f for f, n in runs.n_runs.items() if run < n]
+        class_w = {f: np.asarray(w) for f, w in weights.items()}
+        sent = context.broadcast(({first[f] + run: (f, models[f], optimisers[f]) for f in active}, class_w))
+
+        def work(pieces, sent=sent):
+            pieces = list(pieces)
+            if not pieces:
+                return
+            states, class_w = sent.value
+            fold, p, adam = states[pieces[0]["part"]]
+            adam = replace(adam)  # a second try in this worker starts from what was sent
+            batch, ids, y = (np.concatenate([np.frombuffer(r[c], np.int64) for r in pieces]) for c in ("batch", "ids", "y"))
+            x = np.concatenate([np.frombuffer(r["x"], np.float64) for r in pieces]).reshape(len(y), borders[-1])
+            pieces.clear()
+            order = np.lexsort((ids, batch))
+            batch, ids, y, x = batch[order], ids[order], y[order], x[order]
+            numbers, starts = np.unique(batch, return_index=True)
+            found = []
+            for number, lo, hi in zip(numbers.tolist(), starts, [*starts[1:], len(batch)], strict=True):
+                step = (epoch - 1) * per_epoch + number + 1
+                own, labels = ids[lo:hi], y[lo:hi]
+                xs = mirrored(np.split(x[lo:hi], borders[:-1], axis=1), cfg, own, step)
+                w = class_w[fold][labels] if class_w else np.ones(hi - lo)
+                loss, g = gradient(p, cfg, xs, labels, w, dropped(cfg, own, step))
+                found.append(loss / (hi - lo))
+                p = unpack(adam.step(pack(p), pack(g) / (hi - lo), epoch), p)
+            yield fold, p, adam, found
+
+        for f, p, adam, found in context.runJob(rows, work, [first[f] + run for f in active]):
+            models[f], optimisers[f] = p, adam
+            losses[f] += found
+        sent.destroy()
+    return losses
+
+
 def in_buckets(rows: DataFrame, cfg: Config, n: int) -> DataFrame:
     """The rows beside ``bucket``, sorted by it and cached in pieces of a quarter of a bucket's batch or less.
 
@@ -279,7 +401,13 @@ def train(
     sizes = used.select(F.explode("train_folds").alias("fold")).groupBy("fold").count().collect()
     n_batches = {r["fold"]: -(-r["count"] // cfg.batch_size) for r in sizes if r["fold"] in models}
     n_buckets = BUCKETS * max(n_batches.values(), default=1)
-    used = in_buckets(used, cfg, n_buckets)
+    a_row = row_bytes(widths, cfg)
+    in_runs = cfg.batch_size * a_row <= RUN_BYTES and 3 * size <= STATE_BYTES
+    runs = Runs(n_buckets, n_batches, max(1, RUN_BYTES // (a_row * cfg.batch_size)))
+    if in_runs:
+        used = used.withColumn("bucket", bucket_of(cfg.seed, n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        used = in_buckets(used, cfg, n_buckets)
     optimisers = {f: Adam(cfg) for f in folds}
     weights = class_weights if cfg.class_weighted and class_weights else {}
     fit = Fit(dict(models), best_epoch={f: None for f in folds})
@@ -287,7 +415,9 @@ def train(
     step = 0
     for epoch in range(1, cfg.epochs + 1):
         losses: dict[int, list[float]] = {f: [] for f in folds}
-        for b in range(max(n_batches.values(), default=0)):
+        if in_runs:
+            losses = epoch_in_runs(used, models, optimisers, cfg, weights, widths, runs, epoch)
+        for b in range(0 if in_runs else max(n_batches.values(), default=0)):
             step += 1
             active = {f: models[f] for f, n in n_batches.items() if b < n}
             batch = (n_buckets, n_batches, b, epoch) if any(n_batches[f] > 1 for f in active) else None

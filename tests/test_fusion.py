@@ -355,6 +355,42 @@ def test_reports(tables, spark):
     assert fixed.count() == 480
 
 
+def test_steps_in_runs_equal_steps_as_jobs(spark, monkeypatch):
+    cfg = config(epochs=2, batch_size=7, dropout=0.3, learning_rate=0.02, keep="last", flipped=("b",), image_shape=(1, 2, 2))
+    weights = {f: [1.0, 2.0, 0.5, 1.5] for f in range(3)}
+    fits = []
+    for run_bytes, state_bytes in ((TR.RUN_BYTES, TR.STATE_BYTES), (2 * 7 * TR.row_bytes(WIDTHS, cfg), TR.STATE_BYTES), (TR.RUN_BYTES, 0)):
+        monkeypatch.setattr(TR, "RUN_BYTES", run_bytes)
+        monkeypatch.setattr(TR, "STATE_BYTES", state_bytes)
+        fits.append(TR.train(frame(spark, 60, 3).where("cell_id <> 'c1'"), [0, 1, 2], WIDTHS, cfg, weights))
+    for fit in fits[1:]:
+        assert fit.steps == fits[0].steps
+        assert np.allclose([r["value"] for r in fit.log], [r["value"] for r in fits[0].log], rtol=1e-9)
+        for f in range(3):
+            assert all(np.allclose(fit.models[f][n], v, rtol=1e-8, atol=1e-11) for n, v in fits[0].models[f].items())
+
+
+def test_jobs_follow_the_runs_and_not_the_steps(spark):
+    context = spark.sparkContext
+    cfg = config(model="static", epochs=2, batch_size=2)
+    context.setJobGroup("many steps", "")
+    try:
+        fit = TR.train(frame(spark), [0], WIDTHS, cfg)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert fit.steps[0] > 30
+    assert len(context.statusTracker().getJobIdsForGroup("many steps")) < 12
+
+
+def test_runs_hold_the_batches_in_order():
+    runs = TR.Runs(160, {0: 7, 5: 10}, 4)
+    assert runs.n_runs == {0: 2, 5: 3} and runs.first == {0: 0, 5: 2}
+    for fold, batches in runs.n_batches.items():
+        found = runs.batch_of_bucket(42, 3, fold)
+        for b in range(batches):
+            assert sorted(TR.buckets_of_batch(42, 3, 160, batches, b)) == np.flatnonzero(found == b).tolist()
+
+
 def test_last_is_kept_on_request(spark):
     cfg = config(model="static", epochs=2, test_interval=1, keep="last", learning_rate=0.05)
     fit = TR.train(frame(spark), [0], WIDTHS, cfg, None, lambda models: {0: 0.5})

@@ -1,20 +1,24 @@
-"""Language-model scoring with an Elias-Fano trie of n-grams (words and pairs of words), in shards.
+"""Language-model scoring with an Elias-Fano trie of n-grams up to any order, in shards.
 
-Model: p(w | v) = (c(v w) + STRENGTH x base(w)) / (c(v) + STRENGTH), with base(w) = (c(w) + 1) / (N + V + 1); it sums to one
-over the V known tokens and the unknown one. A text is its words, lower-cased, and an end token; the first word follows a
-start token. Counts come from all training documents.
+Model: p(w | context) = (c(context w) + STRENGTH x p(w | context without its first word)) / (c(context) + STRENGTH), and without
+context base(w) = (c(w) + 1) / (N + V + 1); it sums to one over the V known tokens and the unknown one. A text is its words,
+lower-cased, and an end token; the first word follows a start token, before which there is nothing, so the contexts of a
+text's first words are shorter. Counts come from all training documents.
 
 1. Every block of documents sends each distinct token with its training count; shards of the token space add the counts and
    answer with the sums. N and V are sums over the shards.
-2. Every block sends its distinct pairs, grouped by context. A shard adds the counts and builds its part of the trie: the
-   sorted contexts, monotone pointers to their ranges, and the successors as one monotone sequence of (context, token)
-   numbers, all three Elias-Fano coded, beside the quantised log10 of c(v w) / (c(v) + STRENGTH). It then looks up the
-   pairs it was asked for: the context by successor search, the token by successor search within the context's range.
-   Contexts with very many tokens are divided over shards by token, so none grows with the most frequent word.
-3. The answers go back to the blocks, where texts are scored.
-
-A shard of the trie is one buffer; `Trie` reads it from bytes or maps it from a file.
-Tokens are known by 64-bit hashes of their bytes, the successors of one context by 40 bits of them.
+2. Level by level, pairs first: every block sends its distinct n-grams, grouped by context, a node of the level below. A shard
+   adds the counts and builds its part of the level: the sorted contexts, monotone pointers to their ranges, and the successors
+   as one monotone sequence of (context, token) numbers, all three Elias-Fano coded, beside the quantised log10 of
+   c(context w) / (c(context) + STRENGTH). It maps the level from a file and looks up the n-grams it was asked for: the
+   context by successor search, the token by successor search within the context's range. The counts that go back with the
+   answers are those of the next level's contexts. Contexts with very many tokens are divided over shards by token, so none
+   grows with the most frequent word.
+3. The answers of all levels go back to the blocks, where texts are scored.
+
+A shard of a level is one buffer; `Trie` reads it from bytes or maps it from a file.
+Tokens are known by 64-bit hashes of their bytes, nodes by 64-bit hashes of context and token, the successors of one context
+by 40 bits of them.
 
 Defined results: null text is empty and has the end token alone; a null id is held out by the remainder of the empty text;
 repeated rows are scored and learnt each; an empty table gives no rows; without training documents base is 1 / 1.
@@ -23,8 +27,10 @@ repeated rows are scored and learnt each; an empty table gives no rows; without
 from __future__ import annotations
 
 import struct
+import tempfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -220,11 +226,12 @@ class Tokens:
         self.before[1:] = self.number[:-1]
         self.before[self.last - self.lengths + 1] = len(self.keys)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context and token number of the distinct pairs, their training counts, and the pair number of every token."""
-        code, number = np.unique(self.before * len(self.keys) + self.number, return_inverse=True)
-        counts = np.bincount(number[self.learnt], minlength=len(code))
-        return code // len(self.keys), code % len(self.keys), counts, number
+    def after(self, number: np.ndarray) -> np.ndarray:
+        """At every token what ``number`` says of the one before it in its text; -1 at a text's first token."""
+        out = np.full(len(number), -1, np.int64)
+        out[1:] = number[:-1]
+        out[self.last - self.lengths + 1] = -1
+        return out
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -238,23 +245,34 @@ def token_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-class Pairs:
-    """A block's distinct pairs in the order they are sent: by shard, context, token."""
+class Grams:
+    """A block's distinct n-grams of one length in the order they are sent: by shard, context, token.
 
-    def __init__(self, tokens: Tokens, counts: np.ndarray, shards: int):
-        context, token, learnt, number = tokens.pairs()
-        keys = np.append(tokens.keys, START)
-        # As many start tokens are learnt as end tokens.
-        self.context_counts = np.append(counts, counts[np.searchsorted(tokens.keys, END)])
-        parts = 1 + self.context_counts // CONTEXT_TOKENS
-        part = (keys[token] >> np.uint64(40)).astype(np.int64) % parts[context]
+    ``node`` is the number of the context of every token (-1 where the text has none of this length), ``keys`` and ``sums``
+    are the contexts' keys and training counts. ``number`` is the n-gram every token ends.
+    """
+
+    def __init__(self, tokens: Tokens, node: np.ndarray, keys: np.ndarray, sums: np.ndarray, shards: int):
+        at = np.flatnonzero(node >= 0)
+        code, number = np.unique(node[at] * len(tokens.keys) + tokens.number[at], return_inverse=True)
+        learnt = np.bincount(number[tokens.learnt[at]], minlength=len(code))
+        context, token = code // max(1, len(tokens.keys)), code % max(1, len(tokens.keys))
+        parts = 1 + sums // CONTEXT_TOKENS
+        part = (tokens.keys[token] >> np.uint64(40)).astype(np.int64) % parts[context]
         shard = (mixed(keys[context] + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.shard, self.context, self.learnt = shard[order], context[order], learnt[order]
-        self.context_key, self.follower = keys[self.context], keys[token[order]] & LOW40
-        self.number = place[number]
+        self.context_key, self.token_key = keys[self.context], tokens.keys[token[order]]
+        self.follower = self.token_key & LOW40
+        self.node, self.sums, self.shards = node, sums, shards
+        self.number = np.full(len(node), -1, np.int64)
+        self.number[at] = place[number]
+
+    def keys(self) -> np.ndarray:
+        """Of the n-grams as nodes of the trie."""
+        return mixed(self.context_key * np.uint64(0x9E3779B97F4A7C15) + self.token_key)
 
 
 COUNTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -304,13 +322,18 @@ def score(
     strength: float = STRENGTH,
     block_bytes: int = BLOCK_BYTES,
     keep_trie: str | None = None,
+    order: int = 2,
 ) -> DataFrame:
     """Per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    keep_trie: a path for the model, a table with the trie of every shard; without it the tries live in their tasks.
+    order: length of the longest n-grams, 2 or more; each has an exchange of its own.
+
+    keep_trie: a path for the model, a table with the trie of every level and shard; without it the tries live in their tasks.
 
     A document is held out if crc32 of its id as text leaves the remainder `held_out` modulo `folds`.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
     blocks, shards = text_blocks(df, id_col, text_col, block_bytes)
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -346,28 +369,53 @@ def score(
             out[lo:hi] = unplanes(answers[s], "<i8")
         return out
 
-    def ask_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replies(grams: Grams, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Quantised probability and training count of each n-gram; without counts at the last level."""
+        codes, seen = np.zeros(len(grams.shard), np.uint16), np.zeros(len(grams.shard), np.int64)
+        for s, lo, hi in slices(grams.shard, grams.shards):
+            raw, cut = found[s], 2 * (hi - lo)
+            codes[lo:hi] = unplanes(raw[:cut], "<u2")
+            if len(raw) > cut:
+                seen[lo:hi] = unplanes(raw[cut:], "<i8")
+        return codes, seen
+
+    def levels(own: Tokens, row: dict, counts: np.ndarray, last: int) -> Iterator[tuple[Grams, np.ndarray | None]]:
+        """The n-grams of 2 to ``last`` tokens, with the probabilities of those already answered."""
+        # As many start tokens are learnt as end tokens.
+        keys, sums = np.append(own.keys, START), np.append(counts, counts[np.searchsorted(own.keys, END)])
+        node = own.before
+        for level in range(2, last + 1):
+            # Nearly every triple of words is a new one, so longer n-grams get more shards.
+            grams, codes, seen = Grams(own, node, keys, sums, shards * min(level - 1, 4)), None, None
+            if f"level_{level}" in row:
+                codes, seen = replies(grams, answer(row[f"level_{level}"]))
+            yield grams, codes
+            if level < last:
+                keys, sums, node = grams.keys(), seen, own.after(grams.number)
+
+    def ask_grams(level: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             own = Tokens(row, held_out, folds)
-            pairs = Pairs(own, counts_of(own, answer(row["counts"])), shards)
+            *_, (grams, _) = levels(own, row, counts_of(own, answer(row["counts"])), level)
             rows = []
-            for s, lo, hi in slices(pairs.shard, shards):
-                first = np.flatnonzero(np.diff(pairs.context[lo:hi], prepend=-1))
+            for s, lo, hi in slices(grams.shard, grams.shards):
+                first = np.flatnonzero(np.diff(grams.context[lo:hi], prepend=-1))
                 rows.append(
                     (
                         s,
                         row["block"],
-                        pairs.context_key[lo + first].astype("<u8").tobytes(),
-                        planes(pairs.context_counts[pairs.context[lo + first]], "<i8"),
+                        grams.context_key[lo + first].astype("<u8").tobytes(),
+                        planes(grams.sums[grams.context[lo + first]], "<i8"),
                         planes(np.diff(np.append(first, hi - lo)), "<u4"),
-                        packed(pairs.follower[lo:hi], 5),
-                        planes(pairs.learnt[lo:hi], "<u4"),
+                        packed(grams.follower[lo:hi], 5),
+                        planes(grams.learnt[lo:hi], "<u4"),
                     )
                 )
             yield from batched(rows, PAIRS)
 
-    def tell_pairs(requests: pa.Table) -> pa.Table:
-        """The shard of the trie (the row without block), and quantised probabilities for every block."""
+    def tell_grams(level: int, requests: pa.Table) -> pa.Table:
+        """The shard of the level (the row without block), and for every block quantised probabilities and, but for the
+        last level, counts."""
         rows = requests.to_pylist()
         own = [np.frombuffer(r["contexts"], "<u8") for r in rows]
         lengths = np.concatenate([unplanes(r["lengths"], "<u4") for r in rows])
@@ -382,35 +430,50 @@ def score(
         context, token, seen = (code >> np.uint64(40)).astype(np.int64), code & LOW40, counts > 0
         known = context[seen]
         trie = Trie.build(contexts[known], token[seen], counts[seen] / (sums[known] + strength))
-        answers = Trie(trie).look_up(contexts[context], token)[pair]
+        with tempfile.NamedTemporaryFile(prefix="trie-") as file:
+            file.write(trie)
+            file.flush()
+            answers = Trie.open(file.name).look_up(contexts[context], token)[pair]
         payloads = [planes(answers[lo:hi], "<u2") for lo, hi in ends(sizes)]
+        if level < order:
+            own_counts = counts.astype(np.int64)[pair]
+            payloads = [raw + planes(own_counts[lo:hi], "<i8") for raw, (lo, hi) in zip(payloads, ends(sizes), strict=True)]
         blocks, shard = [r["block"] for r in rows], [r["shard"] for r in rows]
         if keep_trie:
             blocks, shard, payloads = [*blocks, None], [*shard, shard[0]], [*payloads, trie]
         return told((blocks, shard, payloads), ANSWER)
 
+    def telling(level: int) -> Callable[[pa.Table], pa.Table]:
+        def tell(requests: pa.Table) -> pa.Table:
+            return tell_grams(level, requests)
+
+        return tell
+
     asked = blocks.mapInArrow(ask_counts, "shard int, block long, keys binary, counts binary")
     counts = durable(asked.groupBy("shard").applyInArrow(tell_counts, ANSWER_SQL + ", tokens long, known long"), "counts")
     totals = counts.agg(F.sum("tokens"), F.sum("known")).first()
     train_tokens, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
-    counted = with_answers(blocks, counts=counts)
     columns = "shard int, block long, contexts binary, sums binary, lengths binary, followers binary, counts binary"
-    asked = counted.mapInArrow(ask_pairs, columns)
-    pairs = durable(asked.groupBy("shard").applyInArrow(tell_pairs, ANSWER_SQL), "pairs")
-    if keep_trie:
-        pairs.where("block IS NULL").select("shard", F.col("payload").alias("trie")).write.parquet(keep_trie)
+    known: dict[str, DataFrame] = {"counts": counts}
+    for level in range(2, order + 1):
+        asked = with_answers(blocks, **known).mapInArrow(partial(ask_grams, level), columns)
+        told_back = asked.groupBy("shard").applyInArrow(telling(level), ANSWER_SQL)
+        found = durable(told_back, "pairs" if level == 2 else f"grams_{level}")
+        if keep_trie:
+            tries = found.where("block IS NULL").select("shard", F.col("payload").alias("trie"))
+            tries.write.parquet(f"{keep_trie}/level={level}")
+        known[f"level_{level}"] = found.where("block IS NOT NULL")
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             own = Tokens(row, held_out, folds)
             counts = counts_of(own, answer(row["counts"]))
-            pairs, found = Pairs(own, counts, shards), answer(row["pairs"])
-            codes = np.zeros(len(pairs.shard), np.uint16)
-            for s, lo, hi in slices(pairs.shard, shards):
-                codes[lo:hi] = unplanes(found[s], "<u2")
             base = ((counts + 1) / (train_tokens + vocabulary + 1))[own.number]
-            backoff = strength / (pairs.context_counts[own.before] + strength)
-            smoothed = probability(codes[pairs.number]) + backoff * base
+            smoothed = base.copy()
+            for grams, codes in levels(own, row, counts, order):
+                at = np.flatnonzero(grams.number >= 0)
+                backoff = strength / (grams.sums[grams.node[at]] + strength)
+                smoothed[at] = probability(codes[grams.number[at]]) + backoff * smoothed[at]
             known = (counts > 0)[own.number]
             first = own.last - own.lengths + 1
             columns = (
@@ -425,5 +488,5 @@ def score(
             yield pa.RecordBatch.from_arrays(arrays, schema=SCORES)
 
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = with_answers(blocks, counts=counts, pairs=pairs.where("block IS NOT NULL")).mapInArrow(finish, columns)
+    scored = with_answers(blocks, **known).mapInArrow(finish, columns)
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))

@@ -419,6 +419,29 @@ def test_ngram_scores(docs, rows, block_bytes):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * w[2] and abs(g[6] - w[6]) < 2e-4 * w[2]
 
 
+@pytest.mark.parametrize("block_bytes", [20_000, 1 << 22])
+@pytest.mark.parametrize("order", [3, 4])
+def test_ngram_scores_of_longer_contexts(docs, rows, block_bytes, order):
+    own = [(i, [1, *t.encode().lower().split(), 0]) for i, t in rows]
+    held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in own}
+    c = Counter(tuple(w[k : k + n]) for i, w in own if not held[i] for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total, v = sum(k for g, k in c.items() if len(g) == 1 and g != (1,)), sum(len(g) == 1 and g != (1,) for g in c)
+    want = {}
+    for i, w in own:
+        logs = 0.0
+        for at in range(1, len(w)):
+            p = (c[(w[at],)] + 1) / (total + v + 1)
+            for n in range(2, min(order, at + 1) + 1):
+                p = (c[tuple(w[at - n + 1 : at + 1])] + 20 * p) / (c[tuple(w[at - n + 1 : at])] + 20)
+            logs += math.log10(p)
+        want.setdefault(i, []).append((logs, len(w)))
+    got = ngram.score(docs, "doc_id", "text", block_bytes=block_bytes, order=order).collect()
+    assert len(got) == len(own)
+    for i, expected in want.items():
+        found = sorted(r["score"] for r in got if r["doc_id"] == i)
+        assert all(abs(g - e) < 3e-4 * n for g, (e, n) in zip(found, sorted(expected), strict=True))
+
+
 def mixed(df, fraction):
     """Weights and probabilities before the query rounds them."""
     topic = mixing.topic_of(F.coalesce("text", F.lit("")))

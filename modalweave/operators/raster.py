@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BAND = 64  # rows of outputs that are summed together
+TASK_PIXELS = 1 << 18  # of a task of sums
+
 
 def _block(column: str, k: int) -> Column:
     return F.floor(F.col(column) / k).cast("int")
@@ -47,40 +50,61 @@ def focal_sum(
     """Weighted sum of the neighbours of a pixel, zero outside the image (a convolution).
 
     ``kernel`` lists ``(dy, dx, c_in, c_out, weight)``: output (oy, ox) adds the pixel
-    at ``(oy * stride + dy, ox * stride + dx)``. Each pixel sends its products to the
-    outputs it takes part in and the sums are formed map-side. Every output of an image
-    is returned; one that no pixel reaches is 0, or its bias.
+    at ``(oy * stride + dy, ox * stride + dx)``. Every output of an image is returned; one that no pixel reaches is 0,
+    or its bias.
+
+    Each pixel goes to the bands of output rows it takes part in (mostly one), the only exchange; its products are formed and
+    summed there. The number of tasks follows that of the pixels, so none holds more sums the larger the table is.
     """
-    taps = F.array(
-        *[
-            F.struct(
-                F.lit(dy).alias("dy"),
-                F.lit(dx).alias("dx"),
-                F.lit(ci).alias("ci"),
-                F.lit(co).alias("co"),
-                F.lit(float(w)).alias("w"),
-            )
-            for dy, dx, ci, co, w in kernel
-        ]
+    rows, cols = -(-size[0] // stride), -(-size[1] // stride)
+    made = sorted({co for _, _, _, co, _ in kernel} | set(range(len(bias or []))))
+    low = F.floor((F.col("y") - max(t[0] for t in kernel)) / stride)
+    high = F.floor((F.col("y") - min(t[0] for t in kernel)) / stride)
+    touched = F.sequence(
+        F.floor(F.greatest(F.lit(0), low) / BAND).cast("int"), F.floor(F.least(F.lit(rows - 1), high) / BAND).cast("int")
     )
-    sent = px.withColumn("t", F.explode(taps)).where(F.col("t.ci") == F.col("c"))
+    # An image's own row in a band stands for all its outputs there: a pixel of value 0 with a tap to each.
+    kinds = dict(px.dtypes)
+    at_origin = {"y": F.lit(0), "x": F.lit(0), "c": F.lit(None), "v": F.lit(0.0)}
+    whole = px.select("img").distinct().withColumn("band", F.explode(F.sequence(F.lit(0), F.lit((rows - 1) // BAND))))
+    whole = whole.select("img", "band", *[v.cast(kinds[n]).alias(n) for n, v in at_origin.items()], F.lit(True).alias("whole"))
+    own = px.where((high >= 0) & (low < rows)).withColumn("band", F.explode(touched))
+    own = own.select("img", "band", "y", "x", "c", "v", F.lit(False).alias("whole"))
+    tasks = max(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), px.count() // TASK_PIXELS + 1)
+    placed = own.unionByName(whole).repartition(tasks, "img", "band")
+
+    def tap(dy, dx, ci, co, w):
+        columns = {"dy": (dy, "int"), "dx": (dx, "int"), "ci": (ci, "int"), "co": (co, "int"), "w": (w, "double")}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(n) for n, (v, t) in columns.items()])
+
+    taps = F.array(*[tap(*t) for t in kernel])
+    band_rows = F.sequence(F.col("band") * BAND, F.least(F.lit(rows - 1), F.col("band") * BAND + BAND - 1))
+    to_all = F.flatten(
+        F.transform(
+            band_rows,
+            lambda y: F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(cols - 1)),
+                    lambda x: F.array(*[tap(-y * stride, -x * stride, None, co, 0.0) for co in made]),
+                )
+            ),
+        )
+    )
+    sent = placed.withColumn("t", F.explode(F.when(F.col("whole"), to_all).otherwise(taps)))
+    sent = sent.where(F.col("whole") | (F.col("t.ci") == F.col("c")))
     oy, ox = F.col("y") - F.col("t.dy"), F.col("x") - F.col("t.dx")
-    rows, cols = -(-size[0] // stride), -(-size[1] // stride)
     inside = (oy >= 0) & (ox >= 0) & (oy < rows * stride) & (ox < cols * stride)
     on_grid = (oy % stride == 0) & (ox % stride == 0)
-    products = sent.where(inside & on_grid).select(
+    in_band = F.floor(oy / (stride * BAND)) == F.col("band")
+    products = sent.where(inside & on_grid & in_band).select(
         "img",
+        "band",
         (oy / stride).cast("int").alias("y"),
         (ox / stride).cast("int").alias("x"),
         F.col("t.co").alias("c"),
         (F.col("v") * F.col("t.w")).alias("v"),
     )
-    made = sorted({co for _, _, _, co, _ in kernel} | set(range(len(bias or []))))
-    empty = px.select("img").distinct()
-    for name, positions in (("y", range(rows)), ("x", range(cols)), ("c", made)):
-        empty = empty.withColumn(name, F.explode(F.array(*[F.lit(p) for p in positions])))
-    every = products.unionByName(empty.withColumn("v", F.lit(0.0)))
-    out = every.groupBy("img", "y", "x", "c").agg(F.sum("v").alias("v"))
+    out = products.groupBy("img", "band", "y", "x", "c").agg(F.sum("v").alias("v")).drop("band")
     if bias is not None:
         offset = F.element_at(F.array(*[F.lit(float(b)) for b in bias]), F.col("c") + 1)
         out = out.withColumn("v", F.col("v") + offset)

@@ -96,3 +96,15 @@ def test_no_exchange_and_no_loss(spark):
     assert TL.apply(df.where("img < 0"), lambda a: TL.max_pool(a, 2)).count() == 0
     with pytest.raises(Exception, match="beside an image"):
         TL.apply(df, lambda a: TL.max_pool(a, 2), "pooled").collect()
+
+
+def test_focal_sums_are_dealt_out_by_pixels(spark, monkeypatch):
+    rows = [(i, y, x, 0, float(i + y * x)) for i in range(6) for y in range(8) for x in range(8)]
+    px = spark.createDataFrame(rows, "img long, y int, x int, c int, v double").coalesce(1)
+    kernel = [(dy, dx, 0, 0, 0.5 + dy + 2.0 * dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    whole = as_dict(R.focal_sum(px, kernel, (8, 8)))
+    monkeypatch.setattr(R, "TASK_PIXELS", 16)
+    monkeypatch.setattr(R, "BAND", 2)
+    parts = R.focal_sum(px, kernel, (8, 8))
+    assert parts.rdd.getNumPartitions() == 25
+    assert as_dict(parts) == whole and len(whole) == 6 * 64

@@ -14,7 +14,7 @@ from modalweave.operators import metric
 from modalweave.sources.sinks import durable
 
 DIRECT = 64  # pairs of blocks up to which nothing is gained by leaving some out
-CHUNK_CELLS = 4_000_000  # distances held at once in a task
+CHUNK_CELLS = 1_000_000  # distances, or numbers of differences, held at once in a task
 DIGITS = 9  # distances that agree to this many decimals are a tie
 
 
@@ -30,15 +30,18 @@ def nearest_in_block(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
     found = []
     for s in range(0, len(x), step):
         part = x[s : s + step]
-        d2 = norm_x[s : s + step, None] + norm_y[None, :] - 2.0 * part @ y.T
+        d2 = -2.0 * part @ y.T
+        d2 += norm_x[s : s + step, None] + norm_y[None, :]
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         # Rounding may merge distances 1e-9 apart; 1e-12 covers the product form.
         reach = (np.sqrt(np.clip(kth, 0.0, None)) + 2 * 10.0**-DIGITS) ** 2
         slack = 1e-12 * (norm_x[s : s + step] + norm_y.max())
         rows, cols = np.nonzero(d2 <= (reach + slack)[:, None])
+        del d2
         dist = np.empty(len(rows))
-        for c in range(0, len(rows), CHUNK_CELLS // 8):
-            e = slice(c, c + CHUNK_CELLS // 8)
+        measured = max(1, CHUNK_CELLS // max(1, y.shape[1]))
+        for c in range(0, len(rows), measured):
+            e = slice(c, c + measured)
             diff = part[rows[e]] - y[cols[e]]
             dist[e] = np.round(np.sqrt((diff * diff).sum(axis=1)), DIGITS)
         order = np.lexsort((ids[cols], dist, rows))

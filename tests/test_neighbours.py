@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -116,6 +118,18 @@ def test_chunks_do_not_change_the_result(monkeypatch):
         assert np.array_equal(a, b)
 
 
+def test_a_block_of_equal_rows_is_measured_in_bounded_memory():
+    x = np.ones((1500, 64))
+    tracemalloc.start()
+    try:
+        rows, cols, dist = N.nearest_in_block(x, x, np.arange(1500), 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cols.tolist() == [0, 1, 2, 3, 4] * 1500 and not dist.any()
+    assert peak < 250e6, peak
+
+
 def test_fewer_train_rows_than_k(spark):
     test = spark.createDataFrame([(0, 1, [0.0])], "fold int, cell_id long, features array<double>")
     train = spark.createDataFrame([(0, 7, 2, [1.0]), (0, 8, 1, [2.0])], "fold int, cell_id long, y int, features array<double>")

@@ -7,7 +7,7 @@ the key space. The shard answers every entry in the order it came; the answers o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,9 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 32 << 20
 BUCKETS = 8192
 NO_ID = np.iinfo(np.int64).max
-BLOCK = pa.schema(
-    [("block", pa.int64()), ("size", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))]
-)
-BLOCK_SQL = "block long, size long, doc_ids array<long>, texts array<string>"
+BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+BLOCK_SQL = "block long, size long, doc_ids array<long>"
+TEXTS = pa.schema([("texts", pa.list_(pa.string()))])
 
 
 def text_blocks(
@@ -33,20 +32,26 @@ def text_blocks(
     block_bytes: int = BLOCK_BYTES,
     shard_bytes: int = SHARD_BYTES,
     buckets: int = BUCKETS,
+    form: Callable[[list[str]], tuple] | None = None,
+    columns: pa.Schema = TEXTS,
 ) -> tuple[DataFrame, int]:
     """The documents in blocks (block, size, doc_ids, texts), and the number of shards for their keys.
 
+    A block holds what ``form`` makes of its texts, in ``columns``, in place of the texts.
+
     Blocks are written in buckets by their number, as many as shards but at most `buckets` (Spark allows 100,000), so
     answers are joined without moving the texts. Shards grow with the text whatever the buckets.
     """
+    schema = pa.schema([*BLOCK, *columns])
+    kinds = {pa.binary(): "binary", pa.list_(pa.string()): "array<string>"}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, made, part = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            values = ((part << 32) + made, size, ids, texts)
-            arrays = [pa.array([v], f.type) for v, f in zip(values, BLOCK, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, schema=BLOCK)
+            values = ((part << 32) + made, size, ids, *(form(texts) if form else (texts,)))
+            arrays = [pa.array([v], f.type) for v, f in zip(values, schema, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else part
@@ -63,7 +68,9 @@ def text_blocks(
     spark, rows = df.sparkSession, narrow(df, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard_bytes + 1)
-    blocks = rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, BLOCK_SQL)
+    blocks = rows.withColumn("part", F.spark_partition_id()).mapInArrow(
+        run, ", ".join([BLOCK_SQL, *(f"{c.name} {kinds[c.type]}" for c in columns)])
+    )
     return bucketed(blocks, "block", min(shards, buckets), "blocks"), shards
 
 

@@ -5,7 +5,7 @@ context base(w) = (c(w) + 1) / (N + V + 1); it sums to one over the V known toke
 lower-cased, and an end token; the first word follows a start token, before which there is nothing, so the contexts of a
 text's first words are shorter. Counts come from all training documents.
 
-1. Every block of documents sends each distinct token with its training count; shards of the token space add the counts and
+1. Documents are kept in blocks, as numbers of a block's distinct tokens. Every block sends each distinct token with its training count; shards of the token space add the counts and
    answer with the sums. N and V are sums over the shards.
 2. Level by level, pairs first: every block sends its distinct n-grams, grouped by context, a node of the level below. A shard
    adds the counts and builds its part of the level: the sorted contexts, monotone pointers to their ranges, and the successors
@@ -29,6 +29,7 @@ from __future__ import annotations
 import struct
 import tempfile
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -38,9 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalweave.llm.common import durable
+from modalweave.llm.common import bucketed, durable
 from modalweave.llm.exchange import (
     BLOCK_BYTES,
+    BUCKETS,
     answer,
     batched,
     packed,
@@ -51,6 +53,7 @@ from modalweave.llm.exchange import (
     unplanes,
     with_answers,
 )
+from modalweave.llm.tokens import give_back
 
 #: Weight of the base distribution, in tokens.
 STRENGTH = 20.0
@@ -58,11 +61,26 @@ STRENGTH = 20.0
 STEP = 10 / 65534
 #: Tokens of a context that one shard takes.
 CONTEXT_TOKENS = 4_000_000
+#: N-grams that a shard looks up at once.
+LOOKED_UP = 1 << 18
 #: No word holds a space.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" start"))
 LOW40 = np.uint64((1 << 40) - 1)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of every given one among them."""
+    order = None if np.all(values[1:] >= values[:-1]) else np.argsort(values)
+    values = values if order is None else values[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    place = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    if order is not None:
+        given = np.empty_like(place)
+        given[order] = place
+        place = given
+    return values[new], place
+
+
 def low_bits(values: np.ndarray, width: int) -> bytes:
     """The lowest `width` bits of every value, packed."""
     if not width or not len(values):
@@ -138,12 +156,23 @@ class EliasFano:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, -1 where the sequence doesn't hold it; repeated values are searched once."""
-        values, number = np.unique(values, return_inverse=True)
+        values, number = distinct(values)
         place = self.successor(values)
         inside = np.minimum(place, self.n - 1)
         return np.where(self.get(inside) == values, inside, -1)[number]
 
 
+def more_shards(level: int) -> int:
+    """How often the shards of the text a level has: n-grams take more room than tokens."""
+    return max(2, turns_of(level))
+
+
+def turns_of(level: int) -> int:
+    """Nearly every triple of words is a new one. Longer n-grams are exchanged in turns, each with its own shards, so no more
+    requests lie on disk at once than those of the pairs."""
+    return min(level - 1, 4)
+
+
 class Trie:
     """A shard of the trie over one buffer: contexts, pointers, successors, quantised probabilities."""
 
@@ -165,8 +194,8 @@ class Trie:
     @classmethod
     def build(cls, contexts: np.ndarray, tokens: np.ndarray, probabilities: np.ndarray) -> bytes:
         """From distinct pairs sorted by context, then token."""
-        own, first = np.unique(contexts, return_index=True)
-        known, number = np.unique(tokens, return_inverse=True)
+        first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])[: len(contexts)])
+        own, (known, number) = contexts[first], distinct(tokens)
         pointers = np.append(first, len(contexts))
         context = np.repeat(np.arange(len(own)), np.diff(pointers))
         monotone = context.astype(np.uint64) * np.uint64(max(1, len(known))) + number.astype(np.uint64)
@@ -201,34 +230,39 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) * STEP - 10), 0.0)
 
 
+TOKENS = pa.schema([("lengths", pa.binary()), ("keys", pa.binary()), ("numbers", pa.binary())])
+
+
+def hashed(texts: list[str]) -> tuple[bytes, bytes, bytes]:
+    """The texts' numbers of tokens, their distinct tokens in order, and the place of every token among these."""
+    words: dict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__  # a new word gets the next number
+    own = [np.array([*map(words.__getitem__, t.encode().lower().split()), -1], np.int32) for t in texts]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    keys, place = distinct(np.append(hashes, END))
+    lengths = np.array([len(x) for x in own], np.int64)
+    return planes(lengths, "<u4"), keys.astype("<u8").tobytes(), planes(place[np.concatenate(own)], "<u4")
+
+
 class Tokens:
     """The tokens of a block's documents, numbered by the block's distinct ones."""
 
     def __init__(self, row: dict, held_out: int, folds: int):
         self.doc_ids = row["doc_ids"]
-        digest = xxhash.xxh64_intdigest
-        words = [t.encode().lower().split() for t in row["texts"]]
-        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
-        n = int(self.lengths.sum())
+        self.lengths = unplanes(row["lengths"], "<u4").astype(np.int64)
         self.last = np.cumsum(self.lengths) - 1
-        hashes = np.empty(n, np.uint64)
-        inner = np.ones(n, bool)
-        inner[self.last] = False
-        hashes[inner] = np.fromiter((digest(w) for own in words for w in own), np.uint64, n - len(words))
-        hashes[self.last] = END
-        self.doc = np.repeat(np.arange(len(words)), self.lengths)
         fold = [zlib.crc32(b"" if i is None else str(i).encode()) % folds for i in self.doc_ids]
         self.held_out = np.array(fold) == held_out
-        self.learnt = ~self.held_out[self.doc]
+        self.learnt = np.repeat(~self.held_out, self.lengths)
         # The start token is the last number, so that it can be a context.
-        self.keys, self.number = np.unique(hashes, return_inverse=True)
-        self.before = np.empty(n, np.int64)
+        self.keys, self.number = np.frombuffer(row["keys"], "<u8"), unplanes(row["numbers"], "<u4").view(np.int32)
+        self.before = np.empty(len(self.number), np.int32)
         self.before[1:] = self.number[:-1]
         self.before[self.last - self.lengths + 1] = len(self.keys)
 
     def after(self, number: np.ndarray) -> np.ndarray:
         """At every token what ``number`` says of the one before it in its text; -1 at a text's first token."""
-        out = np.full(len(number), -1, np.int64)
+        out = np.empty(len(number), np.int32)
         out[1:] = number[:-1]
         out[self.last - self.lengths + 1] = -1
         return out
@@ -248,31 +282,47 @@ def token_shard(keys: np.ndarray, shards: int) -> np.ndarray:
 class Grams:
     """A block's distinct n-grams of one length in the order they are sent: by shard, context, token.
 
-    ``node`` is the number of the context of every token (-1 where the text has none of this length), ``keys`` and ``sums``
-    are the contexts' keys and training counts. ``number`` is the n-gram every token ends.
+    ``node`` is the number of the context of every token (-1 where the text has none of this length), ``nodes`` and ``sums``
+    are the contexts' keys and training counts. ``number`` is the n-gram every token ends, -1 for one whose context was
+    never learnt: nothing is below it in the trie. ``learnt`` counts the n-grams in the block's training documents. Where one
+    of several turns is wanted, n-grams of other turns' shards may be left out.
     """
 
-    def __init__(self, tokens: Tokens, node: np.ndarray, keys: np.ndarray, sums: np.ndarray, shards: int):
-        at = np.flatnonzero(node >= 0)
-        code, number = np.unique(node[at] * len(tokens.keys) + tokens.number[at], return_inverse=True)
-        learnt = np.bincount(number[tokens.learnt[at]], minlength=len(code))
-        context, token = code // max(1, len(tokens.keys)), code % max(1, len(tokens.keys))
+    def __init__(
+        self, tokens: Tokens, node: np.ndarray, nodes: np.ndarray, sums: np.ndarray, shards: int, turns: int = 1, turn: int = 0
+    ):
+        self.tokens, self.node, self.nodes, self.sums, self.shards = tokens, node, nodes, sums, shards
         parts = 1 + sums // CONTEXT_TOKENS
-        part = (tokens.keys[token] >> np.uint64(40)).astype(np.int64) % parts[context]
-        shard = (mixed(keys[context] + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        whole = bool(np.all(parts == 1))
+        home = self.sharded(nodes)
+        # The last place is that of no context.
+        asked = np.append((sums > 0) & (home % turns == turn) if whole else sums > 0, False)
+        at = np.flatnonzero(asked[np.where(node < 0, len(nodes), node)])
+        width = max(1, len(tokens.keys))
+        code, number = distinct(node[at].astype(np.int64) * width + tokens.number[at])
+        learnt = np.bincount(number[tokens.learnt[at]], minlength=len(code)).astype(np.uint32)
+        context = (code // width).astype(np.int32)
+        token = (code - context.astype(np.int64) * width).astype(np.int32)
+        del code
+        if whole:
+            shard = home[context]
+        else:
+            part = (tokens.keys >> np.uint64(40))[token] % parts.astype(np.uint64)[context]
+            shard = self.sharded(nodes[context] + part)
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.shard, self.context, self.learnt = shard[order], context[order], learnt[order]
-        self.context_key, self.token_key = keys[self.context], tokens.keys[token[order]]
-        self.follower = self.token_key & LOW40
-        self.node, self.sums, self.shards = node, sums, shards
-        self.number = np.full(len(node), -1, np.int64)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.shard, self.context, self.token, self.learnt = shard[order], context[order], token[order], learnt[order]
+        self.number = np.full(len(node), -1, np.int32)
         self.number[at] = place[number]
 
+    def sharded(self, keys: np.ndarray) -> np.ndarray:
+        """Short numbers are sorted faster."""
+        return (mixed(keys) % np.uint64(self.shards)).astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)
+
     def keys(self) -> np.ndarray:
         """Of the n-grams as nodes of the trie."""
-        return mixed(self.context_key * np.uint64(0x9E3779B97F4A7C15) + self.token_key)
+        return mixed(self.nodes[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.tokens.keys[self.token])
 
 
 COUNTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -302,6 +352,12 @@ SCORES = pa.schema(
 )
 
 
+def free() -> None:
+    """Hand back what a block or shard took: freed arrays would stay with the worker, in every worker at once."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def told(columns: tuple, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -334,21 +390,23 @@ def score(
     """
     if order < 2:
         raise ValueError("order must be at least 2")
-    blocks, shards = text_blocks(df, id_col, text_col, block_bytes)
+    blocks, shards = text_blocks(df, id_col, text_col, block_bytes, form=hashed, columns=TOKENS)
 
-    def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    def each(of_row: Callable[[dict], Iterable[pa.RecordBatch]], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block at a time; what one took is free before the next is read."""
         for batch in batches:
-            yield from batch.to_pylist()
-
-    def ask_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            own = Tokens(row, held_out, folds)
-            counts = np.bincount(own.number[own.learnt], minlength=len(own.keys))
-            rows = [
-                (s, row["block"], own.keys[lo:hi].astype("<u8").tobytes(), planes(counts[lo:hi], "<u4"))
-                for s, lo, hi in slices(token_shard(own.keys, shards), shards)
-            ]
-            yield from batched(rows, COUNTS)
+            for at in range(batch.num_rows):
+                yield from of_row(batch.slice(at, 1).to_pylist()[0])
+                free()
+
+    def ask_counts(row: dict) -> Iterator[pa.RecordBatch]:
+        own = Tokens(row, held_out, folds)
+        counts = np.bincount(own.number[own.learnt], minlength=len(own.keys))
+        rows = [
+            (s, row["block"], own.keys[lo:hi].tobytes(), planes(counts[lo:hi], "<u4"))
+            for s, lo, hi in slices(token_shard(own.keys, shards), shards)
+        ]
+        yield from batched(rows, COUNTS)
 
     def tell_counts(requests: pa.Table) -> pa.Table:
         """Sums for every block; the first row also has N and V of the shard."""
@@ -373,120 +431,146 @@ def score(
         """Quantised probability and training count of each n-gram; without counts at the last level."""
         codes, seen = np.zeros(len(grams.shard), np.uint16), np.zeros(len(grams.shard), np.int64)
         for s, lo, hi in slices(grams.shard, grams.shards):
-            raw, cut = found[s], 2 * (hi - lo)
+            raw, cut = found.pop(s), 2 * (hi - lo)
             codes[lo:hi] = unplanes(raw[:cut], "<u2")
             if len(raw) > cut:
                 seen[lo:hi] = unplanes(raw[cut:], "<i8")
         return codes, seen
 
-    def levels(own: Tokens, row: dict, counts: np.ndarray, last: int) -> Iterator[tuple[Grams, np.ndarray | None]]:
-        """The n-grams of 2 to ``last`` tokens, with the probabilities of those already answered."""
+    def levels(own: Tokens, row: dict, counts: np.ndarray, last: int, turn: int | None = None) -> Iterator[tuple]:
+        """The n-grams of 2 to ``last`` tokens, with the probabilities of those already answered; of the last those of a turn."""
         # As many start tokens are learnt as end tokens.
         keys, sums = np.append(own.keys, START), np.append(counts, counts[np.searchsorted(own.keys, END)])
         node = own.before
         for level in range(2, last + 1):
-            # Nearly every triple of words is a new one, so longer n-grams get more shards.
-            grams, codes, seen = Grams(own, node, keys, sums, shards * min(level - 1, 4)), None, None
-            if f"level_{level}" in row:
-                codes, seen = replies(grams, answer(row[f"level_{level}"]))
+            turns = turns_of(level)
+            wanted = (turns, turn) if level == last and turn is not None else ()
+            grams, codes, seen = Grams(own, node, keys, sums, shards * more_shards(level), *wanted), None, None
+            if f"level_{level}_0" in row:
+                found = [answer(row.pop(f"level_{level}_{t}")) for t in range(turns)]
+                codes, seen = replies(grams, {s: raw for part in found for s, raw in part.items()})
+                del found
             yield grams, codes
             if level < last:
                 keys, sums, node = grams.keys(), seen, own.after(grams.number)
+                del grams, codes
 
-    def ask_grams(level: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            own = Tokens(row, held_out, folds)
-            *_, (grams, _) = levels(own, row, counts_of(own, answer(row["counts"])), level)
-            rows = []
-            for s, lo, hi in slices(grams.shard, grams.shards):
-                first = np.flatnonzero(np.diff(grams.context[lo:hi], prepend=-1))
-                rows.append(
-                    (
-                        s,
-                        row["block"],
-                        grams.context_key[lo + first].astype("<u8").tobytes(),
-                        planes(grams.sums[grams.context[lo + first]], "<i8"),
-                        planes(np.diff(np.append(first, hi - lo)), "<u4"),
-                        packed(grams.follower[lo:hi], 5),
-                        planes(grams.learnt[lo:hi], "<u4"),
-                    )
+    def ask_grams(level: int, turn: int, row: dict) -> Iterator[pa.RecordBatch]:
+        own = Tokens(row, held_out, folds)
+        for grams, _ in levels(own, row, counts_of(own, answer(row.pop("counts"))), level, turn):
+            pass
+        rows = []
+        for s, lo, hi in slices(grams.shard, grams.shards):
+            if s % turns_of(level) != turn:
+                continue
+            context = grams.context[lo:hi]
+            first = np.flatnonzero(np.diff(context, prepend=-1))
+            rows.append(
+                (
+                    s,
+                    row["block"],
+                    grams.nodes[context[first]].astype("<u8").tobytes(),
+                    planes(grams.sums[context[first]], "<i8"),
+                    planes(np.diff(np.append(first, hi - lo)), "<u4"),
+                    packed(own.keys[grams.token[lo:hi]], 5),
+                    planes(grams.learnt[lo:hi], "<u4"),
                 )
-            yield from batched(rows, PAIRS)
+            )
+        yield from batched(rows, PAIRS)
 
     def tell_grams(level: int, requests: pa.Table) -> pa.Table:
-        """The shard of the level (the row without block), and for every block quantised probabilities and, but for the
+        """The shard of the level (the row of a negative block), and for every block quantised probabilities and, but for the
         last level, counts."""
-        rows = requests.to_pylist()
-        own = [np.frombuffer(r["contexts"], "<u8") for r in rows]
-        lengths = np.concatenate([unplanes(r["lengths"], "<u4") for r in rows])
-        contexts, number = np.unique(np.concatenate(own), return_inverse=True)
+        listed = {c: requests[c].to_pylist() for c in requests.column_names}
+        lengths = np.concatenate([unplanes(raw, "<u4") for raw in listed.pop("lengths")])
+        contexts = np.concatenate([np.frombuffer(raw, "<u8") for raw in listed.pop("contexts")])
+        contexts, number = distinct(contexts)
         sums = np.zeros(len(contexts), np.int64)
-        sums[number] = np.concatenate([unplanes(r["sums"], "<i8") for r in rows])
-        followers = [unpacked(r["followers"], 5) for r in rows]
-        sizes = [len(f) for f in followers]
-        code = np.repeat(number.astype(np.uint64) << np.uint64(40), lengths) | np.concatenate(followers)
-        code, pair = np.unique(code, return_inverse=True)
-        counts = np.bincount(pair, np.concatenate([unplanes(r["counts"], "<u4") for r in rows]), len(code))
-        context, token, seen = (code >> np.uint64(40)).astype(np.int64), code & LOW40, counts > 0
+        sums[number] = np.concatenate([unplanes(raw, "<i8") for raw in listed.pop("sums")])
+        cuts = list(ends([len(raw) // 5 for raw in listed["followers"]]))
+        code = np.repeat(number.astype(np.uint64) << np.uint64(40), lengths)
+        for (lo, hi), raw in zip(cuts, listed.pop("followers"), strict=True):
+            code[lo:hi] |= unpacked(raw, 5)
+        del number, lengths
+        code, pair = distinct(code)
+        counts = np.bincount(pair, np.concatenate([unplanes(raw, "<u4") for raw in listed.pop("counts")]), len(code))
+        counts = counts.astype(np.int64)
+        context, token, seen = (code >> np.uint64(40)).astype(np.int32), code & LOW40, counts > 0
+        del code
         known = context[seen]
         trie = Trie.build(contexts[known], token[seen], counts[seen] / (sums[known] + strength))
+        del known, seen
+        codes = np.empty(len(token), np.uint16)
         with tempfile.NamedTemporaryFile(prefix="trie-") as file:
             file.write(trie)
             file.flush()
-            answers = Trie.open(file.name).look_up(contexts[context], token)[pair]
-        payloads = [planes(answers[lo:hi], "<u2") for lo, hi in ends(sizes)]
+            opened = Trie.open(file.name)
+            for lo in range(0, len(token), LOOKED_UP):
+                part = slice(lo, lo + LOOKED_UP)
+                codes[part] = opened.look_up(contexts[context[part]], token[part])
+            del opened, context, token
+        payloads = [planes(codes[pair[lo:hi]], "<u2") for lo, hi in cuts]
         if level < order:
-            own_counts = counts.astype(np.int64)[pair]
-            payloads = [raw + planes(own_counts[lo:hi], "<i8") for raw, (lo, hi) in zip(payloads, ends(sizes), strict=True)]
-        blocks, shard = [r["block"] for r in rows], [r["shard"] for r in rows]
+            payloads = [raw + planes(counts[pair[lo:hi]], "<i8") for raw, (lo, hi) in zip(payloads, cuts, strict=True)]
+        blocks, shard = listed["block"], listed["shard"]
         if keep_trie:
-            blocks, shard, payloads = [*blocks, None], [*shard, shard[0]], [*payloads, trie]
+            blocks, shard, payloads = [*blocks, -1 - shard[0]], [*shard, shard[0]], [*payloads, trie]
         return told((blocks, shard, payloads), ANSWER)
 
     def telling(level: int) -> Callable[[pa.Table], pa.Table]:
         def tell(requests: pa.Table) -> pa.Table:
-            return tell_grams(level, requests)
+            try:
+                return tell_grams(level, requests)
+            finally:
+                free()
 
         return tell
 
-    asked = blocks.mapInArrow(ask_counts, "shard int, block long, keys binary, counts binary")
-    counts = durable(asked.groupBy("shard").applyInArrow(tell_counts, ANSWER_SQL + ", tokens long, known long"), "counts")
+    asked = blocks.mapInArrow(partial(each, ask_counts), "shard int, block long, keys binary, counts binary")
+    told_back = asked.groupBy("shard").applyInArrow(tell_counts, ANSWER_SQL + ", tokens long, known long")
+    # Answers that several steps read lie in the blocks' buckets.
+    buckets = min(shards, BUCKETS)
+    counts = bucketed(told_back, "block", buckets, "counts")
     totals = counts.agg(F.sum("tokens"), F.sum("known")).first()
     train_tokens, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
     columns = "shard int, block long, contexts binary, sums binary, lengths binary, followers binary, counts binary"
     known: dict[str, DataFrame] = {"counts": counts}
     for level in range(2, order + 1):
-        asked = with_answers(blocks, **known).mapInArrow(partial(ask_grams, level), columns)
-        told_back = asked.groupBy("shard").applyInArrow(telling(level), ANSWER_SQL)
-        found = durable(told_back, "pairs" if level == 2 else f"grams_{level}")
-        if keep_trie:
-            tries = found.where("block IS NULL").select("shard", F.col("payload").alias("trie"))
-            tries.write.parquet(f"{keep_trie}/level={level}")
-        known[f"level_{level}"] = found.where("block IS NOT NULL")
-
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            own = Tokens(row, held_out, folds)
-            counts = counts_of(own, answer(row["counts"]))
-            base = ((counts + 1) / (train_tokens + vocabulary + 1))[own.number]
-            smoothed = base.copy()
-            for grams, codes in levels(own, row, counts, order):
-                at = np.flatnonzero(grams.number >= 0)
-                backoff = strength / (grams.sums[grams.node[at]] + strength)
-                smoothed[at] = probability(codes[grams.number[at]]) + backoff * smoothed[at]
-            known = (counts > 0)[own.number]
-            first = own.last - own.lengths + 1
-            columns = (
-                own.doc_ids,
-                own.held_out,
-                own.lengths,
-                np.add.reduceat(known.astype(np.int64), first),
-                np.add.reduceat(np.log10(base), first),
-                np.add.reduceat(np.log10(smoothed), first),
-            )
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, SCORES, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=SCORES)
+        answers = {}
+        for turn in range(turns_of(level)):
+            asked = with_answers(blocks, **known).mapInArrow(partial(each, partial(ask_grams, level, turn)), columns)
+            told_back = asked.groupBy("shard").applyInArrow(telling(level), ANSWER_SQL)
+            name = f"grams_{level}_{turn}"
+            found = bucketed(told_back, "block", buckets, name) if level < order else durable(told_back, name)
+            if keep_trie:
+                tries = found.where("block < 0").select("shard", F.col("payload").alias("trie"))
+                tries.write.mode("append").parquet(f"{keep_trie}/level={level}")
+            answers[f"level_{level}_{turn}"] = found.where("block >= 0")
+        known.update(answers)
+
+    def finish(row: dict) -> Iterator[pa.RecordBatch]:
+        own = Tokens(row, held_out, folds)
+        counts = counts_of(own, answer(row.pop("counts")))
+        base = ((counts + 1) / (train_tokens + vocabulary + 1))[own.number]
+        smoothed = base.copy()
+        for grams, codes in levels(own, row, counts, order):
+            at = np.flatnonzero(grams.number >= 0)
+            backoff = strength / (grams.sums[grams.node[at]] + strength)
+            smoothed[at] = probability(codes[grams.number[at]]) + backoff * smoothed[at]
+            del at, backoff, grams, codes
+        known = (counts > 0)[own.number]
+        first = own.last - own.lengths + 1
+        columns = (
+            own.doc_ids,
+            own.held_out,
+            own.lengths,
+            np.add.reduceat(known.astype(np.int64), first),
+            np.add.reduceat(np.log10(base), first),
+            np.add.reduceat(np.log10(smoothed), first),
+        )
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, SCORES, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=SCORES)
 
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = with_answers(blocks, **known).mapInArrow(finish, columns)
+    scored = with_answers(blocks, **known).mapInArrow(partial(each, finish), columns)
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -442,6 +443,45 @@ def test_ngram_scores_of_longer_contexts(docs, rows, block_bytes, order):
         assert all(abs(g - e) < 3e-4 * n for g, (e, n) in zip(found, sorted(expected), strict=True))
 
 
+def test_ngram_blocks_hold_numbers_and_ask_by_turns():
+    texts = ["A b a b c", "", "b c\td", "x y x y z"]
+    row = dict(zip(("lengths", "keys", "numbers"), ngram.hashed(texts), strict=True), doc_ids=[1, 2, 3, 4])
+    own = ngram.Tokens(row, 9, 9)
+    words = [w for t in texts for w in [*t.lower().encode().split(), b" end"]]
+    assert own.keys[own.number].tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+    assert own.lengths.tolist() == [6, 1, 4, 6]
+    # Contexts that were never learnt have nothing below them in the trie, so nothing is asked.
+    nodes, sums = np.append(own.keys, ngram.START), np.bincount(own.number, minlength=len(own.keys) + 1)
+    sums[-1] = 4
+    x = nodes.tolist().index(xxhash.xxh64_intdigest(b"x"))
+    every = ngram.Grams(own, own.before, nodes, sums, 12)
+    sums[x] = 0
+    some = ngram.Grams(own, own.before, nodes, sums, 12)
+    assert x in every.context and x not in some.context
+    assert np.array_equal(some.number < 0, own.before == x) and np.array_equal(every.number >= 0, own.before >= 0)
+    # The turns part the n-grams by shard, in the order of the answers.
+    parts = [ngram.Grams(own, own.before, nodes, sums, 12, 3, t) for t in range(3)]
+    for t, part in enumerate(parts):
+        mine = some.shard % 3 == t
+        for name in ("shard", "context", "token", "learnt"):
+            assert np.array_equal(getattr(part, name), getattr(some, name)[mine])
+    assert sum(len(p.shard) for p in parts) == len(some.shard)
+
+
+def test_ngram_level_fits_a_worker():
+    """Six workers and the heap share 3,000 MB: a level of a block takes at most 100 bytes a token, 40 while it waits."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 5_000, 300))) for _ in range(400)]
+    row = dict(zip(("lengths", "keys", "numbers"), ngram.hashed(texts), strict=True), doc_ids=list(range(400)))
+    own = ngram.Tokens(row, 2, 7)
+    nodes, sums = np.append(own.keys, ngram.START), np.full(len(own.keys) + 1, 9)
+    tracemalloc.start()
+    grams = ngram.Grams(own, own.before, nodes, sums, 24)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 40 * len(own.number) and most < 100 * len(own.number) and len(grams.shard)
+
+
 def mixed(df, fraction):
     """Weights and probabilities before the query rounds them."""
     topic = mixing.topic_of(F.coalesce("text", F.lit("")))

@@ -5,15 +5,15 @@ context base(w) = (c(w) + 1) / (N + V + 1); it sums to one over the V known toke
 lower-cased, and an end token; the first word follows a start token, before which there is nothing, so the contexts of a
 text's first words are shorter. Counts come from all training documents.
 
-1. Documents are kept in blocks, as numbers of a block's distinct tokens. Every block sends each distinct token with its training count; shards of the token space add the counts and
-   answer with the sums. N and V are sums over the shards.
+1. Documents are kept in blocks, as numbers of a block's distinct tokens. Every block sends each distinct token with its
+   training count; shards of the token space add the counts and answer with the sums. N and V are sums over the shards.
 2. Level by level, pairs first: every block sends its distinct n-grams, grouped by context, a node of the level below. A shard
    adds the counts and builds its part of the level: the sorted contexts, monotone pointers to their ranges, and the successors
    as one monotone sequence of (context, token) numbers, all three Elias-Fano coded, beside the quantised log10 of
    c(context w) / (c(context) + STRENGTH). It maps the level from a file and looks up the n-grams it was asked for: the
    context by successor search, the token by successor search within the context's range. The counts that go back with the
    answers are those of the next level's contexts. Contexts with very many tokens are divided over shards by token, so none
-   grows with the most frequent word.
+   grows with the most frequent word. From triples on a level is exchanged in turns, each with shards of its own.
 3. The answers of all levels go back to the blocks, where texts are scored.
 
 A shard of a level is one buffer; `Trie` reads it from bytes or maps it from a file.
@@ -544,7 +544,7 @@ def score(
             found = bucketed(told_back, "block", buckets, name) if level < order else durable(told_back, name)
             if keep_trie:
                 tries = found.where("block < 0").select("shard", F.col("payload").alias("trie"))
-                tries.write.mode("append").parquet(f"{keep_trie}/level={level}")
+                tries.write.mode("append" if turn else "error").parquet(f"{keep_trie}/level={level}")
             answers[f"level_{level}_{turn}"] = found.where("block >= 0")
         known.update(answers)
 

@@ -482,6 +482,15 @@ def test_ngram_level_fits_a_worker():
     assert held < 40 * len(own.number) and most < 100 * len(own.number) and len(grams.shard)
 
 
+def test_ngram_trie_is_kept_whole(docs, rows, tmp_path, spark):
+    ngram.score(docs, "doc_id", "text", order=3, keep_trie=f"{tmp_path}/kept").collect()
+    own = [[1, *t.encode().lower().split(), 0] for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    for level in (2, 3):
+        tries = [ngram.Trie(r["trie"]) for r in spark.read.parquet(f"{tmp_path}/kept/level={level}").collect()]
+        want = {tuple(w[k : k + level]) for w in own for k in range(len(w) - level + 1)}
+        assert sum(t.successors.n for t in tries) == len(want)
+
+
 def mixed(df, fraction):
     """Weights and probabilities before the query rounds them."""
     topic = mixing.topic_of(F.coalesce("text", F.lit("")))

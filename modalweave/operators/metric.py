@@ -1,9 +1,9 @@
 """A metric index of vectors: blocks of neighbouring rows, and which pairs of blocks can matter.
 
-A few pivots (a bounded sample of rows) cut space into cells; rows are range-sorted by cell and by
-distance to the cell's pivot, so a block of consecutive rows is a shell around a pivot. A block is
-described by the least and the greatest distance of its rows to every pivot. By the triangle inequality
-two rows are at least as far apart as their distances to any pivot differ, and at most as far as these
+A tree of splits at medians, fitted on a bounded sample, cuts space into cells, as many as the rows ask
+for; rows are range-sorted by cell, so a block of consecutive rows lies in a small box. A block is described
+by this box and by the least and the greatest distance of its rows to each of a few pivots. Two rows are at
+least as far apart as their boxes, and as their distances to any pivot differ, and at most as far as these
 add up, which bounds all distances between two blocks without reading their rows.
 
 Blocks are bounded in bytes. Their descriptions meet in cells of a grid of bounded size; of the rows,
@@ -26,17 +26,23 @@ from modalweave.sources.sinks import durable
 
 BLOCK_BYTES = 4 << 20  # of vectors in a block
 BLOCK_ROWS = 8192  # at most
+NARROW, NARROW_ROWS = 16, 2048  # components up to which boxes part rows well, and rows of a block of such vectors
 MAX_PIVOTS = 64
 PIVOT_BYTES = 16 << 20  # of all pivots, which every task holds
+SPLIT_BYTES = 16 << 20  # of the sample the splits are fitted on
+BOX_DIMS = 64  # leading components that a box describes
+FINER = 8  # cells of the tree to one in which blocks end
 SUMMARIES = 512  # descriptions in a row of the grid
 GUARD = 1e-8  # relative; far above the rounding of a distance and of the ties taken for equal
 
-FIELDS = ("block", "n", "low", "high", "ids", "ys", "width", "vectors")
+FIELDS = ("block", "n", "low", "high", "box_low", "box_high", "ids", "ys", "width", "vectors")
+DESCRIBED = ("tag", "block", "n", "low", "high", "box_low", "box_high")
 
 
 @dataclass(frozen=True)
 class Index:
-    """``blocks``: tag, block, n, low, high (distances to each pivot), ids, ys, width, vectors (doubles)."""
+    """``blocks``: tag, block, n, low, high (distances to each pivot), box_low, box_high (of the leading components), ids,
+    ys, width, vectors (doubles)."""
 
     blocks: DataFrame
     n_blocks: int
@@ -44,7 +50,7 @@ class Index:
 
 
 def block_rows(width: int) -> int:
-    return int(max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width, 1)))))
+    return int(max(64, min(NARROW_ROWS if width <= NARROW else BLOCK_ROWS, BLOCK_BYTES // (8 * max(width, 1)))))
 
 
 def choose_pivots(rows: DataFrame, n: int, width: int, limit: int | None = None) -> np.ndarray:
@@ -57,6 +63,46 @@ def choose_pivots(rows: DataFrame, n: int, width: int, limit: int | None = None)
     return np.array([r["v"] for r in known.orderBy("h").limit(int(wanted)).collect()], np.float64).reshape(-1, width)
 
 
+@dataclass(frozen=True)
+class Splits:
+    """A complete binary tree: node ``i`` parts rows by ``at[i]`` in component ``by[i]``; its children are 2i+1 and 2i+2."""
+
+    by: np.ndarray
+    at: np.ndarray
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every row, numbered from left to right."""
+        node, inner = np.zeros(len(x), np.int64), len(self.by)
+        for _ in range((inner + 1).bit_length() - 1):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.by[node]] > self.at[node])
+        return node - inner
+
+
+def choose_splits(rows: DataFrame, n: int, width: int, tags: int = 1) -> Splits:
+    """Splits at the median of the most varied component of a sample; FINER cells hold about two blocks of each tag.
+
+    The sample is a share of the vectors by hash, of SPLIT_BYTES at most; its cells keep 16 rows of it or more.
+    """
+    most = SPLIT_BYTES // (8 * max(width, 1))
+    leaves = FINER * n // (2 * block_rows(width) * max(tags, 1))
+    depth = max(0, int(np.ceil(np.log2(max(1, min(leaves, n // 16, most // 16))))))
+    share = min(1.0, most / (2 * max(n, 1)))
+    part = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))
+    found = rows.where("v IS NOT NULL").where(part).select("v").limit(most).toArrow() if depth and width else None
+    x = np.zeros((0, width)) if found is None else as_matrix(found["v"], width)
+    x = x[np.isfinite(x).all(axis=1)]
+    by, at = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+    held = {0: x}
+    for node in range(len(by)):
+        mine = held.pop(node)
+        if len(mine):
+            by[node] = int(mine.var(axis=0).argmax())
+            at[node] = float(np.median(mine[:, by[node]]))
+        right = mine[:, by[node]] > at[node] if len(mine) else np.zeros(0, bool)
+        held[2 * node + 1], held[2 * node + 2] = mine[~right], mine[right]
+    return Splits(by, at)
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Of every row to every pivot, by differences."""
     out = np.empty((len(x), len(pivots)))
@@ -66,23 +112,25 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int) -> Index:
-    """Blocks of the ``n`` ``rows`` (tag, id, y, v); a block has rows of one tag. A NULL vector counts as zeros."""
+def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int, splits: Splits | None = None) -> Index:
+    """Blocks of the ``n`` ``rows`` (tag, id, y, v); a block has rows of one tag. A NULL vector counts as zeros.
+
+    A block ends where FINER cells of ``splits`` end; without them they are chosen here, for rows of one tag.
+    """
     size = block_rows(width)
     rows = rows.withColumn("seq", F.monotonically_increasing_id())
     if len(pivots):
+        splits = choose_splits(rows, n, width) if splits is None else splits
         kinds = rows.dtypes
 
         def homes(batches):
             for batch in batches:
-                x = as_matrix(batch.column("v"), width)
-                away = distances(x, pivots)
-                home = away.argmin(axis=1)
-                found = [pa.array(home, pa.int32()), pa.array(away[np.arange(len(x)), home], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "home", "away"])
+                cell = splits.cells(as_matrix(batch.column("v"), width))
+                found = [pa.array(cell // FINER, pa.int32()), pa.array(cell, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "home", "cell"])
 
-        schema = ", ".join(f"{c} {t}" for c, t in kinds) + ", home int, away double"
-        keys = ["tag", "home", "away", "seq"]
+        schema = ", ".join(f"{c} {t}" for c, t in kinds) + ", home int, cell int"
+        keys = ["tag", "cell", "seq"]
         rows = rows.mapInArrow(homes, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
     else:
         rows = rows.withColumn("home", F.lit(0)).coalesce(n // size + 1)
@@ -101,6 +149,8 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int) -> Index:
                 x = as_matrix(part["v"], width)
                 away = distances(x, pivots)
                 low, high = (f(away, axis=0).tolist() if len(pivots) else [] for f in (np.min, np.max))
+                box = x[:, :BOX_DIMS]
+                corners = [f(box, axis=0).tolist() for f in (np.min, np.max)]
                 listed = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c].combine_chunks()) for c in ("id", "y")]
                 numbers = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
@@ -110,6 +160,7 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int) -> Index:
                         pa.array([part.num_rows], pa.int32()),
                         pa.array([low], numbers),
                         pa.array([high], numbers),
+                        *[pa.array([c], numbers) for c in corners],
                         *listed,
                         pa.array([width], pa.int32()),
                         pa.array([x.tobytes()], pa.binary()),
@@ -137,6 +188,7 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int) -> Index:
 
     schema = (
         f"tag {types['tag']}, block long, n int, low array<double>, high array<double>, "
+        "box_low array<double>, box_high array<double>, "
         f"ids array<{types['id']}>, ys array<int>, width int, vectors binary"
     )
     blocks = durable(rows.mapInArrow(pack, schema), "blocks")
@@ -154,6 +206,19 @@ def bounds(a_low, a_high, b_low, b_high) -> tuple[np.ndarray, np.ndarray]:
     return least, most
 
 
+def apart(a_low, a_high, b_low, b_high) -> tuple[np.ndarray, np.ndarray]:
+    """Least possible distance of each box of a to each of b, and the distance of their middles."""
+    shape = (len(a_low), len(b_low))
+    least, middle = np.zeros(shape), np.zeros(shape)
+    for d in range(a_low.shape[1]):
+        gap = np.maximum(a_low[:, d, None] - b_high[None, :, d], b_low[None, :, d] - a_high[:, d, None])
+        np.fmax(gap, 0.0, out=gap)
+        least += gap * gap
+        gap = ((a_low + a_high)[:, d, None] - (b_low + b_high)[None, :, d]) / 2
+        middle += gap * gap
+    return np.sqrt(least), np.sqrt(middle)
+
+
 def grid(left: DataFrame, n_left: int, right: DataFrame, n_right: int, chunk: int = SUMMARIES) -> DataFrame:
     """Descriptions of both sides in lists of about ``chunk``, every list of one with every list of the other."""
     rows, columns = n_left // chunk + 1, n_right // chunk + 1
@@ -168,9 +233,13 @@ def grid(left: DataFrame, n_left: int, right: DataFrame, n_right: int, chunk: in
     return a.join(lists(right, "b", "_column", columns, "_row", rows), ["_row", "_column"]).select("a", "b")
 
 
-def _columns(items: list[dict]) -> tuple[np.ndarray, ...]:
-    low, high = (np.array([i[c] for i in items], np.float64).reshape(len(items), -1) for c in ("low", "high"))
-    return np.array([i["block"] for i in items], np.int64), low, high
+def _columns(items: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Numbers of the blocks, their distances to the pivots and their boxes."""
+
+    def matrices(*names: str) -> list[np.ndarray]:
+        return [np.array([i[c] for i in items], np.float64).reshape(len(items), -1) for c in names]
+
+    return np.array([i["block"] for i in items], np.int64), matrices("low", "high"), matrices("box_low", "box_high")
 
 
 def allowed(a: list[dict], b: list[dict], same: bool) -> np.ndarray:
@@ -181,49 +250,52 @@ def allowed(a: list[dict], b: list[dict], same: bool) -> np.ndarray:
 
 
 def seed_pairs(left: Index, right: Index, same: bool, k: int) -> DataFrame:
-    """For each left block the right blocks that surely hold k rows nearest to it: block, other, most, n."""
-    mine, theirs = (x.blocks.select("tag", "block", "n", "low", "high") for x in (left, right))
+    """For each left block the right blocks nearest to it that hold k rows: block, other, away, n."""
+    mine, theirs = (x.blocks.select(*DESCRIBED) for x in (left, right))
     met = grid(mine, left.n_blocks, theirs, right.n_blocks)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = row["a"], row["b"]
-                (own, *x), (other, *y) = _columns(a), _columns(b)
-                most = np.where(allowed(a, b, same), bounds(*x, *y)[1], -1.0)
+                (own, _, x), (other, _, y) = _columns(a), _columns(b)
+                away = np.nan_to_num(apart(*x, *y)[1], nan=np.finfo(np.float64).max)
+                may = allowed(a, b, same)
                 n, out = np.array([i["n"] for i in b]), []
                 for i in range(len(a)):
-                    order = np.lexsort((other, most[i]))
-                    order = order[most[i][order] >= 0]
+                    order = np.lexsort((other, away[i]))
+                    order = order[may[i][order]]
                     need = order[: 1 + int(np.searchsorted(np.cumsum(n[order]), k))]
-                    out += [(own[i], other[j], most[i, j], n[j]) for j in need]
+                    out += [(own[i], other[j], away[i, j], n[j]) for j in need]
                 if out:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
                     arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["block", "other", "most", "n"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "other", "away", "n"])
 
-    return met.mapInArrow(run, "block long, other long, most double, n int")
+    return met.mapInArrow(run, "block long, other long, away double, n int")
 
 
 def pairs_within(left: Index, right: Index, same: bool, reach: DataFrame | None = None) -> DataFrame:
-    """block, other of all pairs that may hold rows within ``reach`` (block, reach) of each other; all allowed without it."""
-    mine = left.blocks.select("tag", "block", "n", "low", "high")
+    """block, other, away of all pairs that may hold rows within ``reach`` (block, reach) of each other; all allowed without it."""
+    mine = left.blocks.select(*DESCRIBED)
     mine = mine.withColumn("reach", F.lit(float("inf"))) if reach is None else mine.join(reach, "block")
-    met = grid(mine, left.n_blocks, right.blocks.select("tag", "block", "n", "low", "high"), right.n_blocks)
+    met = grid(mine, left.n_blocks, right.blocks.select(*DESCRIBED), right.n_blocks)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = row["a"], row["b"]
-                (own, *x), (other, *y) = _columns(a), _columns(b)
-                least = bounds(*x, *y)[0]
+                (own, x, x_box), (other, y, y_box) = _columns(a), _columns(b)
+                gap, middle = apart(*x_box, *y_box)
+                least = np.fmax(bounds(*x, *y)[0], gap)
                 far = np.array([i["reach"] for i in a], np.float64)[:, None]
-                top = max((float(t[1].max(initial=0.0)) for t in (x, y)), default=0.0)
-                near = allowed(a, b, same) & (least <= far + GUARD * (1.0 + top))
+                top = max((float(np.abs(t).max(initial=0.0)) for t in (x[1], y[1], *x_box, *y_box)), default=0.0)
+                near = allowed(a, b, same) & ~(least > far + GUARD * (1.0 + top))
                 at, to = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(other[to])], ["block", "other"])
+                columns = [pa.array(own[at]), pa.array(other[to]), pa.array(middle[at, to])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "other", "away"])
 
-    return met.mapInArrow(run, "block long, other long")
+    return met.mapInArrow(run, "block long, other long, away double")
 
 
 def vectors_of(raw: bytes, width: int) -> np.ndarray:

@@ -134,3 +134,39 @@ def test_fewer_train_rows_than_k(spark):
     test = spark.createDataFrame([(0, 1, [0.0])], "fold int, cell_id long, features array<double>")
     train = spark.createDataFrame([(0, 7, 2, [1.0]), (0, 8, 1, [2.0])], "fold int, cell_id long, y int, features array<double>")
     assert N.knn_predict(test, train).first()["y_pred"] == 1
+
+
+def test_single_precision_finds_the_same():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 64))
+    x, y = (centres[rng.integers(20, size=n)] + 0.3 * rng.normal(size=(n, 64)) for n in (90, 700))
+    y[100:110] = y[3]
+    whole = N.nearest_in_block(x, y, np.arange(700), 5)
+    for loose in (1.0, 1.5, 40.0):
+        again = N.nearest_in_block(x, y, np.arange(700), 5, whole[2][4::5] * loose)
+        for a, b in zip(whole, again, strict=True):
+            assert np.array_equal(a, b)
+
+
+def test_copies_are_searched_once(spark):
+    """2,000 equal rows, and rows without a vector, which count as zeros: only k of a group are searched."""
+    rows = [(i, i % 2, i % 3, [1.0, 2.0]) for i in range(2000)] + [(2000, 0, 1, None), (2001, 1, 1, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "cell_id long, donor int, y int, features array<double>").repartition(3)
+    assert N.search_others(df, 5, "donor").near.count() <= (2 * 5 + 2) * 5
+    got = by_cell(N.k_nearest_of_others(df, 5))
+    assert len(got) == 2002 and got[7] == [0, 2, 4, 6, 8] and got[1998] == [1, 3, 5, 7, 9]
+    assert got[2000] == [2001, 1, 3, 5, 7] and got[2001] == [2000, 0, 2, 4, 6]
+
+
+def test_rows_meet_few_blocks_and_pieces_of_work_are_bounded(spark, monkeypatch):
+    """Twice the rows in three dimensions: about as many pairs a block."""
+    monkeypatch.setattr(metric, "block_rows", lambda width: 16)
+    pairs = {}
+    for n in (1500, 3000):
+        x = np.random.default_rng(5).uniform(size=(n, 3))
+        rows = [(i, i % 2, 0, [float(v) for v in r]) for i, r in enumerate(x)]
+        found = N.search_others(table(spark, rows), 3, "donor", pivots=8)
+        pairs[n] = found.pairs.count()
+        # Two of three blocks of other groups at least are left out.
+        assert pairs[n] < found.possible / 2 / 3
+    assert pairs[3000] < 3 * pairs[1500], pairs

@@ -24,6 +24,7 @@ from modalweave.sources.sinks import durable
 # A baseline takes cells (cell_id, donor, y, features) and gives (fold, cell_id, y_true, y_pred).
 Baseline = Callable[[DataFrame], DataFrame]
 PARALLEL_FITS = 4
+FIT_ROWS = 4096  # rows in a task of a fit, from which on more tasks are made while cores are free
 
 
 def fold_ids(cells: DataFrame, group: str = "donor") -> list[int]:
@@ -31,12 +32,20 @@ def fold_ids(cells: DataFrame, group: str = "donor") -> list[int]:
     return [r[0] for r in FO.fold_list(cells, group).collect()]
 
 
+def dealt(cells: DataFrame) -> DataFrame:
+    """Cells in a task per core, or FIT_ROWS each if that makes fewer: a fit reads a few bytes often, and files are cut by bytes."""
+    tasks = min(cells.count() // FIT_ROWS + 1, cells.sparkSession.sparkContext.defaultParallelism)
+    if cells.rdd.getNumPartitions() >= tasks:
+        return cells
+    return durable(cells.repartition(tasks, "cell_id").sortWithinPartitions("cell_id"), "dealt")
+
+
 def per_fold(cells: DataFrame, fit_predict) -> DataFrame:
     """``fit_predict(train, test)`` for every fold, the predictions put together.
 
     The fits are independent series of Spark jobs, so a few of them run side by side.
     """
-    cells = durable(cells, "cells")
+    cells = dealt(durable(cells, "cells"))
 
     def one(fold: int) -> DataFrame:
         mine = F.col("donor").eqNullSafe(F.lit(fold))
@@ -87,6 +96,7 @@ def random_forest(cells: DataFrame, trees: int = 100, max_depth: int = 30, seed:
             featureSubsetStrategy="sqrt",
             maxDepth=max_depth,
             seed=seed,
+            cacheNodeIds=True,  # else every pass sends the trees to the tasks and walks them from the root
         ).fit(_as_vectors(train_rows))
         return model.transform(_as_vectors(test_rows))
 

@@ -158,15 +158,23 @@ def test_copies_are_searched_once(spark):
     assert got[2000] == [2001, 1, 3, 5, 7] and got[2001] == [2000, 0, 2, 4, 6]
 
 
-def test_rows_meet_few_blocks_and_pieces_of_work_are_bounded(spark, monkeypatch):
-    """Twice the rows in three dimensions: about as many pairs a block."""
+def test_the_share_of_pairs_that_meet_falls_with_the_rows(spark, monkeypatch):
+    """With the same pivots: the cells are made finer, so twice the rows don't make four times the pairs."""
     monkeypatch.setattr(metric, "block_rows", lambda width: 16)
-    pairs = {}
+    share = {}
     for n in (1500, 3000):
         x = np.random.default_rng(5).uniform(size=(n, 3))
         rows = [(i, i % 2, 0, [float(v) for v in r]) for i, r in enumerate(x)]
         found = N.search_others(table(spark, rows), 3, "donor", pivots=8)
-        pairs[n] = found.pairs.count()
-        # Two of three blocks of other groups at least are left out.
-        assert pairs[n] < found.possible / 2 / 3
-    assert pairs[3000] < 3 * pairs[1500], pairs
+        share[n] = found.pairs.count() / found.possible
+    assert share[3000] < 0.75 * share[1500], share
+
+
+def test_cells_of_a_fit_are_dealt_to_the_cores(spark, monkeypatch):
+    """A file of a few bytes was read by one task, however many rows it had."""
+    rows = spark.createDataFrame(data(95), "cell_id long, donor int, y int, features array<double>").coalesce(1)
+    assert B.dealt(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(B, "FIT_ROWS", 30)
+    got = B.dealt(rows)
+    assert got.rdd.getNumPartitions() == min(4, spark.sparkContext.defaultParallelism)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))

@@ -1,7 +1,9 @@
 """Nearest neighbours by a block matrix join with 8-bit tiles and float recomputation.
 
-Queries and candidates are packed into blocks of at most `block` vectors; the join pairs every query block with every
-candidate block (a stated query set against all rows). In a tile the 8-bit codes are multiplied (sums of such products are
+Queries and candidates are packed into blocks of at most `block` vectors; every query block meets every candidate block
+(a stated query set against all rows). A piece of work is some query blocks and a group of candidate blocks, which are
+dealt out and sorted together, queries first: nothing is joined, so nothing is sent through the driver, and a task holds
+the query blocks of one piece and one candidate block. In a tile the 8-bit codes are multiplied (sums of such products are
 exact in single precision up to 1,040 dimensions, in double beyond). Each vector carries its scale and the exact norm of
 what rounding took from it, so Cauchy-Schwarz bounds every distance from below and above. A candidate whose lower bound
 exceeds the k-th smallest upper bound of its query can't be among the k nearest; the others are recomputed from the
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 
 from modalweave.llm.common import durable
 
-#: Candidate blocks that share a task.
-BLOCKS_PER_GROUP = 4
+#: Candidate blocks of a piece of work at least; at most MOST_BLOCKS, and fewer only while there are GROUPS groups.
+BLOCKS_PER_GROUP, MOST_BLOCKS, GROUPS = 4, 64, 32
+#: Query blocks that a piece of work holds, on average.
+QUERY_BLOCKS = 8
+MOST_TASKS = 4096
 #: Heaps a task keeps before it hands them on.
 HELD = 50_000
 BLOCKS = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
@@ -118,16 +123,25 @@ def nearest(
     all_blocks = durable(packed(rows, block), "blocks")
     asked = rows.where(is_query)
     queries = durable(packed(asked.coalesce(asked.count() // block + 1), block), "queries")
-    # Every group of candidate blocks meets every query block, in a task of its own.
-    groups = all_blocks.count() // BLOCKS_PER_GROUP + 1
-    tiles = all_blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    pairs = queries.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = pairs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Every group of candidate blocks meets every chunk of query blocks: the one is copied per chunk, the other per group.
+    n_blocks = all_blocks.count()
+    groups = min(n_blocks // BLOCKS_PER_GROUP + 1, max(GROUPS, n_blocks // MOST_BLOCKS))
+    chunks = queries.count() // QUERY_BLOCKS + 1
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(chunks * groups, MOST_TASKS))
+
+    def side(blocks: DataFrame, role: int, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        part = blocks.withColumn(own, F.pmod(F.xxhash64("ids"), F.lit(n_own)).cast("int"))
+        part = part.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        return part.select("dim", "chunk", "group", F.lit(role).alias("role"), "ids", "vectors")
+
+    pieces = side(queries, 0, "chunk", chunks, "group", groups).unionByName(side(all_blocks, 1, "group", groups, "chunk", chunks))
+    keys = ["dim", "chunk", "group"]
+    pieces = pieces.repartition(tasks, *keys).sortWithinPartitions(*keys, "role")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        last: tuple[bytes, Quantised] | None = None
+        piece, held = None, []
 
         def flush() -> pa.RecordBatch:
             found = [(q, -v, -s) for (_, q), heap in heaps.items() for s, v in heap]
@@ -136,25 +150,27 @@ def nearest(
             arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if last is None or last[0] != row["ids"]:
-                    last = (row["ids"], Quantised(row["ids"], row["vectors"], row["dim"]))
-                a = Quantised(row["q_ids"], row["q_vectors"], row["dim"])
-                own = [heaps.setdefault((row["dim"], int(q)), []) for q in a.ids]
+        for row in (batch.slice(r, 1).to_pylist()[0] for batch in batches for r in range(batch.num_rows)):
+            if piece != (now := tuple(row[c] for c in keys)):
+                if len(heaps) > HELD:
+                    yield flush()
+                piece, held = now, []
+            block_ = Quantised(row["ids"], row["vectors"], row["dim"])
+            if row["role"] == 0:
+                held.append((block_, [heaps.setdefault((row["dim"], int(q)), []) for q in block_.ids]))
+                continue
+            for a, own in held:
                 limit = np.array([h[0][0] ** 2 * (1 + 1e-9) if len(h) == k else np.inf for h in own])
-                for i, ids, scores in tile(a, last[1], k, limit):
+                for i, ids, scores in tile(a, block_, k, limit):
                     for vec_id, score in zip(ids.tolist(), scores.tolist(), strict=True):
                         entry = (-score, -vec_id)  # the worst of the k is on top
                         if len(own[i]) < k:
                             heapq.heappush(own[i], entry)
                         elif entry > own[i][0]:
                             heapq.heapreplace(own[i], entry)
-                if len(heaps) > HELD:
-                    yield flush()
         yield flush()
 
-    tiles = tiles.join(pairs, ["dim", "group"]).mapInArrow(search, "query_id long, vec_id long, score double")
+    tiles = pieces.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranks = tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranks.select("query_id", "rank", "vec_id", "score")

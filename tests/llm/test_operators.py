@@ -283,6 +283,19 @@ def test_neighbours_of_repeated_ids(spark):
     assert np.allclose([g[2] for g in got], [s for s, _ in pairs])
 
 
+def test_query_blocks_are_not_sent_through_the_driver(spark, monkeypatch):
+    """The copies of the queries were one side of a join, which Spark broadcast by the size of a single copy."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCKS", 2)
+    x = np.random.default_rng(8).normal(size=(400, 4))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, 3, block=8)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    away = np.sqrt(((x[::10, None] - x[None]) ** 2).sum(axis=2))
+    away[np.arange(40), np.arange(0, 400, 10)] = np.inf
+    want = [(10 * q, r + 1, int(i)) for q in range(40) for r, i in enumerate(np.argsort(away[q])[:3])]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == want
+
+
 def round_trip(spark, texts):
     """Kinds and originals found in each text, the new texts, and whether the key takes them back."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,19 @@ FINER = 8  # cells of the tree to one in which blocks end
 SUMMARIES = 512  # descriptions in a row of the grid
 GUARD = 1e-8  # relative; far above the rounding of a distance and of the ties taken for equal
 
-FIELDS = ("block", "n", "low", "high", "box_low", "box_high", "ids", "ys", "width", "vectors")
+FIELDS = ("block", "place", "n", "low", "high", "box_low", "box_high", "ids", "ys", "width", "vectors")
 DESCRIBED = ("tag", "block", "n", "low", "high", "box_low", "box_high")
 
 
 @dataclass(frozen=True)
 class Index:
-    """``blocks``: tag, block, n, low, high (distances to each pivot), box_low, box_high (of the leading components), ids,
+    """``blocks``: tag, block, place (blocks near in it are near in space), n, low, high (distances to each pivot), box_low, box_high (of the leading components), ids,
     ys, width, vectors (doubles)."""
 
     blocks: DataFrame
     n_blocks: int
     n_pivots: int
+    width: int = 0
 
 
 def block_rows(width: int) -> int:
@@ -139,8 +141,11 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int, splits: Split
     def pack(batches):
         held: dict[tuple, list[pa.RecordBatch]] = {}
         counts: dict[tuple, int] = {}
+        task, packed = TaskContext.get(), 0
+        first = (task.partitionId() if task else 0) << 32
 
         def blocks(key: tuple, rest: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal packed
             table = pa.Table.from_batches(held.pop(key)).combine_chunks()
             at = 0
             while table.num_rows - at >= size or (rest and at < table.num_rows):
@@ -152,11 +157,12 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int, splits: Split
                 box = x[:, :BOX_DIMS]
                 corners = [f(box, axis=0).tolist() for f in (np.min, np.max)]
                 listed = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c].combine_chunks()) for c in ("id", "y")]
-                numbers = pa.list_(pa.float64())
+                numbers, packed = pa.list_(pa.float64()), packed + 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["tag"].slice(0, 1).combine_chunks(),
                         part["seq"].slice(0, 1).combine_chunks(),
+                        pa.array([first + packed - 1], pa.int64()),
                         pa.array([part.num_rows], pa.int32()),
                         pa.array([low], numbers),
                         pa.array([high], numbers),
@@ -178,6 +184,8 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int, splits: Split
             home = batch.column("home").to_numpy()
             for t, h in sorted(set(zip(code.tolist(), home.tolist(), strict=True))):
                 key = (names[t], h)
+                for past in [p for p in held if len(pivots) and p != key]:  # sorted: no more of its rows come
+                    yield from blocks(past, True)
                 part = batch.take(pa.array(np.flatnonzero((code == t) & (home == h))))
                 held.setdefault(key, []).append(part)
                 counts[key] = counts.get(key, 0) + part.num_rows
@@ -187,12 +195,12 @@ def build(rows: DataFrame, pivots: np.ndarray, width: int, n: int, splits: Split
             yield from blocks(key, True)
 
     schema = (
-        f"tag {types['tag']}, block long, n int, low array<double>, high array<double>, "
+        f"tag {types['tag']}, block long, place long, n int, low array<double>, high array<double>, "
         "box_low array<double>, box_high array<double>, "
         f"ids array<{types['id']}>, ys array<int>, width int, vectors binary"
     )
-    blocks = durable(rows.mapInArrow(pack, schema), "blocks")
-    return Index(blocks, blocks.count(), len(pivots))
+    blocks = durable(rows.mapInArrow(pack, schema), "blocks", blocks=True)
+    return Index(blocks, blocks.count(), len(pivots), width)
 
 
 def bounds(a_low, a_high, b_low, b_high) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +264,7 @@ def seed_pairs(left: Index, right: Index, same: bool, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
                 a, b = row["a"], row["b"]
                 (own, _, x), (other, _, y) = _columns(a), _columns(b)
                 away = np.nan_to_num(apart(*x, *y)[1], nan=np.finfo(np.float64).max)
@@ -283,7 +291,7 @@ def pairs_within(left: Index, right: Index, same: bool, reach: DataFrame | None
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
                 a, b = row["a"], row["b"]
                 (own, x, x_box), (other, y, y_box) = _columns(a), _columns(b)
                 gap, middle = apart(*x_box, *y_box)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalweave.operators import metric
@@ -16,7 +16,9 @@ from modalweave.sources.sinks import durable
 
 DIRECT = 64  # pairs of blocks up to which nothing is gained by leaving some out
 MOST_TASKS = 4096
-MET = 16  # blocks that one test block meets in a piece of work
+MET = 32  # train blocks that a group of test blocks meets in a piece of work, at most
+TOGETHER, TOGETHER_BYTES = 16, 32 << 20  # test blocks of a group, and bytes of their vectors, at most
+PIECES = 64  # pieces of work that there are at least, before they grow
 CROWD = 64  # candidates a row, beyond which their reach is narrowed before they are measured
 CHUNK_CELLS = 250_000  # distances, or numbers of differences, held at once in a task
 DIGITS = 9  # distances that agree to this many decimals are a tie
@@ -101,12 +103,17 @@ class Search:
     possible: int
 
 
+def _copy(values: pa.Array) -> pa.Array:
+    """The same values, without the batch they came in."""
+    return values.take(pa.array(np.arange(len(values))))
+
+
 class Held:
     """The k nearest that the rows of a test block have met so far."""
 
     def __init__(self, row: dict, width: int, k: int):
-        self.fixed, self.k = {c: row[c] for c in ("tag", "block")}, k
-        self.ids, self.x = row["ids"].flatten(), metric.vectors_of(row["vectors"][0].as_py(), width)
+        self.fixed, self.k = {c: _copy(row[c]) for c in ("tag", "block")}, k
+        self.ids, self.x = _copy(row["ids"].flatten()), metric.vectors_of(row["vectors"][0].as_py(), width)
         n = len(self.x)
         self.within = np.full(n, np.inf)
         if row["within"][0].is_valid:
@@ -157,61 +164,87 @@ class Held:
         return pa.RecordBatch.from_arrays([*fixed, own, self.train, self.ys, pa.array(self.dist)], names)
 
 
-def _meet(pairs: DataFrame, test: metric.Index, train: metric.Index, k: int, within: DataFrame | None = None) -> DataFrame:
-    """tag, block, cell_id, train_id, y, distance: for each test row the k nearest of the train blocks it meets.
+def _shape(n_pairs: int, width: int) -> tuple[int, int]:
+    """Test blocks of a group (a power of 2) and train blocks of a piece of work.
 
-    A piece of work is a test block and about MET of its train blocks, nearest first: each narrows what the rows still
-    look for. ``within`` (block, within): distances of the rows, in their order, beyond which nothing is looked for
-    (negative: no bound).
+    A train block is copied once for every group and a test block for every piece of its group, so both grow together
+    until there would be fewer than PIECES pieces.
     """
-    pieces = F.ceil(F.col("_n") / MET).cast("int")
-    sizes = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).select("block", pieces.alias("_pieces"))
+    size = 8 * max(width, 1) * metric.block_rows(width)
+    most = max(1, min(TOGETHER, TOGETHER_BYTES // size))
+    together = 1 << int(min(np.log2(most), max(0, np.round(np.log2(max(1, n_pairs / PIECES)) / 2))))
+    return together, int(max(4, min(MET, n_pairs // (PIECES * together))))
+
+
+def _pieces(pairs: DataFrame, test: metric.Index, train: metric.Index, within: DataFrame | None = None) -> DataFrame:
+    """Blocks by piece of work, test blocks before train blocks (which name the test blocks they meet: mates).
+
+    A piece is a group of test blocks near each other and some of the train blocks that any of them meets, nearest
+    first. A train block comes once for all test blocks of the group.
+    """
+    together, most = _shape(pairs.count(), test.width)
+    group = F.floor(F.col("place") / together).cast("long").alias("group")
+    met = pairs.join(test.blocks.select("block", group), "block").groupBy("group", "other")
+    met = met.agg(F.collect_list("block").alias("mates"), F.min("away").alias("away"))
+    sizes = met.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_pieces"))
     work = sizes.agg(F.sum("_pieces")).first()[0] or 1
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, min(int(work), MOST_TASKS))
-    types = dict(test.blocks.dtypes) | {f"other_{c}": t for c, t in train.blocks.select("ids").dtypes}
-    cell, other = (types[c].removeprefix("array<").removesuffix(">") for c in ("ids", "other_ids"))
-    empty = {"tag": types["tag"], "ids": types["ids"], "other_ids": types["other_ids"], "within": "array<double>"}
+    types, other = dict(test.blocks.dtypes), dict(train.blocks.dtypes)["ids"]
+    empty = {"tag": types["tag"], "block": "bigint", "ids": types["ids"], "within": "array<double>"}
+    empty |= {"mates": "array<bigint>", "other_ids": other, "ys": "array<int>"}
 
-    def column(have: dict, name: str):
-        return (have[name] if name in have else F.lit(None).cast(empty[name])).alias(name)
+    def row(df: DataFrame, away: Column, *have: str) -> DataFrame:
+        filled = [F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in empty.items()]
+        return df.select("group", "piece", away.alias("away"), *filled, "width", "vectors")
 
     left = test.blocks if within is None else test.blocks.join(within, "block", "left")
-    mine = {c: F.col(c) for c in ("tag", "ids")} | ({} if within is None else {"within": F.col("within")})
-    left = left.join(sizes, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-    left = left.select(
-        "block", "piece", F.lit(-1.0).alias("away"), *[column(mine, c) for c in empty],
-        F.array().cast("array<int>").alias("ys"), "width", "vectors",
-    )
+    left = left.select("*", group).join(sizes, "group")
+    left = left.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    left = row(left, F.lit(-1.0), "tag", "block", "ids", *([] if within is None else ["within"]))
     right = train.blocks.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), "ys", "width", "vectors")
-    right = pairs.join(sizes, "block").join(right, "other")
-    right = right.select(
-        "block", F.pmod(F.xxhash64("other"), F.col("_pieces")).cast("int").alias("piece"), "away",
-        *[column({"other_ids": F.col("other_ids")}, c) for c in empty], "ys", "width", "vectors",
-    )
-    met = left.unionByName(right).repartition(tasks, "block", "piece").sortWithinPartitions("block", "piece", "away")
+    right = met.join(sizes, "group").join(right, "other")
+    right = right.withColumn("piece", F.pmod(F.xxhash64("other"), F.col("_pieces")).cast("int"))
+    right = row(right, F.col("away"), "mates", "other_ids", "ys")
+    return left.unionByName(right).repartition(tasks, "group", "piece").sortWithinPartitions("group", "piece", "away")
+
+
+def _meet(pairs: DataFrame, test: metric.Index, train: metric.Index, k: int, within: DataFrame | None = None) -> DataFrame:
+    """tag, block, cell_id, train_id, y, distance: for each test row the k nearest of the train blocks it meets.
+
+    Each block that is met narrows what the rows still look for. ``within`` (block, within): distances of the rows, in
+    their order, beyond which nothing is looked for (negative: no bound).
+    """
+    pieces = _pieces(pairs, test, train, within)
+    types = dict(pieces.dtypes)
+    cell, other = (types[c].removeprefix("array<").removesuffix(">") for c in ("ids", "other_ids"))
     schema = f"tag {types['tag']}, block long, cell_id {cell}, train_id {other}, y int, distance double"
     names = ["tag", "block", "cell_id", "train_id", "y", "distance"]
 
     def run(batches):
-        held = None
+        at, held = None, {}
+
+        def results():
+            return [h.result(names) for h in held.values() if len(h.rows)]
+
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.slice(r, 1).column(c) for c in batch.schema.names}
-                width = row["width"][0].as_py()
-                if row["away"][0].as_py() < 0:
-                    if held is not None and len(held.rows):
-                        yield held.result(names)
-                    held = Held(row, width, k)
+                now = {c: batch.slice(r, 1).column(c) for c in batch.schema.names}
+                if at != (piece := (now["group"][0].as_py(), now["piece"][0].as_py())):
+                    yield from results()
+                    at, held = piece, {}
+                width = now["width"][0].as_py()
+                if now["away"][0].as_py() < 0:
+                    held[now["block"][0].as_py()] = Held(now, width, k)
                     continue
-                y = metric.vectors_of(row["vectors"][0].as_py(), width)
-                if held.x.shape[1] != y.shape[1]:
-                    raise ValueError(f"vectors of {held.x.shape[1]} and {y.shape[1]} numbers can't be compared")
-                held.meet(y, row["other_ids"].flatten(), row["ys"].flatten())
-        if held is not None and len(held.rows):
-            yield held.result(names)
+                y = metric.vectors_of(now["vectors"][0].as_py(), width)
+                for mate in (held[m] for m in now["mates"][0].as_py()):
+                    if mate.x.shape[1] != y.shape[1]:
+                        raise ValueError(f"vectors of {mate.x.shape[1]} and {y.shape[1]} numbers can't be compared")
+                    mate.meet(y, now["other_ids"].flatten(), now["ys"].flatten())
+        yield from results()
 
-    return met.mapInArrow(run, schema)
+    return pieces.mapInArrow(run, schema)
 
 
 def ordering(ids: pa.Array) -> np.ndarray:
@@ -234,14 +267,14 @@ def search(test: metric.Index, train: metric.Index, k: int, same: bool) -> Searc
     """
     possible = test.n_blocks * train.n_blocks
     if possible <= DIRECT or not train.n_pivots:
-        pairs = durable(metric.pairs_within(test, train, same), "pairs")
-        near = _meet(pairs, test, train, k).drop("block")
+        pairs = durable(metric.pairs_within(test, train, same), "pairs", freed=True)
+        near = durable(_meet(pairs, test, train, k).drop("block"), "near", blocks=True)
         return Search(near, pairs.select("block", "other"), possible)
     w = Window.partitionBy("block").orderBy("away", "other")
     before = F.sum("n").over(w) - F.col("n")
     seeds = metric.seed_pairs(test, train, same, k).withColumn("before", before).where(F.col("before") < k)
-    seeds = durable(seeds.select("block", "other", "away"), "seeds")
-    first = durable(_ranked(_meet(seeds, test, train, k), ["tag", "block"], k).drop("rank"), "near")
+    seeds = durable(seeds.select("block", "other", "away"), "seeds", freed=True)
+    first = durable(_ranked(_meet(seeds, test, train, k), ["tag", "block"], k).drop("rank"), "near", blocks=True)
     # A row that found fewer than k has to meet all, and so has its block.
     per_row = first.groupBy("block", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
     rows = test.blocks.select("block", F.posexplode("ids").alias("at", "cell_id")).join(per_row, ["block", "cell_id"], "left")
@@ -249,11 +282,11 @@ def search(test: metric.Index, train: metric.Index, k: int, same: bool) -> Searc
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", far.alias("far")))), lambda s: s["far"])
     open_ = F.min(far) < 0
     within = rows.groupBy("block").agg(listed.alias("within"), F.when(open_, float("inf")).otherwise(F.max(far)).alias("reach"))
-    within = durable(within, "within")
+    within = durable(within, "within", freed=True)
     pairs = metric.pairs_within(test, train, same, within.select("block", "reach"))
-    pairs = durable(pairs.join(seeds, ["block", "other"], "left_anti"), "pairs")
-    near = first.unionByName(_meet(pairs, test, train, k, within.select("block", "within"))).drop("block")
-    return Search(near, seeds.unionByName(pairs).select("block", "other"), possible)
+    pairs = durable(pairs.join(seeds, ["block", "other"], "left_anti"), "pairs", freed=True)
+    later = durable(_meet(pairs, test, train, k, within.select("block", "within")), "near", blocks=True)
+    return Search(first.unionByName(later).drop("block"), seeds.unionByName(pairs).select("block", "other"), possible)
 
 
 def _prepared(df: DataFrame, tag: str, key: str, vector: str, label: bool) -> DataFrame:
@@ -310,8 +343,8 @@ def k_nearest(
     """
     a, b = _prepared(test, by, key, vector, False), _prepared(train, by, key, vector, True)
     width = _sizes(b)[1]
-    few = durable(_no_copies(a, width, 1), "test")
-    train_index, chosen, splits = _indexed(durable(_no_copies(b, width, k), "train"), pivots)
+    few = durable(_no_copies(a, width, 1), "test", freed=True)
+    train_index, chosen, splits = _indexed(durable(_no_copies(b, width, k), "train", freed=True), pivots)
     test_index = metric.build(few.select("tag", "id", "y", "v"), chosen, width, few.count(), splits)
     return _with_copies(search(test_index, train_index, k, True), few, a, width, k, by)
 
@@ -331,7 +364,7 @@ def k_nearest_of_others(
     """
     rows = _prepared(cells, group, key, vector, True)
     width = _sizes(rows)[1]
-    few = durable(_no_copies(rows, width, k), "few")
+    few = durable(_no_copies(rows, width, k), "few", freed=True)
     return _with_copies(_search_few(few, k, pivots), few, rows, width, k, by)
 
 
@@ -340,7 +373,7 @@ def search_others(
 ) -> Search:
     """The search of ``k_nearest_of_others``, of the first of equal rows of a group."""
     rows = _prepared(cells, group, key, vector, True)
-    return _search_few(durable(_no_copies(rows, _sizes(rows)[1], k), "few"), k, pivots)
+    return _search_few(durable(_no_copies(rows, _sizes(rows)[1], k), "few", freed=True), k, pivots)
 
 
 def _search_few(few: DataFrame, k: int, pivots: int | None) -> Search:

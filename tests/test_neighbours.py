@@ -170,6 +170,20 @@ def test_the_share_of_pairs_that_meet_falls_with_the_rows(spark, monkeypatch):
     assert share[3000] < 0.75 * share[1500], share
 
 
+def test_a_train_block_comes_once_for_a_group_of_test_blocks(spark, monkeypatch):
+    """It was copied for every pair, so what was exchanged grew with the pairs."""
+    monkeypatch.setattr(metric, "block_rows", lambda width: 16)
+    monkeypatch.setattr(N, "PIECES", 1)
+    x = np.random.default_rng(6).uniform(size=(320, 3))
+    rows = [(i, i % 2, 0, [float(v) for v in r]) for i, r in enumerate(x)]
+    cells = table(spark, rows).selectExpr("donor tag", "cell_id id", "y", "features v").repartition(1)
+    index = metric.build(cells, x[:4], 3, 320)
+    pairs = metric.pairs_within(index, index, False).localCheckpoint()
+    assert N._pieces(pairs, index, index).where("away >= 0").count() < pairs.count() / 4
+    near = N._ranked(N._meet(pairs, index, index, 3), ["tag"], 3)
+    assert by_cell(near) == brute(rows, 3)[0]
+
+
 def test_cells_of_a_fit_are_dealt_to_the_cores(spark, monkeypatch):
     """A file of a few bytes was read by one task, however many rows it had."""
     rows = spark.createDataFrame(data(95), "cell_id long, donor int, y int, features array<double>").coalesce(1)

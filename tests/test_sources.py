@@ -1,6 +1,8 @@
 import struct
 import zlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,23 @@ def test_config_checks():
     for change in (dict(epochs=3), dict(dropout=0.1), dict(seed=1), dict(keep="last"), dict(val_fraction=0.3)):
         assert Config().with_(**change).run_name != Config().run_name
     assert Config(results="elsewhere").run_name == Config().run_name
+
+
+def test_rows_of_megabytes_are_read_written_and_handed_on_few_at_once(spark, tmp_path):
+    """A batch for Python and a row group of a file had as many blocks as a task has, up to 64 and 128 MB."""
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(held)
+    noise = "unhex(array_join(transform(sequence(1, 24000), i -> sha2(string(id * 100000 + i), 256)), ''))"
+    rows = spark.range(0, 60, 1, 1).selectExpr("id", f"{noise} AS vectors")
+    rows = sinks.durable(rows, "blocks", blocks=True)
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in rows.inputFiles()]
+    sizes = [g.row_group(i).total_byte_size for g in groups for i in range(g.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 60 and max(sizes) < 24 << 20
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    got = sinks.durable(rows.mapInArrow(run, "n long, size long"), "sizes", blocks=True).collect()
+    assert sum(r["n"] for r in got) == 60 and max(r["size"] for r in got) < 8 << 20
+    assert spark.conf.get(held) == before
